@@ -33,4 +33,28 @@ SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles,
 FROM s JOIN classes ON list_sort(s.sh) = classes.sh LEFT JOIN comp ON comp.node = classes.cid
 """
 
-ORACLES = {"op4_near_dedup": OP4}
+_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+OP3 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({_LOWER}, '{_WORDS}'), []) AS w FROM documents
+), b AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '{_WORDS}') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), p AS (
+  SELECT item, m, array_to_string(w[i:i+m-1], ' ') AS s FROM (SELECT item, w, least(10, len(w)) AS m, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)
+), t AS (
+  SELECT r, m, i, array_to_string(w[i:i+m-1], ' ') AS s
+  FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM p) WHERE len(w) >= m)
+), hits AS (
+  SELECT DISTINCT t.r, t.i, t.m, p.item FROM t JOIN p USING (m, s)
+), n AS (
+  SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(i, i + m)) AS x FROM hits) GROUP BY r
+), items AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN items USING (r)
+"""
+
+ORACLES = {"op3_decontaminate": OP3, "op4_near_dedup": OP4}

@@ -6,21 +6,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vigil.llm.decontaminate import find_contamination
+from vigil.llm.html_text import extract_main_text
+from vigil.llm.language_id import identify_language
 from vigil.llm.near_dedup import near_duplicates
+from vigil.llm.nearest import nearest
 from vigil.llm.oracles import ORACLES
+from vigil.llm.sentencepiece import digest
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt outside the held-out quarter."""
+    return identify_language(_table(spark, sf_dir, "documents"))
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows of ten words in every document."""
+    return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share 80 % of their four-word shingles."""
     return near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document, and whether decoding gives its text back."""
+    return digest(_table(spark, sf_dir, "documents"))
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth vector."""
+    return nearest(_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_near_dedup,)}
+    return {f.__name__: f for f in (op1_language_id, op3_decontaminate, op4_near_dedup, op5_sentencepiece, op6_nearest, op10_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:
