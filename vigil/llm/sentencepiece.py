@@ -18,7 +18,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Characters handed to one encode_batch call, and threads it may use in each Python worker.
-BATCH_CHARS, THREADS = 1_000_000, 2
+BATCH_CHARS, THREADS = 200_000, 2
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -132,20 +132,20 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _batches(texts: list[str]) -> Iterator[list[str]]:
-    group, held = [], 0
-    for t in texts:
-        if group and held + len(t) > BATCH_CHARS:
-            yield group
-            group, held = [], 0
-        group.append(t)
+def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of BATCH_CHARS characters together, or of one text."""
+    start, held = 0, 0
+    for i, t in enumerate(texts):
+        if i > start and held + len(t) > BATCH_CHARS:
+            yield start, i
+            start, held = i, 0
         held += len(t)
-    if group:
-        yield group
+    if start < len(texts):
+        yield start, len(texts)
 
 
 def encode_texts(t: Tokenizer, texts: list[str]) -> list[np.ndarray]:
-    return [np.array(e.ids, np.int32) for group in _batches(texts) for e in t.encode_batch_fast(group, add_special_tokens=False)]
+    return [np.array(e.ids, np.int32) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def _encode(shared, check: bool):
@@ -153,25 +153,28 @@ def _encode(shared, check: bool):
         t = held_tokenizer(shared.value)
         for pdf in batches:
             texts = [x if isinstance(x, str) else "" for x in pdf["text"]]
-            ids = encode_texts(t, texts)
-            out = pd.DataFrame({"doc_id": pdf["doc_id"], "tokens": [x.tolist() for x in ids], "n_tokens": [len(x) for x in ids]})
-            if check:
-                out["round_trip"] = [a == b for a, b in zip(texts, t.decode_batch([x.tolist() for x in ids], skip_special_tokens=False), strict=True)]
-                out["tokens_sha256"] = [hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids]
-                out = out.drop(columns="tokens")
-            yield out
+            for a, b in _groups(texts):
+                ids = encode_texts(t, texts[a:b])
+                out = pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b].to_numpy(), "n_tokens": [len(x) for x in ids]})
+                if check:
+                    back = t.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+                    out["round_trip"] = [x == y for x, y in zip(texts[a:b], back, strict=True)]
+                    out["tokens_sha256"] = [hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids]
+                else:
+                    out["tokens"] = ids
+                yield out
 
     return run
 
 
 def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """doc_id, tokens, n_tokens for each row of docs (doc_id, text): whole texts, no special tokens.
+    """doc_id, n_tokens, tokens for each row of docs (doc_id, text): whole texts, no special tokens.
 
     Null and empty texts have no tokens. Special tokens' names in a text are ordinary text. Repeated rows are
     encoded each; an empty table gives an empty result. The driver reads the model file and broadcasts it
     (its size doesn't depend on the documents)."""
     raw = open(model or default_model(), "rb").read()
-    return docs.select("doc_id", "text").mapInPandas(_encode(docs.sparkSession.sparkContext.broadcast(raw), False), "doc_id long, tokens array<int>, n_tokens long")
+    return docs.select("doc_id", "text").mapInPandas(_encode(docs.sparkSession.sparkContext.broadcast(raw), False), "doc_id long, n_tokens long, tokens array<int>")
 
 
 def digest(docs: DataFrame, model: str | None = None) -> DataFrame:
