@@ -20,6 +20,11 @@ _FOLD = np.array([b + 32 if 65 <= b <= 90 else 32 if b < 32 or 48 <= b <= 57 els
 _LETTER = np.array([b >= 128 or 97 <= b <= 122 for b in range(256)])
 
 
+def softmax(logits: np.ndarray) -> np.ndarray:
+    e = np.exp(logits - logits.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
 def windows_of(text: str) -> np.ndarray:
     """(n, WINDOW) folded bytes of the whole text, the last window filled with blanks."""
     raw = _FOLD[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)]
@@ -66,8 +71,7 @@ class ByteConvNet:
                     pooled.append(np.take_along_axis(z, at[:, None, :], 1)[:, 0] + p["b", w])
                 hidden = np.maximum(np.concatenate(pooled, axis=1), 0)
                 logits = hidden @ p["o"] + p["ob"]
-                prob = np.exp(logits - logits.max(axis=1, keepdims=True))
-                prob /= prob.sum(axis=1, keepdims=True)
+                prob = softmax(logits)
                 prob[np.arange(len(y)), y] -= 1
                 delta = prob * (weight[y] / len(y))[:, None]
                 grad = {"o": hidden.T @ delta, "ob": delta.sum(axis=0)}
@@ -129,7 +133,7 @@ def _predict(net: ByteConvNet):
                 x, of = np.concatenate(held), np.concatenate(owner)
                 for at in range(0, len(x), _CHUNK):
                     part = x[at : at + _CHUNK]
-                    np.add.at(sums, of[at : at + _CHUNK], net.logits(part, tables) * _LETTER[part].mean(axis=1)[:, None])
+                    np.add.at(sums, of[at : at + _CHUNK], softmax(net.logits(part, tables)) * _LETTER[part].mean(axis=1)[:, None])
                 held.clear()
                 owner.clear()
 
@@ -144,9 +148,7 @@ def _predict(net: ByteConvNet):
                         flush()
             if held:
                 flush()
-            mean = sums / np.maximum(weights, 1e-9)[:, None]
-            prob = np.exp(mean - mean.max(axis=1, keepdims=True))
-            prob /= prob.sum(axis=1, keepdims=True)
+            prob = np.minimum(sums / np.maximum(weights, 1e-9)[:, None], 1.0)
             best = prob.argmax(axis=1)
             known = pdf["letters"].to_numpy(dtype=bool)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": np.where(known, np.array(net.langs, object)[best], "und"), "score": np.where(known, prob[np.arange(len(pdf)), best], 0.0)})
@@ -158,9 +160,9 @@ def identify_language(docs: DataFrame, labelled: DataFrame | None = None) -> Dat
     """doc_id, held_out, lang_pred, score for each row of docs (doc_id, text); other columns aren't read.
 
     labelled (doc_id, text, lang; docs itself if None) gives the bounded training sample. Every window of a
-    text is scored, weighted by its share of letters; score is the softmax of the mean logits. Null texts and
+    text is scored; score is the mean of the windows' softmax values, weighted by their shares of letters. Null texts and
     texts without a letter: `und` with score 0, as all texts are if there is no labelled row. A null doc_id
-    isn't held out. Repeated rows are scored each; an empty table gives an empty result. Logits of a long text
+    isn't held out. Repeated rows are scored each; an empty table gives an empty result. Scores of a long text
     are summed in pieces, so memory doesn't grow with its length beyond the text itself."""
     net = train(docs if labelled is None else labelled)
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
