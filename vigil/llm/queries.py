@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from vigil.llm.decontaminate import find_contamination
 from vigil.llm.html_text import extract_main_text
 from vigil.llm.language_id import identify_language
+from vigil.llm.line_dedup import line_dedup_digest
 from vigil.llm.near_dedup import near_duplicates
 from vigil.llm.nearest import nearest
 from vigil.llm.oracles import ORACLES
+from vigil.llm.secrets import find_secrets
 from vigil.llm.sentencepiece import digest
 
 
@@ -44,13 +46,23 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document keeps once later repeats of passages are cut."""
+    return line_dedup_digest(_table(spark, sf_dir, "documents"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, by pattern and by randomness."""
+    return find_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return extract_main_text(_table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_decontaminate, op4_near_dedup, op5_sentencepiece, op6_nearest, op10_main_text)}
+    return {f.__name__: f for f in (op1_language_id, op3_decontaminate, op4_near_dedup, op5_sentencepiece, op6_nearest, op7_line_dedup, op8_secrets, op10_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:
