@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -17,8 +18,8 @@ from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_toke
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Characters handed to one encode_batch call, and threads it may use in each Python worker.
-BATCH_CHARS, THREADS = 200_000, 2
+#: Characters taken at once, words in one text for the tokenizer, words held, and threads in each Python worker.
+BATCH_CHARS, GROUP_WORDS, WORDS, THREADS = 2_000_000, 2000, 250_000, 2
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -112,16 +113,73 @@ class Model:
         return t
 
 
-_held: dict[str, Tokenizer] = {}
-
-
-def held_tokenizer(raw: bytes) -> Tokenizer:
-    """The tokenizer of a model, built once in each Python worker."""
+class Encoder:
+    """A tokenizer with the words that it has met.
+
+    Where no piece spans words, texts are normalised and cut before their space marks, each new word is
+    encoded once, and a text's ids are its words' ids joined. At most WORDS words are held."""
+
+    def __init__(self, raw: bytes):
+        self.model = Model.parse(raw)
+        self.tokenizer = self.model.tokenizer()
+        self.normalizer, self.by_words = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer is not None
+        m = self.model
+        self.plain = not m.charsmap and not m.remove_extra_spaces and m.dummy_prefix and m.escape_spaces
+        self.word_tokenizer = m.tokenizer()
+        self.word_tokenizer.normalizer = normalizers.Sequence([])
+        self.begins = np.array([p.startswith(SPACE) and kind != BYTE for p, _, kind in m.pieces])
+        self.bytes = [bytes([int(p[3:-1], 16)]) if kind == BYTE else p.replace(SPACE, " ").encode() for p, _, kind in m.pieces]
+        self.held: dict[str, bytes] = {}
+
+    def normalize(self, text: str) -> str:
+        if self.plain:
+            return SPACE + text.replace(" ", SPACE) if text else ""
+        return self.normalizer.normalize_str(text)
+
+    def learn(self, words: set[str]) -> None:
+        """Encode words: those with one leading mark many to a text, the others each by itself."""
+        simple = [w for w in words if w[0] == SPACE and w[1:2] != SPACE]
+        other = [w for w in words if w[0] != SPACE or w[1:2] == SPACE]
+        groups = [simple[i : i + GROUP_WORDS] for i in range(0, len(simple), GROUP_WORDS)]
+        for group, e in zip(groups, self.word_tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<i4")
+            cuts = np.flatnonzero(self.begins[ids])
+            ends = np.append(cuts[1:], len(ids)) * 4
+            joined = ids.tobytes()
+            self.held.update(zip(group, (joined[a:b] for a, b in zip((cuts * 4).tolist(), ends.tolist(), strict=True)), strict=True))
+        for w, e in zip(other, self.word_tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            self.held[w] = np.array(e.ids, "<i4").tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        if not self.by_words:
+            return [np.array(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        words = [_WORDS.findall(self.normalize(t)) for t in texts]
+        new = set().union(*words) - self.held.keys()
+        if len(self.held) + len(new) > WORDS:
+            self.held.clear()
+            new = set().union(*words)
+        self.learn(new)
+        return [b"".join(map(self.held.__getitem__, w)) for w in words]
+
+    def decode(self, ids: bytes | np.ndarray | list[int]) -> str:
+        """The text of ids: pieces with marks as spaces, byte pieces as bytes, without the leading space that encoding adds."""
+        ids = np.frombuffer(ids, "<i4") if isinstance(ids, bytes) else np.asarray(ids, np.int64)
+        raw = b"".join(map(self.bytes.__getitem__, ids.tolist()))
+        return raw[1 if self.model.dummy_prefix and raw[:1] == b" " else 0 :].decode("utf-8", "replace")
+
+
+_WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+_held: dict[str, Encoder] = {}
+
+
+def held_encoder(raw: bytes) -> Encoder:
+    """The encoder of a model, built once in each Python worker."""
     key = hashlib.sha256(raw).hexdigest()
     if key not in _held:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
-        _held[key] = Model.parse(raw).tokenizer()
+        _held[key] = Encoder(raw)
     return _held[key]
 
 
@@ -144,24 +202,19 @@ def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def encode_texts(t: Tokenizer, texts: list[str]) -> list[np.ndarray]:
-    return [np.array(e.ids, np.int32) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
-
-
 def _encode(shared, check: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = held_tokenizer(shared.value)
+        encoder = held_encoder(shared.value)
         for pdf in batches:
             texts = [x if isinstance(x, str) else "" for x in pdf["text"]]
             for a, b in _groups(texts):
-                ids = encode_texts(t, texts[a:b])
-                out = pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b].to_numpy(), "n_tokens": [len(x) for x in ids]})
+                ids = encoder.encode(texts[a:b])
+                out = pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b].to_numpy(), "n_tokens": [len(x) // 4 for x in ids]})
                 if check:
-                    back = t.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
-                    out["round_trip"] = [x == y for x, y in zip(texts[a:b], back, strict=True)]
-                    out["tokens_sha256"] = [hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids]
+                    out["round_trip"] = [encoder.decode(x) == y for x, y in zip(ids, texts[a:b], strict=True)]
+                    out["tokens_sha256"] = [hashlib.sha256(x).hexdigest() for x in ids]
                 else:
-                    out["tokens"] = ids
+                    out["tokens"] = [np.frombuffer(x, "<i4") for x in ids]
                 yield out
 
     return run
@@ -190,6 +243,6 @@ def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
 
     @F.pandas_udf("string")
     def text(tokens: pd.Series) -> pd.Series:
-        return pd.Series(held_tokenizer(shared.value).decode_batch([[] if x is None else list(x) for x in tokens], skip_special_tokens=False))
+        return pd.Series([held_encoder(shared.value).decode([] if x is None else x) for x in tokens])
 
     return rows.withColumn("text", text("tokens"))
