@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,6 +95,15 @@ def _scan(shared, last: bool):
     return run
 
 
+def benchmark_blocks(benchmark: DataFrame, window: int) -> Iterator[Broadcast]:
+    """Searchers for the benchmark's windows in blocks of about BLOCK_BYTES, broadcast one by one. Its size is taken first."""
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text").distinct()
+    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).head()[0] or 0) // BLOCK_BYTES))
+    for b in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(searchers([(r.item, r.text) for r in part], window))
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs (doc_id, text).
 
@@ -103,14 +114,26 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
     Null texts have no words; items without id or words match nothing; an item id that comes twice counts
     once; repeated rows are returned each. Without benchmark or documents: no hits, or no rows."""
-    spark = docs.sparkSession
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text").distinct()
-    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).head()[0] or 0) // BLOCK_BYTES))
     rows = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<array<int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).collect()
-        last = b == blocks - 1
-        machines = spark.sparkContext.broadcast(searchers([(r.item, r.text) for r in part], window))
+    blocks = list(benchmark_blocks(benchmark, window))
+    for b, machines in enumerate(blocks):
+        last = b == len(blocks) - 1
         rows = rows.mapInPandas(_scan(machines, last), "doc_id long" + ", text string" * (not last) + ", n_words long, spans array<array<int>>, items array<string>")
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x[1] - x[0])
     return rows.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+def _clean(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.filter(pa.array([not any(True for m in shared.value for _ in m.search(w)) for w in map(words, texts)], pa.bool_()))
+
+    return run
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs that hold no window of the benchmark, with all their columns; other cases as in find_contamination."""
+    for machines in benchmark_blocks(benchmark, window):
+        docs = docs.mapInArrow(_clean(machines), docs.schema)
+    return docs

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from vigil.llm.decontaminate import find_contamination
 from vigil.llm.html_text import extract_main_text
 from vigil.llm.language_id import identify_language
+from vigil.llm.licenses import scan_licenses
 from vigil.llm.line_dedup import line_dedup_digest
 from vigil.llm.near_dedup import near_duplicates
 from vigil.llm.nearest import nearest
 from vigil.llm.oracles import ORACLES
+from vigil.llm.quality import classify_quality
 from vigil.llm.secrets import find_secrets
 from vigil.llm.sentencepiece import digest
 
@@ -26,6 +28,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(_table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior, score and decision of the weak-label quality model for every document."""
+    return classify_quality(_table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of ten words in every document."""
     return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
@@ -56,13 +63,18 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices in every document."""
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return extract_main_text(_table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_decontaminate, op4_near_dedup, op5_sentencepiece, op6_nearest, op7_line_dedup, op8_secrets, op10_main_text)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality, op3_decontaminate, op4_near_dedup, op5_sentencepiece, op6_nearest, op7_line_dedup, op8_secrets, op9_licenses, op10_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -210,8 +210,8 @@ def _encode(shared, check: bool):
             for a, b in _groups(texts):
                 ids = encoder.encode(texts[a:b])
                 out = pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b].to_numpy(), "n_tokens": [len(x) // 4 for x in ids]})
+                out["round_trip"] = [encoder.decode(x) == y for x, y in zip(ids, texts[a:b], strict=True)]
                 if check:
-                    out["round_trip"] = [encoder.decode(x) == y for x, y in zip(ids, texts[a:b], strict=True)]
                     out["tokens_sha256"] = [hashlib.sha256(x).hexdigest() for x in ids]
                 else:
                     out["tokens"] = [np.frombuffer(x, "<i4") for x in ids]
@@ -221,13 +221,15 @@ def _encode(shared, check: bool):
 
 
 def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, tokens for each row of docs (doc_id, text): whole texts, no special tokens.
+    """doc_id, n_tokens, round_trip, tokens for each row of docs (doc_id, text): whole texts, no special tokens.
+
+    round_trip: decoding the tokens gives the text back.
 
     Null and empty texts have no tokens. Special tokens' names in a text are ordinary text. Repeated rows are
     encoded each; an empty table gives an empty result. The driver reads the model file and broadcasts it
     (its size doesn't depend on the documents)."""
     raw = open(model or default_model(), "rb").read()
-    return docs.select("doc_id", "text").mapInPandas(_encode(docs.sparkSession.sparkContext.broadcast(raw), False), "doc_id long, n_tokens long, tokens array<int>")
+    return docs.select("doc_id", "text").mapInPandas(_encode(docs.sparkSession.sparkContext.broadcast(raw), False), "doc_id long, n_tokens long, round_trip boolean, tokens array<int>")
 
 
 def digest(docs: DataFrame, model: str | None = None) -> DataFrame:
