@@ -1,6 +1,6 @@
 """Registered queries over the driver tables, each with its SQL twin."""
 
-from vigil.plans import evaluation, operational, temporal
+from vigil.plans import evaluation, ingest, operational, streams, temporal
 from vigil.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "evaluation", "operational", "temporal"]
+__all__ = ["ORACLES", "QUERIES", "evaluation", "ingest", "operational", "streams", "temporal"]
