@@ -18,7 +18,7 @@ from vigil.llm.hashing import BLANK_SPLIT, mix, shingles, words_of
 #: A pair at similarity 0.8 misses every band with probability (1 - 0.8**6)**40 = 5e-6.
 PERMUTATIONS, PER_BAND = 120, 3
 #: Shingles and sets in a block of one candidate group; a pair of blocks is what one task confirms at once.
-BLOCK_SHINGLES, BLOCK_SETS = 1_000_000, 2048
+BLOCK_SHINGLES, BLOCK_SETS = 400_000, 2048
 
 _SEEDS = mix(np.arange(1, 2 * PERMUTATIONS + 1, dtype=np.uint64))
 _MULTIPLY = (_SEEDS[:PERMUTATIONS] | np.uint64(1)).astype(np.uint32)[:, None]
@@ -69,9 +69,10 @@ def linked_sets(sets: list[np.ndarray], percent: int, across: np.ndarray | None
     to, so only those are looked up; sets already in one component aren't compared again. across: the block
     of each set, if only pairs over two blocks count."""
     ids, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(ids), np.int64)
-    rank[np.argsort(counts, kind="stable")] = np.arange(len(ids))
-    tokens = np.split(rank[inverse], np.cumsum([len(s) for s in sets])[:-1])
+    rank = np.empty(len(ids), np.int32)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(ids), dtype=np.int32)
+    tokens = np.split(np.take(rank, inverse), np.cumsum([len(s) for s in sets])[:-1])
+    del ids, inverse, counts, rank
     top, links = list(range(len(sets))), []
 
     def find(x: int) -> int:
@@ -81,19 +82,20 @@ def linked_sets(sets: list[np.ndarray], percent: int, across: np.ndarray | None
         return x
 
     index: dict[int, list[int]] = defaultdict(list)
-    full: list[set[int]] = []
-    for i, raw in enumerate(tokens):
-        n, own = len(raw), set(raw.tolist())
-        prefix = np.sort(raw)[: n - -(-percent * n // 100) + 1].tolist()
+    held = np.zeros(sum(map(len, tokens)), bool)  # which hashes the set at hand has
+    for i, own in enumerate(tokens):
+        n = len(own)
+        prefix = np.sort(own)[: n - -(-percent * n // 100) + 1].tolist()
+        held[own] = True
         for j in {j for t in prefix for j in index.get(t, ())}:
-            m = len(full[j])
+            m = len(tokens[j])
             if 100 * m < percent * n or find(i) == find(j) or (across is not None and across[i] == across[j]):
                 continue
-            common = len(own & full[j])
+            common = int(np.count_nonzero(held[tokens[j]]))
             if 100 * common >= percent * (n + m - common):
                 links.append((i, j))
                 top[find(i)] = find(j)
-        full.append(own)
+        held[own] = False
         for t in prefix:
             index[t].append(i)
     return links
