@@ -19,7 +19,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Characters taken at once, words in one text for the tokenizer, words held, and threads in each Python worker.
-BATCH_CHARS, GROUP_WORDS, WORDS, THREADS = 2_000_000, 2000, 250_000, 2
+BATCH_CHARS, GROUP_WORDS, WORDS, THREADS = 1_000_000, 2000, 120_000, 2
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -121,12 +121,11 @@ class Encoder:
 
     def __init__(self, raw: bytes):
         self.model = Model.parse(raw)
-        self.tokenizer = self.model.tokenizer()
-        self.normalizer, self.by_words = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer is not None
-        m = self.model
+        m, self.tokenizer = self.model, self.model.tokenizer()
+        self.by_words = self.tokenizer.pre_tokenizer is not None
         self.plain = not m.charsmap and not m.remove_extra_spaces and m.dummy_prefix and m.escape_spaces
-        self.word_tokenizer = m.tokenizer()
-        self.word_tokenizer.normalizer = normalizers.Sequence([])
+        if self.by_words:  # texts are normalised before they are cut
+            self.normalizer, self.tokenizer.normalizer = self.tokenizer.normalizer, normalizers.Sequence([])
         self.begins = np.array([p.startswith(SPACE) and kind != BYTE for p, _, kind in m.pieces])
         self.bytes = [bytes([int(p[3:-1], 16)]) if kind == BYTE else p.replace(SPACE, " ").encode() for p, _, kind in m.pieces]
         self.held: dict[str, bytes] = {}
@@ -141,13 +140,13 @@ class Encoder:
         simple = [w for w in words if w[0] == SPACE and w[1:2] != SPACE]
         other = [w for w in words if w[0] != SPACE or w[1:2] == SPACE]
         groups = [simple[i : i + GROUP_WORDS] for i in range(0, len(simple), GROUP_WORDS)]
-        for group, e in zip(groups, self.word_tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<i4")
             cuts = np.flatnonzero(self.begins[ids])
             ends = np.append(cuts[1:], len(ids)) * 4
             joined = ids.tobytes()
             self.held.update(zip(group, (joined[a:b] for a, b in zip((cuts * 4).tolist(), ends.tolist(), strict=True)), strict=True))
-        for w, e in zip(other, self.word_tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
             self.held[w] = np.array(e.ids, "<i4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -216,6 +215,7 @@ def _encode(shared, check: bool):
                 else:
                     out["tokens"] = [np.frombuffer(x, "<i4") for x in ids]
                 yield out
+        encoder.held.clear()  # the worker may go on with other work
 
     return run
 
