@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigil.llm.common import hashed_share
+
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 16, 192
 #: Bounds of the training sample: documents (lowest hashes of doc_id), and windows from each one's first characters.
 TRAIN_DOCS, TRAIN_WINDOWS, TRAIN_CHARS = 3000, 3, 1200
@@ -111,8 +113,10 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def train(docs: DataFrame) -> ByteConvNet | None:
     """Fit on at most TRAIN_DOCS labelled documents outside the held-out quarter; None if there are none."""
-    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    sample = known.select(F.substring("text", 1, TRAIN_CHARS).alias("text"), "lang").orderBy(F.xxhash64("doc_id"), "lang", "text").limit(TRAIN_DOCS).collect()
+    known = docs.where(~held_out() & F.col("lang").isNotNull()).withColumn("__hash", F.xxhash64("doc_id"))
+    few = known.where(hashed_share(F.col("__hash"), TRAIN_DOCS, known.count())).where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    order = (F.shiftrightunsigned("__hash", 33), "__hash", "lang", "text")
+    sample = few.select("__hash", F.substring("text", 1, TRAIN_CHARS).alias("text"), "lang").orderBy(*order).limit(TRAIN_DOCS).collect()
     if not sample:
         return None
     langs = sorted({r.lang for r in sample})

@@ -57,4 +57,39 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN n USING (r) LEFT JOIN items USING (r)
 """
 
-ORACLES = {"op3_decontaminate": OP3, "op4_near_dedup": OP4}
+OP7 = r"""
+WITH s AS (
+  SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents
+), l AS (
+  SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS line_no FROM s
+), li AS (
+  SELECT doc_id, line_no, trim(line) AS h, len(regexp_extract_all(line, '\S+')) AS w,
+    row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS i, sum(len(regexp_extract_all(line, '\S+'))) OVER (PARTITION BY doc_id ORDER BY line_no) AS c
+  FROM l WHERE regexp_matches(line, '\S')
+), spans AS (
+  SELECT a.doc_id, a.i, b.i AS j FROM li a ASOF JOIN li b ON a.doc_id = b.doc_id AND a.c - a.w + 50 <= b.c
+), passages AS (
+  SELECT p.doc_id, p.i, string_agg(x.h, chr(10) ORDER BY x.i) AS passage
+  FROM spans p JOIN li x ON x.doc_id = p.doc_id AND x.i BETWEEN p.i AND p.j GROUP BY p.doc_id, p.i
+), firsts AS (
+  SELECT passage, min((doc_id, i)) AS f FROM passages GROUP BY passage HAVING count(*) > 1
+), pairs AS (
+  SELECT doc_id, struct_extract(f, 1) AS other, i - struct_extract(f, 2) AS shift, i FROM passages JOIN firsts USING (passage) WHERE (doc_id, i) > f
+), equal AS (
+  SELECT g.*, a.i, a.line_no FROM (SELECT DISTINCT doc_id, other, shift FROM pairs) g JOIN li a ON a.doc_id = g.doc_id JOIN li b ON b.doc_id = g.other AND b.i = a.i - g.shift AND b.h = a.h
+), islands AS (
+  SELECT *, i - row_number() OVER (PARTITION BY doc_id, other, shift ORDER BY i) AS run FROM equal
+), runs AS (
+  SELECT doc_id, other, shift, min(i) AS low, max(i) AS high, min(line_no) AS a, max(line_no) AS b FROM islands GROUP BY doc_id, other, shift, run
+), cuts AS (
+  SELECT DISTINCT r.doc_id, r.a, r.b FROM runs r JOIN pairs p ON p.doc_id = r.doc_id AND p.other = r.other AND p.shift = r.shift AND p.i BETWEEN r.low AND r.high
+), kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS text, count(*) AS n FROM l
+  WHERE NOT EXISTS (SELECT 1 FROM cuts c WHERE c.doc_id = l.doc_id AND l.line_no BETWEEN c.a AND c.b) GROUP BY doc_id
+), whole AS (
+  SELECT s.doc_id, len(lines) AS total, coalesce(text, '') AS text, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE n END AS n FROM s LEFT JOIN kept USING (doc_id)
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_lines, CAST(total - n AS BIGINT) AS n_dropped, length(text) AS n_chars, sha256(text) AS text_sha256 FROM whole
+"""
+
+ORACLES = {"op3_decontaminate": OP3, "op4_near_dedup": OP4, "op7_line_dedup": OP7}

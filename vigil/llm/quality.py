@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import row_key, staged
+from vigil.llm.common import hashed_share, row_key, staged
 from vigil.llm.hashing import BLANK_SPLIT, mix, words_of
 
 #: Rounds of expectation-maximisation, the share of good texts to start from, and how often a labeller's right and wrong votes come at the start.
@@ -212,7 +212,10 @@ def fit(docs: DataFrame) -> tuple[LabelModel, HashedScorer]:
     bad = [r.pattern for r, g in zip(counted, good, strict=True) if g < 0.5]
     known = voted.where("n_words > 0").withColumn("bad", F.col("pattern").isin(bad) if bad else F.lit(False)).withColumn("at", F.xxhash64("row", F.lit(5)))
     half = TRAIN_TEXTS // 2
-    picked = known.where("bad").orderBy("at", "row").limit(half).union(known.where("not bad").orderBy("at", "row").limit(half)).select("row", "pattern")
+    total = {b: sum(r["count"] for r, g in zip(counted, good, strict=True) if (g < 0.5) == b) for b in (True, False)}
+    order = (F.shiftrightunsigned("at", 33), "at", "row")
+    lowest = [known.where(F.col("bad") == b).where(hashed_share(F.col("at"), half, total[b])).orderBy(*order).limit(half) for b in (True, False)]
+    picked = lowest[0].union(lowest[1]).select("row", "pattern")
     sample = rows.select("row", F.substring("text", 1, TRAIN_CHARS).alias("text")).join(F.broadcast(picked), "row").dropDuplicates(["row"]).orderBy("row").collect()
     texts = [r.text for r in sample]
     target = labels.posterior(np.array([pattern_votes(r.pattern) for r in sample]))
