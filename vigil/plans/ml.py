@@ -24,13 +24,19 @@ def temporal_split(rows: DataFrame, train_end: str, calibration_end: str, valida
 
 
 def sampled(rows: DataFrame, ratio: int, seed: str = "s") -> DataFrame:
-    """All positives and `ratio` negatives for each, chosen by hash, with weights that restore the totals.
+    """All positives and `ratio` negatives for each, those with the lowest hashes, with weights that restore the totals.
 
-    The negatives to take are the lowest hashes below an exact count, found by a top-n sort."""
+    Negatives are counted by the first four digits of their hash. All of the lower buckets are taken, and only
+    the bucket at the bound is ranked, so the sample may be large without passing through one task."""
     counts = rows.agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n")).head()
     take = min(counts.n, max(1, ratio * counts.p))
-    order = F.md5(F.concat_ws(":", F.lit(seed), "channel_id", "day"))
-    negatives = rows.where("label = 0").withColumn("h", order).orderBy("h", "channel_id", "day").limit(take).drop("h")
+    hashed = rows.where("label = 0").withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), "channel_id", "day"))).withColumn("bucket", F.substring("h", 1, 4))
+    upto = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # over 65,536 counts at most
+    before = hashed.groupBy("bucket").agg(F.count("*").alias("k")).withColumn("before", F.coalesce(F.sum("k").over(upto), F.lit(0))).where(F.col("before") < take)
+    known = hashed.join(F.broadcast(before), "bucket")
+    whole = known.where(F.col("before") + F.col("k") <= take)
+    edge = known.where(F.col("before") + F.col("k") > take).withColumn("i", F.row_number().over(Window.partitionBy("bucket").orderBy("h", "channel_id", "day"))).where(F.col("before") + F.col("i") <= take)
+    negatives = whole.select(rows.columns).unionByName(edge.select(rows.columns))
     return rows.where("label = 1").withColumn("weight", F.lit(1.0)).unionByName(negatives.withColumn("weight", F.lit(counts.n / max(1, take))))
 
 
