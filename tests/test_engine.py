@@ -295,3 +295,26 @@ def test_stream_state_machine_equals_batch_change_points(spark, tmp_path):
     want = T.change_points(cells.withColumn("t", F.col("t").cast("timestamp_ntz")), "state").collect()
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted((r.channel_id, r.t, r.state) for r in got) == sorted((r.channel_id, r.t, r.state) for r in want)
+
+
+def test_snapshot_cap_and_listener(spark, tmp_path):
+    from vigil.operators import rules
+
+    j = journal(spark, daily_ok(5))
+    with pytest.raises(ValueError):
+        rules.snapshot(j, F.lit(at(9)).cast("timestamp_ntz"), 30, 4)
+    assert rules.snapshot(j, F.lit(at(9)).cast("timestamp_ntz"), 30, 5).count() == 5
+    notes = []
+    listener = rules.watch(spark, notes)
+    j.write.parquet(str(tmp_path / "in"))
+    G.run_to_end(spark.readStream.schema(j.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check"))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    spark.streams.removeListener(listener)
+    assert any(n["event"] == "progress" and n["rows"] == 5 for n in notes)
+
+
+def test_routing_gives_each_kind_to_its_sink(spark):
+    seen = {}
+    batch = spark.createDataFrame([("telemetry", 1), ("weather", 2), ("telemetry", 3)], "kind string, x int")
+    G.routed({k: lambda b, n, k=k: seen.update({k: (b.count(), n)}) for k in ("telemetry", "weather")})(batch, 7)
+    assert seen == {"telemetry": (2, 7), "weather": (1, 7)}

@@ -1,6 +1,6 @@
 """Registered queries over the driver tables, each with its SQL twin."""
 
-from vigil.plans import evaluation, ingest, models, operational, streams, temporal
+from vigil.plans import domain, evaluation, ingest, models, operational, streams, temporal
 from vigil.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "evaluation", "ingest", "models", "operational", "streams", "temporal"]
+__all__ = ["ORACLES", "QUERIES", "domain", "evaluation", "ingest", "models", "operational", "streams", "temporal"]

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vigil.operators import bindings as B
 from vigil.operators import forecasts as P
 from vigil.plans import ml as M
-from vigil.plans.evaluation import CD, SC, channel_days, crossed_of, rounded, scores_of
+from vigil.plans.evaluation import CD, NB, SC, channel_days, crossed_of, rounded, scores_of
 from vigil.plans.registry import query
 
 LAST_DAY = "2024-01-30"
@@ -56,8 +57,6 @@ def logistic_scores(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def boosted_scores(spark: SparkSession, d: str) -> DataFrame:
     """A boosted model for warm channels, a logistic one for cold ones"""
-    from pyspark.sql.window import Window
-
     by = Window.partitionBy("channel_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows_of(spark, d).withColumns({c: F.col(c).cast("double") for c in ("n_events", "n_alarm")}).withColumn("observed_days", F.count("*").over(by))
     parts = M.temporal_split(rows, "2024-01-15", "2024-01-20", "2024-01-26")
@@ -115,7 +114,7 @@ def scorecard(spark: SparkSession, d: str) -> DataFrame:
     return P.scorecard(s, gates.select("module", "decision"))
 
 
-@query()
+@query(f"{NB}, mv AS (SELECT CAST(rep AS INTEGER) AS rep, channel_id, object_id, t + to_days(CAST(7 * [-2, -1, 1, 2][CAST('0x' || substr(md5(rep || ':' || channel_id), 1, 8) AS BIGINT) % 4 + 1] AS INTEGER)) AS t FROM x, (SELECT unnest(range(0, 20)) AS rep)), hit AS (SELECT DISTINCT a.rep, a.channel_id, a.t FROM mv a JOIN mv b ON a.rep = b.rep AND a.object_id = b.object_id AND a.channel_id <> b.channel_id AND b.t BETWEEN a.t - INTERVAL 6 HOUR AND a.t + INTERVAL 15 MINUTE) SELECT r.rep, count(hit.t) AS with_neighbours FROM (SELECT DISTINCT rep FROM mv) r LEFT JOIN hit ON hit.rep = r.rep GROUP BY 1")
 def shifted_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """L22"""
     return P.shifted_neighbours(crossed_of(spark, d), 20)
