@@ -52,9 +52,10 @@ def event_panel(events: DataFrame, cell: DataFrame, reading: Column, threshold:
     cutoff = panel.withColumn("cutoff_t", (F.date_add("day", 1).cast("timestamp_ntz") - F.expr("interval 1 microsecond")))
     panel = asof_backward(cutoff, points.select("channel_id", F.col("t").alias("state_t"), F.col("state").alias("link_now")), "channel_id", "cutoff_t", "state_t", ["link_now", "state_t"]).drop("cutoff_t")
     ahead = ["n_events", "link_strict", "link_ambiguous", "link_sustained", "link_censored", "link_transient", "link_blocks", "num_n", "crossed", "cross_unknown"]
-    base = panel.select("channel_id", "day", *ahead)
+    # Grid days are unique for a channel, so later days are frames of one day each: no join of the panel with itself.
+    later = Window.partitionBy("channel_id").orderBy(F.unix_date("day"))
     for offset, columns in ((1, ["link_strict", "link_ambiguous", "crossed"]), (2, ahead), (3, ["n_events"])):
-        panel = panel.join(shifted(base, offset, columns), ["channel_id", "day"], "left").fillna(0, [f"{c}_d{offset}" for c in columns])
+        panel = panel.withColumns({f"{c}_d{offset}": F.coalesce(F.sum(c).over(later.rangeBetween(offset, offset)), F.lit(0)) for c in columns})
     inside = F.date_add("day", 3) <= end_day
     observed = F.col("n_events_d2") + F.col("n_events_d3") > 0
     doubt = F.col("link_ambiguous_d2") + F.col("link_blocks_d2") > 0
