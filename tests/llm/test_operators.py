@@ -295,6 +295,37 @@ def test_license_places_and_labels(spark):
     assert got[5].base_labels == "gpl" and "cc-by-nc" in got[6].labels and got[6].base_labels == "" and "mit" in got[7].labels
 
 
+def brute_labels(index, text):
+    """Every template at every shift."""
+    labels, best = set(), 0.0
+    for i, own in enumerate(index.sizes):
+        for shift in range(-len(own) + 1, len(text)):
+            share = sum(index.idf[w] for j, w in enumerate(own) if 0 <= shift + j < len(text) and text[shift + j] == w) / index.weights[i]
+            if share >= licenses.LEAST_SHARE and index.places(text, index.phrases[i], max(0, shift - licenses.NEAR), shift + len(own) + licenses.NEAR):
+                labels.add(licenses.TEMPLATES[i][0])
+                best = max(best, share)
+    return labels, best
+
+
+def test_license_notices_among_others_equal_brute_force():
+    rng = random.Random(8)
+    known = sorted(licenses.vocabulary())
+    index = licenses.RareWordIndex.build({w: rng.choice([0, 3, 50, 400, 900]) for w in known}, 1000)
+    every = [text for _, text, _ in licenses.TEMPLATES]
+    found = index.scan(licenses.words("\n".join(every)))[2]
+    assert found == {label for label, _, _ in licenses.TEMPLATES}
+    header = "Copyright 2020. All rights reserved. " + next(t for label, t, _ in licenses.TEMPLATES if label == "bsd")
+    assert {"bsd", "proprietary"} <= index.scan(licenses.words(header))[2]
+    for _ in range(60):
+        text = []
+        for notice in rng.sample(every, rng.randrange(1, 6)):
+            text += [rng.choice([b"other", *known]) for _ in range(rng.randrange(30))]
+            text += [w if rng.random() < 0.85 else rng.choice(known) for w in licenses.words(notice)]
+        _, base, labels, score = index.scan(text)
+        want, best = brute_labels(index, text)
+        assert labels == want | base and score == pytest.approx(1.0 if base else best)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/a">Menu</a></li></ul></nav><div class="ad">Buy this</div><article><h1>Head &eacute;</h1><p><b>First</b>&nbsp; para.<br><p>Second
  para &lt;x&gt;</p><div class="ad">Advert</div><p>ok</p></article><section id="comments"><p>A comment that is long enough to be text of its own, it seems.</p></section><footer>&copy; foot</footer>"""

@@ -37,8 +37,8 @@ TEMPLATES = (
     ("unlicense", "This is free and unencumbered software released into the public domain", "free and unencumbered software"),
     ("proprietary", "All rights reserved", "all rights reserved"),
 )
-#: Rarest words of a file that look templates up, share of a template's weight that must align, words that may lie between it and its phrase.
-ANCHORS, LEAST_SHARE, NEAR = 8, 0.6, 40
+#: Share of a template's weight that must align, words that may lie between it and its phrase.
+LEAST_SHARE, NEAR = 0.6, 40
 
 
 @dataclass
@@ -50,6 +50,7 @@ class RareWordIndex:
     sizes: list[list[bytes]] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
     phrases: list[list[bytes]] = field(default_factory=list)
+    anchors: list[set[bytes]] = field(default_factory=list)
     base: list[tuple[list[bytes], str]] = field(default_factory=list)
 
     @classmethod
@@ -62,9 +63,20 @@ class RareWordIndex:
             out.sizes.append(own)
             out.weights.append(sum(out.idf[w] for w in own))
             out.phrases.append(words(phrase))
+            out.anchors.append(out.anchors_of(own, out.weights[-1]))
         out.base = [(words(p), label) for p, label in BASE]
         return out
 
+    def anchors_of(self, own: list[bytes], weight: float) -> set[bytes]:
+        """A template's rarest words, until the others alone can't carry LEAST_SHARE: an alignment that does has one of them."""
+        out, rest = set(), weight
+        for w in sorted(set(own), key=lambda w: (-self.idf[w], w)):
+            if rest < LEAST_SHARE * weight * (1 - 1e-9):
+                break
+            out.add(w)
+            rest -= self.idf[w] * own.count(w)
+        return out
+
     def places(self, text: list[bytes], phrase: list[bytes], low: int = 0, high: int | None = None) -> list[int]:
         """Starts of a phrase in text[low:high], looked up by its rarest word."""
         k = max(range(len(phrase)), key=lambda i: self.idf.get(phrase[i], 0))
@@ -92,14 +104,14 @@ class RareWordIndex:
         possible = {i for i, phrase in enumerate(self.phrases) if present.issuperset(phrase)}
         if not possible:
             return sorted(found), base, labels, best
-        anchors = sorted(present, key=lambda w: (-self.idf[w], w))[:ANCHORS]
-        wanted = set(anchors)
-        votes: Counter[tuple[int, int]] = Counter()
+        wanted: dict[bytes, list[tuple[int, int]]] = {}
+        for i in possible:
+            for w in self.anchors[i] & present:
+                wanted.setdefault(w, []).extend(x for x in self.postings[w] if x[0] == i)
+        votes: set[tuple[int, int]] = set()
         for at, w in enumerate(text):
             if w in wanted:
-                for template, place in self.postings[w]:
-                    if template in possible:
-                        votes[template, at - place] += 1
+                votes.update((template, at - place) for template, place in wanted[w])
         for template, shift in votes:
             own = self.sizes[template]
             share = sum(self.idf[w] for i, w in enumerate(own) if 0 <= shift + i < len(text) and text[shift + i] == w) / self.weights[template]
@@ -142,9 +154,10 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of docs (doc_id, text).
 
     Words as in benchmark search. One pass counts, over all documents, in how many each licence word stands
-    (the vocabulary is fixed, so these counts are bounded); another looks up each file's ANCHORS rarest licence
-    words, aligns templates by relative position, and takes a template whose aligned words carry LEAST_SHARE of
-    its inverse document frequencies, if its key phrase stands near. Base phrases are looked up by their
+    (the vocabulary is fixed, so these counts are bounded); another looks up, for each template whose key
+    phrase a file may hold, the template's rarest words, aligns it by relative position, and takes it if its
+    aligned words carry LEAST_SHARE of its inverse document frequencies and its key phrase stands near. Rarest
+    words are as many as leave less than LEAST_SHARE to the others, so no such alignment is left out. Base phrases are looked up by their
     rarest word; their places are all counted, and their labels have score 1.
 
     Null texts have no words: no labels, score 0, null places. Repeated rows are scanned each; an empty table
