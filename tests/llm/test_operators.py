@@ -339,3 +339,27 @@ def test_main_text_of_pages(spark):
     assert [got[i].text for i in (1, 2, 3)] == ["", "", ""]
     assert got[4].text == ("A long paragraph of the story. " * 5).strip() + " Short end."
     assert got[5].text == "just text" and got[6].text == "cut" and got[None].text == "x"
+
+
+STORY = "<h1>Head</h1><p>" + "A long paragraph of the story. " * 5 + "</p>"
+TOLD = "Head " + ("A long paragraph of the story. " * 5).strip()
+CARDS = "<article><p>Another story, in short.</p></article>"
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "content-with-sidebar", "post comments-open", "page nav-fixed", "no-ads", "layout--with-sidebar", "promo-layout", "sidebar", "page banner"])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_wrappers_named_like_noise_keep_their_article(name, tag):
+    page = f"<body><nav>Menu</nav><div class='{name}'><{tag}>{STORY}</{tag}><div class='sidebar'>A list of other things to read</div></div><footer>foot</footer></body>"
+    assert html_text.main_text(page) == TOLD
+    assert html_text.main_text(f"<form id='f'><div id='{name}'><section class='{name}'>{page}</section></div></form>") == TOLD
+
+
+@pytest.mark.parametrize("noise", [f"<div class='related'>{CARDS}</div>", f"<aside>{CARDS}</aside>", f"<div class='comments'><article class='comment'>{STORY * 3}</article></div>", f"<div hidden>{STORY * 3}{CARDS}</div>", "<div class='cookie-overlay'><h1>Your privacy</h1><p>We use cookies.</p></div>"])
+def test_articles_in_noise_stay_out(noise):
+    assert html_text.main_text(f"<body><article>{STORY}</article>{noise}</body>") == TOLD
+    assert html_text.main_text(f"<body><article>{STORY}{noise}</article></body>") == TOLD
+
+
+def test_cards_in_noise_dont_displace_a_story_without_article():
+    page = f"<body><div class='story'>{STORY}</div><div class='related'>{CARDS}</div></body>"
+    assert html_text.main_text(page) == TOLD

@@ -22,36 +22,65 @@ _BLOCK = set("address article aside blockquote body br caption center dd details
 _MAIN = {"article", "main"}
 _CLOSED_BY = {"p": _BLOCK - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 _NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|side-?bar\w*|widget\w*|footer\w*|masthead|cookie\w*|consent|notice\w*|gdpr|newsletter|subscribe\w*|sign-?up|popup|modal|overlay|share\w*|social\w*|related\w*|recommend\w*|comments?|comment-?\w*|disqus\w*|respond|replies|pagination|pager|copyright|legal|disclaimer|skip-link|toolbar|login)(?=$|[\s_-])", re.I)
+#: Class words that say what a block has or how it stands, not what it is.
+_QUALIFIER = re.compile(r"(?:^|(?<=[\s_-]))(?:has|have|with|without|no|not)[_-]+\S*|\S+[_-](?:open|opened|closed|fixed|enabled|disabled)(?!\S)", re.I)
 _NOISE_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog", "toolbar"}
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _is_noise(tag: str, attributes: str) -> bool:
-    if tag in _DROPPED:
-        return True
+class _Noise:
+    """An element taken as noise, and the one around it. By its name alone it may be the wrapper of what the page is about."""
+
+    __slots__ = ("by_name", "holds", "outer")
+
+    def __init__(self, by_name: bool, outer: _Noise | None):
+        self.by_name, self.holds, self.outer = by_name, False, outer
+
+
+PLAIN, WRAPPED, NOISE = 0, 1, 2
+
+
+def _level(noise: _Noise | None) -> int:
+    """PLAIN outside noise, WRAPPED if every noise around is a wrapper that holds an article, main or h1 element."""
+    out = PLAIN
+    while noise:
+        if not noise.holds:
+            return NOISE
+        out, noise = WRAPPED, noise.outer
+    return out
+
+
+def _named_noise(attributes: str) -> bool:
+    return any(name.lower() in ("id", "class") and _NOISE.search(_QUALIFIER.sub(" ", value.strip("\"'"))) for name, value in _HINTS.findall(attributes))
+
+
+def _noise_of(tag: str, attributes: str) -> str:
+    """What makes an element noise: "" if nothing, "name" for its class or id (or a form, which may be around a whole page), "kind" for all else."""
+    if tag in _DROPPED and tag != "form":
+        return "kind"
     if not attributes.strip() or tag in {"html", "body", *_MAIN}:
-        return False
+        return "name" if tag == "form" else ""
     for name, value in _HINTS.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN_STYLE.search(value)) or (name == "role" and value.lower() in _NOISE_ROLE) or (name in ("id", "class") and _NOISE.search(value)):
-            return True
-    return False
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN_STYLE.search(value)) or (name == "role" and value.lower() in _NOISE_ROLE):
+            return "kind"
+    return "name" if tag == "form" or _named_noise(attributes) else ""
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters in links, noise, inside an article or main element) for each block of text in page order.
+def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
+    """(text, characters in links, PLAIN, WRAPPED or NOISE, inside an article or main element) for each block of text in page order.
 
     Scripts, styles and comments go; an end tag closes the elements opened since its start tag, and is
     ignored without one. Unclosed elements end with the page."""
-    out: list[tuple[str, int, bool, bool]] = []
+    out: list[tuple[str, int, _Noise | None, bool]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, noise, main, link
+    stack: list[tuple[str, _Noise | None, bool, bool]] = []  # tag, noise, main, link
     linked = at = 0
 
     def flush() -> None:
         nonlocal linked
         if parts and (text := " ".join(html.unescape("".join(parts)).split())):
-            out.append((text, linked, bool(stack and stack[-1][1]), bool(stack and stack[-1][2])))
+            out.append((text, linked, stack[-1][1] if stack else None, bool(stack and stack[-1][2])))
         parts.clear()
         linked = 0
 
@@ -78,7 +107,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         if m[1]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    if any(s[1] != stack[i][1] for s in stack[i:]) or (i and stack[i - 1][1] != stack[-1][1]) or stack[-1][2] != (i > 0 and stack[i - 1][2]):
+                    if any(s[1] is not stack[i][1] for s in stack[i:]) or (i and stack[i - 1][1] is not stack[-1][1]) or stack[-1][2] != (i > 0 and stack[i - 1][2]):
                         flush()
                     del stack[i:]
                     break
@@ -91,25 +120,42 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
             continue
         while stack and tag in _CLOSED_BY.get(stack[-1][0], ()):
             stack.pop()
-        top = stack[-1] if stack else ("", False, False, False)
-        noise = top[1] or (_is_noise(tag, m[3]) and not (tag == "header" and top[2]))
-        if noise and not top[1]:
+        top = stack[-1] if stack else ("", None, False, False)
+        noise, kind = top[1], _noise_of(tag, m[3])
+        if kind and not (tag == "header" and top[2]):
             flush()
+            # Inside an article that is no noise itself, articles are comments and cards: nothing there wraps the page's own.
+            noise = _Noise(kind == "name" and not (top[2] and any(s[0] == "article" and s[1] is None for s in stack)), top[1])
+        elif noise and tag in _MAIN and _named_noise(m[3]):
+            noise = _Noise(False, noise)
+        elif noise and (tag in _MAIN or tag == "h1"):
+            while noise and noise.by_name:
+                noise.holds, noise = True, noise.outer
+            noise = top[1]
         if not m[3].endswith("/") or tag in _BLOCK:
             stack.append((tag, noise, top[2] or tag in _MAIN, top[3] or tag == "a"))
     flush()
-    return out
+    return [(text, linked, _level(noise), main) for text, linked, noise, main in out]
 
 
 def main_text(page: str | None) -> str:
     """The kept lines of a page, joined by one space.
 
-    Noise lines, and lines that are mostly links outside an article element, have length 0. If an article or
-    main element holds text, lines outside of one have length 0 too. Lengths are summed over BLOCK_LINES
+    Noise lines, and lines that are mostly links outside an article element, have length 0. Blocks that are noise
+    by their class or id only (or forms), but hold an article or main element that isn't, or an h1, are wrappers:
+    if what such blocks hold (in articles, or else at all) is more than what the page has outside of noise (in
+    articles, or else at all), they are no noise. If an article or main element holds text, lines outside of one have length 0 too. Lengths are summed over BLOCK_LINES
     lines; text surges where a sum reaches SURGE_CHARS and reaches back to the first line of its block with
     text, and dives where a sum is 0 again. Every line with text between surge and dive stays. A page whose
     sums never surge keeps all lines with text from the first to the last."""
-    lines = lines_of(page or "")
+    found = lines_of(page or "")
+
+    def mass(at: int) -> int:
+        own = [(len(text) - linked, main) for text, linked, level, main in found if level == at]
+        return sum(n for n, main in own if main) or sum(n for n, _ in own)
+
+    least = NOISE if mass(WRAPPED) > mass(PLAIN) else WRAPPED
+    lines = [(text, linked, level >= least, main) for text, linked, level, main in found]
     inside = any(main and not noise for _, _, noise, main in lines)
     size = np.array([0 if noise or (inside and not main) or (not inside and 2 * linked > len(text)) else len(text) for text, linked, noise, main in lines], np.int64)
     if not size.any():
