@@ -218,6 +218,32 @@ def test_nearest_recall_ties_and_small_tables(spark):
     assert nearest.nearest(frame(same[:1])).count() == 0
 
 
+def vector_frame(spark, rows):
+    return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+
+
+def brute_distinct(rows, every, k):
+    """Best cosine of each (query, id) over vectors of one length, then the k best ids."""
+    best = {}
+    for q, v in rows:
+        for i, u in rows:
+            if q % every == 0 and i != q and len(u) == len(v):
+                score = float(np.dot(v, u) / (np.sqrt(np.dot(v, v)) * np.sqrt(np.dot(u, u))))
+                best.setdefault(q, {})[i] = max(score, best.get(q, {}).get(i, -2.0))
+    return {q: sorted(of, key=lambda i: (-of[i], i))[:k] for q, of in best.items()}
+
+
+@pytest.mark.parametrize("copies", [True, False])
+def test_nearest_counts_a_hot_id_once(spark, copies):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=6)) for i in range(120)]
+    rows += [(7, rows[0][1] + (0.1 if copies else rng.uniform(0, 0.3, 6))) for _ in range(60)]
+    got = {}
+    for r in sorted(nearest.nearest(vector_frame(spark, rows)).collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == brute_distinct(rows, 50, 5) and got[0][0] == 7 and len(got[0]) == 5
+
+
 def test_every_vector_lies_where_its_own_probe_begins():
     index = nearest.PStableIndex.make(8)
     unit = np.eye(8)

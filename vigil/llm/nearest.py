@@ -95,11 +95,14 @@ def _search(shared, k: int, exact: bool):
             q = np.concatenate([q, np.repeat(hit, k)])
             ids = np.concatenate([ids, best_id[hit].ravel()])
             score = np.concatenate([score, best_score[hit].ravel()])
-            order = np.lexsort((ids, -score, q))
+            # The best score of each id, then the best ids of each query.
+            order = np.lexsort((-score, ids, q))
             q, ids, score = q[order], ids[order], score[order]
             again = np.zeros(len(q), bool)
             again[1:] = (q[1:] == q[:-1]) & (ids[1:] == ids[:-1]) & np.isfinite(score[1:])
             q, ids, score = q[~again], ids[~again], score[~again]
+            order = np.lexsort((ids, -score, q))
+            q, ids, score = q[order], ids[order], score[order]
             start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
             place = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
             top = place < k
@@ -109,8 +112,12 @@ def _search(shared, k: int, exact: bool):
             for at in range(0, len(pdf), ROWS):
                 part = pdf.iloc[at : at + ROWS]
                 ids, vectors = part["vec_id"].to_numpy(np.int64), np.stack(part["embedding"]).astype(np.float64)
+                if len(np.unique(ids)) < len(ids):
+                    once = list({(i, v.tobytes()): at for at, (i, v) in enumerate(zip(ids.tolist(), vectors, strict=True))}.values())
+                    once.sort(key=ids.__getitem__)
+                    ids, vectors = ids[once], vectors[once]
                 unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-                candidate = np.full((len(queries), len(part)), exact)
+                candidate = np.full((len(queries), len(ids)), exact)
                 for t, (keys, owners) in enumerate(visited):
                     own = index.keys(index.places(unit, t), t)
                     order = np.argsort(own, kind="stable")
@@ -120,8 +127,13 @@ def _search(shared, k: int, exact: bool):
                         candidate[np.ix_(owners[low[b] : high[b]], order[start[b] : start[b + 1] if b + 1 < len(start) else None])] = True
                 candidate &= query_ids[:, None] != ids[None, :]
                 near = np.where(candidate, unit_queries @ unit.T, -np.inf)
-                # What can be among the k best, with room for rounding; only these are measured exactly and ranked.
-                least = np.partition(near, -k, axis=1)[:, -k] if len(part) > k else np.full(len(queries), -np.inf)
+                # What can be among the k best ids, with room for rounding; only these are measured exactly and ranked.
+                of_id = near
+                if len(np.unique(ids)) < len(ids):
+                    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+                    of_id = np.maximum.reduceat(near, first, axis=1)
+                    candidate &= near >= np.repeat(of_id, np.diff(np.r_[first, len(ids)]), axis=1) - 1e-9
+                least = np.partition(of_id, -k, axis=1)[:, -k] if of_id.shape[1] > k else np.full(len(queries), -np.inf)
                 q, r = np.nonzero(candidate & (near >= np.maximum(least, best_score[:, -1])[:, None] - 1e-9))
                 for i in range(0, len(q), PAIRS):
                     of, rows = q[i : i + PAIRS], r[i : i + PAIRS]
