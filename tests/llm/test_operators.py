@@ -244,6 +244,15 @@ def test_nearest_counts_a_hot_id_once(spark, copies):
     assert got == brute_distinct(rows, 50, 5) and got[0][0] == 7 and len(got[0]) == 5
 
 
+def test_nearest_takes_vectors_of_every_length(spark):
+    rng = np.random.default_rng(10)
+    rows = [(i, rng.normal(size=6)) for i in range(120)] + [(200 + i, rng.normal(size=4)) for i in range(9)] + [(301, rng.normal(size=7)), (50, rng.normal(size=4))]
+    got = {}
+    for r in sorted(nearest.nearest(vector_frame(spark, rows)).collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == brute_distinct(rows, 50, 5) and set(got) == {0, 50, 100, 200}
+
+
 def test_every_vector_lies_where_its_own_probe_begins():
     index = nearest.PStableIndex.make(8)
     unit = np.eye(8)

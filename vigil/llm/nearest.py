@@ -71,75 +71,91 @@ def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
+def _searcher(query_ids: np.ndarray, queries: np.ndarray, k: int, exact: bool):
+    """(add, best): add takes vectors of the queries' length in, best gives the k best ids of each query so far."""
+    unit_queries = queries / np.linalg.norm(queries, axis=1, keepdims=True)
+    index = PStableIndex.make(queries.shape[1])
+    sets = probe_sets(PROJECTIONS, PROBES)
+    visited = []
+    for t in range(TABLES if not exact else 0):
+        probes = index.probes(unit_queries, t, sets)
+        flat = probes.ravel()
+        order = np.argsort(flat, kind="stable")
+        visited.append((flat[order], order // probes.shape[1]))
+    best_score = np.full((len(queries), k), -np.inf)
+    best_id = np.full((len(queries), k), np.iinfo(np.int64).max)
+
+    def merge(q: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        keep = score >= best_score[q, -1]
+        q, ids, score = q[keep], ids[keep], score[keep]
+        if not len(q):
+            return
+        hit = np.unique(q)
+        q = np.concatenate([q, np.repeat(hit, k)])
+        ids = np.concatenate([ids, best_id[hit].ravel()])
+        score = np.concatenate([score, best_score[hit].ravel()])
+        # The best score of each id, then the best ids of each query.
+        order = np.lexsort((-score, ids, q))
+        q, ids, score = q[order], ids[order], score[order]
+        again = np.zeros(len(q), bool)
+        again[1:] = (q[1:] == q[:-1]) & (ids[1:] == ids[:-1]) & np.isfinite(score[1:])
+        q, ids, score = q[~again], ids[~again], score[~again]
+        order = np.lexsort((ids, -score, q))
+        q, ids, score = q[order], ids[order], score[order]
+        start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+        place = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
+        top = place < k
+        best_score[q[top], place[top]], best_id[q[top], place[top]] = score[top], ids[top]
+
+    def add(pdf: pd.DataFrame) -> None:
+        for at in range(0, len(pdf), ROWS):
+            part = pdf.iloc[at : at + ROWS]
+            ids, vectors = part["vec_id"].to_numpy(np.int64), np.stack(part["embedding"]).astype(np.float64)
+            if len(np.unique(ids)) < len(ids):
+                once = list({(i, v.tobytes()): at for at, (i, v) in enumerate(zip(ids.tolist(), vectors, strict=True))}.values())
+                once.sort(key=ids.__getitem__)
+                ids, vectors = ids[once], vectors[once]
+            unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+            candidate = np.full((len(queries), len(ids)), exact)
+            for t, (keys, owners) in enumerate(visited):
+                own = index.keys(index.places(unit, t), t)
+                order = np.argsort(own, kind="stable")
+                start = np.flatnonzero(np.r_[True, np.diff(own[order]) != 0])
+                low, high = np.searchsorted(keys, own[order[start]]), np.searchsorted(keys, own[order[start]], side="right")
+                for b in np.flatnonzero(low < high):
+                    candidate[np.ix_(owners[low[b] : high[b]], order[start[b] : start[b + 1] if b + 1 < len(start) else None])] = True
+            candidate &= query_ids[:, None] != ids[None, :]
+            near = np.where(candidate, unit_queries @ unit.T, -np.inf)
+            # What can be among the k best ids, with room for rounding; only these are measured exactly and ranked.
+            of_id = near
+            if len(np.unique(ids)) < len(ids):
+                first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+                of_id = np.maximum.reduceat(near, first, axis=1)
+                candidate &= near >= np.repeat(of_id, np.diff(np.r_[first, len(ids)]), axis=1) - 1e-9
+            least = np.partition(of_id, -k, axis=1)[:, -k] if of_id.shape[1] > k else np.full(len(queries), -np.inf)
+            q, r = np.nonzero(candidate & (near >= np.maximum(least, best_score[:, -1])[:, None] - 1e-9))
+            for i in range(0, len(q), PAIRS):
+                of, rows = q[i : i + PAIRS], r[i : i + PAIRS]
+                merge(of, ids[rows], _cosine(queries[of], vectors[rows]))
+
+    def best() -> pd.DataFrame:
+        q, place = np.nonzero(np.isfinite(best_score))
+        return pd.DataFrame({"query_id": query_ids[q], "vec_id": best_id[q, place], "score": best_score[q, place]})
+
+    return add, best
+
+
 def _search(shared, k: int, exact: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, queries = shared.value
-        unit_queries = queries / np.linalg.norm(queries, axis=1, keepdims=True)
-        index = PStableIndex.make(queries.shape[1])
-        sets = probe_sets(PROJECTIONS, PROBES)
-        visited = []
-        for t in range(TABLES if not exact else 0):
-            probes = index.probes(unit_queries, t, sets)
-            flat = probes.ravel()
-            order = np.argsort(flat, kind="stable")
-            visited.append((flat[order], order // probes.shape[1]))
-        best_score = np.full((len(queries), k), -np.inf)
-        best_id = np.full((len(queries), k), np.iinfo(np.int64).max)
-
-        def merge(q: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
-            keep = score >= best_score[q, -1]
-            q, ids, score = q[keep], ids[keep], score[keep]
-            if not len(q):
-                return
-            hit = np.unique(q)
-            q = np.concatenate([q, np.repeat(hit, k)])
-            ids = np.concatenate([ids, best_id[hit].ravel()])
-            score = np.concatenate([score, best_score[hit].ravel()])
-            # The best score of each id, then the best ids of each query.
-            order = np.lexsort((-score, ids, q))
-            q, ids, score = q[order], ids[order], score[order]
-            again = np.zeros(len(q), bool)
-            again[1:] = (q[1:] == q[:-1]) & (ids[1:] == ids[:-1]) & np.isfinite(score[1:])
-            q, ids, score = q[~again], ids[~again], score[~again]
-            order = np.lexsort((ids, -score, q))
-            q, ids, score = q[order], ids[order], score[order]
-            start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
-            place = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
-            top = place < k
-            best_score[q[top], place[top]], best_id[q[top], place[top]] = score[top], ids[top]
-
+        searchers = {}
         for pdf in batches:
-            for at in range(0, len(pdf), ROWS):
-                part = pdf.iloc[at : at + ROWS]
-                ids, vectors = part["vec_id"].to_numpy(np.int64), np.stack(part["embedding"]).astype(np.float64)
-                if len(np.unique(ids)) < len(ids):
-                    once = list({(i, v.tobytes()): at for at, (i, v) in enumerate(zip(ids.tolist(), vectors, strict=True))}.values())
-                    once.sort(key=ids.__getitem__)
-                    ids, vectors = ids[once], vectors[once]
-                unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-                candidate = np.full((len(queries), len(ids)), exact)
-                for t, (keys, owners) in enumerate(visited):
-                    own = index.keys(index.places(unit, t), t)
-                    order = np.argsort(own, kind="stable")
-                    start = np.flatnonzero(np.r_[True, np.diff(own[order]) != 0])
-                    low, high = np.searchsorted(keys, own[order[start]]), np.searchsorted(keys, own[order[start]], side="right")
-                    for b in np.flatnonzero(low < high):
-                        candidate[np.ix_(owners[low[b] : high[b]], order[start[b] : start[b + 1] if b + 1 < len(start) else None])] = True
-                candidate &= query_ids[:, None] != ids[None, :]
-                near = np.where(candidate, unit_queries @ unit.T, -np.inf)
-                # What can be among the k best ids, with room for rounding; only these are measured exactly and ranked.
-                of_id = near
-                if len(np.unique(ids)) < len(ids):
-                    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-                    of_id = np.maximum.reduceat(near, first, axis=1)
-                    candidate &= near >= np.repeat(of_id, np.diff(np.r_[first, len(ids)]), axis=1) - 1e-9
-                least = np.partition(of_id, -k, axis=1)[:, -k] if of_id.shape[1] > k else np.full(len(queries), -np.inf)
-                q, r = np.nonzero(candidate & (near >= np.maximum(least, best_score[:, -1])[:, None] - 1e-9))
-                for i in range(0, len(q), PAIRS):
-                    of, rows = q[i : i + PAIRS], r[i : i + PAIRS]
-                    merge(of, ids[rows], _cosine(queries[of], vectors[rows]))
-        q, place = np.nonzero(np.isfinite(best_score))
-        yield pd.DataFrame({"query_id": query_ids[q], "vec_id": best_id[q, place], "score": best_score[q, place]})
+            for size, part in pdf.groupby(pdf["embedding"].map(len)):
+                if size in shared.value:
+                    if size not in searchers:
+                        searchers[size] = _searcher(*shared.value[size], k, exact)
+                    searchers[size][0](part)
+        for _, best in searchers.values():
+            yield best()
 
     return run
 
@@ -153,16 +169,15 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     best of each query, and only these are shuffled. Candidates' cosines are taken in double precision on the
     original vectors. A query whose probes found fewer than k rows is then compared with all rows.
 
-    Rows without vec_id, null, empty or zero vectors, and those with null or non-finite components or of
-    another length than the longest, take no part. Ties go to the smaller vec_id; repeated rows of one vec_id
-    count as one row (their best cosine). With no queries, or no other row, there are no results."""
+    Rows without vec_id, null, empty or zero vectors, and those with null or non-finite components take no part.
+    Vectors are compared with those of their own length, whatever lengths there are, in the same pass. Ties go
+    to the smaller vec_id; repeated rows of one vec_id count as one row (their best cosine). With no queries, or no other row, there are no results."""
     spark = vectors.sparkSession
     e = F.col("embedding").cast("array<double>")
     fine = F.coalesce(F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding")).where(F.col("vec_id").isNotNull() & fine)
-    size = rows.agg(F.max(F.size("embedding"))).head()[0] or 0
-    rows = rows.where(F.size("embedding") == size)
-    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"])
+    # A query for each length of its vectors.
+    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).withColumn("size", F.size("embedding")).dropDuplicates(["vec_id", "size"])
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     schema = "query_id long, vec_id long, score double"
 
@@ -171,7 +186,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
         for b in range(blocks):
             block = wanted.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
             if block:
-                shared = spark.sparkContext.broadcast((np.array([r.vec_id for r in block], np.int64), np.array([r.embedding for r in block], np.float64)))
+                sizes = {size: [r for r in block if r.size == size] for size in {r.size for r in block}}
+                shared = spark.sparkContext.broadcast({size: (np.array([r.vec_id for r in own], np.int64), np.array([r.embedding for r in own], np.float64)) for size, own in sizes.items()})
                 out = out.union(rows.mapInPandas(_search(shared, k, exact), schema))
         by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         best = out.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
@@ -179,7 +195,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
 
     found = staged(passes(queries, False))
     short = queries.join(found.groupBy("query_id").count().where(F.col("count") >= k), F.col("query_id") == F.col("vec_id"), "left_anti")
-    short = short.select("vec_id", "embedding")
+    short = short.select("vec_id", "embedding", "size")
     if short.isEmpty():
         return found
-    return found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").select(found.columns).union(passes(short, True))
+    return found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").select(found.columns).union(passes(short, True))
