@@ -320,6 +320,26 @@ def test_secrets_equal_brute_force_and_random_tokens_are_found(spark):
     assert got[5].spans == "random:4:64" and got[6].n_random == 0
 
 
+@pytest.mark.parametrize("alphabet", ["ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"])
+def test_short_tokens_are_found_among_many_identifiers(spark, alphabet):
+    rng = random.Random(12)
+    names = "get set request response element window document manager factory user account payment customer order status number column table index version value default abstract simple private global network connection message handler service listener update remove create internal external quality query object xml json http key value size example".split()
+
+    def identifier():
+        w, n = [], rng.randrange(20, 33)
+        while sum(map(len, w)) < n:
+            w.append(rng.choice(names))
+        out = rng.choice(["".join(map(str.capitalize, w)), "".join(map(str.upper, w)), "_".join(w), "/".join(w)])
+        return out + str(rng.randrange(1, 100))
+
+    tokens = ["".join(rng.choice(alphabet) for _ in range(n)) for n in (20, 24, 27, 32) for _ in range(25)]
+    tokens = [t for t in tokens if any(c.isdigit() for c in t)]
+    texts = [f"see {t} there" for t in tokens + [identifier() for _ in range(2000)]]
+    found = [r.n_random for r in secrets.find_secrets(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    assert sum(found[: len(tokens)]) >= 0.85 * len(tokens)
+    assert sum(found[len(tokens) :]) <= 0.02 * sum(found)
+
+
 def test_license_places_and_labels(spark):
     texts = ["Released under the MIT License. mit-license", "apache license apache license", None, "", "nothing here", "GNU General\nPublic License", "Licensed under CC BY-NC 4.0.", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software"]
     got = {r.doc_id: r for r in licenses.scan_licenses(docs_of(spark, texts)).collect()}

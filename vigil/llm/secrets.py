@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,8 +19,12 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 KINDS = ("assign", "access", "hex", "random")
 #: Alphabets of the encodings, in the order in which they are tried, and the share of a natural text's letters they hold.
 ENCODINGS = (("hex", "0123456789abcdef", 0.4), ("HEX", "0123456789ABCDEF", 0.4), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 1.0), ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 1.0), ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=", 1.0), ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_=", 1.0))
-#: Two letters of natural text are equal with this probability; a test beyond this z rejects randomness; share of false discoveries.
-COINCIDENCE, REJECT_Z, FALSE_SHARE = 0.065, 3.3, 0.01
+#: Shares of a to z in natural text in parts of ten thousand, and the part of it that is taken as even.
+LETTERS, EVEN = (820, 150, 280, 430, 1270, 220, 200, 610, 700, 15, 77, 400, 240, 670, 750, 190, 10, 600, 630, 910, 280, 98, 240, 15, 200, 7), 0.02
+#: Neighbours of natural text that differ in case or kind, with one case and with both, and its lag-one correlation of letter values.
+CHANGES, BOTH_CASES, SERIAL = 0.05, 0.3, 0.4
+#: A test beyond this z rejects randomness; share of false discoveries.
+REJECT_Z, FALSE_SHARE = 3.3, 0.01
 #: Candidates of like length are judged together; p-values are kept in steps of a tenth of a decade.
 LENGTH_BINS, P_STEPS = (28, 40, 64, 128), 400
 
@@ -48,12 +54,17 @@ def _normal_cdf(z: Column) -> Column:
 
 
 def randomness(found: DataFrame, value: str = "value") -> DataFrame:
-    """found with encoding, z_uniform, z_runs, z_serial and p: how likely natural text of that length looks so even.
+    """found with encoding, z_uniform, z_runs, z_serial, p of each and p: how likely natural text of that length looks so even.
 
     The encoding is the first whose alphabet holds all characters. z_uniform is the chi-squared statistic of
     its alphabet against its mean under randomness, z_runs counts runs above and below the alphabet's middle,
-    z_serial is the lag-one correlation of letter values. p is the chance that two letters of natural text
-    coincide so seldom; for hexadecimal text, that so many letters come from its alphabet."""
+    z_serial is the lag-one correlation of letter values.
+
+    p combines what the three tests say against natural text. For the letters' frequencies it is the inverse of
+    how much likelier even letters are (by Markov's inequality natural text gets below it that seldom), and for
+    hexadecimal text the chance that so many letters come from its alphabet. For runs of one case or kind it is
+    Chernoff's bound of so many changes, for the serial test the normal tail. The last two depend on each other,
+    so twice the less counts; with the first, which asks for letters whatever their order, by Fisher's method."""
     v = F.col(value)
     encoding = F.coalesce(*(F.when(v.rlike("^[" + a.replace("-", r"\-") + "]+$"), F.lit(name)) for name, a, _ in ENCODINGS))
     pick = lambda f: F.coalesce(*(F.when(F.col("encoding") == name, f(a, share)) for name, a, share in ENCODINGS))
@@ -71,11 +82,16 @@ def randomness(found: DataFrame, value: str = "value") -> DataFrame:
     mean = 2 * low * high / n + 1
     deviation = F.sqrt(F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9)))
     serial = F.aggregate("pairs", F.lit(0.0), lambda a, p: a + (p["a"] - (F.col("size") - 1) / 2) * (p["b"] - (F.col("size") - 1) / 2)) / ((size * size - 1) / 12) / F.sqrt(n - 1)
-    coincide = (F.col("squares") - n) / (n * (n - 1))
-    spread = F.sqrt(F.lit(2 * COINCIDENCE * (1 - COINCIDENCE)) / (n * (n - 1)))
-    p = F.least(_normal_cdf((coincide - COINCIDENCE) / spread), F.lit(1.0))
+    even = F.array(*(F.lit(-math.log(26 * ((1 - EVEN) * c / sum(LETTERS) + EVEN / 26))) for c in LETTERS))
+    gain = F.aggregate("letters", F.lit(0.0), lambda a, x: a + F.coalesce(F.get(even, F.ascii(F.lower(x)) - ord("a")), F.lit(0.0)))
     hexadecimal = pick(lambda _, share: F.lit(share))
-    out = out.withColumns({"z_uniform": (size * F.col("squares") / n - n - (size - 1)) / F.sqrt(2 * (size - 1) * (n - 1) / n), "z_runs": (runs - mean) / deviation, "z_serial": serial, "p": F.when(hexadecimal < 1, F.pow(hexadecimal, n)).otherwise(p)})
+    natural = pick(lambda a, _: F.lit(BOTH_CASES if "A" in a and "a" in a else CHANGES))
+    share = F.least((F.regexp_count(v, F.lit("[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+")) - 1) / (n - 1), F.lit(1 - 1e-9))
+    divergence = share * F.log(F.greatest(share, F.lit(1e-9)) / natural) + (1 - share) * F.log((1 - share) / (1 - natural))
+    out = out.withColumns({"z_uniform": (size * F.col("squares") / n - n - (size - 1)) / F.sqrt(2 * (size - 1) * (n - 1) / n), "z_runs": (runs - mean) / deviation, "z_serial": serial})
+    out = out.withColumns({"p_uniform": F.when(hexadecimal < 1, F.pow(hexadecimal, n)).otherwise(F.least(F.exp(-gain), F.lit(1.0))), "p_runs": F.when(share > natural, F.exp((1 - n) * divergence)).otherwise(1.0), "p_serial": F.least(_normal_cdf(F.col("z_serial") - SERIAL * F.sqrt(n - 1)), F.lit(1.0))})
+    both = F.greatest(F.col("p_uniform") * F.least(2 * F.least("p_runs", "p_serial"), F.lit(1.0)), F.lit(1e-300))
+    out = out.withColumn("p", F.least(both * (1 - F.log(both)), F.lit(1.0)))
     return out.drop("letters", "size", "at", "squares", "pairs", "high")
 
 
