@@ -302,6 +302,14 @@ def test_line_dedup_equals_brute_force(spark):
     assert got == brute_lines(docs)
 
 
+@pytest.mark.parametrize("end", ["\r", "\t", " \t\r", "\f", "\x0b"])
+def test_lines_match_whatever_white_space_is_around(spark, end):
+    lines = [" ".join(f"l{k}w{j}" for j in range(20)) for k in range(4)]
+    texts = ["\n".join(lines), "\n".join([*(end + x + end for x in lines), "own line"])]
+    got = {r.doc_id: r.text for r in drop_repeated_lines(docs_of(spark, texts)).collect()}
+    assert got == {0: texts[0], 1: "own line"}
+
+
 def test_secrets_equal_brute_force_and_random_tokens_are_found(spark):
     rng = random.Random(6)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"

@@ -10,6 +10,8 @@ from vigil.llm.common import row_key, staged
 
 #: Words of a fingerprint's lines at least, and of a passage that counts as repeated.
 GRAM_WORDS, PASSAGE_WORDS = 25, 50
+#: White space at the ends of a line, as in the test for words.
+BLANKS = " \t\x0b\f\r"
 #: Copies of each repeated hash, so that the places of a frequent one are dealt over so many tasks.
 SALTS = 16
 
@@ -24,7 +26,7 @@ def _first_reaching(weights: Column, least: int) -> Column:
 def lines_of(docs: DataFrame) -> DataFrame:
     """row, doc_id, at (number of the line in its text), i (number among lines with words), h (hash of the trimmed line), w (words)."""
     lines = docs.where("text is not null").select("doc_id", row_key().alias("row"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    lines = lines.select("doc_id", "row", "at", F.xxhash64(F.trim("line")).alias("h"), F.regexp_count("line", F.lit(r"\S+")).alias("w")).where("w > 0")
+    lines = lines.select("doc_id", "row", "at", F.xxhash64(F.btrim("line", F.lit(BLANKS))).alias("h"), F.regexp_count("line", F.lit(r"\S+")).alias("w")).where("w > 0")
     by = Window.partitionBy("row").orderBy("at")
     # Repeated rows have one key; one of each line stands for them all.
     return lines.groupBy("row", "at").agg(F.first("doc_id").alias("doc_id"), F.first("h").alias("h"), F.first("w").alias("w")).withColumn("i", F.row_number().over(by))
@@ -73,7 +75,7 @@ def repeated_runs(lines: DataFrame) -> DataFrame:
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs with every later repeat of a passage cut out of text, and n_chars renewed; its columns stay as they are.
 
-    A passage is a run of whole lines (trimmed; lines without words are passed over) of PASSAGE_WORDS words or
+    A passage is a run of whole lines (trimmed of white space; lines without words are passed over) of PASSAGE_WORDS words or
     more that stands at an earlier place, by doc_id and line. Passages whose winnowed fingerprint stands at one
     place only go at once; the others are joined with their first place and extended both ways while lines
     agree; those runs are deleted, with the blank lines in them. So no run of PASSAGE_WORDS words that came
