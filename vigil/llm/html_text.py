@@ -5,13 +5,17 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Lines in a sliding block, and the characters in a block from which text surges.
-BLOCK_LINES, SURGE_CHARS = 3, 60
+#: Lines in a sliding block, and the share of the page's greatest block sum at which text surges.
+BLOCK_LINES, SURGE_SHARE = 3, 0.1
+#: Characters of a line that count, what each line of an article element and an h1 count beyond them, what a line outside
+#: the page's article or named like noise keeps of its length, and the least sum at which lines named like noise surge.
+LINE_CHARS, ARTICLE_LINE, HEAD_LINE, OUTSIDE, NAMED, NAMED_LEAST = 200, 100, 60, 0.01, 0.02, 5.0
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
 _HINTS = re.compile(r"""\b(id|class|role|aria-hidden|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -21,58 +25,87 @@ _DROPPED = set("nav header footer aside form button select dialog menu head obje
 _BLOCK = set("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 _MAIN = {"article", "main"}
 _CLOSED_BY = {"p": _BLOCK - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-_NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|side-?bar\w*|widget\w*|footer\w*|masthead|cookie\w*|consent|notice\w*|gdpr|newsletter|subscribe\w*|sign-?up|popup|modal|overlay|share\w*|social\w*|related\w*|recommend\w*|comments?|comment-?\w*|disqus\w*|respond|replies|pagination|pager|copyright|legal|disclaimer|skip-link|toolbar|login)(?=$|[\s_-])", re.I)
+#: Names of noise, and words that only say which part of it a block is. A class or id is a name of noise if all its words
+#: are among these and one is a name: "share-bar" is, "share-price-table" isn't.
+_NAMES = set("ad ads adv advert adverts advertisement advertising adsense adbox adslot sponsor sponsored sponsors promo promos promoted promotion banner banners nav navbar navigation menu menus submenu breadcrumb breadcrumbs sidebar sidebars widget widgets footer masthead topbar cookie cookies consent notice notices gdpr newsletter newsletters subscribe subscription signup popup popups modal overlay share sharing social related recommended recommendation recommendations comment comments commentlist disqus respond reply replies pagination pager copyright disclaimer toolbar login".split())
+_PARTS = set("area article articles author avatar bar block body bottom box btn button buttons card cards col column container content count date desktop even first footer form google group header heading holder icon icons id inner item items js last layout left legal like link links list main media message meta mobile module more name news odd outer page panel policy popular post posts primary privacy reader reading right row secondary section side site skip slot small stories story tab text thread title tools top unit up user wrap wrapper".split())
+#: Names of readers' comments, which never wrap the page's own text; the singular ones may stand at an article of their own.
+_COMMENTS, _COMMENT = set("comment comments commentlist disqus respond reply replies".split()), {"comment", "reply"}
 #: Class words that say what a block has or how it stands, not what it is.
 _QUALIFIER = re.compile(r"(?:^|(?<=[\s_-]))(?:has|have|with|without|no|not)[_-]+\S*|\S+[_-](?:open|opened|closed|fixed|enabled|disabled)(?!\S)", re.I)
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _NOISE_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog", "toolbar"}
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Noise:
-    """An element taken as noise, and the one around it. By its name alone it may be the wrapper of what the page is about."""
+    """An element taken as noise, and the one around it: hard by its kind, or soft by its name alone. Soft ones may wrap what the page is about."""
 
-    __slots__ = ("by_name", "holds", "outer")
+    __slots__ = ("hard", "holds", "outer", "wraps")
 
-    def __init__(self, by_name: bool, outer: _Noise | None):
-        self.by_name, self.holds, self.outer = by_name, False, outer
+    def __init__(self, hard: bool, wraps: bool, outer: _Noise | None):
+        self.hard, self.wraps, self.holds, self.outer = hard, wraps, False, outer
 
 
-PLAIN, WRAPPED, NOISE = 0, 1, 2
+PLAIN, WRAPPED, SOFT, HARD = 0, 1, 2, 3
 
 
 def _level(noise: _Noise | None) -> int:
-    """PLAIN outside noise, WRAPPED if every noise around is a wrapper that holds an article, main or h1 element."""
+    """PLAIN outside noise, WRAPPED if every noise around holds an article, main or h1 element, HARD if one is noise by its kind."""
     out = PLAIN
     while noise:
-        if not noise.holds:
-            return NOISE
-        out, noise = WRAPPED, noise.outer
+        if noise.hard:
+            return HARD
+        out, noise = max(out, WRAPPED if noise.holds else SOFT), noise.outer
     return out
 
 
-def _named_noise(attributes: str) -> bool:
-    return any(name.lower() in ("id", "class") and _NOISE.search(_QUALIFIER.sub(" ", value.strip("\"'"))) for name, value in _HINTS.findall(attributes))
+def _named_noise(attributes: str, names: set[str] = _NAMES) -> bool:
+    """Whether a class or id is a name of noise, word by word."""
+    for name, value in _HINTS.findall(attributes):
+        if name.lower() in ("id", "class"):
+            for token in _QUALIFIER.sub(" ", value.strip("\"'")).split():
+                own = [w.lower() for w in _WORD.findall(token)]
+                if any(w in names for w in own) and all(w in _NAMES or w in _PARTS for w in own):
+                    return True
+    return False
 
 
 def _noise_of(tag: str, attributes: str) -> str:
-    """What makes an element noise: "" if nothing, "name" for its class or id (or a form, which may be around a whole page), "kind" for all else."""
+    """What makes an element noise: "" if nothing, "name" for its class or id (or a form, which may be around a whole page), "comment" for the name of a reader's comment, "kind" for all else.
+
+    An article or main element is noise by name only where it is a reader's comment."""
     if tag in _DROPPED and tag != "form":
         return "kind"
-    if not attributes.strip() or tag in {"html", "body", *_MAIN}:
+    if not attributes.strip() or tag in {"html", "body"}:
         return "name" if tag == "form" else ""
     for name, value in _HINTS.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN_STYLE.search(value)) or (name == "role" and value.lower() in _NOISE_ROLE):
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN_STYLE.search(value)) or (name == "role" and value.lower() in _NOISE_ROLE and tag not in _MAIN):
             return "kind"
+    if tag in _MAIN:
+        return "comment" if _named_noise(attributes, _COMMENT) else ""
+    if _named_noise(attributes, _COMMENTS):
+        return "comment"
     return "name" if tag == "form" or _named_noise(attributes) else ""
 
 
-def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
-    """(text, characters in links, PLAIN, WRAPPED or NOISE, inside an article or main element) for each block of text in page order.
+class Line(NamedTuple):
+    """A block of text, its characters in links, its level of noise, whether it is in an article or main element, and in an h1."""
+
+    text: str
+    linked: int
+    level: int
+    main: bool
+    head: bool
+
+
+def lines_of(page: str) -> list[Line]:
+    """The blocks of text of a page in their order.
 
     Scripts, styles and comments go; an end tag closes the elements opened since its start tag, and is
     ignored without one. Unclosed elements end with the page."""
-    out: list[tuple[str, int, _Noise | None, bool]] = []
+    out: list[tuple[str, int, _Noise | None, bool, bool]] = []
     parts: list[str] = []
     stack: list[tuple[str, _Noise | None, bool, bool]] = []  # tag, noise, main, link
     linked = at = 0
@@ -80,7 +113,7 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
     def flush() -> None:
         nonlocal linked
         if parts and (text := " ".join(html.unescape("".join(parts)).split())):
-            out.append((text, linked, stack[-1][1] if stack else None, bool(stack and stack[-1][2])))
+            out.append((text, linked, stack[-1][1] if stack else None, bool(stack and stack[-1][2]), any(x[0] == "h1" for x in stack)))
         parts.clear()
         linked = 0
 
@@ -125,56 +158,87 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
         if kind and not (tag == "header" and top[2]):
             flush()
             # Inside an article that is no noise itself, articles are comments and cards: nothing there wraps the page's own.
-            noise = _Noise(kind == "name" and not (top[2] and any(s[0] == "article" and s[1] is None for s in stack)), top[1])
+            noise = _Noise(kind == "kind", kind == "name" and not (top[2] and any(x[0] == "article" and x[1] is None for x in stack)), top[1])
         elif noise and tag in _MAIN and _named_noise(m[3]):
-            noise = _Noise(False, noise)
+            noise = _Noise(False, False, noise)
         elif noise and (tag in _MAIN or tag == "h1"):
-            while noise and noise.by_name:
+            while noise and noise.wraps:
                 noise.holds, noise = True, noise.outer
             noise = top[1]
         if not m[3].endswith("/") or tag in _BLOCK:
             stack.append((tag, noise, top[2] or tag in _MAIN, top[3] or tag == "a"))
     flush()
-    return [(text, linked, _level(noise), main) for text, linked, noise, main in out]
+    return [Line(text, linked, _level(noise), main, head) for text, linked, noise, main, head in out]
 
 
-def main_text(page: str | None) -> str:
-    """The kept lines of a page, joined by one space.
+def block_sums(weights: np.ndarray) -> np.ndarray:
+    """The sum over each line and the BLOCK_LINES - 1 lines that follow."""
+    padded = np.concatenate([weights, np.zeros(BLOCK_LINES - 1)])
+    return np.convolve(padded, np.ones(BLOCK_LINES), "valid")
+
+
+def surging(weights: np.ndarray, sums: np.ndarray, least: float) -> np.ndarray:
+    """Which lines stand between surge and dive. Where a sum reaches `least`, text surges, and reaches back to the first line of its
+    block with weight and to those before it whose sums aren't 0; it dives where a sum is 0, and loses lines without weight at its end."""
+    keep = np.zeros(len(weights), bool)
+    edges = np.flatnonzero(np.diff(np.r_[0, sums > 0, 0]))
+    for start, dive in zip(edges[::2], edges[1::2], strict=True):
+        if sums[start:dive].max() >= least:
+            own = np.flatnonzero(weights[start:dive])
+            keep[start + own[0] : start + own[-1] + 1] = True
+    return keep
+
+
+def weigh(lines: list[Line]) -> list[np.ndarray]:
+    """The weights of three streams of lines, each 0 where a line isn't of that stream: the page's own text, text outside its article,
+    and text in blocks named like noise.
 
-    Noise lines, and lines that are mostly links outside an article element, have length 0. Blocks that are noise
-    by their class or id only (or forms), but hold an article or main element that isn't, or an h1, are wrappers:
-    if what such blocks hold (in articles, or else at all) is more than what the page has outside of noise (in
-    articles, or else at all), they are no noise. If an article or main element holds text, lines outside of one have length 0 too. Lengths are summed over BLOCK_LINES
-    lines; text surges where a sum reaches SURGE_CHARS and reaches back to the first line of its block with
-    text, and dives where a sum is 0 again. Every line with text between surge and dive stays. A page whose
-    sums never surge keeps all lines with text from the first to the last."""
-    found = lines_of(page or "")
-
-    def mass(at: int) -> int:
-        own = [(len(text) - linked, main) for text, linked, level, main in found if level == at]
+    Tags, names and links only weigh a line; block sums over a stream choose. Own text counts up to LINE_CHARS without its links (not at all where four fifths are links),
+    in an article up to LINE_CHARS with its links and ARTICLE_LINE more. Wrappers that are named like noise, but hold an article,
+    main or h1 element, count as the page's own if they hold more text (in articles, or else at all) than the rest of the page."""
+
+    def unlinked(x: Line) -> int:
+        return len(x.text) - x.linked if 5 * x.linked < 4 * len(x.text) else 0
+
+    def mass(level: int) -> int:
+        own = [(unlinked(x), x.main) for x in lines if x.level == level]
         return sum(n for n, main in own if main) or sum(n for n, _ in own)
 
-    least = NOISE if mass(WRAPPED) > mass(PLAIN) else WRAPPED
-    lines = [(text, linked, level >= least, main) for text, linked, level, main in found]
-    inside = any(main and not noise for _, _, noise, main in lines)
-    size = np.array([0 if noise or (inside and not main) or (not inside and 2 * linked > len(text)) else len(text) for text, linked, noise, main in lines], np.int64)
-    if not size.any():
-        return ""
-    padded = np.concatenate([size, np.zeros(BLOCK_LINES, np.int64)])
-    sums = np.convolve(padded, np.ones(BLOCK_LINES, np.int64))[BLOCK_LINES - 1 :][: len(size) + 1]
-    keep = np.zeros(len(size), bool)
-    at = 0
-    while at < len(size):
-        if sums[at] == 0:
-            at += 1
+    plain = WRAPPED if mass(WRAPPED) > mass(PLAIN) else PLAIN
+    article = any(x.main and x.level <= plain for x in lines)
+    out = [np.zeros(len(lines)) for _ in range(3)]
+    for i, x in enumerate(lines):
+        if x.level == HARD:
             continue
-        dive = at + int(np.flatnonzero(np.r_[sums[at:], 0] == 0)[0])
-        if inside or sums[at:dive].max() >= SURGE_CHARS:
-            keep[at:dive] = True
-        at = dive
-    if not keep.any():
-        keep[:] = True
-    return " ".join(lines[i][0] for i in np.flatnonzero(keep & (size > 0)))
+        if x.level > plain:
+            out[2][i] = NAMED * len(x.text)
+        elif article and not x.main:
+            out[1][i] = OUTSIDE * unlinked(x)
+        else:
+            out[0][i] = min(len(x.text) if x.main else unlinked(x), LINE_CHARS) + ARTICLE_LINE * x.main
+            out[0][i] += HEAD_LINE * (x.head and out[0][i] > 0)
+    return out
+
+
+def main_text(page: str | None) -> str:
+    """The kept lines of a page, joined by one space.
+
+    Lines are weighed (`weigh`) and their weights summed over blocks of BLOCK_LINES lines. In each stream, text surges where a block
+    sum reaches SURGE_SHARE of the page's greatest (and, named like noise, NAMED_LEAST), and dives where a block sums to 0. The lines
+    of a stream between surge and dive stay, in page order; a line that is all link stays inside running text."""
+    lines = lines_of(page or "")
+    if not lines:
+        return ""
+    streams = weigh(lines)
+    sums = [block_sums(w) for w in streams]
+    greatest = max(s.max() for s in sums)
+    if not greatest:
+        return ""
+    own = [surging(w, s, max(SURGE_SHARE * greatest, NAMED_LEAST * (i == 2), 1e-9)) for i, (w, s) in enumerate(zip(streams, sums, strict=True))]
+    inside = streams[1] + streams[2] == 0
+    hard = np.array([x.level == HARD for x in lines])
+    keep = (own[0] & inside & ~hard) | (own[1] & (streams[1] > 0)) | (own[2] & (streams[2] > 0))
+    return " ".join(lines[i].text for i in np.flatnonzero(keep))
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
