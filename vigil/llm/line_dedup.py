@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,63 +12,74 @@ from vigil.llm.common import row_key, staged
 GRAM_WORDS, PASSAGE_WORDS = 25, 50
 #: White space at the ends of a line, as in the test for words.
 BLANKS = " \t\x0b\f\r"
-#: Copies of each repeated hash, so that the places of a frequent one are dealt over so many tasks.
-SALTS = 16
-
-
-def _first_reaching(weights: Column, least: int) -> Column:
-    """How many leading items it takes until their sum reaches `least`; null if it never does."""
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("sum"))
-    end = F.aggregate(weights, start, lambda a, w: F.when(a["sum"] >= least, a).otherwise(F.struct((a["n"] + 1).alias("n"), (a["sum"] + w).alias("sum"))))
-    return F.when(end["sum"] >= least, end["n"])
+#: Rows of one key that a task takes at most where there are more; and keys that are dealt so (a bound of what is broadcast for it).
+HOT_ROWS, HOT_KEYS = 200_000, 100_000
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """row, doc_id, at (number of the line in its text), i (number among lines with words), h (hash of the trimmed line), w (words)."""
+    """row, doc_id, at (number of the line in its text), i (number among lines with words), b (words before it), h and v (two hashes of
+    the trimmed line: 128 bits together), w (words)."""
     lines = docs.where("text is not null").select("doc_id", row_key().alias("row"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    lines = lines.select("doc_id", "row", "at", F.xxhash64(F.btrim("line", F.lit(BLANKS))).alias("h"), F.regexp_count("line", F.lit(r"\S+")).alias("w")).where("w > 0")
+    line = F.btrim("line", F.lit(BLANKS))
+    lines = lines.select("doc_id", "row", "at", F.xxhash64(line).alias("h"), F.xxhash64(F.lit(1), line).alias("v"), F.regexp_count("line", F.lit(r"\S+")).alias("w")).where("w > 0")
     by = Window.partitionBy("row").orderBy("at")
     # Repeated rows have one key; one of each line stands for them all.
-    return lines.groupBy("row", "at").agg(F.first("doc_id").alias("doc_id"), F.first("h").alias("h"), F.first("w").alias("w")).withColumn("i", F.row_number().over(by))
+    once = lines.groupBy("row", "at").agg(*(F.first(c).alias(c) for c in ("doc_id", "h", "v", "w")))
+    return once.withColumns({"i": F.row_number().over(by), "b": F.sum("w").over(by) - F.col("w")})
+
+
+def fingerprints(lines: DataFrame) -> DataFrame:
+    """row, doc_id, i, passage, g, gi: for each shortest run of PASSAGE_WORDS words, from line i, its winnowed fingerprint.
+
+    At each line the shortest run of GRAM_WORDS words is hashed. A window holds the hashes that begin within the
+    first PASSAGE_WORDS - GRAM_WORDS words of a passage, and so lie inside it; its minimum is selected: g, at line
+    gi. Equal passages select the same line of theirs. Frames are ranges of words, so they hold no more lines than words."""
+    words = Window.partitionBy("row").orderBy("b")
+    gram, passage, window = (words.rangeBetween(0, n) for n in (GRAM_WORDS - 1, PASSAGE_WORDS - 1, PASSAGE_WORDS - GRAM_WORDS))
+    hashed = lambda over: F.xxhash64(F.collect_list("h").over(over))
+    grams = lines.select("row", "doc_id", "i", "b", F.when(F.sum("w").over(gram) >= GRAM_WORDS, hashed(gram)).alias("g"), F.when(F.sum("w").over(passage) >= PASSAGE_WORDS, hashed(passage)).alias("passage"))
+    least = F.min(F.when(F.col("g").isNotNull(), F.struct("g", "i"))).over(window)
+    return grams.withColumn("least", least).where("passage is not null").select("row", "doc_id", "i", "passage", "least.g", F.col("least.i").alias("gi"))
 
 
-def passages(lines: DataFrame) -> DataFrame:
-    """row, doc_id, i, passage, g, gi: each shortest run of PASSAGE_WORDS words, from line i, and its fingerprint.
+def _dealt(big: DataFrame, small: DataFrame, on: list[str], key: str, counted: DataFrame | None = None) -> DataFrame:
+    """big joined with small on `on`; the rows of a hot value of key (one of `on`) go to a task for each HOT_ROWS of them.
 
-    At each line the shortest run of GRAM_WORDS words is hashed. Over each shortest run of PASSAGE_WORDS words
-    (whose own hash is `passage`) the smallest of the hashes that lie inside is selected: g, at line gi. Two
-    equal passages select the same. A run of w words has at most w lines, which bounds the window frames."""
-    ahead = Window.partitionBy("row").orderBy("i").rowsBetween(0, PASSAGE_WORDS - 1)
-    weights = F.transform("ahead", lambda x: x["w"])
-    hashed = lambda n: F.when(F.col(n).isNotNull(), F.xxhash64(F.transform(F.slice("ahead", 1, F.coalesce(n, F.lit(1))), lambda x: x["h"])))
-    seen = lines.withColumn("ahead", F.collect_list(F.struct("h", "w")).over(ahead))
-    grams = seen.select("row", "doc_id", "i", _first_reaching(weights, GRAM_WORDS).alias("n"), _first_reaching(weights, PASSAGE_WORDS).alias("m"), "ahead")
-    grams = grams.select("row", "doc_id", "i", "n", "m", hashed("n").alias("g"), hashed("m").alias("passage"))
-    inside = grams.withColumn("ahead", F.collect_list(F.struct("g", "i", "n")).over(ahead))
-    whole = F.filter(F.slice("ahead", 1, F.coalesce("m", F.lit(1))), lambda x: x["g"].isNotNull() & (x["i"] + x["n"] <= F.col("i") + F.col("m")))
-    return inside.where("m is not null").select("row", "doc_id", "i", "passage", F.array_min(whole).alias("p")).select("row", "doc_id", "i", "passage", "p.g", F.col("p.i").alias("gi"))
+    small's rows of a hot value are repeated as often. counted: what gives the rows of each value, if not big itself.
+    The table of hot values has at most a row for each HOT_ROWS rows; beyond HOT_KEYS of them the join is left to AQE."""
+    hot = staged((counted if counted is not None else big).groupBy(key).count().where(F.col("count") > HOT_ROWS).select(key, F.ceil(F.col("count") / HOT_ROWS).cast("int").alias("salts")))
+    if not 0 < hot.count() <= HOT_KEYS:
+        return big.join(small, on)
+    salts = F.coalesce("salts", F.lit(1))
+    left = big.join(F.broadcast(hot), key, "left").withColumn("salt", F.pmod(F.xxhash64("row", "i"), salts).cast("int")).drop("salts")
+    right = small.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return left.join(right, [*on, "salt"]).drop("salt")
 
 
-def _salted(found: DataFrame) -> DataFrame:
-    return found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def candidates(marks: DataFrame) -> DataFrame:
+    """The passages whose fingerprint stands at more places than one."""
+    place = F.struct("row", "gi")
+    shared = marks.groupBy("g").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a < z").select("g")
+    return _dealt(marks, shared, ["g"], "g")
 
 
 def repeated_runs(lines: DataFrame) -> DataFrame:
     """row, start, end (line numbers in the text, inclusive) of every run of lines that an earlier place holds."""
-    marks = staged(passages(lines)).withColumn("salt", F.pmod(F.xxhash64("row", "i"), F.lit(SALTS)).cast("int"))
-    again = marks.select("row", "g", "gi").distinct().groupBy("g").count().where("count > 1").select("g")
-    candidates = marks.join(_salted(again), ["g", "salt"]).select("row", "doc_id", "i", "passage", "salt")
-    place = F.struct("doc_id", "row", "i")
-    first = candidates.groupBy("passage").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("passage", "first")
-    later = candidates.join(_salted(first), ["passage", "salt"]).where(place > F.col("first"))
-    pairs = staged(later.select("row", F.col("first.row").alias("other"), (F.col("i") - F.col("first.i")).alias("shift"), "i"))
+    found = staged(candidates(staged(fingerprints(lines))))
+    place = F.struct("doc_id", "row", "i", "gi")
+    first = staged(found.groupBy("passage").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("passage", "first"))
+    later = _dealt(found, first, ["passage"], "passage").where(F.struct("doc_id", "row", "i") > F.struct("first.doc_id", "first.row", "first.i"))
+    # Where a fingerprint stands here and there; shift tells the diagonal.
+    pairs = staged(later.select("row", F.col("first.row").alias("other"), (F.col("gi") - F.col("first.gi")).alias("shift"), "gi").distinct())
     diagonals = pairs.select("row", "other", "shift").distinct()
-    # Both ways along each diagonal: the lines that are equal on both sides.
-    own = diagonals.join(lines.select("row", "i", "at", "h"), "row").withColumn("there", F.col("i") - F.col("shift"))
-    equal = own.join(lines.select(F.col("row").alias("other"), F.col("i").alias("there"), "h"), ["other", "there", "h"])
+    # Both ways along each diagonal: the lines that are equal on both sides, by all 128 bits.
+    own = diagonals.join(lines.select("row", "i", "at", "h", "v", "w"), "row").withColumn("there", F.col("i") - F.col("shift"))
+    theirs = lines.select(F.col("row").alias("other"), F.col("i").alias("there"), "h", "v")
+    equal = _dealt(own, theirs, ["other", "there", "h", "v"], "other", own)
     along = Window.partitionBy("row", "other", "shift").orderBy("i")
-    runs = equal.withColumn("run", F.col("i") - F.row_number().over(along)).groupBy("row", "other", "shift", "run").agg(F.min("i").alias("low"), F.max("i").alias("high"), F.min("at").alias("start"), F.max("at").alias("end"))
-    held = runs.join(pairs.select("row", "other", "shift", "i").distinct(), ["row", "other", "shift"]).where("i between low and high")
+    runs = equal.withColumn("run", F.col("i") - F.row_number().over(along)).groupBy("row", "other", "shift", "run").agg(F.min("i").alias("low"), F.max("i").alias("high"), F.min("at").alias("start"), F.max("at").alias("end"), F.sum("w").alias("words"))
+    # Equal hashes of passages only proposed the places: a run that holds the fingerprint must have the words itself.
+    held = runs.where(F.col("words") >= PASSAGE_WORDS).join(pairs, ["row", "other", "shift"]).where("gi between low and high")
     return held.select("row", "start", "end").distinct()
 
 
@@ -77,9 +88,9 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
 
     A passage is a run of whole lines (trimmed of white space; lines without words are passed over) of PASSAGE_WORDS words or
     more that stands at an earlier place, by doc_id and line. Passages whose winnowed fingerprint stands at one
-    place only go at once; the others are joined with their first place and extended both ways while lines
-    agree; those runs are deleted, with the blank lines in them. So no run of PASSAGE_WORDS words that came
-    before stays. Shorter repeats stay.
+    place only go at once; the others' fingerprints are joined with that of their first place, extended both ways
+    while lines agree, and the runs that have PASSAGE_WORDS words are deleted, with the blank lines in them. So no
+    run of PASSAGE_WORDS words that came before stays. Shorter repeats stay.
 
     Null and empty texts stay as they are. Rows with equal doc_id and text are one document: both keep what
     either keeps. Rows without doc_id come first. A text may lose all its lines and is then empty; no row is
