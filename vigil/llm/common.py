@@ -34,6 +34,15 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("\0null")), F.col(text).isNull(), F.coalesce(F.col(text), F.lit("")))
 
 
+def one_of_each_row(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows with one of each value of their column row. keys: those values of all rows, counted first, so that only rows that
+    come again are shuffled whole."""
+    again = staged(keys.groupBy("row").count().where("count > 1").select("row"))
+    if again.isEmpty():
+        return rows
+    return rows.join(again, "row", "left_anti").select(rows.columns).union(rows.join(again, "row").dropDuplicates(["row"]).select(rows.columns))
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

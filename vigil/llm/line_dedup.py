@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vigil.llm.common import row_key, staged
+from vigil.llm.common import one_of_each_row, row_key, staged
 
 #: Words of a fingerprint's lines at least, and of a passage that counts as repeated.
 GRAM_WORDS, PASSAGE_WORDS = 25, 50
@@ -19,13 +19,13 @@ HOT_ROWS, HOT_KEYS = 200_000, 100_000
 def lines_of(docs: DataFrame) -> DataFrame:
     """row, doc_id, at (number of the line in its text), i (number among lines with words), b (words before it), h and v (two hashes of
     the trimmed line: 128 bits together), w (words)."""
-    lines = docs.where("text is not null").select("doc_id", row_key().alias("row"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    # Repeated rows have one key; one of them stands for all.
+    rows = docs.where("text is not null").select("doc_id", row_key().alias("row"), "text")
+    lines = one_of_each_row(rows, rows).select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     line = F.btrim("line", F.lit(BLANKS))
     lines = lines.select("doc_id", "row", "at", F.xxhash64(line).alias("h"), F.xxhash64(F.lit(1), line).alias("v"), F.regexp_count("line", F.lit(r"\S+")).alias("w")).where("w > 0")
     by = Window.partitionBy("row").orderBy("at")
-    # Repeated rows have one key; one of each line stands for them all.
-    once = lines.groupBy("row", "at").agg(*(F.first(c).alias(c) for c in ("doc_id", "h", "v", "w")))
-    return once.withColumns({"i": F.row_number().over(by), "b": F.sum("w").over(by) - F.col("w")})
+    return lines.withColumns({"i": F.row_number().over(by), "b": F.sum("w").over(by) - F.col("w")})
 
 
 def fingerprints(lines: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def repeated_runs(lines: DataFrame) -> DataFrame:
     # Both ways along each diagonal: the lines that are equal on both sides, by all 128 bits.
     own = diagonals.join(lines.select("row", "i", "at", "h", "v", "w"), "row").withColumn("there", F.col("i") - F.col("shift"))
     theirs = lines.select(F.col("row").alias("other"), F.col("i").alias("there"), "h", "v")
-    equal = _dealt(own, theirs, ["other", "there", "h", "v"], "other", own)
+    equal = _dealt(own, theirs, ["other", "there", "h", "v"], "other", pairs)
     along = Window.partitionBy("row", "other", "shift").orderBy("i")
     runs = equal.withColumn("run", F.col("i") - F.row_number().over(along)).groupBy("row", "other", "shift", "run").agg(F.min("i").alias("low"), F.max("i").alias("high"), F.min("at").alias("start"), F.max("at").alias("end"), F.sum("w").alias("words"))
     # Equal hashes of passages only proposed the places: a run that holds the fingerprint must have the words itself.

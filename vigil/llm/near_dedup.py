@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import row_key, staged
+from vigil.llm.common import one_of_each_row, row_key, staged
 from vigil.llm.graph import connected_components
 from vigil.llm.hashing import BLANK_SPLIT, mix, shingles, words_of
 
@@ -45,19 +45,23 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _digest(hashes: np.ndarray) -> int:
-    """A hash of the whole set; equal sets have equal digests."""
-    return int(mix(np.array([hashes.sum(dtype=np.uint64) ^ mix(np.array([np.bitwise_xor.reduce(mix(hashes)) + np.uint64(len(hashes))]))[0]]))[0].view(np.int64))
+def _digest(hashes: np.ndarray) -> tuple[int, int]:
+    """Two hashes of the whole set, 128 bits together: of its sum, and of the exclusive-or and the sum of its mixed members."""
+    mixed, again = mix(hashes), mix(hashes ^ np.uint64(0x5851F42D4C957F2D))
+    n = np.uint64(len(hashes))
+    a, b = mix(np.array([hashes.sum(dtype=np.uint64) ^ mix(np.array([np.bitwise_xor.reduce(mixed) + n]))[0], again.sum(dtype=np.uint64) ^ mix(np.array([np.bitwise_xor.reduce(again) - n]))[0]])).view(np.int64)
+    return int(a), int(b)
 
 
 def _sign(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            n, digest, keys = np.zeros(len(pdf), np.int64), [None] * len(pdf), [None] * len(pdf)
+            n, digests, keys = np.zeros(len(pdf), np.int64), [(None, None)] * len(pdf), [None] * len(pdf)
             for i, words in words_of(pdf["text"].tolist(), BLANK_SPLIT):
                 if len(found := shingles(words, k)):
-                    n[i], digest[i], keys[i] = len(found), _digest(found), band_keys(minmax_signature(found))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "row": pdf["row"], "n_shingles": n, "digest": pd.array(digest, dtype="Int64"), "keys": keys})
+                    n[i], digests[i], keys[i] = len(found), _digest(found), band_keys(minmax_signature(found))
+            first, second = (pd.array([d[j] for d in digests], dtype="Int64") for j in (0, 1))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "row": pdf["row"], "n_shingles": n, "d1": first, "d2": second, "keys": keys})
 
     return run
 
@@ -103,56 +107,73 @@ def linked_sets(sets: list[np.ndarray], percent: int, across: np.ndarray | None
 
 def _confirm(k: int, percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("digest").sort_values(["n_shingles", "digest"], ignore_index=True)
+        pdf = pdf.sort_values(["n_shingles", "node"], ignore_index=True)
         sets: list[np.ndarray] = [np.empty(0, np.uint64)] * len(pdf)
         for i, words in words_of(pdf["text"].tolist(), BLANK_SPLIT):
             sets[i] = shingles(words, k)
         one = pdf["low"].iat[0] == pdf["high"].iat[0]
         links = linked_sets(sets, percent, None if one else pdf["block"].to_numpy()) if len(pdf) > 1 else []
-        d = pdf["digest"].tolist()
+        d = pdf["node"].tolist()
         return pd.DataFrame({"a": [d[i] for i, _ in links], "b": [d[j] for _, j in links]}, dtype="int64")
 
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text; other columns are ignored).
+def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, row (its key), n_shingles, node (the class of its set, null without words) and component (of classes) for each row of docs.
 
-    Two texts are linked if 100 * |common shingles| >= percent * |all shingles|, over distinct shingles of k
-    words; a component's id is its smallest doc_id, and the row of that id is kept.
-
-    Equal sets are one class from the start (grouped by digest, with partial aggregation), so copies meet in
-    no join. Classes that share a bucket of any band form candidate groups: each is tied to its bucket's
+    Equal sets are one class from the start (grouped by 128-bit digest, with partial aggregation), so copies meet
+    in no join. Classes that share a bucket of any band form candidate groups: each is tied to its bucket's
     smallest class and these ties are closed by components; nothing is decided by them. Each group is then
     confirmed on full sets from whole texts. A group beyond BLOCK_SHINGLES or BLOCK_SETS is dealt over blocks
-    by hash, and every pair of blocks is one task: its size is bounded and no pair is left out.
-
-    Null or wordless texts: n_shingles 0, their own component, kept. Rows without doc_id get the smallest id
-    of their component, or null and kept if there is none. Repeated rows are returned as often as they come,
-    with one result. An empty table gives an empty result."""
+    by hash, and every pair of blocks is one task: its size is bounded and no pair is left out."""
     rows = docs.select("doc_id", row_key().alias("row"), "text")
-    signed = staged(rows.mapInPandas(_sign(k), "doc_id long, row long, n_shingles long, digest long, keys array<long>"))
-    classes = staged(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("row"), F.min("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")))
-    banded = classes.select("digest", F.explode("keys").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("digest").alias("a"), F.max("digest").alias("z")).where("a < z").select("bucket", "a")
-    groups = connected_components(banded.join(shared, "bucket").where("a <> digest").select("a", F.col("digest").alias("b")).distinct())
-    members = classes.join(groups, classes.digest == groups.node).select("digest", "row", "n_shingles", "component")
+    signed = staged(rows.mapInPandas(_sign(k), "doc_id long, row long, n_shingles long, d1 long, d2 long, keys array<long>"))
+    classes = signed.where("d1 is not null").groupBy("d1", "d2").agg(F.min("row").alias("row"), F.min("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
+    # The number of a class is fixed once it is written.
+    classes = staged(classes.withColumn("node", F.monotonically_increasing_id()))
+    banded = classes.select("node", F.explode("keys").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("bucket", "a")
+    tied = connected_components(banded.join(shared, "bucket").where("a <> node").select("a", F.col("node").alias("b")).distinct())
+    members = classes.join(tied, "node").select("node", "row", "n_shingles", "component")
     sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
     # A set goes to its block's pair with every block, and with itself where there is one block only.
-    block = F.pmod(F.xxhash64("digest", F.lit(7)), "blocks").cast("int")
-    dealt = members.join(sizes, "component").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", "digest", "row", "n_shingles", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    dealt = dealt.join(rows.select("row", "text"), "row")
+    block = F.pmod(F.xxhash64("node", F.lit(7)), "blocks").cast("int")
+    dealt = members.join(sizes, "component").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", "node", "row", "n_shingles", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    dealt = dealt.join(one_of_each_row(rows.select("row", "text"), signed), "row")
     links = dealt.groupBy("component", "low", "high").applyInPandas(_confirm(k, percent), "a long, b long")
     linked = connected_components(links)
-    of = classes.select("digest", "first_id").join(linked.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    least = of.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = of.join(least, "component").select("digest", "component_id")
-    out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    of = classes.select("d1", "d2", "node").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return staged(signed.select("doc_id", "row", "n_shingles", "d1", "d2").join(of, ["d1", "d2"], "left").drop("d1", "d2"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text; other columns are ignored).
+
+    Two texts are linked if 100 * |common shingles| >= percent * |all shingles|, over distinct shingles of k
+    words; a component's id is its smallest doc_id, and the row of that id is kept. How: see `groups`.
+
+    Null or wordless texts: n_shingles 0, their own component, kept. Rows without doc_id get the smallest id
+    of their component, or null and kept if there is none. Repeated rows are returned as often as they come,
+    with one result. An empty table gives an empty result."""
+    found = groups(docs, k, percent)
+    least = found.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out = found.join(least, "component", "left").select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose doc_id is kept, with all their columns. Rows without doc_id stay."""
-    gone = near_duplicates(docs, k, percent).where("doc_id is not null and not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of docs of each component, with all its columns: the one of the smallest doc_id (rows without one come last) and row key.
+
+    It is a row that stays, not an id: of two texts under one doc_id each is judged by itself. Repeated rows (one doc_id
+    and text, whatever the other columns) are one document, of which one row stays. Null and wordless texts all stay.
+    An empty table gives an empty result."""
+    found = groups(docs, k, percent).where("component is not null")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    chosen = found.groupBy("component").agg(F.min(order)["row"].alias("chosen"))
+    gone = found.join(chosen, "component").where("row <> chosen").select(F.col("row").alias("__row")).distinct()
+    again = staged(found.groupBy(F.col("row").alias("__row")).count().where("count > 1").select("__row"))
+    left = docs.withColumn("__row", row_key()).join(gone, "__row", "left_anti")
+    if not again.isEmpty():
+        left = left.join(again, "__row", "left_anti").unionByName(left.join(again, "__row", "left_semi").dropDuplicates(["__row"]))
+    return left.select(docs.columns)
