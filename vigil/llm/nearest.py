@@ -17,7 +17,7 @@ from vigil.llm.common import staged
 #: Tables, projections in each, bucket width on unit vectors, and buckets visited in each table for a query.
 TABLES, PROJECTIONS, WIDTH, PROBES = 5, 14, 3.0, 900
 #: Rows and queries that meet in one task at most, and rows of the plan of groups that are broadcast at most.
-GROUP_ROWS, GROUP_QUERIES, PLAN_ROWS = 4096, 1024, 500_000
+GROUP_ROWS, GROUP_QUERIES, PLAN_ROWS = 8192, 1024, 500_000
 
 def probe_sets(k: int, count: int) -> list[list[int]]:
     """Perturbation sets over the 2k bucket sides ranked by distance, in order of expected squared distance.
