@@ -47,8 +47,8 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def hashed_share(key: Column, wanted: int, total: int) -> Column:
+def hashed_share(key: Column, wanted: int, total: int | Column) -> Column:
     """A predicate that holds for about 1.5 * wanted of total rows, by hash, so that the least hashes among them
     are the least of all: a top-n sort behind it then gathers no more rows however many tasks there are."""
-    share = min(1.0, (1.5 * wanted + 100) / max(1, total))
-    return F.shiftrightunsigned(key, 33) < int(share * (1 << 31))
+    share = F.least(F.lit(1.0), (1.5 * wanted + 100) / F.greatest(total if isinstance(total, Column) else F.lit(total), F.lit(1)))
+    return F.shiftrightunsigned(key, 33) < (share * (1 << 31)).cast("long")

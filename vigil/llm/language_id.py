@@ -9,12 +9,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vigil.llm.common import hashed_share
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 16, 192
-#: Bounds of the training sample: documents (lowest hashes of doc_id), and windows from each one's first characters.
-TRAIN_DOCS, TRAIN_WINDOWS, TRAIN_CHARS = 3000, 3, 1200
+#: Bounds of the training sample: labelled documents of each language (lowest hashes), and windows of each, drawn from its whole text.
+TRAIN_DOCS, TRAIN_WINDOWS = 1000, 3
 EPOCHS, BATCH, RATE = 12, 64, 0.01
 _CHUNK = 512
 #: Upper-case ASCII is folded; control characters and digits carry no language and become blanks.
@@ -111,16 +112,32 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def _draw_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """TRAIN_WINDOWS windows of each whole text, drawn by its hash among those with letters."""
+    for pdf in batches:
+        out = []
+        for key, text in zip(pdf["key"], pdf["text"], strict=True):
+            w = windows_of(text)
+            own = np.flatnonzero(_LETTER[w].any(axis=1))
+            own = np.random.default_rng(int(key) & (1 << 63) - 1).permutation(own)[:TRAIN_WINDOWS]
+            out.append(w[np.sort(own)].tobytes())
+        yield pd.DataFrame({"key": pdf["key"], "lang": pdf["lang"], "windows": out})
+
+
 def train(docs: DataFrame) -> ByteConvNet | None:
-    """Fit on at most TRAIN_DOCS labelled documents outside the held-out quarter; None if there are none."""
-    known = docs.where(~held_out() & F.col("lang").isNotNull()).withColumn("__hash", F.xxhash64("doc_id"))
-    few = known.where(hashed_share(F.col("__hash"), TRAIN_DOCS, known.count())).where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    order = (F.shiftrightunsigned("__hash", 33), "__hash", "lang", "text")
-    sample = few.select("__hash", F.substring("text", 1, TRAIN_CHARS).alias("text"), "lang").orderBy(*order).limit(TRAIN_DOCS).collect()
+    """Fit on at most TRAIN_DOCS labelled documents of each language outside the held-out quarter; None if there are none.
+
+    A rare language is learnt from all its documents. Only the drawn windows reach the driver."""
+    known = docs.where(~held_out() & F.col("lang").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("key"))
+    counts = known.groupBy("lang").count()
+    few = known.join(F.broadcast(counts), "lang").where(hashed_share(F.col("key"), TRAIN_DOCS, F.col("count"))).where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    order = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("key", 33), "key")
+    drawn = few.select("key", "lang", "text").dropDuplicates(["lang", "key"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= TRAIN_DOCS)
+    sample = drawn.select("key", "lang", "text").mapInPandas(_draw_windows, "key long, lang string, windows binary").orderBy("lang", "key").collect()
     if not sample:
         return None
     langs = sorted({r.lang for r in sample})
-    windows = [windows_of(r.text)[:TRAIN_WINDOWS] for r in sample]
+    windows = [np.frombuffer(r.windows, np.uint8).reshape(-1, WINDOW) for r in sample]
     labels = np.repeat([langs.index(r.lang) for r in sample], [len(w) for w in windows])
     return ByteConvNet.fit(np.concatenate(windows), labels, langs)
 

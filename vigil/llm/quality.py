@@ -17,8 +17,8 @@ from vigil.llm.hashing import BLANK_SPLIT, mix, words_of
 
 #: Rounds of expectation-maximisation, the share of good texts to start from, and how often a labeller's right and wrong votes come at the start.
 ROUNDS, START_GOOD, START_RIGHT, START_WRONG = 40, 0.85, 0.3, 0.02
-#: Hash buckets of the scorer, and the bound of its training sample: texts (lowest hashes, half of them likely bad) and characters of each.
-BUCKETS, TRAIN_TEXTS, TRAIN_CHARS, EPOCHS, RATE, DECAY = 1 << 15, 4000, 4000, 8, 0.5, 1e-5
+#: Hash buckets of the scorer, and the bound of its training sample: whole texts (lowest hashes, half of them likely bad).
+BUCKETS, TRAIN_TEXTS, EPOCHS, RATE, DECAY = 1 << 15, 4000, 8, 0.5, 1e-5
 #: A text goes if the scorer and the labellers' posterior, averaged as log-odds, make it bad.
 GOOD = 0.5
 
@@ -160,6 +160,13 @@ def _vote_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"row": pdf["row"], "pattern": ["".join("ng"[x] if x >= 0 else "-" for x in r) for r in v], "n_words": m[:, 8].astype(np.int64)})
 
 
+def _feature_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        texts = pdf["text"].tolist()
+        found = [features(t, x) for t, x in zip(texts, measured(texts), strict=True)]
+        yield pd.DataFrame({"row": pdf["row"], "pattern": pdf["pattern"], "at": [a.astype(np.int32) for a, _ in found], "value": [v.astype(np.float32) for _, v in found]})
+
+
 def pattern_votes(pattern: str) -> list[int]:
     return [{"n": 0, "g": 1}.get(c, -1) for c in pattern]
 
@@ -216,11 +223,11 @@ def fit(docs: DataFrame) -> tuple[LabelModel, HashedScorer]:
     order = (F.shiftrightunsigned("at", 33), "at", "row")
     lowest = [known.where(F.col("bad") == b).where(hashed_share(F.col("at"), half, total[b])).orderBy(*order).limit(half) for b in (True, False)]
     picked = lowest[0].union(lowest[1]).select("row", "pattern")
-    sample = rows.select("row", F.substring("text", 1, TRAIN_CHARS).alias("text")).join(F.broadcast(picked), "row").dropDuplicates(["row"]).orderBy("row").collect()
-    texts = [r.text for r in sample]
+    sample = rows.join(F.broadcast(picked), "row").dropDuplicates(["row"]).select("row", "text", "pattern")
+    # Features of whole texts, the same that the votes were taken from; only these reach the driver.
+    sample = sample.mapInPandas(_feature_rows, "row long, pattern string, at array<int>, value array<float>").orderBy("row").collect()
     target = labels.posterior(np.array([pattern_votes(r.pattern) for r in sample]))
-    m = measured(texts)
-    return labels, HashedScorer.fit([features(t, x) for t, x in zip(texts, m, strict=True)], target)
+    return labels, HashedScorer.fit([(np.array(r.at, np.int64), np.array(r.value)) for r in sample], target)
 
 
 def classify_quality(docs: DataFrame, model: tuple[LabelModel, HashedScorer] | None = None) -> DataFrame:
@@ -237,6 +244,8 @@ def classify_quality(docs: DataFrame, model: tuple[LabelModel, HashedScorer] | N
 
 
 def keep_good(docs: DataFrame, model: tuple[LabelModel, HashedScorer] | None = None) -> DataFrame:
-    """The rows of docs that are good, with all their columns as they are."""
+    """The rows of docs that are good, with all their columns as they are.
+
+    Null and wordless texts go; repeated rows are judged alike, so all or none of them stay. An empty table gives an empty result."""
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
     return docs.mapInArrow(_keep_rows(shared), docs.schema)
