@@ -100,11 +100,13 @@ class Model:
             raise ValueError(f"model type {self.model_type} isn't supported")
         steps = [normalizers.Precompiled(self.charsmap)] if self.charsmap else []
         if self.remove_extra_spaces:
-            steps += [normalizers.Strip(left=True, right=True), normalizers.Replace(Regex(" {2,}"), " ")]
+            steps += [normalizers.Replace(Regex(r"\A +| +\z"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
         if self.dummy_prefix:
             steps.append(normalizers.Prepend(SPACE if self.escape_spaces else " "))
         if self.escape_spaces:
             steps.append(normalizers.Replace(" ", SPACE))
+            if self.remove_extra_spaces:  # marks at the end go, a text's own among them
+                steps.append(normalizers.Replace(Regex(f"{SPACE}+\\z"), ""))
         t.normalizer = normalizers.Sequence(steps)
         # No piece goes on past a space mark once it has begun with another character, so words can be cut before their marks.
         if not any(SPACE in p.lstrip(SPACE) for p, _, kind in self.pieces if kind == NORMAL):
@@ -113,9 +115,59 @@ class Model:
         return t
 
 
+class Lattice:
+    """Best segmentation by unigram scores, in single precision and with the ties of the library that models are made for.
+
+    It decides where the tokenizers library, which adds in double precision, can't: near ties, and text that spells special pieces."""
+
+    def __init__(self, model: Model):
+        kinds = {kind: [s for _, s, k in model.pieces if k == kind] for kind in (NORMAL, USER)}
+        most = max(kinds[NORMAL], default=0.0)
+        self.scores = {p: (i, np.float32(len(p.encode()) * most - 0.1 if kind == USER else s)) for i, (p, s, kind) in enumerate(model.pieces) if kind in (NORMAL, USER)}
+        self.longest = max(map(len, self.scores), default=1)
+        self.unknown = next((i for i, x in enumerate(model.pieces) if x[2] == UNKNOWN), 0)
+        self.penalty = np.float32(np.float32(min(kinds[NORMAL], default=0.0)) - np.float32(10))
+        self.bytes = {int(p[3:-1], 16): i for i, (p, _, kind) in enumerate(model.pieces) if kind == BYTE} if model.byte_fallback else {}
+        special = [p for p, _, kind in model.pieces if kind not in (NORMAL, UNUSED)]
+        self.special = re.compile("|".join(re.escape(p) for p in special) or r"(?!)")
+
+    def _steps(self, text: str, start: int) -> list[tuple[int, int, np.float32]]:
+        found = [(start + n, *self.scores[p]) for n in range(1, min(self.longest, len(text) - start) + 1) if (p := text[start : start + n]) in self.scores]
+        return found if found and found[0][0] == start + 1 else [*found, (start + 1, self.unknown, self.penalty)]
+
+    def encode(self, text: str) -> bytes:
+        best: list[tuple[np.float32, int, int] | None] = [(np.float32(0), 0, 0), *[None] * len(text)]
+        for start in range(len(text)):
+            for end, piece, score in self._steps(text, start):
+                if best[end] is None or score + best[start][0] > best[end][0]:
+                    best[end] = (score + best[start][0], start, piece)
+        ids, end = [], len(text)
+        while end:
+            _, start, piece = best[end]
+            if piece != self.unknown:
+                ids.append(piece)
+            elif self.bytes:
+                ids += [self.bytes[b] for b in reversed(text[start:end].encode("utf-8", "replace"))]
+            elif not ids or ids[-1] != self.unknown:
+                ids.append(piece)
+            end = start
+        return np.array(ids[::-1], "<i4").tobytes()
+
+    def margin(self, text: str) -> tuple[float, float]:
+        """The best score, and how far the second best segmentation lies behind it."""
+        top = [(0.0, -np.inf), *[(-np.inf, -np.inf)] * len(text)]
+        for start in range(len(text)):
+            for end, _, score in self._steps(text, start):
+                top[end] = tuple(sorted((*top[end], *(x + float(score) for x in top[start])))[:1:-1])
+        return top[-1][0], top[-1][0] - top[-1][1]
+
+
 class Encoder:
     """A tokenizer with the words that it has met.
 
+    Unigram scores: a text in which a word's two best segmentations are nearer than single precision tells apart is
+    decided by `Lattice`, as are texts that spell a special piece and models whose pieces span words.
+
     Where no piece spans words, texts are normalised and cut before their space marks, each new word is
     encoded once, and a text's ids are its words' ids joined. At most WORDS words are held."""
 
@@ -124,11 +176,13 @@ class Encoder:
         m, self.tokenizer = self.model, self.model.tokenizer()
         self.by_words = self.tokenizer.pre_tokenizer is not None
         self.plain = not m.charsmap and not m.remove_extra_spaces and m.dummy_prefix and m.escape_spaces
-        if self.by_words:  # texts are normalised before they are cut
-            self.normalizer, self.tokenizer.normalizer = self.tokenizer.normalizer, normalizers.Sequence([])
+        # Texts are normalised before they are cut.
+        self.normalizer, self.tokenizer.normalizer = (self.tokenizer.normalizer, normalizers.Sequence([])) if self.by_words or m.model_type == UNIGRAM else (None, self.tokenizer.normalizer)
         self.begins = np.array([p.startswith(SPACE) and kind != BYTE for p, _, kind in m.pieces])
         self.bytes = [bytes([int(p[3:-1], 16)]) if kind == BYTE else p.replace(SPACE, " ").encode() for p, _, kind in m.pieces]
         self.held: dict[str, bytes] = {}
+        self.lattice = Lattice(m) if m.model_type == UNIGRAM else None
+        self.margins: dict[str, tuple[float, float]] = {}
 
     def normalize(self, text: str) -> str:
         if self.plain:
@@ -136,7 +190,12 @@ class Encoder:
         return self.normalizer.normalize_str(text)
 
     def learn(self, words: set[str]) -> None:
-        """Encode words: those with one leading mark many to a text, the others each by itself."""
+        """Encode words: those with one leading mark many to a text, the others each by itself (all, for unigram scores)."""
+        if self.lattice:
+            for w, e in zip(words, self.tokenizer.encode_batch_fast(list(words), add_special_tokens=False), strict=True):
+                self.held[w] = np.array(e.ids, "<i4").tobytes()
+                self.margins[w] = (0.0, -np.inf) if self.lattice.special.search(w) else self.lattice.margin(w)
+            return
         simple = [w for w in words if w[0] == SPACE and w[1:2] != SPACE]
         other = [w for w in words if w[0] != SPACE or w[1:2] == SPACE]
         groups = [simple[i : i + GROUP_WORDS] for i in range(0, len(simple), GROUP_WORDS)]
@@ -149,17 +208,26 @@ class Encoder:
         for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
             self.held[w] = np.array(e.ids, "<i4").tobytes()
 
+    def _sure(self, words: list[str]) -> bool:
+        """Whether no word's best segmentation is as near to another as single precision is coarse over the text's score."""
+        score = sum(self.margins[w][0] for w in words)
+        return min((self.margins[w][1] for w in words), default=1.0) > 32 * float(np.spacing(np.float32(abs(score) + 1)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
+        if not self.by_words and self.lattice:
+            return [self.lattice.encode(self.normalize(t)) for t in texts]
         if not self.by_words:
             return [np.array(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         words = [_WORDS.findall(self.normalize(t)) for t in texts]
         new = set().union(*words) - self.held.keys()
         if len(self.held) + len(new) > WORDS:
             self.held.clear()
+            self.margins.clear()
             new = set().union(*words)
         self.learn(new)
-        return [b"".join(map(self.held.__getitem__, w)) for w in words]
+        joined = [b"".join(map(self.held.__getitem__, w)) for w in words]
+        return [x if self._sure(w) else self.lattice.encode("".join(w)) for x, w in zip(joined, words, strict=True)] if self.lattice else joined
 
     def decode(self, ids: bytes | np.ndarray | list[int]) -> str:
         """The text of ids: pieces with marks as spaces, byte pieces as bytes, without the leading space that encoding adds."""
@@ -239,7 +307,9 @@ def digest(docs: DataFrame, model: str | None = None) -> DataFrame:
 
 
 def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
-    """rows with a column text decoded from tokens; null or empty tokens give an empty text."""
+    """rows with a column text decoded from tokens; null or empty tokens give an empty text.
+
+    A column text of rows is replaced; other columns stay. Repeated rows are decoded each; an empty table gives an empty result."""
     raw = open(model or default_model(), "rb").read()
     shared = rows.sparkSession.sparkContext.broadcast(raw)
 
