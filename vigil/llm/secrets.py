@@ -35,7 +35,9 @@ def _matches(kind: str, pattern: str) -> Column:
     value = F.regexp_extract_all("text", F.lit(pattern), F.lit(2)) if kind == "assign" else found
     gaps = F.split("text", pattern, -1)
     each = F.zip_with(F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("all")), value, lambda x, v: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["all"]).alias("len"), (F.length(v) >= 8 if kind == "assign" else F.lit(True)).alias("fine"), (v if kind == "random" else F.lit(None).cast("string")).alias("value")))
-    return F.struct(F.lit(KINDS.index(kind)).alias("kind"), F.when(F.size(found) > 0, each).alias("found"))
+    # Most texts have no match: one look tells, and only the others are taken apart.
+    some = F.col("text").contains("AKIA") if kind == "access" else F.col("text").rlike(pattern)
+    return F.struct(F.lit(KINDS.index(kind)).alias("kind"), F.when(some, F.when(F.size(found) > 0, each)).alias("found"))
 
 
 def spans_of(rows: DataFrame) -> DataFrame:
@@ -57,7 +59,8 @@ def randomness(found: DataFrame, value: str = "value") -> DataFrame:
     """found with encoding, z_uniform, z_runs, z_serial, p of each and p: how likely natural text of that length looks so even.
 
     The encoding is the first whose alphabet holds all characters. z_uniform is the chi-squared statistic of
-    its alphabet against its mean under randomness, z_runs counts runs above and below the alphabet's middle,
+    its alphabet, brought to a normal scale by its cube root (Wilson and Hilferty) with the degrees of freedom that give
+    its exact variance for so few letters over so many cells; z_runs counts runs above and below the alphabet's middle,
     z_serial is the lag-one correlation of letter values.
 
     p combines what the three tests say against natural text. For the letters' frequencies it is the inverse of
@@ -88,7 +91,8 @@ def randomness(found: DataFrame, value: str = "value") -> DataFrame:
     natural = pick(lambda a, _: F.lit(BOTH_CASES if "A" in a and "a" in a else CHANGES))
     share = F.least((F.regexp_count(v, F.lit("[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+")) - 1) / (n - 1), F.lit(1 - 1e-9))
     divergence = share * F.log(F.greatest(share, F.lit(1e-9)) / natural) + (1 - share) * F.log((1 - share) / (1 - natural))
-    out = out.withColumns({"z_uniform": (size * F.col("squares") / n - n - (size - 1)) / F.sqrt(2 * (size - 1) * (n - 1) / n), "z_runs": (runs - mean) / deviation, "z_serial": serial})
+    free = (size - 1) * n / (n - 1)
+    out = out.withColumns({"z_uniform": (F.cbrt((size * F.col("squares") / n - n) / (size - 1)) - 1 + 2 / (9 * free)) * F.sqrt(4.5 * free), "z_runs": (runs - mean) / deviation, "z_serial": serial})
     out = out.withColumns({"p_uniform": F.when(hexadecimal < 1, F.pow(hexadecimal, n)).otherwise(F.least(F.exp(-gain), F.lit(1.0))), "p_runs": F.when(share > natural, F.exp((1 - n) * divergence)).otherwise(1.0), "p_serial": F.least(_normal_cdf(F.col("z_serial") - SERIAL * F.sqrt(n - 1)), F.lit(1.0))})
     both = F.greatest(F.col("p_uniform") * F.least(2 * F.least("p_runs", "p_serial"), F.lit(1.0)), F.lit(1e-300))
     out = out.withColumn("p", F.least(both * (1 - F.log(both)), F.lit(1.0)))
@@ -128,8 +132,9 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", row_key().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     spans = staged(spans_of(rows))
     is_base = F.col("kind") < 3
-    ahead = Window.partitionBy("row").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
-    behind = Window.partitionBy("row").orderBy(F.desc("start")).rowsBetween(Window.unboundedPreceding, 0)
+    # Of spans with one start, base ones come first, so that a candidate sees them.
+    ahead = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    behind = Window.partitionBy("row").orderBy(F.desc("start"), "kind").rowsBetween(Window.unboundedPreceding, 0)
     touched = (F.coalesce(F.max(F.when(is_base, F.col("end"))).over(ahead), F.lit(0)) > F.col("start")) | (F.min(F.when(is_base, F.col("start"))).over(behind) < F.col("end"))
     classes = sum((F.col("value").rlike(c).cast("int") for c in ("[a-z]", "[A-Z]", "[0-9]")), F.lit(0))
     free = spans.withColumn("touched", F.coalesce(touched, F.lit(False))).where(~is_base & ~F.col("touched") & (classes >= 2)).drop("touched")
