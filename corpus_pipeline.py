@@ -13,27 +13,29 @@ from vigil.llm.sentencepiece import encode
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weak-label model doesn't reject."""
+    """Documents that the weak-label model doesn't reject. Null and wordless texts go; repeated rows stay or go together."""
     return keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later repeats of passages of 50 words or more."""
+    """All documents, without later repeats of passages of 50 words or more; null and empty texts, and repeated rows, stay as they are."""
     return drop_repeated_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more.
+
+    A row is kept, not an id: two texts under one id are two documents, repeated rows are one. Null and wordless texts stay."""
     return keep_one_of_each(docs, k=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage of ten words, or a whole shorter item."""
+    """Documents without a benchmark passage of ten words, or a whole shorter item. Null and empty texts stay, as do all without a benchmark."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, round_trip, tokens."""
+    """doc_id, n_tokens, round_trip, tokens of each document; none for null and empty texts."""
     return encode(docs)
 
 
