@@ -269,10 +269,72 @@ def test_platt_is_the_identity_for_one_class(spark):
     assert tuple(M.platt(spark.createDataFrame([(0.3, 1), (0.4, 1)], "score double, label int")).head()) == (1.0, 0.0)
 
 
-def test_names_and_recommendations(spark):
-    df = spark.createDataFrame([("f_n_alarm_7d", 0.6), ("plain", None)], "f string, s double")
-    got = df.select(Q.humanised(F.col("f"), {"n_alarm": "alarms"}).alias("n"), Q.recommendation(F.col("s"), F.lit("unknown"))["code"].alias("c")).collect()
-    assert [tuple(r) for r in got] == [("alarms in 7 days", "INSPECT"), ("plain", "ABSTAIN")]
+def test_names(spark):
+    df = spark.createDataFrame([("f_n_alarm_7d",), ("plain",)], "f string")
+    assert [r.n for r in df.select(Q.humanised(F.col("f"), {"n_alarm": "alarms"}).alias("n")).collect()] == ["alarms in 7 days", "plain"]
+
+
+def test_advice_goes_by_reasons_and_context_in_order(spark):
+    rows = [(["ABOVE_THRESHOLD_AT_D", "NO_GAS_READING_AT_D"], "abstain", None), (["NO_GAS_READING_AT_D"], "abstain", "verified_schedule"), (["B", "A"], "abstain", None), ([], "abstain", None), (None, "experimental_shadow", "verified_schedule"), ([], "experimental_shadow", "possible_recent_silence"), ([], None, None)]
+    df = spark.createDataFrame(rows, "reasons array<string>, status string, context string")
+    got = [(r.x.code, r.x.basis_codes, r.x.automated_action_allowed) for r in df.select(Q.recommendation(F.col("reasons"), F.col("status"), F.col("context")).alias("x")).collect()]
+    assert got == [
+        ("CURRENT_ALARM_PROTOCOL", ["ABOVE_THRESHOLD_AT_D"], False), ("CHECK_TELEMETRY", ["NO_GAS_READING_AT_D"], False), ("NO_GAS_FORECAST", ["A", "B"], False), ("NO_GAS_FORECAST", ["ABSTAIN"], False),
+        ("REVIEW_VERIFIED_PPR", ["GAS_PROXY", "VERIFIED_SCHEDULE"], False), ("CHECK_MAINTENANCE_LOG", ["GAS_PROXY", "POSSIBLE_RECENT_SILENCE"], False), ("REVIEW_GAS_TREND", ["GAS_PROXY"], False),
+    ]
+    df = spark.createDataFrame([("why", "stub", None), ("why", None, None), ("", "stub", None), (None, "register", "E4"), (None, "register", "E2")], "a string, l string, e string")
+    got = [(r.x.code, r.x.basis_codes) for r in df.select(Q.incident_recommendation(F.col("a"), F.col("l"), F.col("e")).alias("x")).collect()]
+    assert got == [("NO_INCIDENT_FORECAST", ["why", "STUB_LABELS"]), ("NO_INCIDENT_FORECAST", ["why"]), ("DEMO_ONLY", ["STUB_LABELS"]), ("DEMO_ONLY", ["STUB_LABELS"]), ("REVIEW_INCIDENT_FACTORS", ["INCIDENT_REGISTER"])]
+
+
+T0 = dt.datetime(2024, 6, 10, 12)
+
+
+def readings(channel, t0, peak=1.4, drop=4, extra=(), high=None):
+    values = [(-1, 0.2, 0.2), (0, peak, peak), (drop, 0.4, high or 0.4), *((m, v, v) for m, v in extra)]
+    return [(channel, 1, t0 + dt.timedelta(minutes=m), low, top, m == 0) for m, low, top in values]
+
+
+def triaged(spark, rows, end, days=(), runs=()):
+    cell = spark.createDataFrame(rows, "channel_id long, object_id long, t timestamp_ntz, low double, high double, cross boolean")
+    activity = cell.select("object_id", F.to_date("t").alias("day")).union(spark.createDataFrame([(1, d) for d in days], "object_id long, day date"))
+    found = O.triage(cell, activity, spark.createDataFrame(list(runs), "object_id long, start date, end date"), F.lit(end.isoformat(sep=" ")).cast("timestamp_ntz"))
+    return {r.channel_id: r for r in found.collect()}
+
+
+def test_triage_of_repeats_and_neighbours_up_to_the_decision(spark):
+    m = lambda x, s=0: T0 + dt.timedelta(minutes=x, seconds=s)
+    rows = readings(1, T0, extra=[(10, 1.1)]) + readings(2, T0) + readings(3, m(15)) + readings(4, m(15, 1))
+    got = triaged(spark, rows, m(60))
+    assert got[1].reasons.repeat_by_c and got[1].live == "needs_attention" and got[1].neighbours == 2
+
+
+def test_triage_left_bound_of_six_hours_and_the_strict_label(spark):
+    rows = readings(1, T0) + readings(2, T0 - dt.timedelta(hours=6)) + readings(3, T0 - dt.timedelta(hours=6, seconds=1))
+    one = triaged(spark, rows, T0 + dt.timedelta(hours=1))[1]
+    assert (one.neighbours, one.state, one.live, one.strict) == (1, "inferred_below", "likely_bump_test", "needs_attention")
+    assert one.series_only and not one.series_only_strict and one.others_on_day == 2
+
+
+def test_triage_shapes(spark):
+    end = T0 + dt.timedelta(hours=1)
+    mixed = triaged(spark, readings(1, T0, high=1.2), end)[1]
+    assert not mixed.ended_fast and mixed.live == "needs_attention"
+    got = triaged(spark, readings(1, T0, 2.6, 5) + readings(2, T0 + dt.timedelta(minutes=1), 2.61) + readings(3, T0 + dt.timedelta(minutes=2), drop=6), end)
+    assert got[1].shape_ok and got[1].state == "observed_below" and got[1].live == "likely_bump_test"
+    assert got[2].live == got[3].live == "needs_attention"
+    alone = triaged(spark, readings(1, T0), T0 + dt.timedelta(minutes=14))[1]
+    assert alone.live is None and alone.status_at_archive_end == "censored_right"
+
+
+def test_triage_over_midnight_and_after_silence(spark):
+    t = dt.datetime(2023, 12, 31, 23, 55)
+    one = triaged(spark, readings(1, t, drop=7), dt.datetime(2024, 1, 1, 1))[1]
+    assert (one.status_at_day_end, one.retro, one.live) == ("pending_at_day_end", "censored_by_day", "needs_attention")
+    runs = [(1, dt.date(2024, 6, 2), dt.date(2024, 6, 9))]
+    after = triaged(spark, readings(1, T0), T0 + dt.timedelta(hours=1), [dt.date(2024, 2, 1)], runs)[1]
+    assert after.after_silence == "true" and after.live == "likely_after_maintenance"
+    assert triaged(spark, readings(1, T0), T0 + dt.timedelta(hours=1), [dt.date(2024, 6, 1)], runs)[1].after_silence == "unknown"
 
 
 def test_stream_retries_conflicts_and_state_changes(spark, tmp_path):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vigil.operators.objects import neighbours
 from vigil.operators.panel import labelled
 
 
@@ -34,14 +35,11 @@ def propensity(days: DataFrame, key: str, windows: tuple[int, ...], m: float) ->
 
 
 def shifted_neighbours(crossed: DataFrame, repeats: int, before: str = "6 hours", after: str = "15 minutes") -> DataFrame:
-    """Neighbour counts of each repeat after channels were shifted by one or two weeks to either side, chosen by hash."""
+    """How many crossings have neighbours in each repeat, after channels were shifted by one or two weeks to either side, chosen by hash."""
     pick = F.conv(F.substring(F.md5(F.concat_ws(":", "rep", "channel_id")), 1, 8), 16, 10).cast("long") % 4
     weeks = F.element_at(F.array(*(F.lit(w) for w in (-2, -1, 1, 2))), (pick + 1).cast("int"))
     moved = crossed.select("channel_id", "object_id", "t", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep")).withColumn("t", F.col("t") + F.make_dt_interval(days=7 * weeks))
-    other = moved.select("rep", "object_id", F.col("channel_id").alias("other"), F.col("t").alias("u"))
-    near = moved.join(other, ["rep", "object_id"]).where((F.col("other") != F.col("channel_id")) & F.col("u").between(F.col("t") - F.expr(f"interval {before}"), F.col("t") + F.expr(f"interval {after}")))
-    hits = near.groupBy("rep").agg(F.count_distinct("channel_id", "t").alias("with_neighbours"))
-    return moved.select("rep").distinct().join(hits, "rep", "left").fillna(0, ["with_neighbours"])
+    return neighbours(moved, before, after).groupBy("rep").agg(F.count_distinct(F.when(F.col("neighbours") > 0, F.struct("channel_id", "t"))).alias("with_neighbours"))
 
 
 def eligibility(rows: DataFrame, threshold: float) -> DataFrame:
@@ -50,11 +48,61 @@ def eligibility(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.withColumns({"reasons": reasons, "eligible": F.size(reasons) == 0})
 
 
-def recommendation(score: Column, context: Column) -> Column:
-    """struct(code, text) for a score and its maintenance context."""
-    code = F.when(score.isNull(), "ABSTAIN").when(context == "verified_schedule", "CHECK_SCHEDULE").when(score >= 0.5, "INSPECT").when(score >= 0.2, "WATCH").otherwise("NONE")
-    text = F.when(code == "INSPECT", "Inspect before the window starts").when(code == "WATCH", "Watch the next readings").when(code == "CHECK_SCHEDULE", "Compare with the planned work").otherwise("No action")
-    return F.struct(code.alias("code"), text.alias("text"))
+#: Codes of advice (fixed names of the interface).
+ADVICE_VERSION = "manual-advisory-v1"
+
+
+def _advice(branches: list[tuple[Column, str, Column]], code: str, basis: Column) -> Column:
+    """struct(version, code, basis_codes, automated_action_allowed) by the first branch that holds."""
+    made = lambda c, b: F.struct(F.lit(ADVICE_VERSION).alias("version"), F.lit(c).alias("code"), b.alias("basis_codes"), F.lit(False).alias("automated_action_allowed"))
+    out = made(code, basis)
+    for condition, name, reasons in reversed(branches):
+        out = F.when(condition, made(name, reasons)).otherwise(out)
+    return out
+
+
+def _codes(*names: str) -> Column:
+    return F.array(*(F.lit(n) for n in names))
+
+
+def recommendation(reasons: Column, status: Column, context: Column) -> Column:
+    """Advice on a channel's forecast by its reason codes, decision status and maintenance context. No score decides it, and it orders nothing.
+
+    A reading above the threshold, a missing reading, an abstention, a verified schedule and a recent silence come in this order."""
+    held = F.coalesce(reasons, F.expr("cast(array() as array<string>)"))
+    has = lambda code: F.array_contains(held, code)
+    return _advice([
+        (has("ABOVE_THRESHOLD_AT_D"), "CURRENT_ALARM_PROTOCOL", _codes("ABOVE_THRESHOLD_AT_D")),
+        (has("NO_GAS_READING_AT_D"), "CHECK_TELEMETRY", _codes("NO_GAS_READING_AT_D")),
+        (F.coalesce(status == "abstain", F.lit(False)), "NO_GAS_FORECAST", F.when(F.size(held) > 0, F.array_sort(F.array_distinct(held))).otherwise(_codes("ABSTAIN"))),
+        (F.coalesce(context == "verified_schedule", F.lit(False)), "REVIEW_VERIFIED_PPR", _codes("GAS_PROXY", "VERIFIED_SCHEDULE")),
+        (F.coalesce(context == "possible_recent_silence", F.lit(False)), "CHECK_MAINTENANCE_LOG", _codes("GAS_PROXY", "POSSIBLE_RECENT_SILENCE")),
+    ], "REVIEW_GAS_TREND", _codes("GAS_PROXY"))
+
+
+def incident_recommendation(abstain: Column, label_source: Column, evidence: Column) -> Column:
+    """Advice on an object's incident forecast by why it abstains, where its labels come from and how good the evidence is."""
+    stub = F.coalesce(label_source == "stub", F.lit(False))
+    some = F.coalesce(abstain != "", F.lit(False))
+    return _advice([
+        (some, "NO_INCIDENT_FORECAST", F.when(stub, F.array(abstain, F.lit("STUB_LABELS"))).otherwise(F.array(abstain))),
+        (stub | F.coalesce(evidence == "E4", F.lit(False)), "DEMO_ONLY", _codes("STUB_LABELS")),
+    ], "REVIEW_INCIDENT_FACTORS", _codes("INCIDENT_REGISTER"))
+
+
+def maintenance_state(objects: DataFrame, activity: DataFrame, schedule: DataFrame, day: Column, least: int = 7, lookback: int = 21, history: int = 90) -> DataFrame:
+    """objects (object_id) with maintenance_context at the end of `day`: verified_schedule if a planned window holds it (s <= day <= e),
+    else possible_recent_silence if the latest silence of at least `least` days that readings bound on both sides ended 1 to `lookback`
+    days ago, else null; with that silence's length and age and the window's bounds. Only days up to `day`, `history` back, count."""
+    days = activity.where((F.col("day") <= day) & (F.col("day") >= F.date_sub(day, history))).select("object_id", "day").distinct()
+    by = Window.partitionBy("object_id").orderBy("day")
+    gaps = days.withColumn("next", F.lead("day").over(by)).where(F.date_diff("next", "day") - 1 >= least)
+    gaps = gaps.select("object_id", (F.date_diff("next", "day") - 1).alias("silence_length_days"), (F.date_diff(day, F.col("next")) + 1).alias("silence_ended_days_ago")).where(F.col("silence_ended_days_ago").between(1, lookback))
+    silent = gaps.groupBy("object_id").agg(F.min_by(F.struct("silence_length_days", "silence_ended_days_ago"), "silence_ended_days_ago").alias("x")).select("object_id", "x.*")
+    planned = schedule.where((F.col("start") <= day) & (day <= F.col("end"))).groupBy("object_id").agg(F.max(F.struct("start", "end")).alias("w")).select("object_id", F.col("w.start").alias("schedule_start"), F.col("w.end").alias("schedule_end"))
+    out = objects.join(silent, "object_id", "left").join(planned, "object_id", "left")
+    context = F.when(F.col("schedule_start").isNotNull(), "verified_schedule").when(F.col("silence_length_days").isNotNull(), "possible_recent_silence")
+    return out.withColumn("maintenance_context", context)
 
 
 def humanised(feature: Column, names: dict[str, str]) -> Column:

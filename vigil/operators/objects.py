@@ -98,11 +98,20 @@ def window_days(runs: DataFrame, key: str, before: int = 3, after: int = 21) ->
 
 def neighbours(crossed: DataFrame, before: str = "6 hours", after: str = "15 minutes") -> DataFrame:
     """crossed (channel_id, object_id, t) with the number of other channels of its object that cross from `before`
-    before to `after` after it, both ends included."""
-    other = crossed.select("object_id", F.col("channel_id").alias("other"), F.col("t").alias("u"))
-    near = crossed.select("channel_id", "object_id", "t").join(other, "object_id").where(F.col("other") != F.col("channel_id")).where(F.col("u").between(F.col("t") - F.expr(f"interval {before}"), F.col("t") + F.expr(f"interval {after}")))
-    counts = near.groupBy("channel_id", "t").agg(F.count_distinct("other").alias("neighbours"))
-    return crossed.join(counts, ["channel_id", "t"], "left").fillna(0, ["neighbours"])
+    before to `after` after it, both ends included.
+
+    Times fall into buckets as wide as the window; a crossing lies in one, and looks into the two or three that its window
+    touches: only crossings of an object that are near in time meet, however long the history is."""
+    width = F.unix_micros(F.expr(f"timestamp'1970-01-01 00:00:00Z' + interval {before} + interval {after}"))
+    at = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / width).cast("long")
+    low, high = F.col("t") - F.expr(f"interval {before}"), F.col("t") + F.expr(f"interval {after}")
+    keys = [c for c in ("rep", "object_id") if c in crossed.columns]
+    other = crossed.select(*keys, F.col("channel_id").alias("other"), F.col("t").alias("u"), at(F.col("t")).alias("bucket"))
+    looking = crossed.select(*keys, "channel_id", "t").distinct().withColumn("bucket", F.explode(F.sequence(at(low), at(high))))
+    near = looking.join(other, [*keys, "bucket"]).where((F.col("other") != F.col("channel_id")) & F.col("u").between(low, high))
+    named = [*(k for k in keys if k == "rep"), "channel_id", "t"]
+    counts = near.groupBy(*named).agg(F.count_distinct("other").alias("neighbours"))
+    return crossed.join(counts, named, "left").fillna(0, ["neighbours"])
 
 
 def crossing_shapes(cell: DataFrame, threshold: float, low: float, peak_minutes: int, cap_minutes: int) -> DataFrame:
@@ -118,13 +127,94 @@ def crossing_shapes(cell: DataFrame, threshold: float, low: float, peak_minutes:
     return rows.select("channel_id", "t", "peak", F.coalesce((F.col("below") - F.col("s")) / minute, F.lit(float(cap_minutes))).alias("minutes_above"), F.col("below").isNull().alias("censored"), ((F.col("s") - F.col("calm")) / minute).alias("rise_minutes"))
 
 
-def triage(shapes: DataFrame) -> DataFrame:
-    """Label of each crossing: bump (short, alone, by day on a working day), attention (with neighbours or a high peak), else watch; and why."""
-    day_time = F.hour("t").between(7, 18) & (F.weekday("t") < 5)
-    short = (F.col("minutes_above") <= 360) & ~F.col("censored")
-    label = F.when(F.col("neighbours") > 0, "attention").when(F.col("peak") >= 400, "attention").when(short & day_time, "bump").otherwise("watch")
-    reasons = F.array_compact(F.array(F.when(F.col("neighbours") > 0, "neighbours"), F.when(F.col("peak") >= 400, "high_peak"), F.when(F.col("censored"), "censored"), F.when(~day_time, "off_hours")))
-    return shapes.withColumns({"label": label, "reasons": F.array_join(reasons, "|")})
+def live_shapes(cell: DataFrame, threshold: float = 1.0, live: float = 15, fast: float = 5, recent: float = 10) -> DataFrame:
+    """Crossings (rows of cell with cross) with what is known of their shape `live` minutes on, at decision_t.
+
+    cell: channel_id, object_id, t, low, high, cross. ended_fast: a whole cell below the threshold within `fast` minutes, and none
+    with a reading above it from there to decision_t (else repeat). peak: the highest reading so far. state: unknown without such
+    an end, else observed_below if the last reading is at most `recent` minutes old, or inferred_below."""
+    minute = 60_000_000
+    rows = cell.withColumn("s", F.unix_micros(F.col("t").cast("timestamp")))
+    by = Window.partitionBy("channel_id").orderBy("s")
+    frame = lambda a, b: by.rangeBetween(a, int(b * minute))
+    rows = rows.withColumns({
+        "drop_s": F.min(F.when(F.col("high") < threshold, F.col("s"))).over(frame(1, fast)),
+        "above_s": F.max(F.when(F.col("high") >= threshold, F.col("s"))).over(frame(1, live)),
+        "peak": F.max("high").over(frame(0, live)),
+        "last_s": F.max(F.when(F.col("high").isNotNull(), F.col("s"))).over(frame(0, live)),
+    }).where("cross")
+    repeat = F.coalesce(F.col("above_s") > F.col("drop_s"), F.lit(False))
+    age = F.lit(float(live)) - (F.col("last_s") - F.col("s")) / minute
+    fine = F.col("drop_s").isNotNull() & ~repeat
+    state = F.when(~fine | F.col("peak").isNull(), "unknown").when(age <= recent, "observed_below").otherwise("inferred_below")
+    return rows.select("channel_id", "object_id", "t", (F.col("t") + F.make_dt_interval(secs=F.lit(live * 60))).alias("decision_t"), fine.alias("ended_fast"), repeat.alias("repeat"), "peak", age.alias("age_minutes"), state.alias("state"))
+
+
+def silence_context(rows: DataFrame, activity: DataFrame, runs: DataFrame, history: int = 90, before: int = 3, after: int = 21) -> DataFrame:
+    """rows (object_id, t) with after_silence (true, false, or unknown with less than `history` days since the object's first day of
+    activity) and in_posthoc (a run from `before` days before its start to `after` days after its end holds the day)."""
+    first = activity.groupBy("object_id").agg(F.min("day").alias("first_day"))
+    days = rows.select("object_id", F.to_date("t").alias("day")).distinct()
+    since = F.date_diff("day", "end")
+    near = days.join(runs.select("object_id", "start", "end"), "object_id").where((F.col("day") >= F.date_sub("start", before)) & (F.col("day") <= F.date_add("end", after)))
+    found = near.groupBy("object_id", "day").agg(F.bool_or(since.between(1, after)).alias("recent"))
+    out = rows.withColumn("day", F.to_date("t")).join(first, "object_id", "left").join(found, ["object_id", "day"], "left")
+    known = F.coalesce(F.date_diff("day", "first_day") >= history, F.lit(False))
+    recent = F.coalesce("recent", F.lit(False))
+    return out.withColumns({"after_silence": F.when(~known, "unknown").otherwise(recent.cast("string")), "in_posthoc": known & F.col("recent").isNotNull()}).drop("first_day", "recent")
+
+
+def triage(cell: DataFrame, activity: DataFrame, runs: DataFrame, archive_end: Column, threshold: float = 1.0, peak_limit: float = 2.6, hours: int = 6, live: float = 15, fast: float = 5, recent: float = 10, history: int = 90) -> DataFrame:
+    """Crossings with their live, strict and retrospective label, the state of knowledge of each, and the reasons.
+
+    A bad shape (not ended fast, peak over the limit, unknown state) needs attention; a good one likely comes after maintenance if
+    the object was silent shortly before, is likely a bump test if other channels of the object cross from `hours` before to
+    decision_t, and else short and isolated. Strict: a likely cause with a state that is only inferred needs attention. In
+    retrospect, by the day's end, two other channels on that day make a bump test."""
+    shapes = live_shapes(cell, threshold, live, fast, recent)
+    shapes = neighbours(shapes, f"{hours} hours", f"{live * 60:g} seconds")
+    same_day = shapes.groupBy("object_id", F.to_date("t").alias("day")).agg((F.count_distinct("channel_id") - 1).alias("others_on_day"))
+    rows = silence_context(shapes, activity, runs, history).join(same_day, ["object_id", "day"])
+    bad = ~F.col("ended_fast") | F.col("peak").isNull() | (F.col("peak") > peak_limit) | (F.col("state") == "unknown")
+    label = lambda others, least: F.when(bad, "needs_attention").when(F.col("after_silence") == "true", "likely_after_maintenance").when(F.col(others) >= least, "likely_bump_test").otherwise("short_isolated")
+    now, c = label("neighbours", 1), F.col("decision_t")
+    day_end = F.date_add("day", 1).cast("timestamp_ntz") - F.expr("interval 1 microsecond")
+    decided = c <= archive_end
+    return rows.withColumns({
+        "shape_ok": ~bad,
+        "live": F.when(decided, now),
+        "strict": F.when(decided, F.when(now.startswith("likely_") & (F.col("state") != "observed_below"), "needs_attention").otherwise(now)),
+        "retro": F.when(day_end > archive_end, "censored_right").when(c > day_end, "censored_by_day").otherwise(label("others_on_day", 2)),
+        "status_at_archive_end": F.when(decided, "decided").otherwise("censored_right"),
+        "status_at_day_end": F.when(F.to_date("decision_t") > F.col("day"), "pending_at_day_end").otherwise("decided"),
+        "series_only": ~bad & (F.col("neighbours") >= 1),
+        "series_only_strict": ~bad & (F.col("neighbours") >= 1) & (F.col("state") == "observed_below"),
+        "reasons": F.struct("ended_fast", F.col("repeat").alias("repeat_by_c"), F.col("peak").alias("peak_by_c"), F.col("neighbours").alias("other_ch_by_live_cutoff"), "after_silence", F.col("age_minutes").alias("last_reading_age_min")),
+    })
+
+
+def roll_up(channel_days: DataFrame, sums: list[str], group_sums: list[str], patterns: dict[str, str], high: str = "num_max", threshold: float = 1.0) -> DataFrame:
+    """Object days from channel days (channel_id, object_id, day, sensor_type and the columns to sum).
+
+    A sensor belongs to the first group whose pattern its type (in lower case) contains, else to `other`. Channels, sums of all
+    channels, channels and sums of each group, shares of channels whose link isn't in order and whose power is off (of those with a known
+    state, where such columns are), the largest reading, and each group's own alarms of the day (not features). Rows without object are left out."""
+    kind = F.lower(F.coalesce("sensor_type", F.lit("")))
+    group = F.lit("other")
+    for name in reversed(patterns):
+        group = F.when(kind.rlike(patterns[name]), name).otherwise(group)
+    rows = channel_days.where("object_id is not null").withColumn("__group", group)
+    parts = [F.count("*").alias("obj__n_channels"), *(F.coalesce(F.sum(F.col(c).cast("double")), F.lit(0.0)).alias(f"obj__{c}") for c in sums)]
+    for name in [*patterns, "other"]:
+        own = F.col("__group") == name
+        parts += [F.count_if(own).alias(f"grp_{name}__n_channels"), *(F.coalesce(F.sum(F.when(own, F.col(c).cast("double"))), F.lit(0.0)).alias(f"grp_{name}__{c}") for c in group_sums)]
+    for column, out, wanted in (("link_now", "obj__share_link_not_ok", F.col("link_now") != "O" if "link_now" in rows.columns else None), ("power_now", "obj__share_power_off", F.col("power_now") == "F" if "power_now" in rows.columns else None)):
+        if column in rows.columns:
+            parts.append(F.avg(wanted.cast("double")).alias(out))
+    parts += [F.max(high).alias("obj__reading_max"), F.count_if(F.col(high) >= threshold).alias("__above")]
+    out = rows.groupBy("object_id", "day").agg(*parts)
+    own_alarms = {f"_fp_{name}": F.col(f"grp_{name}__n_alarm") + (F.col("__above") if i == 0 else 0) for i, name in enumerate(patterns)}
+    return out.withColumns(own_alarms | {"d_month": F.month("day")}).drop("__above")
 
 
 def exposure(rows: DataFrame, by: list[str], time: str, key: str) -> DataFrame:

@@ -82,7 +82,7 @@ def alarm_runs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{SILENCE}, ev AS (SELECT channel_id, day FROM cd WHERE n_alarm > 0) SELECT ev.channel_id, ev.day, coalesce(bool_or(ev.day BETWEEN s.start - 3 AND s.\"end\" + 5), false) AS in_window, CAST(ev.day - max(s.\"end\") FILTER (WHERE s.\"end\" < ev.day) AS INTEGER) AS days_since_run FROM ev LEFT JOIN silence s ON s.channel_id = ev.channel_id GROUP BY 1, 2")
 def maintenance_context(spark: SparkSession, d: str) -> DataFrame:
-    """J15, L16, L17, J21"""
+    """J15, L16"""
     days = channel_days(spark, d)
     return O.maintenance_context(days.where("n_alarm > 0").select("channel_id", "day"), O.silence_runs(days, "channel_id", 2), "channel_id", 3, 5)
 
@@ -122,27 +122,36 @@ def neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{SH} SELECT * FROM sh")
 def crossing_shapes(spark: SparkSession, d: str) -> DataFrame:
-    """W18, W19"""
+    """W18"""
     return shapes_of(spark, d)
 
 
-TR = SH + ", tr0 AS (SELECT sh.*, neighbours, object_id, hour(sh.t) BETWEEN 7 AND 18 AND isodow(sh.t) < 6 AS dt FROM sh JOIN nb ON nb.channel_id = sh.channel_id AND nb.t = sh.t), tr AS (SELECT *, CASE WHEN neighbours > 0 OR peak >= 400 THEN 'attention' WHEN minutes_above <= 360 AND NOT censored AND dt THEN 'bump' ELSE 'watch' END AS label, concat_ws('|', CASE WHEN neighbours > 0 THEN 'neighbours' END, CASE WHEN peak >= 400 THEN 'high_peak' END, CASE WHEN censored THEN 'censored' END, CASE WHEN NOT dt THEN 'off_hours' END) AS reasons FROM tr0)"
+#: Triage of the driver's crossings: hours stand for minutes, days with a reading of 100 or more are an object's activity.
+TR = CROSS + ", cx AS (SELECT c.*, object_id FROM crossings c JOIN channels USING (channel_id)), ac AS (SELECT DISTINCT object_id, CAST(t AS DATE) AS day FROM cx WHERE high >= 100), an AS (SELECT object_id, day, lead(day) OVER (PARTITION BY object_id ORDER BY day) AS nx FROM ac), runs AS (SELECT object_id, day + 1 AS start, nx - 1 AS \"end\" FROM an WHERE nx - day - 1 >= 1), fd AS (SELECT object_id, min(day) AS first_day FROM ac GROUP BY 1), lv AS (SELECT c.channel_id, c.object_id, c.t, CAST(c.t AS DATE) AS day, c.t + INTERVAL 72 HOUR AS decision_t, (SELECT min(t) FROM cx y WHERE y.channel_id = c.channel_id AND y.high < 100 AND y.t > c.t AND y.t <= c.t + INTERVAL 24 HOUR) AS drop_t, (SELECT max(t) FROM cx y WHERE y.channel_id = c.channel_id AND y.high >= 100 AND y.t > c.t AND y.t <= c.t + INTERVAL 72 HOUR) AS above_t, (SELECT max(high) FROM cx y WHERE y.channel_id = c.channel_id AND y.t BETWEEN c.t AND c.t + INTERVAL 72 HOUR) AS peak, (SELECT max(t) FROM cx y WHERE y.channel_id = c.channel_id AND y.t BETWEEN c.t AND c.t + INTERVAL 72 HOUR) AS last_t FROM cx c WHERE \"cross\"), ls AS (SELECT *, coalesce(above_t > drop_t, false) AS repeat, drop_t IS NOT NULL AND NOT coalesce(above_t > drop_t, false) AS ended_fast, 4320.0 - date_diff('minute', t, last_t) AS age_minutes FROM lv), lt AS (SELECT *, CASE WHEN NOT ended_fast THEN 'unknown' WHEN age_minutes <= 2880 THEN 'observed_below' ELSE 'inferred_below' END AS state, (SELECT count(DISTINCT y.channel_id) FROM lv y WHERE y.object_id = ls.object_id AND y.channel_id <> ls.channel_id AND y.t BETWEEN ls.t - INTERVAL 6 HOUR AND ls.decision_t) AS neighbours, (SELECT count(DISTINCT y.channel_id) FROM lv y WHERE y.object_id = ls.object_id AND y.channel_id <> ls.channel_id AND y.day = ls.day) AS others_on_day, CASE WHEN ls.day - first_day < 5 OR first_day IS NULL THEN 'unknown' WHEN EXISTS (SELECT 1 FROM runs r WHERE r.object_id = ls.object_id AND ls.day - r.\"end\" BETWEEN 1 AND 21) THEN 'true' ELSE 'false' END AS after_silence FROM ls LEFT JOIN fd USING (object_id)), tb AS (SELECT *, NOT ended_fast OR peak > 300 OR state = 'unknown' AS bad FROM lt), tl AS (SELECT *, CASE WHEN bad THEN 'needs_attention' WHEN after_silence = 'true' THEN 'likely_after_maintenance' WHEN neighbours >= 1 THEN 'likely_bump_test' ELSE 'short_isolated' END AS now, day + 1 - INTERVAL 1 MICROSECOND AS day_end FROM tb), tr AS (SELECT *, CASE WHEN decision_t <= TIMESTAMP '2024-01-31' THEN now END AS live, CASE WHEN decision_t <= TIMESTAMP '2024-01-31' THEN CASE WHEN now LIKE 'likely%' AND state <> 'observed_below' THEN 'needs_attention' ELSE now END END AS strict, CASE WHEN day_end > TIMESTAMP '2024-01-31' THEN 'censored_right' WHEN decision_t > day_end THEN 'censored_by_day' WHEN bad THEN 'needs_attention' WHEN after_silence = 'true' THEN 'likely_after_maintenance' WHEN others_on_day >= 2 THEN 'likely_bump_test' ELSE 'short_isolated' END AS retro FROM tl)"
 
 
 def triage_of(spark: SparkSession, d: str) -> DataFrame:
-    return O.triage(shapes_of(spark, d).join(O.neighbours(crossed_of(spark, d)), ["channel_id", "t"]))
+    cell = crossings_of(spark, d).join(B.channels(spark, d).select("channel_id", "object_id"), "channel_id")
+    activity = cell.where("high >= 100").select("object_id", F.to_date("t").alias("day")).distinct()
+    return O.triage(cell, activity, O.silence_runs(activity, "object_id", 1), F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"), threshold=100.0, peak_limit=300.0, live=72 * 60, fast=24 * 60, recent=48 * 60, history=5)
 
 
-@query(f"{TR} SELECT channel_id, t, label, reasons FROM tr")
+@query(f"{TR} SELECT channel_id, t, live, strict, retro, CASE WHEN decision_t <= TIMESTAMP '2024-01-31' THEN 'decided' ELSE 'censored_right' END AS status_at_archive_end, CASE WHEN CAST(decision_t AS DATE) > day THEN 'pending_at_day_end' ELSE 'decided' END AS status_at_day_end, NOT bad AND neighbours >= 1 AS series_only, NOT bad AND neighbours >= 1 AND state = 'observed_below' AS series_only_strict, ended_fast, repeat AS repeat_by_c, peak AS peak_by_c, neighbours AS other_ch_by_live_cutoff, after_silence, CAST(age_minutes AS DOUBLE) AS last_reading_age_min, state FROM tr")
 def triage(spark: SparkSession, d: str) -> DataFrame:
-    """L20"""
-    return triage_of(spark, d).select("channel_id", "t", "label", "reasons")
+    """L20, W19"""
+    return triage_of(spark, d).select("channel_id", "t", "live", "strict", "retro", "status_at_archive_end", "status_at_day_end", "series_only", "series_only_strict", "reasons.*", "state")
 
 
-@query(f"{TR}, ex AS (SELECT label, object_id, count(*) AS k, count(*) FILTER (WHERE isodow(t) >= 6) AS w, count(*) FILTER (WHERE hour(t) NOT BETWEEN 7 AND 18) AS o FROM tr GROUP BY 1, 2), er AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY k DESC, object_id) AS r FROM ex) SELECT label, CAST(sum(k) AS BIGINT) AS n, round(sum(w) / sum(k), 6) AS weekend_share, round(sum(o) / sum(k), 6) AS off_hours_share, round(sum(k) FILTER (WHERE r = 1) / sum(k), 6) AS top1_share, round(sum(k) FILTER (WHERE r <= 3) / sum(k), 6) AS top3_share FROM er GROUP BY 1")
+@query(f"{TR} SELECT object_id, day, max(after_silence) AS after_silence, bool_or(after_silence <> 'unknown' AND EXISTS (SELECT 1 FROM runs r WHERE r.object_id = tr.object_id AND tr.day BETWEEN r.start - 3 AND r.\"end\" + 21)) AS in_posthoc FROM tr GROUP BY 1, 2")
+def silence_context(spark: SparkSession, d: str) -> DataFrame:
+    """Three-valued context of each object and day with a crossing"""
+    return triage_of(spark, d).groupBy("object_id", "day").agg(F.max("after_silence").alias("after_silence"), F.bool_or("in_posthoc").alias("in_posthoc"))
+
+
+@query(f"{TR}, trl AS (SELECT *, strict AS label FROM tr WHERE strict IS NOT NULL), ex AS (SELECT label, object_id, count(*) AS k, count(*) FILTER (WHERE isodow(t) >= 6) AS w, count(*) FILTER (WHERE hour(t) NOT BETWEEN 7 AND 18) AS o FROM trl GROUP BY 1, 2), er AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY k DESC, object_id) AS r FROM ex) SELECT label, CAST(sum(k) AS BIGINT) AS n, round(sum(w) / sum(k), 6) AS weekend_share, round(sum(o) / sum(k), 6) AS off_hours_share, round(sum(k) FILTER (WHERE r = 1) / sum(k), 6) AS top1_share, round(sum(k) FILTER (WHERE r <= 3) / sum(k), 6) AS top3_share FROM er GROUP BY 1")
 def triage_exposure(spark: SparkSession, d: str) -> DataFrame:
-    """A23, A27, W24"""
-    return rounded(O.exposure(triage_of(spark, d), ["label"], "t", "object_id"), "weekend_share", "off_hours_share", "top1_share", "top3_share")
+    """A23, W24"""
+    return rounded(O.exposure(triage_of(spark, d).where("strict is not null").withColumn("label", F.col("strict")), ["label"], "t", "object_id"), "weekend_share", "off_hours_share", "top1_share", "top3_share")
 
 
 @query(f"{SH}, b AS (SELECT floor(peak / 10) * 10 AS peak_bin, count(*) AS n FROM sh GROUP BY 1 ORDER BY n DESC, 1 LIMIT 1) SELECT (SELECT peak_bin FROM b) AS peak_bin, round(quantile_cont(peak, 0.25), 6) AS peak_q1, round(quantile_cont(peak, 0.75), 6) AS peak_q3, quantile_disc(minutes_above, 0.95) AS duration_p95, round(avg(CAST(censored AS INTEGER)), 6) AS censored_share FROM sh")
@@ -151,10 +160,10 @@ def fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return rounded(O.fingerprint(shapes_of(spark, d), 10.0).withColumn("peak_bin", F.col("peak_bin").cast("double")), "peak_q1", "peak_q3", "censored_share")
 
 
-@query(f"{TR}, c AS (SELECT CAST(DATE '2024-01-01' + CAST(k AS INTEGER) AS DATE) AS day FROM (SELECT unnest(range(0, 30)) AS k)), n AS (SELECT c.day, count(tr.t) AS n FROM c LEFT JOIN tr ON CAST(tr.t AS DATE) = c.day AND label = 'attention' GROUP BY 1) SELECT count(*) AS days, round(avg(n), 6) AS mean_n, round(quantile_cont(n, 0.95), 6) AS p95_n, max(n) AS max_n FROM n")
+@query(f"{TR}, c AS (SELECT CAST(DATE '2024-01-01' + CAST(k AS INTEGER) AS DATE) AS day FROM (SELECT unnest(range(0, 30)) AS k)), n AS (SELECT c.day, count(tr.t) AS n FROM c LEFT JOIN tr ON CAST(tr.t AS DATE) = c.day AND strict = 'needs_attention' GROUP BY 1) SELECT count(*) AS days, round(avg(n), 6) AS mean_n, round(quantile_cont(n, 0.95), 6) AS p95_n, max(n) AS max_n FROM n")
 def alert_burden(spark: SparkSession, d: str) -> DataFrame:
     """A24"""
-    days = triage_of(spark, d).where("label = 'attention'").withColumn("day", F.to_date("t"))
+    days = triage_of(spark, d).where("strict = 'needs_attention'")
     return rounded(O.burden(days, F.lit("2024-01-01").cast("date"), F.lit("2024-01-30").cast("date")), "mean_n", "p95_n")
 
 

@@ -91,11 +91,46 @@ def eligibility(spark: SparkSession, d: str) -> DataFrame:
     return P.eligibility(rows, 100.0).select("channel_id", F.array_join("reasons", "|").alias("reasons"), "eligible")
 
 
-@query(f"{SC} SELECT channel_id, day, score, CAST(day + 2 AS DATE) AS window_start, CAST(day + 3 AS DATE) AS window_end, CAST(24 AS BIGINT) AS horizon_hours, CASE WHEN score >= 0.5 THEN 'INSPECT' WHEN score >= 0.2 THEN 'WATCH' ELSE 'NONE' END AS code FROM scores")
+@query(f"{SC} SELECT channel_id, day, score, CAST(day + 2 AS DATE) AS window_start, CAST(day + 3 AS DATE) AS window_end, CAST(24 AS BIGINT) AS horizon_hours FROM scores")
 def forecast_ledger(spark: SparkSession, d: str) -> DataFrame:
-    """L28, F25, L10"""
-    rows = P.ledger(scores_of(spark, d))
-    return rows.select("channel_id", "day", "score", "window_start", "window_end", "horizon_hours", P.recommendation(F.col("score"), F.lit("unknown"))["code"].alias("code"))
+    """L28, L10"""
+    return P.ledger(scores_of(spark, d)).select("channel_id", "day", "score", "window_start", "window_end", "horizon_hours")
+
+
+PLAN = ", act AS (SELECT DISTINCT object_id, CAST(event_time AS DATE) AS day FROM journal JOIN channels USING (channel_id) WHERE value_state = 'purchase' AND value_numeric >= 100 AND event_time < TIMESTAMP '2024-01-26'), ag AS (SELECT object_id, day, lead(day) OVER (PARTITION BY object_id ORDER BY day) AS nx FROM act), sil AS (SELECT object_id, arg_min(nx - day - 1, DATE '2024-01-25' - nx + 1) AS silence_length_days, min(DATE '2024-01-25' - nx + 1) AS silence_ended_days_ago FROM ag WHERE nx - day - 1 >= 1 AND DATE '2024-01-25' - nx + 1 BETWEEN 1 AND 21 GROUP BY 1), sch AS (SELECT object_id, DATE '2024-01-20' + CAST(object_id % 7 AS INTEGER) AS start, DATE '2024-01-20' + CAST(object_id % 7 AS INTEGER) + 1 AS \"end\" FROM objects WHERE object_id % 3 = 0), ms AS (SELECT o.object_id, CASE WHEN sch.object_id IS NOT NULL THEN 'verified_schedule' WHEN sil.object_id IS NOT NULL THEN 'possible_recent_silence' END AS maintenance_context, CAST(silence_length_days AS INTEGER) AS silence_length_days, CAST(silence_ended_days_ago AS INTEGER) AS silence_ended_days_ago, CAST(sch.start AS DATE) AS schedule_start FROM objects o LEFT JOIN sil USING (object_id) LEFT JOIN sch ON sch.object_id = o.object_id AND DATE '2024-01-25' BETWEEN sch.start AND sch.\"end\")"
+
+
+def maintenance_of(spark: SparkSession, d: str) -> DataFrame:
+    """Objects on 25 January; every third has a planned window of two days."""
+    activity = B.journal(spark, d).where("value_state = 'purchase' and value_numeric >= 100").join(B.channels(spark, d), "channel_id").select("object_id", F.to_date("event_time").alias("day"))
+    start = F.date_add(F.lit("2024-01-20").cast("date"), (F.col("object_id") % 7).cast("int"))
+    schedule = B.objects(spark, d).where("object_id % 3 = 0").select("object_id", start.alias("start"), F.date_add(start, 1).alias("end"))
+    return P.maintenance_state(B.objects(spark, d).select("object_id"), activity, schedule, F.lit("2024-01-25").cast("date"), least=1)
+
+
+@query(f"{PLAN} SELECT * FROM ms")
+def maintenance_state(spark: SparkSession, d: str) -> DataFrame:
+    """Verified schedule, recent silence or nothing, as of a day"""
+    return maintenance_of(spark, d).select("object_id", "maintenance_context", "silence_length_days", "silence_ended_days_ago", "schedule_start")
+
+
+@query(f"{PLAN}, dy AS (SELECT channel_id, count(*) FILTER (WHERE value_state = 'purchase') AS readings, arg_max(value_numeric, (event_time, event_id)) FILTER (WHERE value_state = 'purchase') AS last_reading FROM journal WHERE event_time >= TIMESTAMP '2024-01-20' AND event_time < TIMESTAMP '2024-01-26' GROUP BY 1), rc AS (SELECT channel_id, object_id, readings, last_reading, maintenance_context FROM dy JOIN channels USING (channel_id) JOIN ms USING (object_id)) SELECT channel_id, CASE WHEN last_reading >= 100 THEN 'CURRENT_ALARM_PROTOCOL' WHEN readings = 0 THEN 'CHECK_TELEMETRY' WHEN channel_id % 10 = 3 THEN 'NO_GAS_FORECAST' WHEN maintenance_context = 'verified_schedule' THEN 'REVIEW_VERIFIED_PPR' WHEN maintenance_context = 'possible_recent_silence' THEN 'CHECK_MAINTENANCE_LOG' ELSE 'REVIEW_GAS_TREND' END AS code, CASE WHEN last_reading >= 100 THEN 'ABOVE_THRESHOLD_AT_D' WHEN readings = 0 THEN 'NO_GAS_READING_AT_D' WHEN channel_id % 10 = 3 THEN 'ABSTAIN' WHEN maintenance_context = 'verified_schedule' THEN 'GAS_PROXY|VERIFIED_SCHEDULE' WHEN maintenance_context = 'possible_recent_silence' THEN 'GAS_PROXY|POSSIBLE_RECENT_SILENCE' ELSE 'GAS_PROXY' END AS basis FROM rc")
+def recommendations(spark: SparkSession, d: str) -> DataFrame:
+    """advice on each channel of the last days, by reasons and maintenance context; every tenth channel abstains"""
+    reading = F.col("value_state") == "purchase"
+    days = B.journal(spark, d).where("event_time >= timestamp_ntz'2024-01-20' and event_time < timestamp_ntz'2024-01-26'").groupBy("channel_id").agg(F.count_if(reading).alias("readings"), F.max_by(F.when(reading, F.col("value_numeric")), F.when(reading, F.struct("event_time", "event_id"))).alias("last_reading"))
+    rows = days.join(B.channels(spark, d), "channel_id").join(maintenance_of(spark, d), "object_id")
+    reasons = F.array_compact(F.array(F.when(F.col("readings") == 0, "NO_GAS_READING_AT_D"), F.when(F.col("last_reading") >= 100, "ABOVE_THRESHOLD_AT_D")))
+    advice = P.recommendation(reasons, F.when(F.col("channel_id") % 10 == 3, "abstain").otherwise("experimental_shadow"), F.col("maintenance_context"))
+    return rows.select("channel_id", advice["code"].alias("code"), F.array_join(advice["basis_codes"], "|").alias("basis"))
+
+
+@query(f"{SC} SELECT channel_id, day, CASE WHEN label IS NULL THEN 'NO_INCIDENT_FORECAST' WHEN channel_id % 2 = 0 OR channel_id % 3 = 0 THEN 'DEMO_ONLY' ELSE 'REVIEW_INCIDENT_FACTORS' END AS code, CASE WHEN label IS NULL AND channel_id % 2 = 0 THEN 'NO_LABEL|STUB_LABELS' WHEN label IS NULL THEN 'NO_LABEL' WHEN channel_id % 2 = 0 OR channel_id % 3 = 0 THEN 'STUB_LABELS' ELSE 'INCIDENT_REGISTER' END AS basis FROM scores")
+def incident_recommendations(spark: SparkSession, d: str) -> DataFrame:
+    """even channels have stub labels, every third has weak evidence"""
+    c = F.col("channel_id")
+    advice = P.incident_recommendation(F.when(F.col("label").isNull(), "NO_LABEL"), F.when(c % 2 == 0, "stub"), F.when(c % 3 == 0, "E4"))
+    return scores_of(spark, d).select("channel_id", "day", advice["code"].alias("code"), F.array_join(advice["basis_codes"], "|").alias("basis"))
 
 
 @query(f"{SC}, h AS (SELECT day, count(*) AS f FROM scores GROUP BY 1) SELECT day, CAST(f + CASE WHEN isodow(day) = 1 THEN 1 ELSE 0 END AS BIGINT) AS fingerprint, CASE WHEN isodow(day) = 7 THEN 'new' WHEN isodow(day) = 1 THEN 'revision' ELSE 'same' END AS verdict, CASE WHEN isodow(day) = 1 THEN 2 ELSE 1 END AS revision FROM h")
