@@ -38,7 +38,7 @@ def journal(spark, rows):
 def panel(spark, rows, end, tau=300.0):
     j = journal(spark, rows)
     reading = F.col("value_numeric").isNotNull()
-    out = P.event_panel(j, T.cells(j, {"link": STREAM}), reading, 1.0, tau, F.lit(end).cast("timestamp_ntz"), [OK, FAULT], "second")
+    out = P.event_panel(j, STREAM, reading, 1.0, tau, F.lit(end).cast("timestamp_ntz"), [OK, FAULT], "second")
     return {(r.channel_id, (r.day - DAY0.date()).days): r for r in out.collect()}
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vigil.operators.states import asof_backward, change_points, crossings, daily, day_range, episodes, onsets_by_day
+from vigil.operators.states import Stream, change_points, day_range, seconds
 
 Branch = tuple[Column, int | None, str]
 
@@ -30,32 +30,65 @@ def shifted(facts: DataFrame, offset: int, columns: list[str]) -> DataFrame:
     return facts.select("channel_id", F.date_sub("day", offset).alias("day"), *(F.col(c).alias(f"{c}_d{offset}") for c in columns))
 
 
-def event_panel(events: DataFrame, cell: DataFrame, reading: Column, threshold: float, tau_seconds: float, data_end: Column, classes: list[str], grain: str, lookback: int = 7, windows: tuple[int, ...] = (3, 7)) -> DataFrame:
+def _moments(reading: Column) -> dict[str, Column]:
+    """Mergeable parts of the statistics of readings: count, sum, sum of squares, extremes."""
+    v = F.when(reading, F.col("value_numeric"))
+    return {"num_n": F.count(v), "num_sum": F.sum(v), "num_sq": F.sum(v * v), "num_min": F.min(v), "num_max": F.max(v)}
+
+
+def event_panel(events: DataFrame, stream: Stream, reading: Column, threshold: float, tau_seconds: float, data_end: Column, classes: list[str], grain: str, lookback: int = 7, windows: tuple[int, ...] = (3, 7)) -> DataFrame:
     """One row for each channel and grid day: counters, rolling sums, last reading, state at the day's end, onset
-    and crossing labels of day D+2 with reasons, and competing outcomes of D+1. data_end: last time of the data."""
+    and crossing labels of day D+2 with reasons, and competing outcomes of D+1. data_end: last time of the data.
+
+    Events are shuffled once, by channel, and grouped to cells there; states, change points, episodes and crossings are windows over a
+    channel's cells. Only day rows are shuffled again, with the grid's days, and merged by channel; later days are frames over them."""
     end_day = F.to_date(data_end)
-    facts = daily(events, classes, reading, threshold, grain)
-    points = change_points(cell, "link_state")
-    blocks = points.where("state = 'A'").groupBy("channel_id", F.to_date("t").alias("day")).agg(F.count("*").alias("link_blocks"))
-    onset = onsets_by_day(episodes(points, data_end, tau_seconds), "link")
-    cross = crossings(events.where(reading), threshold, grain).groupBy("channel_id", F.to_date("t").alias("day")).agg(F.count_if(F.col("cross")).alias("crossed"), F.count_if(F.col("cross_unknown")).alias("cross_unknown"))
-    panel = activity_grid(facts, lookback, end_day)
-    for part in (facts, onset, blocks, cross):
-        panel = panel.join(part, ["channel_id", "day"], "left")
-    counters = [c for c in panel.columns if c.startswith(("n_", "link_")) or c in ("num_n", "num_above", "crossed", "cross_unknown")]
-    panel = panel.fillna(0, counters)
+    v, by = F.col("value_numeric"), Window.partitionBy("channel_id").orderBy("t")
+    has = lambda values: F.bool_or(F.coalesce(F.col("value_state").isin(*values), F.lit(False)))
+    last = F.max(F.when(reading, F.struct("event_time", "value_numeric")))
+    own = events.select("channel_id", "event_time", "alarm", "value_numeric", "value_state").repartition("channel_id")
+    cell = own.groupBy("channel_id", F.date_trunc(grain, "event_time").cast("timestamp_ntz").alias("t")).agg(
+        F.count("*").alias("n_events"), F.count_if(F.col("alarm")).alias("n_alarm"), *(F.count_if(F.col("value_state") == c).alias(f"n_{c}") for c in classes),
+        *(c.alias(n) for n, c in _moments(reading).items()), F.count_if(reading & (v >= threshold)).alias("num_above"), last.alias("last"),
+        has(stream.fault).alias("f"), has(stream.ok).alias("o"), has(stream.unknown).alias("u"),
+    )
+    f, o, u = F.col("f"), F.col("o"), F.col("u")
+    doubtful = (f & o) | (u if stream.unknown_wins else u & ~f & ~o)
+    known = F.when(F.col("num_n") > 0, F.struct("num_min", "num_max"))
+    cell = cell.withColumns({"state": F.when(doubtful, "A").when(f, "F").when(o, "O"), "before": F.last(known, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)), "day": F.to_date("t")})
+    low, high, before_low, before_high = F.col("num_min"), F.col("num_max"), F.col("before.num_min"), F.col("before.num_max")
+    straddles = lambda a, b: (a < threshold) & (b >= threshold)
+    crossed = (low >= threshold) & (before_high < threshold)
+    unknown = (high >= threshold) & (before_high.isNull() | straddles(low, high) | ((low >= threshold) & F.coalesce(straddles(before_low, before_high), F.lit(False))))
+    final = F.max(F.when(F.col("num_n") > 0, F.struct("t", "num_min", "num_max")))
+    sums = ["n_events", "n_alarm", *(f"n_{c}" for c in classes), "num_n", "num_sum", "num_sq", "num_above"]
+    facts = cell.groupBy("channel_id", "day").agg(*(F.sum(c).alias(c) for c in sums), F.min("num_min").alias("num_min"), F.max("num_max").alias("num_max"), F.max("last")["value_numeric"].alias("num_last"), final.alias("final"), F.count_if(crossed).alias("crossed"), F.count_if(unknown).alias("cross_unknown"))
+    points = change_points(cell, "state")
+    block = F.col("state") == "F"
+    step = points.select("channel_id", "t", "state", F.lag("state").over(by).alias("was"), F.lead("state").over(by).alias("after"), F.lead("t").over(by).alias("next_t"))
+    sustained = F.when(F.coalesce(F.col("after") == "O", F.lit(False)), (seconds(F.col("t"), F.coalesce("next_t", data_end)) >= tau_seconds).cast("int"))
+    strict = block & F.coalesce(F.col("was") == "O", F.lit(False))
+    counted = {"link_strict": strict, "link_ambiguous": block & ~strict, "link_sustained": strict & (sustained == 1), "link_transient": strict & (sustained == 0), "link_censored": strict & sustained.isNull(), "link_blocks": F.col("state") == "A"}
+    steps = step.groupBy("channel_id", F.to_date("t").alias("day")).agg(*(F.count_if(c).alias(n) for n, c in counted.items()), F.max(F.struct("t", "state")).alias("point"))
+    grid = facts.select("channel_id", F.explode(F.sequence("day", F.date_add("day", lookback - 1))).alias("day"))
+    merged = facts.unionByName(steps, allowMissingColumns=True).unionByName(grid, allowMissingColumns=True).where(F.col("day") <= end_day).repartition("channel_id")
+    counters = [*(c for c in sums if c not in ("num_sum", "num_sq")), "crossed", "cross_unknown", *counted]
+    # Each fact stands in one row of its day; max picks it.
+    panel = merged.groupBy("channel_id", "day").agg(*(F.coalesce(F.max(c), F.lit(0)).alias(c) for c in counters), *(F.max(c).alias(c) for c in ("num_sum", "num_sq", "num_min", "num_max", "num_last", "final", "point")))
+    mean = F.col("num_sum") / F.nullif("num_n", F.lit(0))
+    deviation = F.when(F.col("num_n") > 1, F.sqrt(F.greatest((F.col("num_sq") - F.col("num_sum") * mean) / (F.col("num_n") - 1), F.lit(0.0))))
+    mixed = F.coalesce(straddles(F.col("final.num_min"), F.col("final.num_max")), F.lit(False))
+    panel = panel.withColumns({"num_mean": mean, "num_std": deviation, "num_last_mixed": mixed}).drop("num_sum", "num_sq", "final")
     rolled = {f"f_{c}_{w}d": F.sum(c).over(day_range(w, "channel_id")) for w in windows for c in ("n_events", "n_alarm", "num_n", "link_strict", "crossed")}
     rolled |= {f"f_num_max_{w}d": F.max("num_max").over(day_range(w, "channel_id")) for w in windows}
-    upto = Window.partitionBy("channel_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    kept = F.last(F.when(F.col("num_last").isNotNull(), F.struct("num_last", "num_last_mixed")), ignorenulls=True).over(upto)
-    panel = panel.withColumns(rolled | {"kept": kept}).withColumns({"f_num_last": F.col("kept.num_last"), "f_last_mixed": F.coalesce("kept.num_last_mixed", F.lit(False))}).drop("kept")
-    cutoff = panel.withColumn("cutoff_t", (F.date_add("day", 1).cast("timestamp_ntz") - F.expr("interval 1 microsecond")))
-    panel = asof_backward(cutoff, points.select("channel_id", F.col("t").alias("state_t"), F.col("state").alias("link_now")), "channel_id", "cutoff_t", "state_t", ["link_now", "state_t"]).drop("cutoff_t")
+    later = Window.partitionBy("channel_id").orderBy(F.unix_date("day"))
+    upto = later.rowsBetween(Window.unboundedPreceding, 0)
+    rolled |= {"kept": F.last(F.when(F.col("num_last").isNotNull(), F.struct("num_last", "num_last_mixed")), ignorenulls=True).over(upto), "point": F.last("point", ignorenulls=True).over(upto)}
     ahead = ["n_events", "link_strict", "link_ambiguous", "link_sustained", "link_censored", "link_transient", "link_blocks", "num_n", "crossed", "cross_unknown"]
     # Grid days are unique for a channel, so later days are frames of one day each: no join of the panel with itself.
-    later = Window.partitionBy("channel_id").orderBy(F.unix_date("day"))
     for offset, columns in ((1, ["link_strict", "link_ambiguous", "crossed"]), (2, ahead), (3, ["n_events"])):
-        panel = panel.withColumns({f"{c}_d{offset}": F.coalesce(F.sum(c).over(later.rangeBetween(offset, offset)), F.lit(0)) for c in columns})
+        rolled |= {f"{c}_d{offset}": F.coalesce(F.sum(c).over(later.rangeBetween(offset, offset)), F.lit(0)) for c in columns}
+    panel = panel.withColumns(rolled).withColumns({"f_num_last": F.col("kept.num_last"), "f_last_mixed": F.coalesce("kept.num_last_mixed", F.lit(False)), "link_now": F.col("point.state"), "state_t": F.col("point.t")}).drop("kept", "point")
     inside = F.date_add("day", 3) <= end_day
     observed = F.col("n_events_d2") + F.col("n_events_d3") > 0
     doubt = F.col("link_ambiguous_d2") + F.col("link_blocks_d2") > 0

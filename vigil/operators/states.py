@@ -83,9 +83,8 @@ def daily(events: DataFrame, classes: list[str], reading: Column, threshold: flo
     num = F.when(reading, F.col("value_numeric"))
     last = F.max_by(num, F.when(reading, F.struct("event_time", "value_numeric")))
     rows = events.withColumn("day", F.to_date("event_time")).withColumn("cell", F.date_trunc(grain, "event_time").cast("timestamp_ntz"))
-    rows = rows.withColumn("last_cell", F.max(F.when(reading, F.col("cell"))).over(Window.partitionBy("channel_id", "day")))
-    end = reading & (F.col("cell") == F.col("last_cell"))
-    low, high = F.min(F.when(end, F.col("value_numeric"))), F.max(F.when(end, F.col("value_numeric")))
+    # The least and the largest reading of the last cell.
+    low, high = (-F.max(F.when(reading, F.struct("cell", (-F.col("value_numeric")).alias("x"))))["x"], F.max(F.when(reading, F.struct("cell", F.col("value_numeric").alias("x"))))["x"])
     return rows.groupBy("channel_id", "day").agg(
         F.count("*").alias("n_events"), F.count_if(F.col("alarm")).alias("n_alarm"), *(F.count_if(F.col("value_state") == c).alias(f"n_{c}") for c in classes),
         F.count(num).alias("num_n"), F.avg(num).alias("num_mean"), F.min(num).alias("num_min"), F.max(num).alias("num_max"), F.stddev_samp(num).alias("num_std"), last.alias("num_last"),

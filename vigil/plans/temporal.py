@@ -41,7 +41,7 @@ def crossings_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def panel_of(spark: SparkSession, d: str) -> DataFrame:
-    return P.event_panel(B.journal(spark, d), cells_of(spark, d), F.expr(READING), 100.0, 43200.0, at(LAST), CLASSES, "hour")
+    return P.event_panel(B.journal(spark, d), T.LINK, F.expr(READING), 100.0, 43200.0, at(LAST), CLASSES, "hour")
 
 
 @query(f"{CELLS} SELECT * FROM cells")
