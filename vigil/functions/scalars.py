@@ -112,6 +112,44 @@ def rule_score(alarm_share: Column, previous: Column, failure: Column) -> Column
     return F.greatest(F.coalesce(alarm_share, F.lit(0.0)), 0.5 * F.coalesce(previous, F.lit(0.0)), 0.75 * F.coalesce(failure, F.lit(0.0)))
 
 
+def weighted_recent(first: Column, second: Column) -> Column:
+    """A signal's recent count and half of another's, nulls as 0."""
+    return F.coalesce(first.cast("double"), F.lit(0.0)) + 0.5 * F.coalesce(second.cast("double"), F.lit(0.0))
+
+
+def dropout_rule(gap: Column, current: Column, previous: Column) -> Column:
+    """Chance of silence from the days since the previous observation and the fall of activity (fixed weights)."""
+    zero = lambda c: F.greatest(F.coalesce(c.cast("double"), F.lit(0.0)), F.lit(0.0))
+    fall = F.greatest(zero(previous) - F.coalesce(current.cast("double"), F.lit(0.0)), F.lit(0.0)) / (1 + zero(previous))
+    return logistic(clip(0.9 * F.log1p(zero(gap)) + 1.4 * fall - 1.8, -20.0, 20.0))
+
+
+def flood_rule(flood_alarm: Column, pump_alarm: Column, power_alarm: Column, flood_value: Column, pump_value: Column, gap: Column) -> Column:
+    """The strongest of three signs of flooding on a logistic scale (fixed weights)."""
+    up = lambda c: F.greatest(c, F.lit(0.0))
+    fv, pv = F.abs(flood_value), F.abs(pump_value)
+    # The pump's alarm count isn't negative, so it adds nothing to the second sign.
+    signs = (up(flood_alarm) + 0.5 * F.greatest(up(pump_alarm), pv), fv, 0.7 * F.abs(fv - pv) + 0.3 * (up(power_alarm) + up(gap)))
+    return logistic(clip(F.greatest(*signs), -20.0, 20.0))
+
+
+def scenario_rule(*signals: Column) -> Column:
+    """1 - exp(-(the two largest signals) / 5), signals below 0 as 0."""
+    top = F.sort_array(F.array(*(F.greatest(F.coalesce(s.cast("double"), F.lit(0.0)), F.lit(0.0)) for s in signals)), asc=False)
+    return 1 - F.exp(-(top[0] + top[1]) / 5)
+
+
+def scenario_anomaly(*features: Column) -> Column:
+    """1 - exp(-length of the vector, each part clipped at 10, by its number of parts)."""
+    squares = sum((F.pow(clip(F.coalesce(x.cast("double"), F.lit(0.0)), -10.0, 10.0), F.lit(2.0)) for x in features), F.lit(0.0))
+    return 1 - F.exp(-F.sqrt(squares) / max(1, len(features)))
+
+
+def multi_signal(types: Column, any_alarm: Column, recurrence: Column) -> Column:
+    """The largest of half the alarming types (1 at most), a quarter for any alarm and half the recurrence score."""
+    return F.greatest(F.least(types / 2, F.lit(1.0)), 0.25 * any_alarm.cast("double"), 0.5 * recurrence)
+
+
 def robust_z(x: Column, median: Column, iqr: Column) -> Column:
     """Distance from the median in interquartile ranges (1 where that is 0), clipped at 20."""
     return clip((x - median) / F.when(iqr > 0, iqr).otherwise(1.0), -20.0, 20.0)

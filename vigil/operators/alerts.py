@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vigil.operators.ranks import running_sums
+
 
 def ranked(scores: DataFrame, *by: str) -> DataFrame:
     """scores with the rank of each day, ties by channel."""
@@ -76,11 +78,10 @@ def matched_on_start(alerts: DataFrame, events: DataFrame, key: str, start: str)
 
 
 def score_table(rows: DataFrame, *by: str, weight: str | None = None) -> DataFrame:
-    """Positives and negatives of each distinct score (weighted), with running sums from the highest score."""
+    """Positives and negatives of each distinct score (weighted), with running sums from the highest score. Rows without score are left out."""
     w = F.col(weight) if weight else F.lit(1.0)
     table = rows.where("label is not null").groupBy(*by, "score").agg(F.sum(F.when(F.col("label") == 1, w).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col("label") == 0, w).otherwise(0.0)).alias("neg"))
-    down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return table.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down)})
+    return running_sums(table.where("score is not null"), list(by), "score", {"tp": "pos", "fp": "neg"})
 
 
 def average_precision(rows: DataFrame, *by: str, weight: str | None = None) -> DataFrame:
@@ -162,6 +163,34 @@ def block_bootstrap(rows: DataFrame, block: Column, a: str, b: str, repeats: int
     return each.agg(F.count("*").alias("repeats"), F.expr("percentile(difference, 0.025)").alias("low"), F.expr("percentile(difference, 0.5)").alias("middle"), F.expr("percentile(difference, 0.975)").alias("high"))
 
 
+def paired_bootstrap(rows: DataFrame, block: Column, a: str, b: str, repeats: int, seed: str = "s") -> DataFrame:
+    """Difference of the average precision of two scores over resampled blocks (days or weeks): its mean, 2.5th and 97.5th
+    percentile and the share of repeats in which a is better. Blocks are drawn by hash, the same for both scores; a row counts as
+    often as its block was drawn, so nothing is repeated but weights. Repeats without positives or negatives are left out."""
+    known = rows.where("label is not null").withColumn("block", block)
+    blocks = known.select("block").distinct().withColumn("i", F.row_number().over(Window.orderBy("block")) - 1)  # bounded by the calendar
+    size = blocks.agg(F.count("*").alias("size"))
+    draws = rows.sparkSession.range(repeats).select(F.col("id").alias("rep")).crossJoin(F.broadcast(size)).select("rep", "size", F.explode(F.sequence(F.lit(0), F.col("size").cast("int") - 1)).alias("draw"))
+    pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "rep", "draw")), 1, 8), 16, 10).cast("long") % F.col("size")
+    times = draws.select("rep", pick.alias("i")).groupBy("rep", "i").agg(F.count("*").cast("double").alias("times")).join(F.broadcast(blocks.withColumn("i", F.col("i").cast("long"))), "i")
+    each = known.join(times, "block")
+    ap = lambda s: average_precision(each.select("rep", "times", "label", F.col(s).alias("score")), "rep", weight="times").where("positives > 0 and n > positives").select("rep", F.col("ap").alias(s))
+    both = ap(a).join(ap(b), "rep").select((F.col(a) - F.col(b)).alias("difference"))
+    return both.agg(F.count("*").alias("repeats"), F.avg("difference").alias("mean"), F.expr("percentile(difference, 0.025)").alias("low"), F.expr("percentile(difference, 0.975)").alias("high"), F.avg((F.col("difference") > 0).cast("double")).alias("better"))
+
+
+def episode_metrics(alerts: DataFrame, events: DataFrame, matches: DataFrame, category: str) -> DataFrame:
+    """Alert episodes, events, matched alerts, precision and recall over all (category null) and for each category.
+
+    alerts: channel_id, day; events: channel_id, event_day; both with the category; matches: channel_id, day, event_day, one to one."""
+    a = alerts.join(matches.select("channel_id", "day", F.lit(1).alias("hit")), ["channel_id", "day"], "left").select(category, F.lit(1).alias("alert"), F.coalesce("hit", F.lit(0)).alias("hit"), F.lit(0).alias("event"), F.lit(0).alias("met"))
+    e = events.join(matches.select("channel_id", "event_day", F.lit(1).alias("met")), ["channel_id", "event_day"], "left").select(category, F.lit(0).alias("alert"), F.lit(0).alias("hit"), F.lit(1).alias("event"), F.coalesce("met", F.lit(0)).alias("met"))
+    out = a.unionByName(e).rollup(category).agg(F.grouping(category).alias("overall"), *(F.sum(c).alias(n) for c, n in (("alert", "alert_episodes"), ("event", "proxy_events"), ("hit", "matched_alerts"), ("met", "matched_events"))))
+    out = out.where(F.col(category).isNotNull() | (F.col("overall") == 1))
+    share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
+    return out.select(category, "alert_episodes", "proxy_events", "matched_alerts", share("matched_alerts", "alert_episodes").alias("precision"), share("matched_events", "proxy_events").alias("recall"))
+
+
 def contract(rows: DataFrame) -> DataFrame:
     """Violations of a score table: null, NaN and out-of-range scores, repeated keys."""
     s = F.col("score")

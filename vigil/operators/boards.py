@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def latest_per_key(rows: DataFrame, key: str, *order: Column) -> DataFrame:
+def latest_per_key(rows: DataFrame, key: str | list[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order. Only the top row of each task goes into the shuffle."""
     by = Window.partitionBy(key).orderBy(*order)
     return rows.withColumn("__n", F.row_number().over(by)).where("__n = 1").drop("__n")

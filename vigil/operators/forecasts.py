@@ -140,3 +140,14 @@ def selected_types(rows: DataFrame, least: int) -> DataFrame:
     """Rows of sensor types with at least `least` positives."""
     fine = rows.groupBy("sensor_type").agg(F.count_if(F.col("label") == 1).alias("p")).where(F.col("p") >= least)
     return rows.join(fine.select("sensor_type"), "sensor_type", "left_semi")
+
+
+def board(daily: DataFrame, scenario: DataFrame, channels: DataFrame, enabled: list[str]) -> DataFrame:
+    """Forecasts of both sources (id, channel_id, object_id, score, worker): whether each is bound (its channel belongs to its object),
+    whether it is available, and why not; only available ones show their score. A scenario's worker must be enabled."""
+    bound = channels.select("channel_id", F.col("object_id").alias("object_id"), F.lit(True).alias("known"))
+    rows = daily.withColumns({"on": F.lit(True), "missing": F.lit("SCORE_UNAVAILABLE")}).unionByName(scenario.withColumns({"on": F.col("worker").isin(*enabled), "missing": F.lit("RESULT_UNAVAILABLE")}))
+    rows = rows.join(bound, ["channel_id", "object_id"], "left").withColumn("bound", F.coalesce("known", F.lit(False)))
+    finite = F.coalesce(~F.isnan("score") & (F.abs("score") < float("inf")), F.lit(False))
+    reason = F.when(~F.col("bound"), "UNBOUND_CHANNEL").when(~F.col("on"), "MODULE_DISABLED").when(~finite, F.col("missing"))
+    return rows.select("worker", "id", "channel_id", "object_id", "bound", reason.isNull().alias("available"), reason.alias("availability_reason"), F.when(reason.isNull(), F.col("score")).alias("score"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vigil.operators.panel import labelled
+from vigil.operators.ranks import percentiles
 
 
 def family(sensor_type: Column, families: dict[str, tuple[str, ...]]) -> Column:
@@ -228,8 +229,9 @@ def exposure(rows: DataFrame, by: list[str], time: str, key: str) -> DataFrame:
 def fingerprint(shapes: DataFrame, width: float) -> DataFrame:
     """One row: the commonest peak bin (the lowest of ties), quartiles of peaks, nearest-rank p95 of durations, censored share."""
     bins = shapes.groupBy(F.floor(F.col("peak") / width).alias("bin")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "bin").limit(1).select((F.col("bin") * width).alias("peak_bin"))
-    stats = shapes.agg(F.expr("percentile(peak, 0.25)").alias("peak_q1"), F.expr("percentile(peak, 0.75)").alias("peak_q3"), F.expr("percentile_disc(0.95) within group (order by minutes_above)").alias("duration_p95"), F.avg(F.col("censored").cast("double")).alias("censored_share"))
-    return bins.crossJoin(stats)
+    peaks = percentiles(shapes, [], "peak", {"peak_q1": (0.25, "cont"), "peak_q3": (0.75, "cont")}).drop("n")
+    durations = percentiles(shapes, [], "minutes_above", {"duration_p95": (0.95, "disc")}).drop("n")
+    return bins.crossJoin(peaks).crossJoin(durations).crossJoin(shapes.agg(F.avg(F.col("censored").cast("double")).alias("censored_share")))
 
 
 def burden(alerts: DataFrame, first: Column, last: Column) -> DataFrame:
@@ -248,6 +250,44 @@ def histogram(rows: DataFrame, value: str, edges: list[float]) -> DataFrame:
     return rows.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def strata(rows: DataFrame, by: list[str], binned: dict[str, tuple[list[float], list[str]]], time: str) -> DataFrame:
+    """by, measure, bin, n: histograms of every measure by right-open edges (values from the last edge on fall into the last label, nulls
+    into `missing`), of the hour of time, and of weekdays and weekends, in one pass over the rows."""
+    parts = []
+    for measure, (edges, labels) in binned.items():
+        v = F.col(measure).cast("double")
+        name = F.lit(labels[-1])
+        for edge, label in reversed(list(zip(edges, labels, strict=False))):
+            name = F.when(v < edge, label).otherwise(name)
+        parts.append(F.struct(F.lit(measure).alias("measure"), F.when(v.isNull() | F.isnan(v), "missing").otherwise(name).alias("bin")))
+    parts += [F.struct(F.lit("hour").alias("measure"), F.hour(time).cast("string").alias("bin")), F.struct(F.lit("day").alias("measure"), F.when(F.weekday(time) >= 5, "weekend").otherwise("weekday").alias("bin"))]
+    return rows.select(*by, F.explode(F.array(*parts)).alias("x")).groupBy(*by, "x.measure", "x.bin").agg(F.count("*").alias("n"))
+
+
+def quartiles(rows: DataFrame, by: list[str], measures: list[str]) -> DataFrame:
+    """by, measure, n, q1, median, q3 of each measure without its nulls."""
+    long = rows.select(*by, F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("v")) for m in measures))).alias("x")).select(*by, "x.*").where(~F.isnan("v"))
+    return percentiles(long, [*by, "measure"], "v", {"q1": (0.25, "cont"), "median": (0.5, "cont"), "q3": (0.75, "cont")})
+
+
+def power(positives: DataFrame, least_each: int, least_sum: int, most_top1: float = 0.5, dev: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(periods, gate) of positives (object_id, period, inside): for each period all positives, those inside maintenance windows, those
+    outside with their objects and the shares of the first and the first three; and one row of decision over the dev periods (all, if None).
+
+    The gate opens if each dev period has least_each positives outside, all together least_sum, and no object more than most_top1 of them."""
+    outside = positives.where(~F.col("inside"))
+    shares = lambda rows, by: rows.groupBy(*by, "object_id").agg(F.count("*").alias("k")).withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("k"), "object_id"))).groupBy(*by).agg(F.sum("k").alias("outside"), F.count("*").alias("objects"), (F.max(F.when(F.col("r") == 1, F.col("k"))) / F.sum("k")).alias("top1_share"), (F.sum(F.when(F.col("r") <= 3, F.col("k"))) / F.sum("k")).alias("top3_share"))
+    periods = positives.groupBy("period").agg(F.count("*").alias("positives"), F.count_if("inside").alias("in_window")).join(shares(outside, ["period"]), "period", "left").fillna(0, ["outside", "objects"])
+    wanted = F.col("period").isin(dev) if dev else F.lit(True)
+    # As many objects as there are; counted first, ranked in pieces of the period above, so that only counts of objects meet here.
+    objects = outside.where(wanted).groupBy("object_id").agg(F.count("*").alias("k")).agg(F.coalesce(F.sum("k"), F.lit(0)).alias("dev_positives"), (F.max("k") / F.sum("k")).alias("dev_top1_share"))
+    each = periods.where(wanted).agg(F.count("*").alias("seen"), F.coalesce(F.min("outside"), F.lit(0)).alias("fewest"))
+    enough = (F.col("fewest") >= least_each) & (F.col("seen") == (len(dev) if dev else F.col("seen")))
+    gate = objects.crossJoin(each).select("dev_positives", "dev_top1_share", enough.alias("each_enough"), (F.col("dev_positives") >= least_sum).alias("sum_enough"), F.coalesce(F.col("dev_top1_share") <= most_top1, F.lit(False)).alias("top1_fine"))
+    proceed = F.col("each_enough") & F.col("sum_enough") & F.col("top1_fine")
+    return periods, gate.withColumns({"proceed": proceed, "decision": F.when(proceed, "eligible_for_stage20_spec").otherwise("insufficient_labels_keep_v3")})
+
+
 def element_sets(channel_days: DataFrame, objects_days: DataFrame, at_most: int) -> DataFrame:
     """Each object day with its channels' facts as an ordered array of at most `at_most` elements, and whether some were left out."""
     rows = channel_days.groupBy("object_id", "day").agg(F.array_sort(F.collect_list(F.struct("channel_id", "n_events"))).alias("all"))

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from vigil.functions import scalars as S
 from vigil.operators import bindings as B
 from vigil.operators import forecasts as Q
 from vigil.operators import rules as R
@@ -95,14 +93,6 @@ def labels_without_next_day(spark: SparkSession, d: str) -> DataFrame:
     return R.without_next_day(rows, "label", F.col("next")).select("channel_id", "day", "label", "excluded", "label_v2")
 
 
-@query(f"{CD} SELECT channel_id, day, round(greatest(n_alarm / n_events, 0.5 * coalesce(lag(n_alarm / n_events) OVER w, 0), 0.75 * CAST(n_alarm >= 3 AS DOUBLE)), 6) AS rule_score, n_alarm + n_events AS signal_sum FROM cd WINDOW w AS (PARTITION BY channel_id ORDER BY day)")
-def rule_scores(spark: SparkSession, d: str) -> DataFrame:
-    """F27, L30"""
-    rows = channel_days(spark, d).withColumn("share", F.col("n_alarm") / F.col("n_events"))
-    before = F.lag("share").over(Window.partitionBy("channel_id").orderBy("day"))
-    return rows.select("channel_id", "day", F.round(S.rule_score(F.col("share"), before, (F.col("n_alarm") >= 3).cast("double")), 6).alias("rule_score"), (F.col("n_alarm") + F.col("n_events")).alias("signal_sum"))
-
-
 @query("SELECT event_id, concat_ws('-', value_state, channel_id) AS joined, CAST(event_time AS DATE) + 2 AS due, date_diff('hour', date_trunc('hour', event_time), TIMESTAMP '2024-02-01') AS hours_left, CAST(event_time AS TIMESTAMP) + INTERVAL 3 HOUR AS moscow, list_has_any([value_state], ['error', 'signup']) AS bad, CAST(len(range(0, channel_id % 5)) AS INTEGER) AS steps, CASE WHEN channel_id % 2 = 0 THEN 'alarms in 7 days' ELSE 'x' END AS feature FROM journal")
 def small_functions(spark: SparkSession, d: str) -> DataFrame:
     """F09, F14, F15, F21, F24, U06"""

@@ -173,22 +173,6 @@ def value_histogram(spark: SparkSession, d: str) -> DataFrame:
     return O.histogram(B.journal(spark, d), "value_numeric", [1, 10, 50, 100, 200])
 
 
-@query("SELECT sensor_type, count(*) AS n, round(quantile_cont(value_numeric, 0.5), 6) AS median, round(quantile_cont(value_numeric, 0.75) - quantile_cont(value_numeric, 0.25), 6) AS iqr FROM journal JOIN channels USING (channel_id) GROUP BY 1")
-def robust_statistics(spark: SparkSession, d: str) -> DataFrame:
-    """A29"""
-    q = F.expr("percentile(value_numeric, array(0.25, 0.5, 0.75))")
-    out = B.journal(spark, d).join(B.channels(spark, d), "channel_id").groupBy("sensor_type").agg(F.count("*").alias("n"), q.alias("q"))
-    return out.select("sensor_type", "n", F.round(F.col("q")[1], 6).alias("median"), F.round(F.col("q")[2] - F.col("q")[0], 6).alias("iqr"))
-
-
-@query(", q AS (SELECT sensor_type, quantile_cont(value_numeric, 0.5) AS m, quantile_cont(value_numeric, 0.75) - quantile_cont(value_numeric, 0.25) AS i FROM journal JOIN channels USING (channel_id) GROUP BY 1) SELECT event_id, round(greatest(-20, least(20, (value_numeric - m) / CASE WHEN i > 0 THEN i ELSE 1 END)), 6) AS z FROM journal JOIN channels USING (channel_id) JOIN q USING (sensor_type)")
-def robust_scores(spark: SparkSession, d: str) -> DataFrame:
-    """F28"""
-    rows = B.journal(spark, d).join(B.channels(spark, d), "channel_id")
-    q = rows.groupBy("sensor_type").agg(F.expr("percentile(value_numeric, array(0.25, 0.5, 0.75))").alias("q"))
-    return rows.join(q, "sensor_type").select("event_id", F.round(S.robust_z(F.col("value_numeric"), F.col("q")[1], F.col("q")[2] - F.col("q")[0]), 6).alias("z"))
-
-
 @query(f"{SC}, g AS (SELECT avg(label) AS g FROM scores), l AS (SELECT sensor_type, count(label) AS n, sum(label) AS p FROM scores JOIN channels USING (channel_id) GROUP BY 1) SELECT sensor_type, n, round((p + 50 * g) / (n + 50), 6) AS prior FROM l, g")
 def type_priors(spark: SparkSession, d: str) -> DataFrame:
     """A30, L23"""

@@ -6,11 +6,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vigil.functions import scalars as S
+from vigil.operators.panel import assert_leakage_safe
 
 
 def temporal_split(rows: DataFrame, train_end: str, calibration_end: str, validation_end: str, lead: int = 2) -> DataFrame:
@@ -78,11 +79,40 @@ def routed(rows: DataFrame, warm: PipelineModel, cold: PipelineModel, cold_days:
     return a.join(b, ["channel_id", "day"]).withColumns({"is_cold": is_cold, "score": F.when(is_cold, F.col("cold")).otherwise(F.col("warm"))})
 
 
-def score_day(rows: DataFrame, model: PipelineModel, threshold: float) -> DataFrame:
-    """Every channel of a day, scored or with reasons for abstaining."""
-    reasons = F.array_compact(F.array(F.when(F.col("value_last").isNull(), "NO_READING_AT_D"), F.when(F.col("value_last") >= threshold, "ABOVE_THRESHOLD_AT_D")))
-    out = scored(model, rows.withColumn("reasons", reasons))
-    return out.withColumns({"status": F.when(F.size("reasons") == 0, "scored").otherwise("abstain"), "score": F.when(F.size("reasons") == 0, F.col("score")), "window_start": F.date_add("day", 2)})
+def score_day(rows: DataFrame, model: PipelineModel, day: Column, reasons: dict[str, Column]) -> DataFrame:
+    """Every channel of a day with its window: scored, or abstaining with the codes whose condition holds."""
+    codes = F.array_compact(F.array(*(F.when(c, F.lit(code)) for code, c in reasons.items())))
+    out = scored(model, rows.withColumns({"reasons": codes, "day": day}))
+    fine = F.size("reasons") == 0
+    return out.withColumns({"status": F.when(fine, "scored").otherwise("abstain"), "score": F.when(fine, F.col("score")), "window_start": F.date_add("day", 2), "window_end": F.date_add("day", 3)})
+
+
+#: What a preset leaves out of the features, by parts of their names.
+PRESETS = {"all": (), "core": ("previous", "gap_days", "days_since"), "no_same_day_failure": ("failure", "days_since"), "no_calendar": ("weekday", "month"), "no_catalogue": ("catalogue", "sensor_type", "system")}
+
+
+def preset(features: list[str], name: str) -> list[str]:
+    """The features of a preset; "recurrence" has only those that "core" leaves out."""
+    if name == "recurrence":
+        return [f for f in features if any(x in f for x in PRESETS["core"])]
+    return [f for f in features if not any(x in f for x in PRESETS[name])]
+
+
+def checked(columns: list[str], features: list[str]) -> list[str]:
+    """The features, after the leakage guard."""
+    assert_leakage_safe(columns, features)
+    return features
+
+
+def gates(folds: DataFrame, by: list[str], least_positives: int, tolerance: float, least_known: float) -> DataFrame:
+    """Gates over all folds (by, fold, positives, low, metric, reduced, known) and what follows from them.
+
+    enough: positives in each fold; beats: the lower bound of the difference to the best simple baseline is above 0 in each; no_shortcut:
+    the reduced model keeps 1 - tolerance of the metric in each; known_share: outcomes are known for least_known of the rows in each."""
+    out = folds.groupBy(*by).agg(F.bool_and(F.col("positives") >= least_positives).alias("enough"), F.bool_and(F.coalesce("low", F.lit(-1.0)) > 0).alias("beats"), (F.min(F.col("reduced") / F.greatest("metric", F.lit(1e-12))) >= 1 - tolerance).alias("no_shortcut"), F.bool_and(F.col("known") >= least_known).alias("known_share"))
+    level = F.when(~F.col("enough"), "insufficient_events").when(F.col("beats"), "validated_proxy_model").otherwise("baseline_only")
+    selected = F.when(F.col("enough") & F.col("beats") & F.col("no_shortcut"), "full").when(F.col("enough") & F.col("beats"), "reduced").when(F.col("enough"), "baseline")
+    return out.withColumns({"evidence_level": level, "selected": selected})
 
 
 def top_factors(rows: DataFrame, model: PipelineModel, names: list[str], n: int = 3) -> DataFrame:

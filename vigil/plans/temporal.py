@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from vigil.operators import bindings as B
 from vigil.operators import panel as P
 from vigil.operators import states as T
+from vigil.operators.ranks import percentiles
 from vigil.plans.registry import query
 
 READING, END, LAST = "value_state = 'purchase'", "2024-01-31 00:00:00", "2024-01-30 23:59:59"
@@ -77,8 +78,8 @@ def ended_by_day(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{EPISODES} SELECT onset_type, exact, count(*) AS n, quantile_disc(duration_s, 0.1) AS p10, quantile_disc(duration_s, 0.5) AS p50, quantile_disc(duration_s, 0.9) AS p90, quantile_disc(duration_s, 0.99) AS p99 FROM episodes GROUP BY 1, 2")
 def episode_durations(spark: SparkSession, d: str) -> DataFrame:
     """A19"""
-    disc = lambda p: F.expr(f"percentile_disc({p}) within group (order by duration_s)")
-    return episodes_of(spark, d).groupBy("onset_type", "exact").agg(F.count("*").alias("n"), disc(0.1).alias("p10"), disc(0.5).alias("p50"), disc(0.9).alias("p90"), disc(0.99).alias("p99"))
+    shares = {"p10": (0.1, "disc"), "p50": (0.5, "disc"), "p90": (0.9, "disc"), "p99": (0.99, "disc")}
+    return percentiles(episodes_of(spark, d), ["onset_type", "exact"], "duration_s", shares)
 
 
 @query(f"{DAILY} SELECT channel_id, day, n_events, n_alarm, n_error, n_view, n_click, n_signup, n_purchase, num_n, round(num_mean, 6) AS num_mean, num_min, num_max, round(num_std, 6) AS num_std, num_last, num_above, num_last_mixed FROM daily")
