@@ -349,14 +349,58 @@ def test_stream_retries_conflicts_and_state_changes(spark, tmp_path):
     assert got == [("a", "conflict"), ("a", "new"), ("a", "retry"), ("b", "new"), ("c", "new")]
 
 
-def test_stream_state_machine_equals_batch_change_points(spark, tmp_path):
-    rows = [(1, at(0, h), s) for h, s in enumerate("OOFFAOFO")] + [(2, at(0, h), s) for h, s in enumerate("FFO")]
-    cells = spark.createDataFrame(rows, "channel_id long, t timestamp, state string")
-    cells.write.parquet(str(tmp_path / "cells"))
-    G.run_to_end(G.state_changes(spark.readStream.schema(cells.schema).parquet(str(tmp_path / "cells"))), str(tmp_path / "out"), str(tmp_path / "check"))
-    want = T.change_points(cells.withColumn("t", F.col("t").cast("timestamp_ntz")), "state").collect()
-    got = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert sorted((r.channel_id, r.t, r.state) for r in got) == sorted((r.channel_id, r.t, r.state) for r in want)
+def test_a_channel_s_state_is_carried_from_file_to_file(spark, tmp_path):
+    """A fault that opens in one file and closes in the next, a crossing and a silence over the border, a cell that goes on."""
+    schema = "event_id long, channel_id long, event_time timestamp, value_state string, value_numeric double"
+    rows = [(1, 1, at(0, 1), "ok", None), (2, 1, at(0, 2), "fault", None), (3, 1, at(0, 3), "read", 0.5), (4, 2, at(0, 1), "fault", None)]
+    more = [(5, 1, at(4, 1), "read", 1.5), (6, 1, at(4, 2), "ok", None), (7, 1, at(4, 3), "read", 9.0), (8, 2, at(0, 1), "ok", None), (9, 2, at(0, 2), "ok", None), (10, 2, at(0, 3), "ok", None)]
+    source = str(tmp_path / "in")
+    classes = {"fault": ("fault",), "ok": ("ok",), "unknown": ()}
+    run = lambda: G.run_to_end(G.channel_changes(spark.readStream.schema(schema).parquet(source), classes, "read", 1.0, 3600.0, 3, "h"), str(tmp_path / "out"), str(tmp_path / "check"))
+    spark.createDataFrame(rows, schema).write.parquet(source)
+    run()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 0
+    spark.createDataFrame(more, schema).write.mode("append").parquet(source)
+    run()
+    got = sorted((r.channel_id, r.kind, r.start, r.end, r.strict, r.sustained) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(1, "crossing", at(4, 1), at(4, 1), None, None), (1, "fault", at(0, 2), at(4, 2), True, 1), (1, "silence", at(1).replace(hour=0), at(3).replace(hour=0), None, None)]
+
+
+def test_broken_bytes_and_a_byte_order_mark_are_read(spark, tmp_path):
+    head = ",".join(R.JOURNAL_COLUMNS)
+    (tmp_path / "j.csv").write_bytes(b"\xef\xbb\xbf" + head.encode() + b"\n1,2,2024-01-01,10:00:00,true,ab\xff\xfe\n")
+    row = R.read_journal(spark, str(tmp_path / "j.csv")).head()
+    assert (row.event_id, row.channel_id, row.alarm_raw) == ("1", "2", "true") and row.value_raw.startswith("ab")
+
+
+def test_exports_in_parts_stay_in_order_and_too_many_rows_raise(spark, tmp_path):
+    rows = [(i, 1, dt.datetime(2023 + i % 2, 5, 1) + dt.timedelta(hours=i)) for i in range(200)]
+    R.export_journal(spark.createDataFrame(rows, "event_id long, channel_id long, event_time timestamp_ntz"), str(tmp_path / "out"), parts=3)
+    for year in (2023, 2024):
+        names = sorted((tmp_path / "out" / f"y={year}").glob("*.csv"))
+        times = [line.split(",")[2] for n in names for line in n.read_text().splitlines()[1:]]
+        assert len(times) == 100 and times == sorted(times)
+    with pytest.raises(ValueError, match="more than 5 rows"):
+        R.read_records(spark, str(tmp_path / "out"), "csv", ["event_id"], most=5)
+
+
+def test_exact_percentiles_and_running_sums_in_pieces(spark, monkeypatch):
+    import numpy as np
+
+    from vigil.operators import ranks
+
+    monkeypatch.setattr(ranks, "PIECES", 5)
+    rng = random.Random(4)
+    rows = [(g, rng.choice([None, float(rng.randrange(8)), rng.random() * 9])) for g in "ab" for _ in range(150)] + [("c", 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r for r in ranks.percentiles(df, ["g"], "v", {"a": (0.25, "cont"), "b": (0.9, "disc"), "c": (0.0, "cont"), "d": (1.0, "disc")}).collect()}
+    for g in "abc":
+        own = sorted(v for k, v in rows if k == g and v is not None)
+        assert got[g].n == len(own) and got[g].a == pytest.approx(float(np.quantile(own, 0.25))) and (got[g].c, got[g].d) == (own[0], own[-1])
+        assert got[g].b == own[max(0, -(-9 * len(own) // 10) - 1)]
+    table = df.where("v is not null").groupBy("g", "v").count().withColumn("count", F.col("count").cast("double"))
+    for r in ranks.running_sums(table, ["g"], "v", {"upto": "count"}).collect():
+        assert r.upto == sum(1 for g, v in rows if g == r.g and v is not None and v >= r.v)
 
 
 def test_snapshot_cap_and_listener(spark, tmp_path):

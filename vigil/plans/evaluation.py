@@ -216,15 +216,15 @@ def cooled_alerts(spark: SparkSession, d: str) -> DataFrame:
     return A.cooled(A.ranked(scores_of(spark, d)).where("rank <= 25").select("channel_id", "day", "score"), 5).select("channel_id", "day")
 
 
-@query()
+@query(f"{SC}, dl AS (SELECT CAST(day - DATE '2024-01-01' AS INTEGER) AS i, list(channel_id ORDER BY score DESC, channel_id) AS c FROM scores GROUP BY 1), fold AS (SELECT -1 AS i, CAST([] AS BIGINT[]) AS now, CAST([] AS BIGINT[]) AS h1, CAST([] AS BIGINT[]) AS h2, CAST([] AS BIGINT[]) AS h3, CAST([] AS BIGINT[]) AS h4 UNION ALL SELECT f.i + 1, list_filter(coalesce(dl.c, []), lambda x: NOT list_contains(f.now, x) AND NOT list_contains(f.h1, x) AND NOT list_contains(f.h2, x) AND NOT list_contains(f.h3, x))[1:10], f.now, f.h1, f.h2, f.h3 FROM fold f LEFT JOIN dl ON dl.i = f.i + 1 WHERE f.i < 30), pk AS (SELECT i, unnest(now) AS channel_id FROM fold) SELECT s.channel_id, s.day, s.score FROM pk JOIN scores s ON s.channel_id = pk.channel_id AND s.day - DATE '2024-01-01' = pk.i")
 def refilled_alerts(spark: SparkSession, d: str) -> DataFrame:
-    """A fold over days, tested against a plain loop"""
+    """A fold over days"""
     return A.refilled(scores_of(spark, d).select("channel_id", "day", "score"), 10, 5)
 
 
-@query()
+@query(f"{RK}, al AS (SELECT channel_id, CAST(day - DATE '2024-01-01' AS INTEGER) AS i FROM rk WHERE rank <= 10), ev AS (SELECT channel_id, list_sort(list(DISTINCT CAST(CAST(event_time AS DATE) - DATE '2024-01-01' AS INTEGER))) AS e FROM journal WHERE alarm GROUP BY 1), aa AS (SELECT channel_id, list_sort(list(i)) AS a FROM al GROUP BY 1), fd AS (SELECT channel_id, a, e, 1 AS k, CAST([] AS INTEGER[]) AS used, CAST(NULL AS INTEGER) AS i, CAST(NULL AS INTEGER) AS hit FROM aa JOIN ev USING (channel_id) UNION ALL SELECT channel_id, a, e, k + 1, CASE WHEN list_filter(e, lambda x: x >= a[k] + 2 AND x < a[k] + 5 AND NOT list_contains(used, x))[1] IS NULL THEN used ELSE list_append(used, list_filter(e, lambda x: x >= a[k] + 2 AND x < a[k] + 5 AND NOT list_contains(used, x))[1]) END, a[k], list_filter(e, lambda x: x >= a[k] + 2 AND x < a[k] + 5 AND NOT list_contains(used, x))[1] FROM fd WHERE k <= len(a)) SELECT channel_id, CAST(DATE '2024-01-01' + i AS DATE) AS day, CAST(DATE '2024-01-01' + hit AS DATE) AS event_day FROM fd WHERE hit IS NOT NULL")
 def matched_alerts(spark: SparkSession, d: str) -> DataFrame:
-    """Tested against a plain loop"""
+    """One event for each alert, the earliest free one"""
     events = B.journal(spark, d).where("alarm").select("channel_id", F.to_date("event_time").alias("event_day"))
     return A.matched(A.ranked(scores_of(spark, d)).where("rank <= 10"), events, 2, 3)
 

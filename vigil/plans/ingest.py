@@ -158,10 +158,10 @@ def message_errors(spark: SparkSession, d: str) -> DataFrame:
     return R.check_messages(m, now).select("event_id", F.array_join("errors", "|").alias("errors"))
 
 
-@query()
+@query("SELECT CAST(event_time AS DATE) AS day, count(*) AS rows, min(event_id) AS first, max(event_id) AS last, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', CAST(event_time AS DATE), event_id, channel_id, value_state)), 1, 8) AS BIGINT)) AS BIGINT) AS checksum FROM journal GROUP BY 1")
 def table_manifest(spark: SparkSession, d: str) -> DataFrame:
     """Rows, range and checksum of each day"""
-    return R.manifest(B.journal(spark, d).withColumn("day", F.to_date("event_time")), "day", "event_id")
+    return R.manifest(B.journal(spark, d).select(F.to_date("event_time").alias("day"), "event_id", "channel_id", "value_state"), "day", "event_id")
 
 
 @query("SELECT channel_id, min(event_id) AS first_id, count(*) AS n FROM (SELECT channel_id, event_id FROM journal UNION ALL SELECT channel_id, event_id FROM journal) GROUP BY 1")

@@ -19,7 +19,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = f"WITH {SQL}{sql}"
+            ORACLES[f.__name__] = f"WITH RECURSIVE {SQL}{sql}"
         return f
 
     return add

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.operators import bindings as B
+from vigil.operators.states import LINK
 from vigil.plans.registry import query
+from vigil.plans.temporal import CELLS
 from vigil.streaming import stream as R
 
 
@@ -63,3 +65,72 @@ def stream_alarm_notices(spark: SparkSession, d: str) -> DataFrame:
 def stream_enriched(spark: SparkSession, d: str) -> DataFrame:
     """R04, R08"""
     return appended(R.with_channels(R.not_from_future(events_of(spark, d)), B.channels(spark, d)).select("event_id", "channel_id", "object_id"))
+
+
+def stateful(spark: SparkSession) -> None:
+    """Stateful operators in pandas need this store of state."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def changes_of(spark: SparkSession, d: str) -> DataFrame:
+    """Hours are cells; purchases of 100 or more cross; faults of 12 hours are sustained; two days without events are a silence."""
+    stateful(spark)
+    classes = {"fault": LINK.fault, "ok": LINK.ok, "unknown": LINK.unknown}
+    return appended(R.channel_changes(events_of(spark, d), classes, "purchase", 100.0, 43200.0, 2, "h"))
+
+
+#: Cells without each channel's newest, which a stream holds open.
+CLOSED = CELLS + ", closed AS (SELECT * FROM cells QUALIFY t < max(t) OVER (PARTITION BY channel_id))"
+
+
+@query(f"{CLOSED}, pt AS (SELECT channel_id, t, link_state AS state FROM closed WHERE link_state IS NOT NULL QUALIFY lag(link_state) OVER (PARTITION BY channel_id ORDER BY t) IS DISTINCT FROM link_state), nr AS (SELECT *, lag(state) OVER w AS before, lead(state) OVER w AS after, lead(t) OVER w AS next_t FROM pt WINDOW w AS (PARTITION BY channel_id ORDER BY t)) SELECT channel_id, CAST(t AS TIMESTAMP) AS start, CAST(next_t AS TIMESTAMP) AS \"end\", coalesce(before = 'O', false) AS strict, CASE WHEN after = 'O' THEN CAST(date_diff('second', t, next_t) >= 43200 AS INTEGER) END AS sustained FROM nr WHERE state = 'F' AND next_t IS NOT NULL")
+def stream_link_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Faults open, close and last by the state machine of each channel"""
+    out = changes_of(spark, d).where("kind = 'fault'")
+    return out.select("channel_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "strict", "sustained")
+
+
+@query(", nd AS (SELECT DISTINCT channel_id, CAST(event_time AS DATE) AS day FROM journal), nx AS (SELECT channel_id, day, lead(day) OVER (PARTITION BY channel_id ORDER BY day) AS n FROM nd) SELECT channel_id, CAST(day + 1 AS DATE) AS start, CAST(n - 1 AS DATE) AS \"end\" FROM nx WHERE n - day - 1 >= 2")
+def stream_silences(spark: SparkSession, d: str) -> DataFrame:
+    """Silences, closed only by a real reading"""
+    return changes_of(spark, d).where("kind = 'silence'").select("channel_id", F.to_date("start").alias("start"), F.to_date("end").alias("end"))
+
+
+@query(", hc AS (SELECT channel_id, date_trunc('hour', event_time) AS t, min(value_numeric) FILTER (WHERE value_state = 'purchase') AS low, max(value_numeric) FILTER (WHERE value_state = 'purchase') AS high FROM journal GROUP BY 1, 2), cl AS (SELECT * FROM hc QUALIFY t < max(t) OVER (PARTITION BY channel_id)), cp AS (SELECT *, lag(high) OVER (PARTITION BY channel_id ORDER BY t) AS before FROM cl WHERE high IS NOT NULL) SELECT channel_id, CAST(t AS TIMESTAMP) AS t FROM cp WHERE low >= 100 AND before < 100")
+def stream_crossings(spark: SparkSession, d: str) -> DataFrame:
+    """Crossings, with the last cell of readings carried from file to file"""
+    return changes_of(spark, d).where("kind = 'crossing'").select("channel_id", F.col("start").cast("timestamp_ntz").alias("t"))
+
+
+@query(", m AS (SELECT event_id % 1000 AS external_id, event_time AS seen, sha256(value_state) AS h FROM journal), f AS (SELECT *, first_value(h) OVER w AS first_hash, row_number() OVER w AS r FROM m WINDOW w AS (PARTITION BY external_id ORDER BY seen, h ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) SELECT external_id, CASE WHEN r = 1 THEN 'new' WHEN h = first_hash THEN 'retry' ELSE 'conflict' END AS verdict, count(*) AS n FROM f GROUP BY 1, 2")
+def stream_payload_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """The first payload of an id stays; the same again is a retry, another one a conflict"""
+    stateful(spark)
+    messages = events_of(spark, d).select((F.col("event_id") % 1000).cast("string").alias("external_id"), F.col("event_time").alias("seen"), F.col("value_state").alias("payload"))
+    found = appended(R.payload_verdicts(messages))
+    return found.groupBy(F.col("external_id").cast("long").alias("external_id"), "verdict").agg(F.count("*").alias("n"))
+
+
+#: Kinds of messages (fixed names of the interface) that stand in the events.
+KINDS = {"purchase": "telemetry", "view": "equipment", "click": "ods", "signup": "work_status", "error": "weather"}
+
+
+@query(", k AS (SELECT CASE value_state WHEN 'purchase' THEN 'telemetry' WHEN 'view' THEN 'equipment' WHEN 'click' THEN 'ods' WHEN 'signup' THEN 'work_status' ELSE 'weather' END AS kind, event_id, channel_id FROM journal) SELECT kind, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, count(DISTINCT channel_id) AS channels FROM k GROUP BY 1")
+def stream_routed(spark: SparkSession, d: str) -> DataFrame:
+    """Messages go to the sink of their kind; a batch is read once, and writing it again replaces it"""
+    at = scratch(spark)
+    kind = F.coalesce(*(F.when(F.col("value_state") == state, k) for state, k in KINDS.items()))
+    sinks = {k: (lambda rows, n, k=k: rows.write.mode("overwrite").parquet(f"{at}/{k}/batch={n}")) for k in KINDS.values()}
+    R.run_batches(events_of(spark, d).select("event_id", "channel_id", kind.alias("kind")), R.routed(sinks), f"{at}/checkpoint", "append")
+    parts = [spark.read.parquet(f"{at}/{k}").withColumn("kind", F.lit(k)) for k in KINDS.values()]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.count_distinct("channel_id").alias("channels"))
+
+
+@query("SELECT value_state AS source, CAST(max(epoch(TIMESTAMP '2024-01-31') - floor(epoch(event_time))) AS BIGINT) AS lag_s, max(epoch(TIMESTAMP '2024-01-31') - floor(epoch(event_time))) <= 300 AS in_time FROM journal WHERE event_time >= TIMESTAMP '2024-01-30 23:00:00' OR value_state = 'error' GROUP BY 1")
+def source_lags(spark: SparkSession, d: str) -> DataFrame:
+    """The largest lag of each source at the end of January"""
+    rows = B.journal(spark, d).where("event_time >= timestamp_ntz'2024-01-30 23:00:00' or value_state = 'error'").withColumnRenamed("value_state", "source")
+    return R.source_lag(rows, F.lit("2024-01-31 00:00:00").cast("timestamp"), "source")

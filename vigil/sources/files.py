@@ -32,10 +32,12 @@ def read_journal(spark: SparkSession, path: str) -> DataFrame:
     return require(raw.toDF(*(c.lstrip("﻿").strip() for c in raw.columns)), list(JOURNAL_COLUMNS)).select(*(F.col(a).alias(b) for a, b in JOURNAL_COLUMNS.items()), F.input_file_name().alias("file"))
 
 
-def read_records(spark: SparkSession, path: str, fmt: str, columns: list[str]) -> DataFrame:
-    """Records of a CSV, JSON array, XML (element `record`) or Parquet source as text; booleans become true and false."""
+def read_records(spark: SparkSession, path: str, fmt: str, columns: list[str], most: int | None = None) -> DataFrame:
+    """Records of a CSV, JSON array, XML (element `record`) or Parquet source as text; booleans become true and false. With more than `most` rows it raises."""
     reader = spark.read.schema(strings(columns)) if fmt in ("json", "xml") else spark.read
     df = {"csv": lambda: reader.option("header", True).csv(path), "json": lambda: reader.option("multiLine", True).json(path), "xml": lambda: reader.format("xml").option("rowTag", "record").load(path), "parquet": lambda: reader.parquet(path)}[fmt]()
+    if most is not None and df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows")
     return require(df, columns).select(*(F.col(c).cast("string").alias(c) for c in columns))
 
 
@@ -98,9 +100,64 @@ def stage_by_year(events: DataFrame, path: str) -> None:
     events.dropDuplicates(["row_hash"]).withColumn("y", F.year("event_time")).write.partitionBy("y").option("compression", "zstd").parquet(path)
 
 
-def export_journal(events: DataFrame, path: str) -> None:
-    """CSV by calendar year, ordered by time and id inside each file."""
-    events.withColumn("y", F.year("event_time")).repartition("y", F.month("event_time")).sortWithinPartitions("event_time", "event_id").write.partitionBy("y").option("header", True).csv(path)
+def export_journal(events: DataFrame, path: str, parts: int = 1) -> None:
+    """CSV with one file for each calendar year, ordered by time and id; with more parts, that many files a year, in order by name.
+
+    One ordered file is one task, as is asked for; a year too large for that takes parts."""
+    rows = events.withColumn("y", F.year("event_time"))
+    dealt = rows.repartition("y") if parts == 1 else rows.repartitionByRange(parts * max(1, rows.select("y").distinct().count()), "y", "event_time", "event_id")
+    dealt.sortWithinPartitions("y", "event_time", "event_id").write.partitionBy("y").option("header", True).csv(path)
+
+
+def export_catalogue(channels: DataFrame, path: str, key: str = "channel_id") -> None:
+    """CSV with a header, ordered by key over its files; nulls are empty."""
+    channels.orderBy(key).write.option("header", True).option("nullValue", "").csv(path)
+
+
+def write_panel(panel: DataFrame, path: str, groups: int = 8, day: str = "day") -> None:
+    """A panel as Parquet by year and group of channels (a hash of the channel), zstd."""
+    rows = panel.withColumns({"d_year": F.year(day), "channel_group": F.pmod(F.col("channel_id"), F.lit(groups)).cast("int")})
+    rows.repartition("d_year", "channel_group").write.partitionBy("d_year", "channel_group").option("compression", "zstd").parquet(path)
+
+
+def stage_strings(spark: SparkSession, csv: str, path: str, columns: list[str]) -> None:
+    """A CSV source as Parquet of text columns, zstd."""
+    read_records(spark, csv, "csv", columns).write.option("compression", "zstd").parquet(path)
+
+
+def scan_source(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Text columns of a Parquet or CSV source; its name tells which."""
+    return read_records(spark, path, "parquet" if path.rstrip("/").endswith(".parquet") else "csv", columns)
+
+
+def object_catalogue(raw: DataFrame) -> DataFrame:
+    """Objects from text rows (object_id, level, parent_id, kind, name): typed, with error for the first rule broken (else null). Optional
+    numbers may be empty, but not other text."""
+    number = lambda c: F.trim(c).try_cast("int")
+    given = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    bad = lambda c: given(c) & number(c).isNull()
+    key = F.trim("object_id").try_cast("long")
+    error = F.when(~given("object_id"), "empty_id").when(key.isNull(), "invalid_id").when(bad("level"), "invalid_level").when(bad("parent_id"), "invalid_parent")
+    return raw.select(key.alias("object_id"), number("level").alias("level"), number("parent_id").alias("parent_id"), S.empty_to_null(F.col("kind")).alias("kind"), S.empty_to_null(F.col("name")).alias("name"), error.alias("error"))
+
+
+def equipment_verdicts(messages: DataFrame, channels: DataFrame) -> DataFrame:
+    """Equipment messages (id, seen, channel_id, object_id, name) with verdict: incomplete without object or name, reassigned if the
+    channel belongs to another object (in the catalogue, or by an earlier message), else accepted."""
+    held = channels.select("channel_id", F.col("object_id").alias("held"))
+    rows = messages.join(held, "channel_id", "left")
+    whole = F.col("object_id").isNotNull() & (F.coalesce("name", F.lit("")) != "")
+    by = Window.partitionBy("channel_id").orderBy("seen", "id")
+    first = F.coalesce("held", F.first(F.when(whole & F.col("channel_id").isNotNull(), F.col("object_id")), ignorenulls=True).over(by))
+    verdict = F.when(~whole, "incomplete").when(F.col("channel_id").isNotNull() & (first != F.col("object_id")), "reassigned").otherwise("accepted")
+    return rows.withColumn("verdict", verdict).drop("held")
+
+
+def upsert_equipment(channels: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """channel_id, object_id, name of the catalogue after the accepted messages; the last one of a channel names it."""
+    new = verdicts.where("verdict = 'accepted' and channel_id is not null").groupBy("channel_id").agg(F.max_by(F.struct("object_id", "name"), F.struct("seen", "id")).alias("x"))
+    both = channels.select("channel_id", "object_id", "name").withColumnsRenamed({"object_id": "o", "name": "n"}).join(new, "channel_id", "full")
+    return both.select("channel_id", F.coalesce("x.object_id", "o").alias("object_id"), F.coalesce("x.name", "n").alias("name"))
 
 
 def pick_sources(listing: DataFrame) -> DataFrame:
@@ -147,8 +204,10 @@ def register(raw: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def manifest(table: DataFrame, by: str, key: str) -> DataFrame:
-    """Rows, range of the key and an order-free checksum of each part of a table."""
-    return table.groupBy(by).agg(F.count("*").alias("rows"), F.min(key).alias("first"), F.max(key).alias("last"), F.expr(f"bit_xor(xxhash64({', '.join(f'`{c}`' for c in table.columns)}))").alias("checksum"))
+    """Rows, range of the key and an order-free checksum of each part of a table: the sum of the first 32 bits of each row's MD5."""
+    text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in table.columns))
+    checksum = F.sum(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"))
+    return table.groupBy(by).agg(F.count("*").alias("rows"), F.min(key).alias("first"), F.max(key).alias("last"), checksum.alias("checksum"))
 
 
 def changed_parts(now: DataFrame, then: DataFrame, by: str) -> DataFrame:

@@ -6,14 +6,13 @@ for rows that come within it."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from vigil.functions import scalars as S
-
 
 def journal_stream(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
     """New Parquet files of event rows as a stream; the checkpoint is the cursor."""
@@ -52,15 +51,10 @@ def sliding_activity(stream: DataFrame, length: str = "7 days", step: str = "1 d
     return stream.withWatermark("event_time", late).groupBy("channel_id", F.window("event_time", length, step)).agg(F.count("*").alias("n")).select("channel_id", F.to_date("window.end").alias("day_after"), "n")
 
 
-def silent_sessions(stream: DataFrame, gap: str = "4 days", late: str = "2 days") -> DataFrame:
-    """Sessions of activity that end with a silence of at least `gap`."""
-    return stream.withWatermark("event_time", late).groupBy("channel_id", F.session_window("event_time", gap)).agg(F.count("*").alias("n"), F.max("event_time").alias("last_time")).select("channel_id", "last_time", "n")
-
-
-def source_lag(batch: DataFrame) -> DataFrame:
-    """Largest lag of a batch in seconds, and whether it is within 300."""
-    lag = F.max(F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp("event_time"))
-    return batch.agg(lag.alias("lag_s"), (lag <= 300).alias("in_time"))
+def source_lag(batch: DataFrame, now: Column | None = None, *by: str) -> DataFrame:
+    """Largest lag of a batch in seconds (of each source, by), and whether it is within 300."""
+    lag = F.max(F.unix_timestamp(now if now is not None else F.current_timestamp()) - F.unix_timestamp(F.col("event_time").cast("timestamp")))
+    return batch.groupBy(*by).agg(lag.alias("lag_s"), (lag <= 300).alias("in_time"))
 
 
 def routed(sinks: dict[str, Callable[[DataFrame, int], None]]) -> Callable[[DataFrame, int], None]:
@@ -106,31 +100,73 @@ def payload_verdicts(stream: DataFrame) -> DataFrame:
     return rows.groupBy("external_id").transformWithStateInPandas(FirstHash(), "external_id string, payload_hash string, verdict string", "Append", "None")
 
 
-class LinkState(StatefulProcessor):
-    """Last known state of a channel; emits its changes. Rows of one batch are taken in the order of time."""
+class ChannelState(StatefulProcessor):
+    """What a channel's past says about its next event: the open cell, the state and onset of a fault, the last readings, the last day.
+
+    Emits a fault when it ends, a crossing when its cell is over, and a silence when a reading ends it. The newest cell stays open until a
+    later one comes, in this trigger or another; events older than the open cell are dropped. State is one row for each channel."""
+
+    SCHEMA = "cell timestamp, low double, high double, fault boolean, ok boolean, unknown boolean, state string, onset timestamp, strict boolean, last_low double, last_high double, day date"
+    OUT = "channel_id long, kind string, start timestamp, end timestamp, strict boolean, sustained int"
+
+    def __init__(self, classes: dict[str, tuple[str, ...]], reading: str, threshold: float, tau_seconds: float, silent_days: int, grain: str):
+        self.classes, self.reading, self.threshold, self.tau, self.silent_days, self.grain = classes, reading, threshold, tau_seconds, silent_days, grain
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "state string, t timestamp")
+        self.held = handle.getValueState("held", self.SCHEMA)
+
+    def _close(self, s: dict, out: list[tuple], channel: int) -> None:
+        """The open cell is over: its state and readings are final."""
+        t, f, o, u = s["cell"], s["fault"], s["ok"], s["unknown"]
+        state = "A" if (f and o) or u else "F" if f else "O" if o else None
+        if state and state != s["state"]:
+            if s["state"] == "F":
+                exact = state == "O"
+                out.append((channel, "fault", s["onset"], t, s["strict"], int((t - s["onset"]).total_seconds() >= self.tau) if exact else None))
+            if state == "F":
+                s["onset"], s["strict"] = t, s["state"] == "O"
+            s["state"] = state
+        if s["high"] is not None:
+            if s["last_high"] is not None and s["low"] >= self.threshold > s["last_high"]:
+                out.append((channel, "crossing", t, t, None, None))
+            s["last_low"], s["last_high"] = s["low"], s["high"]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
-        state = self.last.get()[0] if self.last.exists() else None
-        out = []
-        # A key's rows of one trigger; the number of its cells bounds them.
-        for r in pd.concat(rows).sort_values("t").itertuples():
-            if r.state != state:
-                out.append((key[0], r.t, r.state, state))
-                state = r.state
-                self.last.update((state, r.t))
+        names = [x.split()[0] for x in self.SCHEMA.split(", ")]
+        s = dict(zip(names, self.held.get(), strict=True)) if self.held.exists() else dict.fromkeys(names)
+        out: list[tuple] = []
+        # A key's rows of one trigger; the number of files in it bounds them.
+        for r in pd.concat(rows).sort_values(["event_time", "event_id"]).itertuples():
+            cell = r.event_time.floor(self.grain).to_pydatetime()
+            if s["cell"] is not None and cell < s["cell"]:
+                continue
+            if s["cell"] != cell:
+                if s["cell"] is not None:
+                    self._close(s, out, key[0])
+                s.update(cell=cell, low=None, high=None, fault=False, ok=False, unknown=False)
+            for name, values in self.classes.items():
+                s[name] = s[name] or r.value_state in values
+            if r.value_state == self.reading and r.value_numeric == r.value_numeric:
+                s["low"] = r.value_numeric if s["low"] is None else min(s["low"], r.value_numeric)
+                s["high"] = r.value_numeric if s["high"] is None else max(s["high"], r.value_numeric)
+            day = cell.date()
+            if s["day"] and (day - s["day"]).days - 1 >= self.silent_days:
+                at = lambda x: pd.Timestamp(x).to_pydatetime()
+                out.append((key[0], "silence", at(s["day"]) + timedelta(days=1), at(day) - timedelta(days=1), None, None))
+            s["day"] = day
+        self.held.update(tuple(s[n] for n in names))
         if out:
-            yield pd.DataFrame(out, columns=["channel_id", "t", "state", "before"])
+            frame = pd.DataFrame(out, columns=["channel_id", "kind", "start", "end", "strict", "sustained"])
+            yield frame.astype({"strict": "boolean", "sustained": "Int32"})
 
     def close(self) -> None:
         pass
 
 
-def state_changes(cells: DataFrame) -> DataFrame:
-    """channel_id, t, state, before of each change, for a stream of state cells (channel_id, t, state)."""
-    return cells.groupBy("channel_id").transformWithStateInPandas(LinkState(), "channel_id long, t timestamp, state string, before string", "Append", "None")
+def channel_changes(stream: DataFrame, classes: dict[str, tuple[str, ...]], reading: str, threshold: float, tau_seconds: float, silent_days: int, grain: str = "s") -> DataFrame:
+    """channel_id, kind (fault, crossing, silence), start, end, strict, sustained of what ended, for a stream of events."""
+    rows = stream.select("channel_id", "event_id", "event_time", "value_state", F.col("value_numeric").cast("double").alias("value_numeric"))
+    return rows.groupBy("channel_id").transformWithStateInPandas(ChannelState(classes, reading, threshold, tau_seconds, silent_days, grain), ChannelState.OUT, "Append", "None")
 
 
 def run_to_end(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
@@ -140,7 +176,3 @@ def run_to_end(stream: DataFrame, sink: str, checkpoint: str, mode: str = "appen
 
 def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update") -> None:
     stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-def pseudonymous(stream: DataFrame, salt: str) -> DataFrame:
-    return stream.withColumn("channel_id", S.pseudonym(F.col("channel_id"), salt))
