@@ -60,9 +60,9 @@ def linked_decisions(scores: DataFrame, decisions: DataFrame, keys: list[str]) -
     return scores.join(last, keys, "left")
 
 
-def last_known(rows: DataFrame, key: str, order: str, values: list[str]) -> DataFrame:
-    """The last value of each column that isn't null, for each key."""
-    return rows.groupBy(key).agg(*(F.max_by(v, F.when(F.col(v).isNotNull(), F.col(order))).alias(v) for v in values))
+def last_known(rows: DataFrame, key: str, order: list[str], values: list[str]) -> DataFrame:
+    """The last value of each column that isn't null, for each key; order ends with a column that tells ties apart."""
+    return rows.groupBy(key).agg(*(F.max_by(v, F.when(F.col(v).isNotNull(), F.struct(*order))).alias(v) for v in values))
 
 
 def run_summary(rows: DataFrame) -> DataFrame:

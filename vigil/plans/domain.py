@@ -45,20 +45,21 @@ def gas_seconds(spark: SparkSession, d: str) -> DataFrame:
     return R.gas_seconds(B.journal(spark, d), own, F.col("value_state") == "purchase")
 
 
-@query(f"{SC} SELECT channel_id, day, score, CASE WHEN channel_id % 3 = 0 THEN 'second' END AS decision FROM scores")
+@query(f"{SC} SELECT channel_id, day, score, CASE WHEN channel_id % 3 = 0 THEN CASE WHEN isodow(day) % 2 = 1 THEN 'first' ELSE 'second' END END AS decision FROM scores")
 def linked_decisions(spark: SparkSession, d: str) -> DataFrame:
-    """J19"""
+    """The decision of the highest id; those of another version or score aren't linked"""
     s = scores_of(spark, d).select("channel_id", "day", F.lit("1.0").alias("version"), "score")
-    some = s.where("channel_id % 3 = 0")
-    decisions = some.withColumns({"id": F.lit(1), "decision": F.lit("first")}).union(some.withColumns({"id": F.lit(2), "decision": F.lit("second")}))
-    return R.linked_decisions(s, decisions, ["channel_id", "day", "version", "score"]).drop("version")
+    some, odd = s.where("channel_id % 3 = 0"), (F.weekday("day") + 1) % 2 == 1
+    decisions = some.withColumns({"id": F.when(odd, 3).otherwise(1), "decision": F.lit("first")}).union(some.withColumns({"id": F.lit(2), "decision": F.lit("second")}))
+    others = s.where("channel_id % 3 = 1").withColumns({"version": F.lit("2.0"), "id": F.lit(4), "decision": F.lit("other version")}).union(s.where("channel_id % 3 = 2").withColumns({"score": F.col("score") + 1, "id": F.lit(5), "decision": F.lit("other score")}))
+    return R.linked_decisions(s, decisions.union(others), ["channel_id", "day", "version", "score"]).drop("version")
 
 
-@query("SELECT channel_id, arg_max(CASE WHEN value_state = 'view' THEN props END, event_time) FILTER (WHERE value_state = 'view') AS last_view, arg_max(value_state, event_time) AS last_state FROM journal GROUP BY 1")
+@query("SELECT channel_id, arg_max(CASE WHEN value_state = 'view' THEN props END, (event_time, event_id)) FILTER (WHERE value_state = 'view') AS last_view, arg_max(value_state, (event_time, event_id)) AS last_state FROM journal GROUP BY 1")
 def last_known(spark: SparkSession, d: str) -> DataFrame:
     """A15, F19"""
-    rows = B.journal(spark, d).select("channel_id", "event_time", F.when(F.col("value_state") == "view", F.col("props")).alias("last_view"), F.col("value_state").alias("last_state"))
-    return R.last_known(rows, "channel_id", "event_time", ["last_view", "last_state"])
+    rows = B.journal(spark, d).select("channel_id", "event_time", "event_id", F.when(F.col("value_state") == "view", F.col("props")).alias("last_view"), F.col("value_state").alias("last_state"))
+    return R.last_known(rows, "channel_id", ["event_time", "event_id"], ["last_view", "last_state"])
 
 
 @query(f"{SC} SELECT count(*) AS rows, count(*) FILTER (WHERE channel_id % 5 <> 0) AS scored, count(*) FILTER (WHERE channel_id % 5 = 0) AS abstained, count(DISTINCT channel_id) AS channels, round(avg(score) FILTER (WHERE channel_id % 5 <> 0), 6) AS mean_score, max(day) AS newest_day FROM scores")
@@ -68,10 +69,15 @@ def run_summary(spark: SparkSession, d: str) -> DataFrame:
     return R.run_summary(rows).withColumn("mean_score", F.round("mean_score", 6))
 
 
-@query("SELECT count(*) FILTER (WHERE CAST(event_time AS DATE) = DATE '2024-01-20') AS rows, max(CAST(event_time AS DATE)) AS newest, 'closed' AS state FROM journal")
+#: (day, today, covered until): closed, not over, not covered, and without rows.
+ASKED = (("2024-01-20", "2024-01-31", "2024-01-30"), ("2024-01-30", "2024-01-30", "2024-01-30"), ("2024-01-29", "2024-01-31", "2024-01-28"), ("2024-02-05", "2024-02-10", "2024-02-09"))
+
+
+@query(", ak AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"DATE '{x}'" for x in a) + ")" for a in ASKED) + ") v(day, today, covered)), ar AS (SELECT ak.*, count(j.event_id) AS rows, (SELECT max(CAST(event_time AS DATE)) FROM journal) AS newest FROM ak LEFT JOIN journal j ON CAST(j.event_time AS DATE) = ak.day GROUP BY ALL) SELECT day, rows, newest, CASE WHEN NOT day < today THEN 'day_not_over' WHEN day > covered THEN 'not_covered' WHEN rows = 0 THEN 'no_rows' ELSE 'closed' END AS state FROM ar")
 def closed_day(spark: SparkSession, d: str) -> DataFrame:
     """R11"""
-    return R.closed_day(B.journal(spark, d), "2024-01-20", "2024-01-31", "2024-01-30")
+    parts = [R.closed_day(B.journal(spark, d), *a).select(F.lit(a[0]).cast("date").alias("day"), "*") for a in ASKED]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @query(f"{CD}, s AS (SELECT channel_id, day, n_alarm, sum(n_alarm) OVER w3 AS recent, sum(n_events) OVER w7 AS measured FROM cd WINDOW w3 AS (PARTITION BY channel_id ORDER BY day RANGE BETWEEN INTERVAL 2 DAY PRECEDING AND CURRENT ROW), w7 AS (PARTITION BY channel_id ORDER BY day RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW)), r AS (SELECT s.channel_id, s.day, CASE WHEN measured = 0 THEN 'no_measurements' WHEN recent > 0 THEN 'recent_tech_value' WHEN s.day + 3 > DATE '2024-01-30' THEN 'window_beyond_data' WHEN b.n_alarm > 0 THEN 'positive' WHEN b.n_events > 0 THEN 'negative' ELSE 'unobserved_window' END AS reason_tech FROM s LEFT JOIN cd b ON b.channel_id = s.channel_id AND b.day = s.day + 2) SELECT *, CASE reason_tech WHEN 'positive' THEN 1 WHEN 'negative' THEN 0 END AS target_tech FROM r")

@@ -180,7 +180,7 @@ def day_difference(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT channel_id, day, gap_days, CASE WHEN n >= 2 THEN median_gap END AS median_gap FROM (SELECT channel_id, day, gap_days, quantile_cont(gap_days, 0.5) OVER w AS median_gap, count(gap_days) OVER w AS n FROM (SELECT channel_id, day, CAST(day - lag(day) OVER (PARTITION BY channel_id ORDER BY day) AS INTEGER) AS gap_days FROM (SELECT DISTINCT channel_id, CAST(event_time AS DATE) AS day FROM journal)) WINDOW w AS (PARTITION BY channel_id ORDER BY day RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW))")
 def cadence(spark: SparkSession, d: str) -> DataFrame:
-    """Rolling median of gaps"""
+    """Rolling median of gaps"""
     by = Window.partitionBy("channel_id").orderBy("day")
     days = B.journal(spark, d).select("channel_id", F.to_date("event_time").alias("day")).distinct().withColumn("gap_days", F.date_diff("day", F.lag("day").over(by)))
     last = day_range(7, "channel_id")

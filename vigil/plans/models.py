@@ -43,11 +43,11 @@ def selected_types(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def logistic_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Train before the 15th, calibrate before the 20th, score the rest"""
+    """Train before the 15th, calibrate before the 20th, score the rest"""
     rows = rows_of(spark, d).withColumns({c: F.col(c).cast("double") for c in ("n_events", "n_alarm")})
     parts = M.temporal_split(rows, "2024-01-15", "2024-01-20", "2024-01-26")
     train = M.sampled(parts.where("split = 'train' and label is not null"), 3)
-    model = M.logistic(["n_events", "n_alarm"], ["sensor_type"]).fit(train)
+    model = M.logistic(M.checked(train.columns, ["n_events", "n_alarm"]), ["sensor_type"]).fit(train)
     fitted = M.platt(M.scored(model, parts.where("split = 'calibration'"))).head()
     out = M.calibrated(M.scored(model, parts.where("split in ('validation', 'stress')")), fitted.slope, fitted.intercept)
     factors = M.top_factors(parts.where("split in ('validation', 'stress')"), model, ["n_events", "n_alarm"])
@@ -56,12 +56,12 @@ def logistic_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def boosted_scores(spark: SparkSession, d: str) -> DataFrame:
-    """A boosted model for warm channels, a logistic one for cold ones"""
+    """A boosted model for warm channels, a logistic one for cold ones"""
     by = Window.partitionBy("channel_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows_of(spark, d).withColumns({c: F.col(c).cast("double") for c in ("n_events", "n_alarm")}).withColumn("observed_days", F.count("*").over(by))
     parts = M.temporal_split(rows, "2024-01-15", "2024-01-20", "2024-01-26")
     train = M.sampled(parts.where("split = 'train' and label is not null"), 3)
-    warm, cold = M.boosted(["n_events", "n_alarm"]).fit(train), M.logistic(["n_events"], ["sensor_type"]).fit(train)
+    warm, cold = M.boosted(M.checked(train.columns, ["n_events", "n_alarm"])).fit(train), M.logistic(["n_events"], ["sensor_type"]).fit(train)
     return M.routed(parts.where("split = 'stress'"), warm, cold, 10).select("channel_id", "day", "is_cold", F.round("score", 6).alias("score"))
 
 
@@ -143,7 +143,7 @@ def day_revisions(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{SC} SELECT m AS module, channel_id, day, CASE WHEN m = 'a' THEN score END AS score, CASE WHEN m = 'a' THEN 'scored' ELSE 'abstain' END AS status FROM scores, (SELECT unnest(['a', 'b', 'c']) AS m)")
 def scorecard(spark: SparkSession, d: str) -> DataFrame:
-    """Module a has an open gate, b a closed one, c none"""
+    """Module a has an open gate, b a closed one, c none"""
     s = scores_of(spark, d).select("channel_id", "day", "score", F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("module"))
     gates = M.decision(spark.createDataFrame([("a", 0.2), ("b", -0.1)], "module string, low double"), 0.0)
     return P.scorecard(s, gates.select("module", "decision"))

@@ -59,12 +59,12 @@ def board_statistics(spark: SparkSession, d: str) -> DataFrame:
     return O.object_board(B.journal(spark, d), B.channels(spark, d), B.objects(spark, d)).groupBy("status").agg(F.count("*").alias("objects"), F.sum("alarm_sensors").alias("alarm_sensors"), F.max("last_event").alias("last_event"))
 
 
-@query(f"{BOARD} SELECT object_id, status, row_number() OVER (ORDER BY CASE status WHEN 'alarm' THEN 0 WHEN 'unknown' THEN 1 ELSE 2 END, object_name, object_id) AS position FROM b")
+@query(f"{BOARD} SELECT object_id, object_name, status, CASE status WHEN 'alarm' THEN 0 WHEN 'unknown' THEN 1 ELSE 2 END AS priority FROM b")
 def board_order(spark: SparkSession, d: str) -> DataFrame:
-    """At most as many rows as there are objects"""
+    """Sorted by priority of the status, then by name"""
     b = O.object_board(B.journal(spark, d), B.channels(spark, d), B.objects(spark, d))
-    rank = F.when(F.col("status") == "alarm", 0).when(F.col("status") == "unknown", 1).otherwise(2)
-    return b.select("object_id", "status", F.row_number().over(Window.orderBy(rank, "object_name", "object_id")).alias("position"))
+    priority = F.when(F.col("status") == "alarm", 0).when(F.col("status") == "unknown", 1).otherwise(2)
+    return b.select("object_id", "object_name", "status", priority.alias("priority")).orderBy("priority", "object_name", "object_id")
 
 
 @query("SELECT CAST(event_time AS DATE) AS day, count(*) AS observations, count(*) FILTER (WHERE alarm) AS alarms FROM journal GROUP BY 1")
