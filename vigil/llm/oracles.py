@@ -92,4 +92,27 @@ WITH s AS (
 SELECT doc_id, CAST(n AS BIGINT) AS n_lines, CAST(total - n AS BIGINT) AS n_dropped, length(text) AS n_chars, sha256(text) AS text_sha256 FROM whole
 """
 
-ORACLES = {"op3_decontaminate": OP3, "op4_near_dedup": OP4, "op7_line_dedup": OP7}
+SECRET_BASE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id,
+  len(list_filter(regexp_extract_all(text, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 8)) AS n_assign,
+  len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16)) AS n_access,
+  len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda x: length(x) >= 32)) AS n_hex
+FROM d
+"""
+
+LICENSE_BASE = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '{_WORDS}'), []) AS w FROM documents
+), p AS (
+  SELECT doc_id, w, list_filter(range(1, len(w) + 1), lambda i: w[i:i+1] = ['mit', 'license']) AS mit, list_filter(range(1, len(w) + 1), lambda i: w[i:i+1] = ['apache', 'license']) AS apache,
+    list_filter(range(1, len(w) + 1), lambda i: w[i:i+2] = ['general', 'public', 'license']) AS gpl FROM d
+), a AS (
+  SELECT *, list_sort(list_concat(mit, apache, gpl)) AS places FROM p
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, places[1] - 1 AS first_word, places[-1] - 1 AS last_word,
+  concat_ws(',', CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(mit) > 0 THEN 'mit' END) AS base_labels
+FROM a
+"""
+
+ORACLES = {"secret_base_counts": SECRET_BASE, "license_base_places": LICENSE_BASE, "op3_decontaminate": OP3, "op4_near_dedup": OP4, "op7_line_dedup": OP7}

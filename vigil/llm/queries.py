@@ -73,8 +73,18 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages"))
 
 
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed kinds of op8_secrets in every document, as SQL can count them."""
+    return find_secrets(_table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed phrases of op9_licenses in every document, as SQL can find them."""
+    return scan_licenses(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_quality, op3_decontaminate, op4_near_dedup, op5_sentencepiece, op6_nearest, op7_line_dedup, op8_secrets, op9_licenses, op10_main_text)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality, op3_decontaminate, op4_near_dedup, op5_sentencepiece, op6_nearest, op7_line_dedup, op8_secrets, op9_licenses, op10_main_text, secret_base_counts, license_base_places)}
 
 
 def oracle_sql() -> dict[str, str]:
