@@ -200,8 +200,12 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     e = F.col("embedding").cast(kind if kind in ("array<float>", "array<double>") else "array<double>")
     fine = F.coalesce(F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding"), F.size(e).alias("size")).where(F.col("vec_id").isNotNull() & fine)
-    # A query for each length of its vectors.
-    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id", "size"])
+    # A query for each id and length; only ids that come again are shuffled to find one.
+    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
+    again = staged(queries.groupBy("vec_id", "size").count().where("count > 1").select("vec_id", "size"))
+    if not again.isEmpty():
+        of = ["vec_id", "size"]
+        queries = queries.join(again, of, "left_anti").select(rows.columns).union(queries.join(again, of).dropDuplicates(of).select(rows.columns))
     groups = max(1, -(-rows.count() // GROUP_ROWS))
     vector = f"embedding {rows.schema['embedding'].dataType.simpleString()}"
     hashed = rows.mapInPandas(_hash_rows(groups), f"size int, part long, bucket long, vec_id long, {vector}")
