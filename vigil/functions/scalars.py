@@ -150,11 +150,6 @@ def multi_signal(types: Column, any_alarm: Column, recurrence: Column) -> Column
     return F.greatest(F.least(types / 2, F.lit(1.0)), 0.25 * any_alarm.cast("double"), 0.5 * recurrence)
 
 
-def robust_z(x: Column, median: Column, iqr: Column) -> Column:
-    """Distance from the median in interquartile ranges (1 where that is 0), clipped at 20."""
-    return clip((x - median) / F.when(iqr > 0, iqr).otherwise(1.0), -20.0, 20.0)
-
-
 def period_name(day: Column) -> Column:
     """Half-year name such as 2024H1."""
     return F.concat(F.year(day).cast("string"), F.when(F.month(day) <= 6, "H1").otherwise("H2"))

@@ -43,7 +43,7 @@ def shifted_neighbours(crossed: DataFrame, repeats: int, before: str = "6 hours"
 
 
 def eligibility(rows: DataFrame, threshold: float) -> DataFrame:
-    """reasons why a channel can't be scored on its day, and whether it can."""
+    """reasons (fixed codes) why a channel can't be scored on its day, and whether it can."""
     reasons = F.array_compact(F.array(F.when(F.col("readings") == 0, "NOT_GAS_STREAM"), F.when((F.col("readings") > 0) & F.col("last_reading").isNull(), "NO_GAS_READING_AT_D"), F.when(F.col("last_reading") >= threshold, "ABOVE_THRESHOLD_AT_D")))
     return rows.withColumns({"reasons": reasons, "eligible": F.size(reasons) == 0})
 

@@ -136,9 +136,12 @@ def label_changes(a: DataFrame, b: DataFrame, keys: list[str], label: str) -> Da
     return both.where(~F.col("a").eqNullSafe(F.col("b")))
 
 
+#: Prefixes of columns that tell of the future (fixed names of the panels).
+FUTURE = ("target_", "reason_", "competing_", "label_", "d_future")
+
+
 def assert_leakage_safe(columns: list[str], features: list[str]) -> None:
     """Raise if a feature is missing, repeated, or tells of the future."""
-    forbidden = ("target_", "reason_", "competing_", "label_", "d_future")
-    bad = [c for c in features if c.startswith(forbidden) or c not in columns or c.endswith(("_d1", "_d2", "_d3"))]
+    bad = [c for c in features if c.startswith(FUTURE) or c not in columns or c.endswith(("_d1", "_d2", "_d3"))]
     if bad or len(set(features)) < len(features):
         raise ValueError(f"not allowed as features: {bad or 'repeated names'}")

@@ -18,6 +18,7 @@ def value_class(raw: Column, time: Column, is_gas: Column, technical: list[float
     to 1970, the event's own time within five seconds, another date, empty, a known text, unknown."""
     text, number = S.empty_to_null(raw), S.parse_number(raw)
     stamp = F.when(text.rlike(DATE_TEXT), F.try_to_timestamp(text, F.lit("dd.MM.yyyy H:mm:ss")).cast("timestamp_ntz"))
+    # Names of classes, and the text of a clock that was reset, are fixed values of the format.
     known = F.coalesce(*(F.when(text == k, F.lit(v)) for k, v in text_classes.items()), F.lit("unknown_value"))
     return (
         F.when(number.isin(*technical), "tech_value").when(is_gas & ((number < low) | (number > high)), "gas_out_of_range").when(number.isNotNull(), "numeric")
