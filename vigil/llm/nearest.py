@@ -16,6 +16,8 @@ from vigil.llm.common import staged
 
 #: Tables, projections in each, bucket width on unit vectors, and buckets visited in each table for a query.
 TABLES, PROJECTIONS, WIDTH, PROBES = 5, 14, 3.0, 900
+#: Queries hashed at once.
+QUERIES_AT_ONCE = 256
 #: Rows and queries that meet in one task at most, and rows of the plan of groups that are broadcast at most.
 GROUP_ROWS, GROUP_QUERIES, PLAN_ROWS = 8192, 1024, 500_000
 
@@ -120,12 +122,16 @@ def _hash_queries(groups: int):
         for pdf in batches:
             for size, part, vectors in _by_size(pdf):
                 index, unit = PStableIndex.make(size), _unit(vectors)
-                for t in range(TABLES):
-                    for at, probes in enumerate(index.probes(unit, t, sets)):
-                        group = probes % groups
-                        order = np.argsort(group, kind="stable")
-                        found, start = np.unique(group[order], return_index=True)
-                        yield pd.DataFrame({"size": size, "part": t * groups + found, "query_id": part["vec_id"].iloc[at], "buckets": np.split(probes[order], start[1:]), "embedding": [part["embedding"].iloc[at]] * len(found)})
+                ids, held = part["vec_id"].to_numpy(), part["embedding"].to_numpy()
+                for at in range(0, len(part), QUERIES_AT_ONCE):
+                    for t in range(TABLES):
+                        probes = index.probes(unit[at : at + QUERIES_AT_ONCE], t, sets)
+                        order = np.argsort(probes % groups, axis=1, kind="stable")
+                        flat = np.take_along_axis(probes, order, axis=1).ravel()
+                        group, owner = flat % groups, at + np.repeat(np.arange(len(probes)), probes.shape[1])
+                        start = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (owner[1:] != owner[:-1])])
+                        own = owner[start]
+                        yield pd.DataFrame({"size": size, "part": t * groups + group[start], "query_id": ids[own], "buckets": np.split(flat, start[1:]), "embedding": held[own]})
 
     return run
 
@@ -209,7 +215,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     groups = max(1, -(-rows.count() // GROUP_ROWS))
     vector = f"embedding {rows.schema['embedding'].dataType.simpleString()}"
     hashed = rows.mapInPandas(_hash_rows(groups), f"size int, part long, bucket long, vec_id long, {vector}")
-    probing = queries.mapInPandas(_hash_queries(groups), f"size int, part long, query_id long, buckets array<long>, {vector}")
+    probing = staged(queries.mapInPandas(_hash_queries(groups), f"size int, part long, query_id long, buckets array<long>, {vector}"))
 
     def ranked(met: DataFrame) -> DataFrame:
         by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
