@@ -115,4 +115,35 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS
 FROM a
 """
 
-ORACLES = {"secret_base_counts": SECRET_BASE, "license_base_places": LICENSE_BASE, "op3_decontaminate": OP3, "op4_near_dedup": OP4, "op7_line_dedup": OP7}
+OP13 = rf"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(coalesce({_LOWER}, ''), '[.,;:!?\x0A-\x0D]')) AS p FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM t
+), n AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang
+), g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i+k-1], ' '))) AS phrase FROM w, range(1, 5) AS ks(k)
+), f AS (
+  SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase HAVING count(*) >= 30
+), x AS (
+  SELECT lang, k, f, string_split(phrase, ' ') AS q FROM f WHERE k > 2
+), inside AS (
+  SELECT lang, array_to_string(q[i:i+m-1], ' ') AS phrase, max(f) AS within FROM x, range(2, 4) AS ms(m), range(1, 4) AS js(i) WHERE m < k AND i + m - 1 <= k GROUP BY ALL
+), c AS (
+  SELECT f.lang, f.phrase, f.k, f.f AS a, string_split(f.phrase, ' ') AS q FROM f LEFT JOIN inside USING (lang, phrase)
+  WHERE f.k > 1 AND (within IS NULL OR 100 * within < 80 * f.f)
+), cuts AS (
+  SELECT lang, phrase, a, i, array_to_string(q[1:i], ' ') AS first, array_to_string(q[i+1:k], ' ') AS rest FROM c, range(1, 4) AS js(i) WHERE i < k
+), scored AS (
+  SELECT cuts.*, p.f AS l, s.f AS r, CAST((CAST(2000000 AS HUGEINT) * a) // (p.f + s.f) AS BIGINT) AS score
+  FROM cuts JOIN f p ON p.lang = cuts.lang AND p.phrase = first JOIN f s ON s.lang = cuts.lang AND s.phrase = rest
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+ORACLES = {"op13_collocations": OP13, "secret_base_counts": SECRET_BASE, "license_base_places": LICENSE_BASE, "op3_decontaminate": OP3, "op4_near_dedup": OP4, "op7_line_dedup": OP7}

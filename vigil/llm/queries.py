@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vigil.llm import byte_bpe
+from vigil.llm.collocations import collocations
 from vigil.llm.decontaminate import find_contamination
 from vigil.llm.html_text import extract_main_text
 from vigil.llm.language_id import identify_language
@@ -17,6 +19,7 @@ from vigil.llm.oracles import ORACLES
 from vigil.llm.quality import classify_quality
 from vigil.llm.secrets import find_secrets
 from vigil.llm.sentencepiece import digest
+from vigil.llm.whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +76,21 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every document, and the bytes that they decode to, as digests."""
+    return byte_bpe.digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to eight whitened components of every vector."""
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2,000 collocations over all documents."""
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixed kinds of op8_secrets in every document, as SQL can count them."""
     return find_secrets(_table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex")
@@ -84,7 +102,7 @@ def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_quality, op3_decontaminate, op4_near_dedup, op5_sentencepiece, op6_nearest, op7_line_dedup, op8_secrets, op9_licenses, op10_main_text, secret_base_counts, license_base_places)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality, op3_decontaminate, op4_near_dedup, op5_sentencepiece, op6_nearest, op7_line_dedup, op8_secrets, op9_licenses, op10_main_text, op11_byte_bpe, op12_whitening, op13_collocations, secret_base_counts, license_base_places)}
 
 
 def oracle_sql() -> dict[str, str]:
