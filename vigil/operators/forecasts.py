@@ -93,7 +93,7 @@ def incident_recommendation(abstain: Column, label_source: Column, evidence: Col
 def maintenance_state(objects: DataFrame, activity: DataFrame, schedule: DataFrame, day: Column, least: int = 7, lookback: int = 21, history: int = 90) -> DataFrame:
     """objects (object_id) with maintenance_context at the end of `day`: verified_schedule if a planned window holds it (s <= day <= e),
     else possible_recent_silence if the latest silence of at least `least` days that readings bound on both sides ended 1 to `lookback`
-    days ago, else null; with that silence's length and age and the window's bounds. Only days up to `day`, `history` back, count."""
+    days ago, else unknown; with that silence's length and age and the window's bounds. Only days up to `day`, `history` back, count."""
     days = activity.where((F.col("day") <= day) & (F.col("day") >= F.date_sub(day, history))).select("object_id", "day").distinct()
     by = Window.partitionBy("object_id").orderBy("day")
     gaps = days.withColumn("next", F.lead("day").over(by)).where(F.date_diff("next", "day") - 1 >= least)
@@ -101,7 +101,7 @@ def maintenance_state(objects: DataFrame, activity: DataFrame, schedule: DataFra
     silent = gaps.groupBy("object_id").agg(F.min_by(F.struct("silence_length_days", "silence_ended_days_ago"), "silence_ended_days_ago").alias("x")).select("object_id", "x.*")
     planned = schedule.where((F.col("start") <= day) & (day <= F.col("end"))).groupBy("object_id").agg(F.max(F.struct("start", "end")).alias("w")).select("object_id", F.col("w.start").alias("schedule_start"), F.col("w.end").alias("schedule_end"))
     out = objects.join(silent, "object_id", "left").join(planned, "object_id", "left")
-    context = F.when(F.col("schedule_start").isNotNull(), "verified_schedule").when(F.col("silence_length_days").isNotNull(), "possible_recent_silence")
+    context = F.when(F.col("schedule_start").isNotNull(), "verified_schedule").when(F.col("silence_length_days").isNotNull(), "possible_recent_silence").otherwise("unknown")
     return out.withColumn("maintenance_context", context)
 
 
@@ -143,11 +143,17 @@ def selected_types(rows: DataFrame, least: int) -> DataFrame:
 
 
 def board(daily: DataFrame, scenario: DataFrame, channels: DataFrame, enabled: list[str]) -> DataFrame:
-    """Forecasts of both sources (id, channel_id, object_id, score, worker): whether each is bound (its channel belongs to its object),
-    whether it is available, and why not; only available ones show their score. A scenario's worker must be enabled."""
-    bound = channels.select("channel_id", F.col("object_id").alias("object_id"), F.lit(True).alias("known"))
-    rows = daily.withColumns({"on": F.lit(True), "missing": F.lit("SCORE_UNAVAILABLE")}).unionByName(scenario.withColumns({"on": F.col("worker").isin(*enabled), "missing": F.lit("RESULT_UNAVAILABLE")}))
-    rows = rows.join(bound, ["channel_id", "object_id"], "left").withColumn("bound", F.coalesce("known", F.lit(False)))
-    finite = F.coalesce(~F.isnan("score") & (F.abs("score") < float("inf")), F.lit(False))
-    reason = F.when(~F.col("bound"), "UNBOUND_CHANNEL").when(~F.col("on"), "MODULE_DISABLED").when(~finite, F.col("missing"))
-    return rows.select("worker", "id", "channel_id", "object_id", "bound", reason.isNull().alias("available"), reason.alias("availability_reason"), F.when(reason.isNull(), F.col("score")).alias("score"))
+    """Forecasts of both sources (id, channel_id, object_id, score, worker): whether each is bound, whether it is available, and why
+    not; only available ones show their score.
+
+    Bound: the object has channels, and the forecast is for the object as a whole (no channel) or for one of them. A daily
+    row must have the decision_status of a shadow forecast, a scenario's row must be eligible and its worker enabled; both need a finite score."""
+    held, known = channels.select("channel_id", F.col("object_id").alias("held")), channels.select("object_id").distinct().withColumn("known", F.lit(True))
+    columns = ["id", "channel_id", "object_id", "score", "worker"]
+    a = daily.select(*columns, (F.col("decision_status") == "experimental_shadow").alias("fit"), F.lit(True).alias("on"), F.lit("SCORE_UNAVAILABLE").alias("missing"))
+    b = scenario.select(*columns, F.col("eligible").alias("fit"), F.col("worker").isin(*enabled).alias("on"), F.lit("RESULT_UNAVAILABLE").alias("missing"))
+    rows = a.unionByName(b).join(held, "channel_id", "left").join(known, "object_id", "left")
+    bound = F.coalesce(F.col("known") & (F.col("channel_id").isNull() | (F.col("held") == F.col("object_id"))), F.lit(False))
+    finite = ~F.isnan("score") & (F.abs("score") < float("inf"))
+    reason = F.when(~bound, "UNBOUND_CHANNEL").when(~F.coalesce("on", F.lit(False)), "MODULE_DISABLED").when(~F.coalesce(finite & F.col("fit"), F.lit(False)), F.col("missing"))
+    return rows.select("worker", "id", "channel_id", "object_id", bound.alias("bound"), reason.isNull().alias("available"), reason.alias("availability_reason"), F.when(reason.isNull(), F.col("score")).alias("score"))

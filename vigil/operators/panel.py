@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vigil.operators.states import Stream, change_points, day_range, seconds
+from vigil.operators.states import Stream, day_range, seconds
 
 Branch = tuple[Column, int | None, str]
 
@@ -36,59 +36,111 @@ def _moments(reading: Column) -> dict[str, Column]:
     return {"num_n": F.count(v), "num_sum": F.sum(v), "num_sq": F.sum(v * v), "num_min": F.min(v), "num_max": F.max(v)}
 
 
-def event_panel(events: DataFrame, stream: Stream, reading: Column, threshold: float, tau_seconds: float, data_end: Column, classes: list[str], grain: str, lookback: int = 7, windows: tuple[int, ...] = (3, 7)) -> DataFrame:
-    """One row for each channel and grid day: counters, rolling sums, last reading, state at the day's end, onset
-    and crossing labels of day D+2 with reasons, and competing outcomes of D+1. data_end: last time of the data.
+def _runs(state: Column, was: Column, after: Column, t: Column, next_t: Column, tau_seconds: float) -> dict[str, Column]:
+    """What one run of a known state counts as, by the runs on both sides of it."""
+    strict = (state == "F") & F.coalesce(was == "O", F.lit(False))
+    exact = F.coalesce(after == "O", F.lit(False))
+    long = F.coalesce(seconds(t, next_t) >= tau_seconds, F.lit(False))
+    return {"link_strict": strict, "link_ambiguous": (state == "F") & ~strict, "link_sustained": strict & exact & long, "link_transient": strict & exact & ~long, "link_censored": strict & ~exact, "link_blocks": state == "A"}
 
-    Events are shuffled once, by channel, and grouped to cells there; states, change points, episodes and crossings are windows over a
-    channel's cells. Only day rows are shuffled again, with the grid's days, and merged by channel; later days are frames over them."""
-    end_day = F.to_date(data_end)
-    v, by = F.col("value_numeric"), Window.partitionBy("channel_id").orderBy("t")
+
+def _day_pieces(events: DataFrame, stream: Stream, reading: Column, threshold: float, tau_seconds: float, classes: list[str], grain: str) -> DataFrame:
+    """One row for each channel and day with events: sums, and what the days around need to know of it.
+
+    A piece of a channel is a day of it: events are shuffled by both, so a busy channel is dealt over its days. What can be
+    told inside the day is counted; the first and last run of a state, the first and last cell with readings are kept as they are."""
+    v, by = F.col("value_numeric"), Window.partitionBy("channel_id", "day").orderBy("t")
     has = lambda values: F.bool_or(F.coalesce(F.col("value_state").isin(*values), F.lit(False)))
-    last = F.max(F.when(reading, F.struct("event_time", "value_numeric")))
-    own = events.select("channel_id", "event_time", "alarm", "value_numeric", "value_state").repartition("channel_id")
-    cell = own.groupBy("channel_id", F.date_trunc(grain, "event_time").cast("timestamp_ntz").alias("t")).agg(
+    own = events.select("channel_id", "event_time", "alarm", "value_numeric", "value_state", F.to_date("event_time").alias("day")).repartition("channel_id", "day")
+    cell = own.groupBy("channel_id", "day", F.date_trunc(grain, "event_time").cast("timestamp_ntz").alias("t")).agg(
         F.count("*").alias("n_events"), F.count_if(F.col("alarm")).alias("n_alarm"), *(F.count_if(F.col("value_state") == c).alias(f"n_{c}") for c in classes),
-        *(c.alias(n) for n, c in _moments(reading).items()), F.count_if(reading & (v >= threshold)).alias("num_above"), last.alias("last"),
+        *(c.alias(n) for n, c in _moments(reading).items()), F.count_if(reading & (v >= threshold)).alias("num_above"), F.max(F.when(reading, F.struct("event_time", "value_numeric"))).alias("last"),
         has(stream.fault).alias("f"), has(stream.ok).alias("o"), has(stream.unknown).alias("u"),
     )
     f, o, u = F.col("f"), F.col("o"), F.col("u")
     doubtful = (f & o) | (u if stream.unknown_wins else u & ~f & ~o)
-    known = F.when(F.col("num_n") > 0, F.struct("num_min", "num_max"))
-    cell = cell.withColumns({"state": F.when(doubtful, "A").when(f, "F").when(o, "O"), "before": F.last(known, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)), "day": F.to_date("t")})
-    low, high, before_low, before_high = F.col("num_min"), F.col("num_max"), F.col("before.num_min"), F.col("before.num_max")
-    straddles = lambda a, b: (a < threshold) & (b >= threshold)
-    crossed = (low >= threshold) & (before_high < threshold)
-    unknown = (high >= threshold) & (before_high.isNull() | straddles(low, high) | ((low >= threshold) & F.coalesce(straddles(before_low, before_high), F.lit(False))))
-    final = F.max(F.when(F.col("num_n") > 0, F.struct("t", "num_min", "num_max")))
+    known, upto = F.when(F.col("num_n") > 0, F.struct("t", "num_min", "num_max")), by.rowsBetween(Window.unboundedPreceding, -1)
+    cell = cell.withColumns({"state": F.when(doubtful, "A").when(f, "F").when(o, "O"), "known": known})
+    cell = cell.withColumns({"before": F.last("known", ignorenulls=True).over(upto), "held": F.last("state", ignorenulls=True).over(upto)})
+    cell = cell.withColumn("begins", F.coalesce(~F.col("state").eqNullSafe(F.col("held")) & F.col("state").isNotNull(), F.lit(False)))
+    runs = Window.partitionBy("channel_id", "day", "begins").orderBy("t")
+    cell = cell.withColumns({"was": F.lag("state").over(runs), "after": F.lead("state").over(runs), "next_t": F.lead("t").over(runs)})
+    inner = F.col("begins") & F.col("was").isNotNull() & F.col("after").isNotNull()
+    crossed, unknown = _crossed(F.col("known"), F.col("before"), threshold)
+    counted = {n: F.count_if(inner & c) for n, c in _runs(F.col("state"), F.col("was"), F.col("after"), F.col("t"), F.col("next_t"), tau_seconds).items()}
+    run = F.when(F.col("begins"), F.struct("t", "state", "was", "after", "next_t"))
     sums = ["n_events", "n_alarm", *(f"n_{c}" for c in classes), "num_n", "num_sum", "num_sq", "num_above"]
-    facts = cell.groupBy("channel_id", "day").agg(*(F.sum(c).alias(c) for c in sums), F.min("num_min").alias("num_min"), F.max("num_max").alias("num_max"), F.max("last")["value_numeric"].alias("num_last"), final.alias("final"), F.count_if(crossed).alias("crossed"), F.count_if(unknown).alias("cross_unknown"))
-    points = change_points(cell, "state")
-    block = F.col("state") == "F"
-    step = points.select("channel_id", "t", "state", F.lag("state").over(by).alias("was"), F.lead("state").over(by).alias("after"), F.lead("t").over(by).alias("next_t"))
-    sustained = F.when(F.coalesce(F.col("after") == "O", F.lit(False)), (seconds(F.col("t"), F.coalesce("next_t", data_end)) >= tau_seconds).cast("int"))
-    strict = block & F.coalesce(F.col("was") == "O", F.lit(False))
-    counted = {"link_strict": strict, "link_ambiguous": block & ~strict, "link_sustained": strict & (sustained == 1), "link_transient": strict & (sustained == 0), "link_censored": strict & sustained.isNull(), "link_blocks": F.col("state") == "A"}
-    steps = step.groupBy("channel_id", F.to_date("t").alias("day")).agg(*(F.count_if(c).alias(n) for n, c in counted.items()), F.max(F.struct("t", "state")).alias("point"))
-    grid = facts.select("channel_id", F.explode(F.sequence("day", F.date_add("day", lookback - 1))).alias("day"))
-    merged = facts.unionByName(steps, allowMissingColumns=True).unionByName(grid, allowMissingColumns=True).where(F.col("day") <= end_day).repartition("channel_id")
-    counters = [*(c for c in sums if c not in ("num_sum", "num_sq")), "crossed", "cross_unknown", *counted]
-    # Each fact stands in one row of its day; max picks it.
-    panel = merged.groupBy("channel_id", "day").agg(*(F.coalesce(F.max(c), F.lit(0)).alias(c) for c in counters), *(F.max(c).alias(c) for c in ("num_sum", "num_sq", "num_min", "num_max", "num_last", "final", "point")))
-    mean = F.col("num_sum") / F.nullif("num_n", F.lit(0))
-    deviation = F.when(F.col("num_n") > 1, F.sqrt(F.greatest((F.col("num_sq") - F.col("num_sum") * mean) / (F.col("num_n") - 1), F.lit(0.0))))
-    mixed = F.coalesce(straddles(F.col("final.num_min"), F.col("final.num_max")), F.lit(False))
-    panel = panel.withColumns({"num_mean": mean, "num_std": deviation, "num_last_mixed": mixed}).drop("num_sum", "num_sq", "final")
-    rolled = {f"f_{c}_{w}d": F.sum(c).over(day_range(w, "channel_id")) for w in windows for c in ("n_events", "n_alarm", "num_n", "link_strict", "crossed")}
-    rolled |= {f"f_num_max_{w}d": F.max("num_max").over(day_range(w, "channel_id")) for w in windows}
+    return cell.groupBy("channel_id", "day").agg(
+        *(F.sum(c).alias(c) for c in sums), F.min("num_min").alias("num_min"), F.max("num_max").alias("num_max"), F.max("last")["value_numeric"].alias("num_last"), *(c.alias(n) for n, c in counted.items()),
+        F.count_if(F.col("before").isNotNull() & crossed).alias("crossed"), F.count_if(F.col("before").isNotNull() & unknown).alias("cross_unknown"),
+        F.min("known").alias("first_known"), F.max("known").alias("final"), F.min(run).alias("first_run"), F.max(run).alias("last_run"),
+    )
+
+
+def _crossed(cell: Column, before: Column, threshold: float) -> tuple[Column, Column]:
+    """Whether a cell of readings crosses the threshold after the one before, and whether that can't be told."""
+    straddles = lambda a, b: (a < threshold) & (b >= threshold)
+    low, high = cell["num_min"], cell["num_max"]
+    doubt = before["num_max"].isNull() | straddles(low, high) | ((low >= threshold) & F.coalesce(straddles(before["num_min"], before["num_max"]), F.lit(False)))
+    return F.coalesce((low >= threshold) & (before["num_max"] < threshold), F.lit(False)), F.coalesce((high >= threshold) & doubt, F.lit(False))
+
+
+def _linked(pieces: DataFrame, threshold: float, tau_seconds: float) -> DataFrame:
+    """Pieces with the counts of their first and last runs and cells, by what other days of the channel end or begin with.
+
+    One small row for each day is all that is shuffled here: a state carried into a day, a reading carried into it, and
+    the change that follows it. The first run of a day is no change where the same state is carried in; then the second one is its first change."""
+    by, back = Window.partitionBy("channel_id").orderBy("day"), Window.partitionBy("channel_id").orderBy(F.desc("day"))
+    upto = by.rowsBetween(Window.unboundedPreceding, -1)
+    first, last = F.col("first_run"), F.col("last_run")
+    rows = pieces.repartition("channel_id").withColumns({"state_in": F.last(last["state"], ignorenulls=True).over(upto), "known_in": F.last("final", ignorenulls=True).over(upto), "next_day": F.lead("day").over(by)})
+    changes = first.isNotNull() & ~first["state"].eqNullSafe(F.col("state_in"))
+    change = F.when(changes, F.struct(first["t"].alias("t"), first["state"].alias("state"))).when(first["after"].isNotNull(), F.struct(first["next_t"].alias("t"), first["after"].alias("state")))
+    rows = rows.withColumns({"changes": changes, "change": change})
+    rows = rows.withColumn("follows", F.last("change", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
+    follows, more = F.col("follows"), F.coalesce(last["was"].isNotNull(), F.lit(False))
+    outer = _runs(first["state"], F.col("state_in"), F.coalesce(first["after"], follows["state"]), first["t"], F.coalesce(first["next_t"], follows["t"]), tau_seconds)
+    end = _runs(last["state"], last["was"], follows["state"], last["t"], follows["t"], tau_seconds)
+    add = lambda name, *conditions: F.col(name) + sum((F.coalesce(c, F.lit(False)).cast("long") for c in conditions), F.lit(0))
+    crossed, unknown = _crossed(F.col("first_known"), F.col("known_in"), threshold)
+    out = {n: add(n, F.col("changes") & outer[n], more & end[n]) for n in outer} | {"crossed": add("crossed", crossed), "cross_unknown": add("cross_unknown", F.col("first_known").isNotNull() & unknown)}
+    out["point"] = F.when(F.col("changes") | more, F.struct(last["t"].alias("t"), last["state"].alias("state")))
+    return rows.withColumns(out).drop("first_run", "last_run", "first_known", "state_in", "known_in", "changes", "change", "follows")
+
+
+def event_panel(events: DataFrame, stream: Stream, reading: Column, threshold: float, tau_seconds: float, data_end: Column, classes: list[str], grain: str, lookback: int = 7, windows: tuple[int, ...] = (3, 7)) -> DataFrame:
+    """One row for each channel and grid day: counters, rolling sums, last reading, state at the day's end, onset
+    and crossing labels of day D+2 with reasons, and competing outcomes of D+1. data_end: last time of the data. grain: at most a day.
+
+    A scan in pieces: events are shuffled once, by channel and day, and summed there to one row, which tells what other days need
+    to know of its ends; only these rows are shuffled again, by channel, and linked. Grid days come from the gap to the channel's next
+    day with events, and later days are frames over the grid, so nothing is joined."""
+    end_day = F.to_date(data_end)
+    days = _linked(_day_pieces(events, stream, reading, threshold, tau_seconds, classes, grain), threshold, tau_seconds).where(F.col("day") <= end_day)
+    counters = [c for c in days.columns if c not in ("channel_id", "day", "next_day", "num_sum", "num_sq", "num_min", "num_max", "num_last", "final", "point")]
+    own = F.struct(*(c for c in days.columns if c not in ("channel_id", "day", "next_day")))
+    until = F.least(F.date_add("day", lookback - 1), F.date_sub("next_day", 1), end_day)
+    panel = days.select("channel_id", F.posexplode(F.sequence("day", until)).alias("k", "grid_day"), own.alias("own")).select("channel_id", F.col("grid_day").alias("day"), F.when(F.col("k") == 0, F.col("own")).alias("own"))
+    counts = F.struct(*(F.coalesce(F.col(f"own.{c}"), F.lit(0)).alias(c) for c in counters))
+    # One day of the grid at most has each distance, so a frame of one day holds that day or nothing.
     later = Window.partitionBy("channel_id").orderBy(F.unix_date("day"))
     upto = later.rowsBetween(Window.unboundedPreceding, 0)
-    rolled |= {"kept": F.last(F.when(F.col("num_last").isNotNull(), F.struct("num_last", "num_last_mixed")), ignorenulls=True).over(upto), "point": F.last("point", ignorenulls=True).over(upto)}
-    ahead = ["n_events", "link_strict", "link_ambiguous", "link_sustained", "link_censored", "link_transient", "link_blocks", "num_n", "crossed", "cross_unknown"]
-    # Grid days are unique for a channel, so later days are frames of one day each: no join of the panel with itself.
-    for offset, columns in ((1, ["link_strict", "link_ambiguous", "crossed"]), (2, ahead), (3, ["n_events"])):
-        rolled |= {f"{c}_d{offset}": F.coalesce(F.sum(c).over(later.rangeBetween(offset, offset)), F.lit(0)) for c in columns}
-    panel = panel.withColumns(rolled).withColumns({"f_num_last": F.col("kept.num_last"), "f_last_mixed": F.coalesce("kept.num_last_mixed", F.lit(False)), "link_now": F.col("point.state"), "state_t": F.col("point.t")}).drop("kept", "point")
+    panel = panel.withColumn("counts", counts)
+    n = F.col("own.num_n")
+    mean = F.col("own.num_sum") / F.nullif(n, F.lit(0))
+    deviation = F.when(n > 1, F.sqrt(F.greatest((F.col("own.num_sq") - F.col("own.num_sum") * mean) / (n - 1), F.lit(0.0))))
+    mixed = F.coalesce((F.col("own.final.num_min") < threshold) & (F.col("own.final.num_max") >= threshold), F.lit(False))
+    reading_kept = F.when(F.col("own.num_last").isNotNull(), F.struct(F.col("own.num_last").alias("num_last"), mixed.alias("mixed")))
+    rolled = {f"f_{c}_{w}d": F.sum(f"counts.{c}").over(day_range(w, "channel_id")) for w in windows for c in ("n_events", "n_alarm", "num_n", "link_strict", "crossed")}
+    rolled |= {f"f_num_max_{w}d": F.max("own.num_max").over(day_range(w, "channel_id")) for w in windows}
+    rolled |= {"kept": F.last(reading_kept, ignorenulls=True).over(upto), "point": F.last("own.point", ignorenulls=True).over(upto)}
+    rolled |= {f"day{k}": F.max("counts").over(later.rangeBetween(k, k)) for k in (1, 2, 3)}
+    ahead = {1: ["link_strict", "link_ambiguous", "crossed"], 2: ["n_events", "link_strict", "link_ambiguous", "link_sustained", "link_censored", "link_transient", "link_blocks", "num_n", "crossed", "cross_unknown"], 3: ["n_events"]}
+    panel = panel.withColumns(rolled).select(
+        "channel_id", "day", *(F.col(f"counts.{c}").alias(c) for c in counters), *(F.col(f"own.{c}").alias(c) for c in ("num_min", "num_max", "num_last")), mean.alias("num_mean"), deviation.alias("num_std"), mixed.alias("num_last_mixed"),
+        *(c for c in rolled if c.startswith("f_")), *(F.coalesce(F.col(f"day{k}.{c}"), F.lit(0)).alias(f"{c}_d{k}") for k, names in ahead.items() for c in names),
+        F.col("kept.num_last").alias("f_num_last"), F.coalesce("kept.mixed", F.lit(False)).alias("f_last_mixed"), F.col("point.state").alias("link_now"), F.col("point.t").alias("state_t"),
+    )
     inside = F.date_add("day", 3) <= end_day
     observed = F.col("n_events_d2") + F.col("n_events_d3") > 0
     doubt = F.col("link_ambiguous_d2") + F.col("link_blocks_d2") > 0

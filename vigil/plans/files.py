@@ -102,13 +102,13 @@ def import_registry(spark: SparkSession, d: str) -> DataFrame:
     return R.new_files(listing, done).select("file_key")
 
 
-EQ = ", ms AS (SELECT event_id AS id, event_time AS seen, channel_id + CASE WHEN event_id % 4 = 0 THEN 5000000 ELSE 0 END AS channel_id, CASE WHEN event_id % 9 > 0 THEN CASE WHEN event_id % 50 = 1 THEN object_id + 1 ELSE object_id END END AS object_id, CASE WHEN event_id % 20 > 0 THEN value_state || event_id END AS name FROM journal JOIN channels USING (channel_id)), mh AS (SELECT ms.*, c.object_id AS held FROM ms LEFT JOIN channels c ON c.channel_id = ms.channel_id), mv AS (SELECT *, CASE WHEN object_id IS NULL OR name IS NULL THEN 'incomplete' WHEN coalesce(held, first_value(CASE WHEN name IS NOT NULL THEN object_id END IGNORE NULLS) OVER (PARTITION BY channel_id ORDER BY seen, id ROWS UNBOUNDED PRECEDING)) <> object_id THEN 'reassigned' ELSE 'accepted' END AS verdict FROM mh)"
+EQ = ", ms AS (SELECT event_id AS id, event_time AS seen, channel_id + CASE WHEN event_id % 4 = 0 THEN 5000000 ELSE 0 END AS channel_id, CASE WHEN event_id % 9 > 0 THEN CASE WHEN event_id % 50 = 1 THEN object_id + 1 ELSE object_id END END AS object_id, CASE WHEN event_id % 20 > 0 THEN value_state || event_id END AS name, CASE WHEN event_id % 7 = 0 THEN CAST(event_id % 360 - 180 AS DOUBLE) END AS longitude, CASE WHEN event_id % 7 = 0 THEN CAST(event_id % 180 - 90 AS DOUBLE) END AS latitude FROM journal JOIN channels USING (channel_id)), mh AS (SELECT ms.*, c.object_id AS held FROM ms LEFT JOIN channels c ON c.channel_id = ms.channel_id), mv AS (SELECT *, CASE WHEN object_id IS NULL OR name IS NULL THEN 'incomplete' WHEN coalesce(held, first_value(CASE WHEN name IS NOT NULL THEN object_id END IGNORE NULLS) OVER (PARTITION BY channel_id ORDER BY seen, id ROWS UNBOUNDED PRECEDING)) <> object_id THEN 'reassigned' ELSE 'accepted' END AS verdict FROM mh)"
 
 
 def equipment_of(spark: SparkSession, d: str) -> DataFrame:
     e, o = F.col("event_id"), F.col("object_id")
     rows = B.journal(spark, d).join(B.channels(spark, d).select("channel_id", "object_id"), "channel_id")
-    messages = rows.select(e.alias("id"), F.col("event_time").alias("seen"), (F.col("channel_id") + F.when(e % 4 == 0, 5000000).otherwise(0)).alias("channel_id"), F.when(e % 9 > 0, F.when(e % 50 == 1, o + 1).otherwise(o)).alias("object_id"), F.when(e % 20 > 0, F.concat("value_state", e.cast("string"))).alias("name"))
+    messages = rows.select(e.alias("id"), F.col("event_time").alias("seen"), (F.col("channel_id") + F.when(e % 4 == 0, 5000000).otherwise(0)).alias("channel_id"), F.when(e % 9 > 0, F.when(e % 50 == 1, o + 1).otherwise(o)).alias("object_id"), F.when(e % 20 > 0, F.concat("value_state", e.cast("string"))).alias("name"), F.when(e % 7 == 0, (e % 360 - 180).cast("double")).alias("longitude"), F.when(e % 7 == 0, (e % 180 - 90).cast("double")).alias("latitude"))
     return R.equipment_verdicts(messages, B.channels(spark, d))
 
 
@@ -122,3 +122,16 @@ def equipment_verdicts(spark: SparkSession, d: str) -> DataFrame:
 def equipment_catalogue(spark: SparkSession, d: str) -> DataFrame:
     """The catalogue after the accepted messages"""
     return R.upsert_equipment(B.channels(spark, d).withColumnRenamed("sensor_name", "name"), equipment_of(spark, d))
+
+
+@query(f"{EQ}, nw AS (SELECT object_id, arg_max(name, (seen, id)) AS name FROM mv WHERE verdict = 'accepted' GROUP BY 1) SELECT coalesce(o.object_id, nw.object_id) AS object_id, coalesce(nw.name, o.object_name) AS name FROM objects o FULL JOIN nw ON o.object_id = nw.object_id")
+def equipment_objects(spark: SparkSession, d: str) -> DataFrame:
+    """Names of objects after the accepted messages"""
+    return R.upsert_equipment_objects(B.objects(spark, d).withColumnRenamed("object_name", "name"), equipment_of(spark, d))
+
+
+@query(f"{EQ}, nw AS (SELECT object_id, arg_max(longitude, (seen, id)) AS longitude, arg_max(latitude, (seen, id)) AS latitude FROM mv WHERE verdict = 'accepted' AND longitude IS NOT NULL GROUP BY 1), ol AS (SELECT object_id, CAST(object_id AS DOUBLE) AS longitude, CAST(-object_id AS DOUBLE) AS latitude FROM objects) SELECT coalesce(ol.object_id, nw.object_id) AS object_id, coalesce(nw.longitude, ol.longitude) AS longitude, coalesce(nw.latitude, ol.latitude) AS latitude FROM ol FULL JOIN nw ON ol.object_id = nw.object_id")
+def equipment_locations(spark: SparkSession, d: str) -> DataFrame:
+    """Places of objects after the accepted messages"""
+    held = B.objects(spark, d).select("object_id", F.col("object_id").cast("double").alias("longitude"), (-F.col("object_id")).cast("double").alias("latitude"))
+    return R.upsert_locations(held, equipment_of(spark, d))

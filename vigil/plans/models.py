@@ -97,7 +97,7 @@ def forecast_ledger(spark: SparkSession, d: str) -> DataFrame:
     return P.ledger(scores_of(spark, d)).select("channel_id", "day", "score", "window_start", "window_end", "horizon_hours")
 
 
-PLAN = ", act AS (SELECT DISTINCT object_id, CAST(event_time AS DATE) AS day FROM journal JOIN channels USING (channel_id) WHERE value_state = 'purchase' AND value_numeric >= 100 AND event_time < TIMESTAMP '2024-01-26'), ag AS (SELECT object_id, day, lead(day) OVER (PARTITION BY object_id ORDER BY day) AS nx FROM act), sil AS (SELECT object_id, arg_min(nx - day - 1, DATE '2024-01-25' - nx + 1) AS silence_length_days, min(DATE '2024-01-25' - nx + 1) AS silence_ended_days_ago FROM ag WHERE nx - day - 1 >= 1 AND DATE '2024-01-25' - nx + 1 BETWEEN 1 AND 21 GROUP BY 1), sch AS (SELECT object_id, DATE '2024-01-20' + CAST(object_id % 7 AS INTEGER) AS start, DATE '2024-01-20' + CAST(object_id % 7 AS INTEGER) + 1 AS \"end\" FROM objects WHERE object_id % 3 = 0), ms AS (SELECT o.object_id, CASE WHEN sch.object_id IS NOT NULL THEN 'verified_schedule' WHEN sil.object_id IS NOT NULL THEN 'possible_recent_silence' END AS maintenance_context, CAST(silence_length_days AS INTEGER) AS silence_length_days, CAST(silence_ended_days_ago AS INTEGER) AS silence_ended_days_ago, CAST(sch.start AS DATE) AS schedule_start FROM objects o LEFT JOIN sil USING (object_id) LEFT JOIN sch ON sch.object_id = o.object_id AND DATE '2024-01-25' BETWEEN sch.start AND sch.\"end\")"
+PLAN = ", act AS (SELECT DISTINCT object_id, CAST(event_time AS DATE) AS day FROM journal JOIN channels USING (channel_id) WHERE value_state = 'purchase' AND value_numeric >= 100 AND event_time < TIMESTAMP '2024-01-26'), ag AS (SELECT object_id, day, lead(day) OVER (PARTITION BY object_id ORDER BY day) AS nx FROM act), sil AS (SELECT object_id, arg_min(nx - day - 1, DATE '2024-01-25' - nx + 1) AS silence_length_days, min(DATE '2024-01-25' - nx + 1) AS silence_ended_days_ago FROM ag WHERE nx - day - 1 >= 1 AND DATE '2024-01-25' - nx + 1 BETWEEN 1 AND 21 GROUP BY 1), sch AS (SELECT object_id, DATE '2024-01-20' + CAST(object_id % 7 AS INTEGER) AS start, DATE '2024-01-20' + CAST(object_id % 7 AS INTEGER) + 1 AS \"end\" FROM objects WHERE object_id % 3 = 0), ms AS (SELECT o.object_id, CASE WHEN sch.object_id IS NOT NULL THEN 'verified_schedule' WHEN sil.object_id IS NOT NULL THEN 'possible_recent_silence' ELSE 'unknown' END AS maintenance_context, CAST(silence_length_days AS INTEGER) AS silence_length_days, CAST(silence_ended_days_ago AS INTEGER) AS silence_ended_days_ago, CAST(sch.start AS DATE) AS schedule_start FROM objects o LEFT JOIN sil USING (object_id) LEFT JOIN sch ON sch.object_id = o.object_id AND DATE '2024-01-25' BETWEEN sch.start AND sch.\"end\")"
 
 
 def maintenance_of(spark: SparkSession, d: str) -> DataFrame:
@@ -110,7 +110,7 @@ def maintenance_of(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{PLAN} SELECT * FROM ms")
 def maintenance_state(spark: SparkSession, d: str) -> DataFrame:
-    """Verified schedule, recent silence or nothing, as of a day"""
+    """Verified schedule, recent silence or unknown, as of a day"""
     return maintenance_of(spark, d).select("object_id", "maintenance_context", "silence_length_days", "silence_ended_days_ago", "schedule_start")
 
 

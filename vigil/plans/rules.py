@@ -174,18 +174,31 @@ def decision_gates(spark: SparkSession, d: str) -> DataFrame:
     return M.gates(folds, ["sensor_type"], 20, 0.1, 0.5)
 
 
-@query(f", {SCORES}, g0 AS (SELECT max(as_of_date) AS day FROM scores), gs AS (SELECT id, s.channel_id, object_id, score, 'gas' AS worker FROM scores s JOIN channels USING (channel_id) WHERE as_of_date = (SELECT day FROM g0) QUALIFY row_number() OVER (PARTITION BY object_id, s.channel_id ORDER BY id DESC) = 1), sc AS (SELECT request_id AS id, channel_id, CASE WHEN request_id % 4 = 0 THEN object_id + 1 ELSE object_id END AS object_id, CASE WHEN request_id % 5 > 0 THEN round((request_id % 100) / 100.0, 6) END AS score, CASE WHEN request_id % 2 = 0 THEN 'fire' ELSE 'flood' END AS worker FROM requests JOIN channels USING (channel_id) WHERE created_at >= (SELECT max(created_at) - INTERVAL 3 DAY FROM requests)), al AS (SELECT *, true AS enabled FROM gs UNION ALL SELECT *, worker = 'fire' FROM sc), bd AS (SELECT al.*, c.channel_id IS NOT NULL AS bound FROM al LEFT JOIN channels c ON c.channel_id = al.channel_id AND c.object_id = al.object_id) SELECT worker, id, channel_id, object_id, bound, bound AND enabled AND score IS NOT NULL AS available, CASE WHEN NOT bound THEN 'UNBOUND_CHANNEL' WHEN NOT enabled THEN 'MODULE_DISABLED' WHEN score IS NULL THEN CASE WHEN worker = 'gas' THEN 'SCORE_UNAVAILABLE' ELSE 'RESULT_UNAVAILABLE' END END AS availability_reason, CASE WHEN bound AND enabled THEN score END AS score FROM bd")
+BOARD = """, g0 AS (SELECT max(as_of_date) AS day FROM scores),
+g1 AS (SELECT id, CASE WHEN id % 11 > 0 THEN s.channel_id END AS channel_id, CASE WHEN id % 11 = 5 THEN 999 ELSE object_id END AS object_id, score, CASE WHEN id % 6 = 0 THEN 'abstain' ELSE 'experimental_shadow' END AS decision_status FROM scores s JOIN channels USING (channel_id) WHERE as_of_date = (SELECT day FROM g0)),
+gs AS (SELECT id, channel_id, object_id, score, 'gas' AS worker, decision_status = 'experimental_shadow' AS fit, true AS enabled FROM g1 QUALIFY row_number() OVER (PARTITION BY object_id, channel_id ORDER BY id DESC) = 1),
+sc AS (SELECT request_id AS id, CASE WHEN request_id % 13 > 0 THEN channel_id END AS channel_id, CASE WHEN request_id % 4 = 0 THEN object_id + 1 ELSE object_id END AS object_id, CASE WHEN request_id % 5 > 0 THEN round((request_id % 100) / 100.0, 6) END AS score, CASE WHEN request_id % 2 = 0 THEN 'fire' ELSE 'flood' END AS worker, CASE WHEN request_id % 7 > 1 THEN true WHEN request_id % 7 = 1 THEN false END AS fit FROM requests JOIN channels USING (channel_id) WHERE created_at >= (SELECT max(created_at) - INTERVAL 3 DAY FROM requests)),
+al AS (SELECT * FROM gs UNION ALL SELECT *, worker = 'fire' FROM sc),
+bd AS (SELECT al.*, coalesce(al.object_id IN (SELECT object_id FROM channels) AND (al.channel_id IS NULL OR c.object_id = al.object_id), false) AS bound FROM al LEFT JOIN channels c ON c.channel_id = al.channel_id),
+rs AS (SELECT *, CASE WHEN NOT bound THEN 'UNBOUND_CHANNEL' WHEN NOT enabled THEN 'MODULE_DISABLED' WHEN score IS NULL OR fit IS DISTINCT FROM true THEN CASE WHEN worker = 'gas' THEN 'SCORE_UNAVAILABLE' ELSE 'RESULT_UNAVAILABLE' END END AS reason FROM bd)
+"""
+
+
+@query(f", {SCORES}{BOARD} SELECT worker, id, channel_id, object_id, bound, reason IS NULL AS available, reason AS availability_reason, CASE WHEN reason IS NULL THEN score END AS score FROM rs")
 def two_source_board(spark: SparkSession, d: str) -> DataFrame:
-    """Newest scores of the day and forecasts of the newest scenario run, once for each object and channel"""
+    """Newest scores of the day and forecasts of the newest scenario run, once for each object and channel. Some rows abstain, are
+    not eligible, or are for an object as a whole"""
     channels = B.channels(spark, d).select("channel_id", "object_id")
-    scores = saved_scores(spark, d)
+    scores, i = saved_scores(spark, d), F.col("id")
     newest = scores.agg(F.max("as_of_date").alias("as_of_date"))
-    gas = O.latest_per_key(scores.join(newest, "as_of_date", "left_semi").join(channels, "channel_id"), ["object_id", "channel_id"], F.desc("id"))
+    day = scores.join(newest, "as_of_date", "left_semi").join(channels, "channel_id").select("id", F.when(i % 11 > 0, F.col("channel_id")).alias("channel_id"), F.when(i % 11 == 5, 999).otherwise(F.col("object_id")).alias("object_id"), "score", F.lit("gas").alias("worker"), F.when(i % 6 == 0, "abstain").otherwise("experimental_shadow").alias("decision_status"))
+    gas = O.latest_per_key(day, ["object_id", "channel_id"], F.desc("id"))
     requests = B.requests(spark, d)
     last = requests.agg((F.max("created_at") - F.expr("interval 3 days")).alias("from"))
     r = F.col("request_id")
-    scenario = requests.join(channels, "channel_id").crossJoin(F.broadcast(last)).where("created_at >= from").select(r.alias("id"), "channel_id", F.when(r % 4 == 0, F.col("object_id") + 1).otherwise(F.col("object_id")).alias("object_id"), F.when(r % 5 > 0, F.round((r % 100) / 100.0, 6)).alias("score"), F.when(r % 2 == 0, "fire").otherwise("flood").alias("worker"))
-    return P.board(gas.select("id", "channel_id", "object_id", "score", F.lit("gas").alias("worker")), scenario, channels, ["fire"])
+    fit = F.when(r % 7 > 1, True).when(r % 7 == 1, False)
+    scenario = requests.join(channels, "channel_id").crossJoin(F.broadcast(last)).where("created_at >= from").select(r.alias("id"), F.when(r % 13 > 0, F.col("channel_id")).alias("channel_id"), F.when(r % 4 == 0, F.col("object_id") + 1).otherwise(F.col("object_id")).alias("object_id"), F.when(r % 5 > 0, F.round((r % 100) / 100.0, 6)).alias("score"), F.when(r % 2 == 0, "fire").otherwise("flood").alias("worker"), fit.alias("eligible"))
+    return P.board(gas, scenario, channels, ["fire"])
 
 
 @query(f"{CD}, t AS (SELECT a.channel_id, a.day, a.n_events, coalesce(a.n_alarm, 0) AS n_alarm, max(b.day) AS before FROM cd a LEFT JOIN cd b ON b.channel_id = a.channel_id AND b.day < a.day WHERE a.day = DATE '2024-01-25' GROUP BY ALL), ch AS (SELECT channel_id FROM channels), x AS (SELECT ch.channel_id, t.n_events, t.n_alarm, t.before FROM ch LEFT JOIN t USING (channel_id)), y AS (SELECT *, array_to_string(list_filter([CASE WHEN n_events IS NULL THEN 'NO_READING_AT_D' END, CASE WHEN n_events IS NOT NULL AND before IS NULL THEN 'NO_HISTORY' END, CASE WHEN n_alarm >= 2 THEN 'ABOVE_THRESHOLD_AT_D' END], lambda z: z IS NOT NULL), '|') AS reasons FROM x) SELECT channel_id, DATE '2024-01-25' AS day, CASE WHEN reasons = '' THEN 'scored' ELSE 'abstain' END AS status, reasons, CAST(DATE '2024-01-27' AS DATE) AS window_start, CAST(DATE '2024-01-28' AS DATE) AS window_end, reasons = '' AS has_score FROM y")

@@ -160,6 +160,20 @@ def upsert_equipment(channels: DataFrame, verdicts: DataFrame) -> DataFrame:
     return both.select("channel_id", F.coalesce("x.object_id", "o").alias("object_id"), F.coalesce("x.name", "n").alias("name"))
 
 
+def upsert_equipment_objects(objects: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """object_id, name of the catalogue after the accepted messages; the last one of an object names it, whatever its channel."""
+    new = verdicts.where("verdict = 'accepted'").groupBy("object_id").agg(F.max_by("name", F.struct("seen", "id")).alias("new_name"))
+    both = objects.select("object_id", "name").join(new, "object_id", "full")
+    return both.select("object_id", F.coalesce("new_name", "name").alias("name"))
+
+
+def upsert_locations(locations: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """object_id, longitude, latitude after the accepted messages that have a place; the last of them counts."""
+    new = verdicts.where("verdict = 'accepted' and longitude is not null").groupBy("object_id").agg(F.max_by(F.struct("longitude", "latitude"), F.struct("seen", "id")).alias("place"))
+    both = locations.select("object_id", F.struct("longitude", "latitude").alias("held")).join(new, "object_id", "full")
+    return both.select("object_id", F.coalesce("place", "held").alias("p")).select("object_id", "p.longitude", "p.latitude")
+
+
 def pick_sources(listing: DataFrame) -> DataFrame:
     """listing (path, year, format): the best file of each year, Parquet before CSV before archives."""
     priority = F.when(F.col("format") == "parquet", 0).when(F.col("format") == "csv", 1).otherwise(2)
