@@ -18,7 +18,7 @@ from vigil.llm.common import LOWER, UPPER, staged
 #: Words of a phrase at most, and occurrences of a candidate at least.
 DEPTH, LEAST = 4, 30
 #: Words of a shard, about (and one text more); hashes that a task sums at once, about.
-SHARD_WORDS, SUMMED = 1_000_000, 2_000_000
+SHARD_WORDS, SUMMED = 300_000, 1_000_000
 #: Bits of the table of phrases that may be frequent: 2^27 bits, 16 MB, however many phrases there are.
 TABLE_BITS = 27
 #: Lowest bits of a hash, which hold a count of up to LEAST instead.
@@ -75,12 +75,11 @@ class Index:
     def _extend(self, lo: np.ndarray, other: np.ndarray, n: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
         """For each interval lo, n of an index whose preceding words are row, and each word that precedes it: number of the
         interval, the word, count, new interval in this index and in the other one."""
-        step = np.empty(len(row), np.int64)
-        step[np.argsort(row, kind="stable")] = np.arange(len(row))
-        which = np.repeat(np.arange(len(n)), n)
+        step = np.empty(len(row), np.int32)
+        step[np.argsort(row, kind="stable")] = np.arange(len(row), dtype=np.int32)
         begin = np.cumsum(n) - n
-        place = np.arange(int(n.sum())) - begin[which] + lo[which]
-        key = which * self.size + row[place]
+        place = np.arange(int(n.sum()), dtype=np.int32) + np.repeat((lo - begin).astype(np.int32), n)
+        key = np.repeat(np.arange(len(n)) * self.size, n) + row[place]
         order = np.argsort(key, kind="stable")
         key = key[order]
         start = np.flatnonzero(np.diff(key, prepend=-1))
@@ -141,7 +140,7 @@ def _indexes(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, np.ndarray,
         for r in pdf.itertuples():
             if r.n:
                 kind = "<i4" if r.wide else "<u2"
-                yield r.lang, np.array(["", *r.words.split("\n")], object), Index(*(np.frombuffer(x, kind).astype(np.int64) for x in (r.before, r.after)))
+                yield r.lang, np.array(["", *r.words.split("\n")], object), Index(*(np.frombuffer(x, kind).astype(np.int32) for x in (r.before, r.after)))
 
 
 def _hashes(p: Phrases, words: np.ndarray) -> np.ndarray:
