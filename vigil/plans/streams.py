@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,6 +112,47 @@ def stream_payload_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy(F.col("external_id").cast("long").alias("external_id"), "verdict").agg(F.count("*").alias("n"))
 
 
+ARRIVED = """, ar AS (SELECT *, event_time + CASE WHEN event_id % 17 = 0 THEN INTERVAL 3 DAY ELSE INTERVAL 0 DAY END AS seen, date_trunc('hour', event_time) AS t FROM journal),
+wk AS (SELECT *, CASE WHEN seen < TIMESTAMP '2024-01-11' THEN 1 WHEN seen < TIMESTAMP '2024-01-21' THEN 2 ELSE 3 END AS run FROM ar),
+ends AS (SELECT run, max(max(seen)) OVER (ORDER BY run) - INTERVAL 1 MINUTE AS w FROM wk GROUP BY run),
+tops AS (SELECT channel_id, run, max(t) AS top FROM wk GROUP BY 1, 2),
+lt AS (SELECT wk.event_id, wk.channel_id, wk.event_time, bool_or(tops.top > wk.t OR (tops.top = wk.t AND wk.t + INTERVAL 3 HOUR <= ends.w)) AS late FROM wk LEFT JOIN tops ON tops.channel_id = wk.channel_id AND tops.run < wk.run LEFT JOIN ends ON ends.run = wk.run - 1 GROUP BY 1, 2, 3),
+ok AS (SELECT wk.* FROM wk JOIN lt USING (event_id) WHERE NOT coalesce(lt.late, false)),
+hc AS (SELECT channel_id, t, min(value_numeric) FILTER (WHERE value_state = 'purchase') AS low, max(value_numeric) FILTER (WHERE value_state = 'purchase') AS high, bool_or(value_state = 'error') AS f, bool_or(value_state IN ('view', 'click', 'purchase')) AS o, bool_or(value_state = 'signup') AS u FROM ok GROUP BY 1, 2),
+cl AS (SELECT *, CASE WHEN (f AND o) OR u THEN 'A' WHEN f THEN 'F' WHEN o THEN 'O' END AS state FROM hc QUALIFY t < max(t) OVER (PARTITION BY channel_id) OR t + INTERVAL 3 HOUR <= (SELECT max(w) FROM ends)),
+cp AS (SELECT channel_id, t, low, lag(high) OVER (PARTITION BY channel_id ORDER BY t) AS before FROM cl WHERE high IS NOT NULL),
+pt AS (SELECT channel_id, t, state FROM cl WHERE state IS NOT NULL QUALIFY lag(state) OVER (PARTITION BY channel_id ORDER BY t) IS DISTINCT FROM state),
+nr AS (SELECT *, lead(t) OVER (PARTITION BY channel_id ORDER BY t) AS next_t FROM pt),
+dd AS (SELECT DISTINCT channel_id, CAST(event_time AS DATE) AS day FROM ok), nx AS (SELECT *, lead(day) OVER (PARTITION BY channel_id ORDER BY day) AS n FROM dd)
+SELECT 'late' AS kind, channel_id, event_time AS start, CAST(NULL AS TIMESTAMP) AS "end", event_id FROM lt WHERE late
+UNION ALL SELECT 'crossing', channel_id, t, t, NULL FROM cp WHERE low >= 100 AND before < 100
+UNION ALL SELECT 'fault', channel_id, t, next_t, NULL FROM nr WHERE state = 'F' AND next_t IS NOT NULL
+UNION ALL SELECT 'silence', channel_id, CAST(day + 1 AS TIMESTAMP), CAST(n - 1 AS TIMESTAMP), NULL FROM nx WHERE n - day - 1 >= 2
+UNION ALL SELECT 'open_silence', channel_id, CAST(day + 1 AS TIMESTAMP), NULL, NULL FROM nx WHERE n IS NULL AND CAST(day + 3 AS TIMESTAMP) <= (SELECT max(w) FROM ends)"""
+
+
+@query(ARRIVED)
+def stream_late_and_lasting(spark: SparkSession, d: str) -> DataFrame:
+    """Events in order of arrival, in three runs of one stream; every 17th comes three days late. Cells are closed by timers two
+    hours after they end; late events are told of, as are silences that no reading has ended yet"""
+    stateful(spark)
+    at = scratch(spark)
+    lag = F.when(F.col("event_id") % 17 == 0, F.expr("interval 3 days")).otherwise(F.expr("interval 0 days"))
+    arrived = B.table(spark, d, "events").withColumn("seen", (F.col("ts") + lag).cast("timestamp"))
+    for run, (start, end) in enumerate((("1970-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2999-01-01"))):
+        arrived.where((F.col("seen") >= start) & (F.col("seen") < end)).write.parquet(f"{at}/in/run={run}")
+        stream = spark.readStream.schema(arrived.schema).option("recursiveFileLookup", "true").parquet(f"{at}/in")
+        rows = stream.select("event_id", F.col("user_id").alias("channel_id"), F.col("ts").cast("timestamp").alias("event_time"), "seen", F.col("value").alias("value_numeric"), F.col("event_type").alias("value_state"))
+        classes = {"fault": LINK.fault, "ok": LINK.ok, "unknown": LINK.unknown}
+        changes = R.channel_changes(rows, classes, "purchase", 100.0, 43200.0, 2, "h", timedelta(hours=2))
+        R.run_to_end(changes, f"{at}/out", f"{at}/checkpoint")
+    found = spark.read.parquet(f"{at}/out")
+    ended = found.where("kind = 'silence'").select("channel_id", "start")
+    open_ = found.where("kind = 'lasting'").join(ended, ["channel_id", "start"], "left_anti").withColumn("kind", F.lit("open_silence"))
+    both = found.where("kind <> 'lasting'").unionByName(open_)
+    return both.select("kind", "channel_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")), "event_id")
+
+
 #: Kinds of messages (fixed names of the interface) that stand in the events.
 KINDS = {"purchase": "telemetry", "view": "equipment", "click": "ods", "signup": "work_status", "error": "weather"}
 

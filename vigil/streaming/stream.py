@@ -1,7 +1,7 @@
 """Structured Streaming twins of ingest, daily aggregates and state machines.
 
-State is kept for a documented bound: watermarks of `late` (default two days). Results equal the batch twins
-for rows that come within it."""
+State is kept for a documented bound: watermarks of `late` (default two days), timers of event time, or a row for each channel.
+Results equal the batch twins for rows that come within it."""
 
 from __future__ import annotations
 
@@ -72,10 +72,16 @@ def routed(sinks: dict[str, Callable[[DataFrame, int], None]]) -> Callable[[Data
 
 
 class FirstHash(StatefulProcessor):
-    """Keeps the first payload hash of each id and tells of rows that repeat it or conflict with it."""
+    """Keeps the first payload hash of each id and tells of rows that repeat it or conflict with it.
+
+    With a bound (keep_ms), an id is forgotten that long after its first row was seen, by a timer of event time: state holds
+    the ids of that span only, and the id counts as new after it."""
+
+    def __init__(self, keep_ms: int | None = None, zone: str = "UTC"):
+        self.keep_ms, self.zone = keep_ms, zone
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", "hash string")
+        self.handle, self.first = handle, handle.getValueState("first", "hash string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
         held = self.first.get()[0] if self.first.exists() else None
@@ -85,35 +91,67 @@ class FirstHash(StatefulProcessor):
                 if held is None:
                     held, verdict = r.payload_hash, "new"
                     self.first.update((held,))
+                    if self.keep_ms is not None:
+                        self.handle.registerTimer(epoch_ms(r.seen, self.zone) + self.keep_ms)
                 else:
                     verdict = "retry" if r.payload_hash == held else "conflict"
                 out.append((r.external_id, r.payload_hash, verdict))
             yield pd.DataFrame(out, columns=["external_id", "payload_hash", "verdict"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.first.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def payload_verdicts(stream: DataFrame) -> DataFrame:
-    """external_id, payload_hash, verdict (new, retry, conflict) for a stream of external_id, seen, payload."""
+def epoch_ms(time, zone: str) -> int:
+    """Milliseconds since 1970 of a local time of the session's zone."""
+    return int(pd.Timestamp(time).tz_localize(zone).timestamp() * 1000)
+
+
+def zone_of(stream: DataFrame) -> str:
+    return stream.sparkSession.conf.get("spark.sql.session.timeZone")
+
+
+def payload_verdicts(stream: DataFrame, keep: timedelta | None = None, late: str = "1 minute") -> DataFrame:
+    """external_id, payload_hash, verdict (new, retry, conflict) for a stream of external_id, seen, payload.
+
+    keep: how long an id is remembered, by the watermark of seen (rows come in order of it, but for late). Without it, every id is kept."""
     rows = stream.select("external_id", "seen", F.sha2("payload", 256).alias("payload_hash"))
-    return rows.groupBy("external_id").transformWithStateInPandas(FirstHash(), "external_id string, payload_hash string, verdict string", "Append", "None")
+    out = "external_id string, payload_hash string, verdict string"
+    if keep is None:
+        return rows.groupBy("external_id").transformWithStateInPandas(FirstHash(), out, "Append", "None")
+    held = FirstHash(int(keep.total_seconds() * 1000), zone_of(stream))
+    return rows.withWatermark("seen", late).groupBy("external_id").transformWithStateInPandas(held, out, "Append", "EventTime")
 
 
 class ChannelState(StatefulProcessor):
     """What a channel's past says about its next event: the open cell, the state and onset of a fault, the last readings, the last day.
 
-    Emits a fault when it ends, a crossing when its cell is over, and a silence when a reading ends it. The newest cell stays open until a
-    later one comes, in this trigger or another; events older than the open cell are dropped. State is one row for each channel."""
+    Emits a fault when it ends, a crossing when its cell is over, and a silence when a reading ends it. Events older than the open cell,
+    or of a cell that is over, are emitted as late. With timers (wait_ms is given), a cell is over once rows seen wait_ms after its end have come,
+    and a silence that has lasted silent_days is told of as lasting, without an end. Without them, the newest cell stays open until a later
+    one comes, in this trigger or another. State is one row for each channel."""
 
-    SCHEMA = "cell timestamp, low double, high double, fault boolean, ok boolean, unknown boolean, state string, onset timestamp, strict boolean, last_low double, last_high double, day date"
-    OUT = "channel_id long, kind string, start timestamp, end timestamp, strict boolean, sustained int"
+    SCHEMA = "cell timestamp, low double, high double, fault boolean, ok boolean, unknown boolean, state string, onset timestamp, strict boolean, last_low double, last_high double, day date, over boolean, told boolean"
+    COLUMNS = ["channel_id", "kind", "start", "end", "strict", "sustained", "event_id"]
+    OUT = "channel_id long, kind string, start timestamp, end timestamp, strict boolean, sustained int, event_id long"
 
-    def __init__(self, classes: dict[str, tuple[str, ...]], reading: str, threshold: float, tau_seconds: float, silent_days: int, grain: str):
-        self.classes, self.reading, self.threshold, self.tau, self.silent_days, self.grain = classes, reading, threshold, tau_seconds, silent_days, grain
+    def __init__(self, classes: dict[str, tuple[str, ...]], reading: str, threshold: float, tau_seconds: float, silent_days: int, grain: str, wait_ms: int | None = None, zone: str = "UTC"):
+        self.classes, self.reading, self.threshold, self.tau, self.silent_days, self.grain, self.wait_ms, self.zone = classes, reading, threshold, tau_seconds, silent_days, grain, wait_ms, zone
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", self.SCHEMA)
+        self.handle, self.held = handle, handle.getValueState("held", self.SCHEMA)
+
+    def _load(self) -> dict:
+        names = [x.split()[0] for x in self.SCHEMA.split(", ")]
+        return dict(zip(names, self.held.get(), strict=True)) if self.held.exists() else dict.fromkeys(names)
+
+    def _frames(self, out: list[tuple]) -> Iterator[pd.DataFrame]:
+        if out:
+            yield pd.DataFrame(out, columns=self.COLUMNS).astype({"strict": "boolean", "sustained": "Int32", "event_id": "Int64", "start": "datetime64[us]", "end": "datetime64[us]"})
 
     def _close(self, s: dict, out: list[tuple], channel: int) -> None:
         """The open cell is over: its state and readings are final."""
@@ -122,28 +160,43 @@ class ChannelState(StatefulProcessor):
         if state and state != s["state"]:
             if s["state"] == "F":
                 exact = state == "O"
-                out.append((channel, "fault", s["onset"], t, s["strict"], int((t - s["onset"]).total_seconds() >= self.tau) if exact else None))
+                out.append((channel, "fault", s["onset"], t, s["strict"], int((t - s["onset"]).total_seconds() >= self.tau) if exact else None, None))
             if state == "F":
                 s["onset"], s["strict"] = t, s["state"] == "O"
             s["state"] = state
         if s["high"] is not None:
             if s["last_high"] is not None and s["low"] >= self.threshold > s["last_high"]:
-                out.append((channel, "crossing", t, t, None, None))
+                out.append((channel, "crossing", t, t, None, None, None))
             s["last_low"], s["last_high"] = s["low"], s["high"]
+        s["over"] = True
+
+    def _cell_ends(self, s: dict) -> int:
+        return epoch_ms(pd.Timestamp(s["cell"]) + pd.Timedelta(1, self.grain), self.zone) + self.wait_ms
+
+    def _silence_lasts(self, s: dict) -> int:
+        return epoch_ms(pd.Timestamp(s["day"]) + pd.Timedelta(days=self.silent_days + 1), self.zone)
+
+    def _set_timers(self, s: dict) -> None:
+        """One timer for each thing that the channel waits for."""
+        wanted = set() if s["over"] else {self._cell_ends(s)}
+        wanted |= set() if s["told"] else {self._silence_lasts(s)}
+        for t in set(self.handle.listTimers()) - wanted:
+            self.handle.deleteTimer(t)
+        for t in wanted - set(self.handle.listTimers()):
+            self.handle.registerTimer(t)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
-        names = [x.split()[0] for x in self.SCHEMA.split(", ")]
-        s = dict(zip(names, self.held.get(), strict=True)) if self.held.exists() else dict.fromkeys(names)
-        out: list[tuple] = []
+        s, out = self._load(), []
         # A key's rows of one trigger; the number of files in it bounds them.
         for r in pd.concat(rows).sort_values(["event_time", "event_id"]).itertuples():
             cell = r.event_time.floor(self.grain).to_pydatetime()
-            if s["cell"] is not None and cell < s["cell"]:
+            if s["cell"] is not None and (cell < s["cell"] or (cell == s["cell"] and s["over"])):
+                out.append((key[0], "late", r.event_time, None, None, None, r.event_id))
                 continue
             if s["cell"] != cell:
-                if s["cell"] is not None:
+                if s["cell"] is not None and not s["over"]:
                     self._close(s, out, key[0])
-                s.update(cell=cell, low=None, high=None, fault=False, ok=False, unknown=False)
+                s.update(cell=cell, low=None, high=None, fault=False, ok=False, unknown=False, over=False)
             for name, values in self.classes.items():
                 s[name] = s[name] or r.value_state in values
             if r.value_state == self.reading and r.value_numeric == r.value_numeric:
@@ -152,21 +205,39 @@ class ChannelState(StatefulProcessor):
             day = cell.date()
             if s["day"] and (day - s["day"]).days - 1 >= self.silent_days:
                 at = lambda x: pd.Timestamp(x).to_pydatetime()
-                out.append((key[0], "silence", at(s["day"]) + timedelta(days=1), at(day) - timedelta(days=1), None, None))
-            s["day"] = day
-        self.held.update(tuple(s[n] for n in names))
-        if out:
-            frame = pd.DataFrame(out, columns=["channel_id", "kind", "start", "end", "strict", "sustained"])
-            yield frame.astype({"strict": "boolean", "sustained": "Int32"})
+                out.append((key[0], "silence", at(s["day"]) + timedelta(days=1), at(day) - timedelta(days=1), None, None, None))
+            if s["day"] != day:
+                s.update(day=day, told=False)
+        self.held.update(tuple(s.values()))
+        if self.wait_ms is not None:
+            self._set_timers(s)
+        yield from self._frames(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        s, out, now = self._load(), [], expiredTimerInfo.getExpiryTimeInMs()
+        if not s["over"] and now >= self._cell_ends(s):
+            self._close(s, out, key[0])
+        if not s["told"] and now >= self._silence_lasts(s):
+            out.append((key[0], "lasting", pd.Timestamp(s["day"]).to_pydatetime() + timedelta(days=1), None, None, None, None))
+            s["told"] = True
+        self.held.update(tuple(s.values()))
+        yield from self._frames(out)
 
     def close(self) -> None:
         pass
 
 
-def channel_changes(stream: DataFrame, classes: dict[str, tuple[str, ...]], reading: str, threshold: float, tau_seconds: float, silent_days: int, grain: str = "s") -> DataFrame:
-    """channel_id, kind (fault, crossing, silence), start, end, strict, sustained of what ended, for a stream of events."""
-    rows = stream.select("channel_id", "event_id", "event_time", "value_state", F.col("value_numeric").cast("double").alias("value_numeric"))
-    return rows.groupBy("channel_id").transformWithStateInPandas(ChannelState(classes, reading, threshold, tau_seconds, silent_days, grain), ChannelState.OUT, "Append", "None")
+def channel_changes(stream: DataFrame, classes: dict[str, tuple[str, ...]], reading: str, threshold: float, tau_seconds: float, silent_days: int, grain: str = "s", wait: timedelta | None = None, late: str = "1 minute") -> DataFrame:
+    """channel_id, kind (fault, crossing, silence, lasting, late), start, end, strict, sustained, event_id for a stream of events.
+
+    wait: events have a column seen, the time at which they came. Rows come in order of it (but for `late`), so none is lost to its
+    watermark, and those whose event time is behind what the channel has closed are told of. Without wait there are no timers."""
+    columns = ["channel_id", "event_id", "event_time", "value_state", F.col("value_numeric").cast("double").alias("value_numeric")]
+    make = lambda *more: ChannelState(classes, reading, threshold, tau_seconds, silent_days, grain, *more)
+    if wait is None:
+        return stream.select(*columns).groupBy("channel_id").transformWithStateInPandas(make(), ChannelState.OUT, "Append", "None")
+    held = make(int(wait.total_seconds() * 1000), zone_of(stream))
+    return stream.select(*columns, "seen").withWatermark("seen", late).groupBy("channel_id").transformWithStateInPandas(held, ChannelState.OUT, "Append", "EventTime")
 
 
 def run_to_end(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
