@@ -12,10 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 #: Lines in a sliding block, and the share of the page's greatest block sum at which text surges.
-BLOCK_LINES, SURGE_SHARE = 3, 0.1
-#: Characters of a line that count, what each line of an article element and an h1 count beyond them, what a line outside
-#: the page's article or named like noise keeps of its length, and the least sum at which lines named like noise surge.
-LINE_CHARS, ARTICLE_LINE, HEAD_LINE, OUTSIDE, NAMED, NAMED_LEAST = 200, 100, 60, 0.01, 0.02, 5.0
+BLOCK_LINES, SURGE_SHARE = 5, 0.05
+#: Characters of a line that count, and of a block of lines named like noise that is text where a page has no other.
+LINE_CHARS, NAMED_LEAST = 200, 250
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
 _HINTS = re.compile(r"""\b(id|class|role|aria-hidden|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -27,10 +26,12 @@ _MAIN = {"article", "main"}
 _CLOSED_BY = {"p": _BLOCK - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 #: Names of noise, and words that only say which part of it a block is. A class or id is a name of noise if all its words
 #: are among these and one is a name: "share-bar" is, "share-price-table" isn't.
-_NAMES = set("ad ads adv advert adverts advertisement advertising adsense adbox adslot sponsor sponsored sponsors promo promos promoted promotion banner banners nav navbar navigation menu menus submenu breadcrumb breadcrumbs sidebar sidebars widget widgets footer masthead topbar cookie cookies consent notice notices gdpr newsletter newsletters subscribe subscription signup popup popups modal overlay share sharing social related recommended recommendation recommendations comment comments commentlist disqus respond reply replies pagination pager copyright disclaimer toolbar login".split())
+_NAMES = set("ad ads adv advert adverts advertisement advertising adsense adbox adslot sponsor sponsored sponsors promo promos promoted promotion banner banners nav navbar navigation menu menus submenu breadcrumb breadcrumbs sidebar sidebars cta opinions feedback guestbook discussion widget widgets footer masthead topbar cookie cookies consent notice notices gdpr newsletter newsletters subscribe subscription signup popup popups modal overlay share sharing social related recommended recommendation recommendations comment comments commentlist disqus respond reply replies pagination pager copyright disclaimer toolbar login".split())
 _PARTS = set("area article articles author avatar bar block body bottom box btn button buttons card cards col column container content count date desktop even first footer form google group header heading holder icon icons id inner item items js last layout left legal like link links list main media message meta mobile module more name news odd outer page panel policy popular post posts primary privacy reader reading right row secondary section side site skip slot small stories story tab text thread title tools top unit up user wrap wrapper".split())
+#: Names that inside an article tell of noise only if the block holds links or articles of its own: they are words of texts as well.
+_WEAK = set("nav navbar navigation menu menus submenu breadcrumb breadcrumbs sidebar sidebars widget widgets footer masthead topbar notice notices share sharing social related recommended recommendation recommendations copyright disclaimer toolbar login opinions feedback discussion".split())
 #: Names of readers' comments, which never wrap the page's own text; the singular ones may stand at an article of their own.
-_COMMENTS, _COMMENT = set("comment comments commentlist disqus respond reply replies".split()), {"comment", "reply"}
+_COMMENTS, _COMMENT = set("comment comments commentlist disqus respond reply replies opinions guestbook discussion".split()), {"comment", "reply"}
 #: Class words that say what a block has or how it stands, not what it is.
 _QUALIFIER = re.compile(r"(?:^|(?<=[\s_-]))(?:has|have|with|without|no|not)[_-]+\S*|\S+[_-](?:open|opened|closed|fixed|enabled|disabled)(?!\S)", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -41,22 +42,22 @@ _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class _Noise:
     """An element taken as noise, and the one around it: hard by its kind, or soft by its name alone. Soft ones may wrap what the page is about."""
 
-    __slots__ = ("hard", "holds", "outer", "wraps")
+    __slots__ = ("hard", "holds", "outer", "weak", "wraps")
 
-    def __init__(self, hard: bool, wraps: bool, outer: _Noise | None):
-        self.hard, self.wraps, self.holds, self.outer = hard, wraps, False, outer
+    def __init__(self, hard: bool, wraps: bool, outer: _Noise | None, weak: bool = False):
+        self.hard, self.wraps, self.holds, self.outer, self.weak = hard, wraps, False, outer, weak
 
 
 PLAIN, WRAPPED, SOFT, HARD = 0, 1, 2, 3
 
 
 def _level(noise: _Noise | None) -> int:
-    """PLAIN outside noise, WRAPPED if every noise around holds an article, main or h1 element, HARD if one is noise by its kind."""
+    """PLAIN outside noise and in weakly named blocks of an article without links, WRAPPED if every noise around holds an article, main or h1 element, HARD if one is noise by its kind."""
     out = PLAIN
     while noise:
         if noise.hard:
             return HARD
-        out, noise = max(out, WRAPPED if noise.holds else SOFT), noise.outer
+        out, noise = out if noise.weak else max(out, WRAPPED if noise.holds else SOFT), noise.outer
     return out
 
 
@@ -117,12 +118,17 @@ def lines_of(page: str) -> list[Line]:
         parts.clear()
         linked = 0
 
+    def strengthen(noise: _Noise | None) -> None:
+        while noise:
+            noise.weak, noise = False, noise.outer
+
     def add(text: str) -> None:
         nonlocal linked
         if text:
             parts.append(text)
             if stack and stack[-1][3]:
                 linked += len(text.strip())
+                strengthen(stack[-1][1])
 
     n = len(page)
     while at < n:
@@ -154,11 +160,14 @@ def lines_of(page: str) -> list[Line]:
         while stack and tag in _CLOSED_BY.get(stack[-1][0], ()):
             stack.pop()
         top = stack[-1] if stack else ("", None, False, False)
+        if tag in _MAIN:
+            strengthen(top[1])
         noise, kind = top[1], _noise_of(tag, m[3])
         if kind and not (tag == "header" and top[2]):
             flush()
             # Inside an article that is no noise itself, articles are comments and cards: nothing there wraps the page's own.
-            noise = _Noise(kind == "kind", kind == "name" and not (top[2] and any(x[0] == "article" and x[1] is None for x in stack)), top[1])
+            weak = kind != "kind" and top[2] and tag != "form" and not _named_noise(m[3], _NAMES - _WEAK)
+            noise = _Noise(kind == "kind", kind == "name" and not (top[2] and any(x[0] == "article" and x[1] is None for x in stack)), top[1], weak)
         elif noise and tag in _MAIN and _named_noise(m[3]):
             noise = _Noise(False, False, noise)
         elif noise and (tag in _MAIN or tag == "h1"):
@@ -172,73 +181,60 @@ def lines_of(page: str) -> list[Line]:
 
 
 def block_sums(weights: np.ndarray) -> np.ndarray:
-    """The sum over each line and the BLOCK_LINES - 1 lines that follow."""
-    padded = np.concatenate([weights, np.zeros(BLOCK_LINES - 1)])
-    return np.convolve(padded, np.ones(BLOCK_LINES), "valid")
+    """Sums over each BLOCK_LINES successive lines; the first block ends with the first line, the last begins with the last."""
+    return np.convolve(weights, np.ones(BLOCK_LINES))
 
 
 def surging(weights: np.ndarray, sums: np.ndarray, least: float) -> np.ndarray:
-    """Which lines stand between surge and dive. Where a sum reaches `least`, text surges, and reaches back to the first line of its
-    block with weight and to those before it whose sums aren't 0; it dives where a sum is 0, and loses lines without weight at its end."""
+    """Which lines stand between surge and dive: text surges with the first block whose sum reaches least and dives behind the last
+    of successive such blocks. So a line is text if one block that holds it reaches least; lines without weight at both ends are lost."""
     keep = np.zeros(len(weights), bool)
-    edges = np.flatnonzero(np.diff(np.r_[0, sums > 0, 0]))
-    for start, dive in zip(edges[::2], edges[1::2], strict=True):
-        if sums[start:dive].max() >= least:
-            own = np.flatnonzero(weights[start:dive])
+    edges = np.flatnonzero(np.diff(np.r_[0, sums >= least, 0]))
+    for surge, dive in zip(edges[::2], edges[1::2], strict=True):  # the block that ends with line i is block i
+        start, end = max(0, surge - BLOCK_LINES + 1), min(dive, len(weights))
+        own = np.flatnonzero(weights[start:end])
+        if len(own):
             keep[start + own[0] : start + own[-1] + 1] = True
     return keep
 
 
-def weigh(lines: list[Line]) -> list[np.ndarray]:
-    """The weights of three streams of lines, each 0 where a line isn't of that stream: the page's own text, text outside its article,
-    and text in blocks named like noise.
+def unlinked(x: Line) -> int:
+    """Characters of a line outside of links; none where four fifths are links."""
+    return len(x.text) - x.linked if 5 * x.linked < 4 * len(x.text) else 0
+
 
-    Tags, names and links only weigh a line; block sums over a stream choose. Own text counts up to LINE_CHARS without its links (not at all where four fifths are links),
-    in an article up to LINE_CHARS with its links and ARTICLE_LINE more. Wrappers that are named like noise, but hold an article,
-    main or h1 element, count as the page's own if they hold more text (in articles, or else at all) than the rest of the page."""
+def streams(lines: list[Line]) -> list[list[Line]]:
+    """The lines that may be the page's text, best first: those of its article or else all outside of noise, those around an article, and those named like noise.
 
-    def unlinked(x: Line) -> int:
-        return len(x.text) - x.linked if 5 * x.linked < 4 * len(x.text) else 0
+    Wrappers that are named like noise, but hold an article, main or h1 element, count as the page's own if they hold more text (in
+    articles, or else at all) than the rest of the page. Outside of articles, links that stand line by line are a menu and go."""
 
     def mass(level: int) -> int:
         own = [(unlinked(x), x.main) for x in lines if x.level == level]
         return sum(n for n, main in own if main) or sum(n for n, _ in own)
 
     plain = WRAPPED if mass(WRAPPED) > mass(PLAIN) else PLAIN
-    article = any(x.main and x.level <= plain for x in lines)
-    out = [np.zeros(len(lines)) for _ in range(3)]
-    for i, x in enumerate(lines):
-        if x.level == HARD:
-            continue
-        if x.level > plain:
-            out[2][i] = NAMED * len(x.text)
-        elif article and not x.main:
-            out[1][i] = OUTSIDE * unlinked(x)
-        else:
-            out[0][i] = min(len(x.text) if x.main else unlinked(x), LINE_CHARS) + ARTICLE_LINE * x.main
-            out[0][i] += HEAD_LINE * (x.head and out[0][i] > 0)
-    return out
+    soft = [x for x in lines if x.level != HARD]
+    only_link = [not x.main and unlinked(x) == 0 for x in soft]
+    menu = [a and (b or c) for a, b, c in zip(only_link, [False, *only_link], [*only_link[1:], False], strict=False)]
+    own = [x for x, listed in zip(soft, menu, strict=True) if x.level <= plain and not listed]
+    article = [x for x in own if x.main]
+    return [article or own, own if article else [], [x for x in soft if x.level > plain]]
 
 
 def main_text(page: str | None) -> str:
     """The kept lines of a page, joined by one space.
 
-    Lines are weighed (`weigh`) and their weights summed over blocks of BLOCK_LINES lines. In each stream, text surges where a block
-    sum reaches SURGE_SHARE of the page's greatest (and, named like noise, NAMED_LEAST), and dives where a block sums to 0. The lines
-    of a stream between surge and dive stay, in page order; a line that is all link stays inside running text."""
-    lines = lines_of(page or "")
-    if not lines:
-        return ""
-    streams = weigh(lines)
-    sums = [block_sums(w) for w in streams]
-    greatest = max(s.max() for s in sums)
-    if not greatest:
-        return ""
-    own = [surging(w, s, max(SURGE_SHARE * greatest, NAMED_LEAST * (i == 2), 1e-9)) for i, (w, s) in enumerate(zip(streams, sums, strict=True))]
-    inside = streams[1] + streams[2] == 0
-    hard = np.array([x.level == HARD for x in lines])
-    keep = (own[0] & inside & ~hard) | (own[1] & (streams[1] > 0)) | (own[2] & (streams[2] > 0))
-    return " ".join(lines[i].text for i in np.flatnonzero(keep))
+    Markup is stripped to lines, and each counts up to LINE_CHARS of its length, without its links if it's outside of articles. Their sums over
+    blocks of BLOCK_LINES lines choose: text surges where a sum reaches SURGE_SHARE of the greatest, and dives behind the last such
+    block. Tags and names tell which lines are looked at first (`streams`), and nothing of what is kept among them; later
+    streams only count where the ones before have no text, lines named like noise from NAMED_LEAST characters in a block on."""
+    for number, lines in enumerate(streams(lines_of(page or ""))):
+        weights = np.array([min(len(x.text) if x.main else unlinked(x), LINE_CHARS) for x in lines], float)
+        sums = block_sums(weights) if len(lines) else np.zeros(1)
+        if sums.max() > (NAMED_LEAST if number == 2 else 0):
+            return " ".join(lines[i].text for i in np.flatnonzero(surging(weights, sums, SURGE_SHARE * sums.max())))
+    return ""
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
