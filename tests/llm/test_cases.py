@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
@@ -76,6 +77,20 @@ def test_stages_keep_columns_and_clean_rows(spark, tmp_path):
     assert drop_repeated_lines(nasty(spark)).columns == nasty(spark).columns
 
 
+@pytest.mark.parametrize("block_bytes", [8_000_000, 40])
+def test_stages_leave_columns_named_like_their_own_alone(spark, tmp_path, monkeypatch, block_bytes):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
+    bench(spark).write.parquet(str(tmp_path / "benchmark.parquet"))
+    extra = ["__row", "__cuts", "__lines", "row_key", "_ROW_KEY", "cuts", "salt", "row", "lines", "component", "chosen", "start", "passage", "g", "spans", "items", "good", "posterior", "pattern"]
+    docs = nasty(spark).select("doc_id", "text", "lang", "source", "n_chars", *(F.concat(F.lit(f"{c} of "), F.xxhash64("doc_id", "text").cast("string")).alias(c) for c in extra))
+    given = {tuple(r[c] for c in extra) for r in docs.collect()}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        rows = out.collect()
+        assert out.columns == docs.columns and rows and {tuple(r[c] for c in extra) for r in rows} <= given
+    assert corpus_pipeline.tokens(spark, docs, str(tmp_path)).count() == docs.count()
+
+
 def test_pipeline_runs_end_to_end(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "n_tokens", "round_trip", "tokens"] and out.where("not round_trip").count() == 0 and out.count() > 50

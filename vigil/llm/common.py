@@ -43,6 +43,18 @@ def one_of_each_row(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(again, "row", "left_anti").select(rows.columns).union(rows.join(again, "row").dropDuplicates(["row"]).select(rows.columns))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """names that aren't columns of df, whatever their case: each with underscores before it where it must."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import lower_ascii, row_key, staged
+from vigil.llm.common import lower_ascii, row_key, staged, unused
 from vigil.llm.hashing import ALNUM, mix, words_of
 
 WINDOW = 10
@@ -219,5 +219,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     blocks, machines = benchmark_blocks(benchmark, window)
     if blocks == 1:
         return docs.mapInArrow(_clean(next(machines)), docs.schema)
-    hit = _hits_of_blocks(docs, machines).select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", row_key()).join(hit, "__row", "left_anti").select(docs.columns)
+    (key,) = unused(docs, "row_key")
+    hit = _hits_of_blocks(docs, machines).select(F.col("row").alias(key))
+    return docs.withColumn(key, row_key()).join(hit, key, "left_anti").select(docs.columns)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import one_of_each_row, row_key, staged
+from vigil.llm.common import one_of_each_row, row_key, staged, unused
 from vigil.llm.graph import connected_components
 from vigil.llm.hashing import BLANK_SPLIT, mix, shingles, words_of
 
@@ -171,9 +171,10 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     found = groups(docs, k, percent).where("component is not null")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     chosen = found.groupBy("component").agg(F.min(order)["row"].alias("chosen"))
-    gone = found.join(chosen, "component").where("row <> chosen").select(F.col("row").alias("__row")).distinct()
-    again = staged(found.groupBy(F.col("row").alias("__row")).count().where("count > 1").select("__row"))
-    left = docs.withColumn("__row", row_key()).join(gone, "__row", "left_anti")
+    (key,) = unused(docs, "row_key")
+    gone = found.join(chosen, "component").where("row <> chosen").select(F.col("row").alias(key)).distinct()
+    again = staged(found.groupBy(F.col("row").alias(key)).count().where("count > 1").select(key))
+    left = docs.withColumn(key, row_key()).join(gone, key, "left_anti")
     if not again.isEmpty():
-        left = left.join(again, "__row", "left_anti").unionByName(left.join(again, "__row", "left_semi").dropDuplicates(["__row"]))
+        left = left.join(again, key, "left_anti").unionByName(left.join(again, key, "left_semi").dropDuplicates([key]))
     return left.select(docs.columns)
