@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vigil.operators.ranks import running_sums
+from vigil.operators.ranks import cut, running_sums
 
 
 def ranked(scores: DataFrame, *by: str) -> DataFrame:
@@ -163,20 +166,77 @@ def block_bootstrap(rows: DataFrame, block: Column, a: str, b: str, repeats: int
     return each.agg(F.count("*").alias("repeats"), F.expr("percentile(difference, 0.025)").alias("low"), F.expr("percentile(difference, 0.5)").alias("middle"), F.expr("percentile(difference, 0.975)").alias("high"))
 
 
+def drawn(blocks: int, repeats: int, seed: str) -> np.ndarray:
+    """How often each block (row) is drawn in each repeat (column), by hash."""
+    out = np.zeros((blocks, repeats))
+    for rep in range(repeats):
+        picks = [int(hashlib.md5(f"{seed}:{rep}:{i}".encode()).hexdigest()[:8], 16) % blocks for i in range(blocks)]
+        out[:, rep] = np.bincount(picks, minlength=blocks)
+    return out
+
+
+#: Scores whose weights in all repeats are held at once.
+SCORES_AT_ONCE = 2048
+
+
+def resampled_precision(rows: DataFrame, repeats: int, seed: str = "s") -> dict[str, np.ndarray]:
+    """Average precision (ties grouped) of each key in each repeat; not a number where a repeat lacks a class.
+
+    rows: key, block, label (nulls are left out), score. Blocks are days or weeks, so their number and the table of draws (blocks times
+    repeats) are bounded by the calendar. Rows are summed to cells of key, block and score once; a cell's weights in all repeats
+    are one vector, so nothing else grows with repeats. Scores are cut into pieces; vectors of what lies above a piece are its offsets."""
+    known = rows.where("label is not null and score is not null")
+    days = sorted(r[0] for r in known.select("block").distinct().collect())
+    if not days:
+        return {}
+    draws = drawn(len(days), repeats, seed)
+    number = rows.sparkSession.createDataFrame(list(enumerate(days)), known.select(F.lit(0).cast("long").alias("i"), "block").schema)
+    cells = known.join(F.broadcast(number), "block").groupBy("key", "i", "score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count("*").alias("n"))
+    pieces = cut(cells.withColumn("score", F.col("score").cast("double")), ["key"], "score").persist()
+    totals: dict[tuple[str, int], np.ndarray] = {}
+    for r in pieces.groupBy("key", "piece", "i").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")).collect():  # keys * pieces * blocks rows
+        totals.setdefault((r["key"], r["piece"]), np.zeros((2, repeats)))
+        totals[r["key"], r["piece"]] += np.outer([r["pos"], r["n"]], draws[r["i"]])
+    above, whole = {}, {}
+    for key, piece in sorted(totals, reverse=True):
+        above[key, piece] = whole.get(key, np.zeros((2, repeats)))
+        whole[key] = above[key, piece] + totals[key, piece]
+    shared = rows.sparkSession.sparkContext.broadcast((draws, above))
+
+    def gained(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """The piece's part of the sum over scores of positives times precision."""
+        draws, above = shared.value
+        before, out = above[key[0], key[1]].copy(), np.zeros(draws.shape[1])
+        pdf = pdf.sort_values("score", ascending=False)
+        score = pdf["score"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
+        ends = np.r_[starts[1:], len(score)]
+        for at in range(0, len(starts), SCORES_AT_ONCE):
+            first, last = starts[at], ends[min(at + SCORES_AT_ONCE, len(starts)) - 1]
+            weight = draws[pdf["i"].to_numpy()[first:last]]
+            pos, n = (np.add.reduceat(weight * pdf[c].to_numpy()[first:last, None], starts[at : at + SCORES_AT_ONCE] - first) for c in ("pos", "n"))
+            up = np.cumsum(pos, axis=0) + before[0], np.cumsum(n, axis=0) + before[1]
+            out += (pos * up[0] / np.maximum(up[1], 1e-300)).sum(axis=0)
+            before = np.stack([up[0][-1], up[1][-1]])
+        return pd.DataFrame({"key": [key[0]], "gain": [out]})
+
+    found: dict[str, np.ndarray] = {key: np.zeros(repeats) for key in whole}
+    for r in pieces.groupBy("key", "piece").applyInPandas(gained, "key string, gain array<double>").collect():  # a row for each piece
+        found[r["key"]] += np.array(r["gain"])
+    pieces.unpersist()
+    fine = {key: (w[0] > 0) & (w[1] > w[0]) for key, w in whole.items()}
+    return {key: np.where(fine[key], gain / np.maximum(whole[key][0], 1), np.nan) for key, gain in found.items()}
+
+
 def paired_bootstrap(rows: DataFrame, block: Column, a: str, b: str, repeats: int, seed: str = "s") -> DataFrame:
     """Difference of the average precision of two scores over resampled blocks (days or weeks): its mean, 2.5th and 97.5th
-    percentile and the share of repeats in which a is better. Blocks are drawn by hash, the same for both scores; a row counts as
-    often as its block was drawn, so nothing is repeated but weights. Repeats without positives or negatives are left out."""
-    known = rows.where("label is not null").withColumn("block", block)
-    blocks = known.select("block").distinct().withColumn("i", F.row_number().over(Window.orderBy("block")) - 1)  # bounded by the calendar
-    size = blocks.agg(F.count("*").alias("size"))
-    draws = rows.sparkSession.range(repeats).select(F.col("id").alias("rep")).crossJoin(F.broadcast(size)).select("rep", "size", F.explode(F.sequence(F.lit(0), F.col("size").cast("int") - 1)).alias("draw"))
-    pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "rep", "draw")), 1, 8), 16, 10).cast("long") % F.col("size")
-    times = draws.select("rep", pick.alias("i")).groupBy("rep", "i").agg(F.count("*").cast("double").alias("times")).join(F.broadcast(blocks.withColumn("i", F.col("i").cast("long"))), "i")
-    each = known.join(times, "block")
-    ap = lambda s: average_precision(each.select("rep", "times", "label", F.col(s).alias("score")), "rep", weight="times").where("positives > 0 and n > positives").select("rep", F.col("ap").alias(s))
-    both = ap(a).join(ap(b), "rep").select((F.col(a) - F.col(b)).alias("difference"))
-    return both.agg(F.count("*").alias("repeats"), F.avg("difference").alias("mean"), F.expr("percentile(difference, 0.025)").alias("low"), F.expr("percentile(difference, 0.975)").alias("high"), F.avg((F.col("difference") > 0).cast("double")).alias("better"))
+    percentile and the share of repeats in which a is better. Blocks are drawn by hash, the same for both scores. Repeats without
+    positives or negatives are left out. Rows don't grow with repeats: see `resampled_precision`."""
+    both = F.explode(F.array(F.struct(F.lit("a").alias("key"), F.col(a).cast("double").alias("score")), F.struct(F.lit("b").alias("key"), F.col(b).cast("double").alias("score")))).alias("x")
+    found = resampled_precision(rows.select(block.alias("block"), "label", both).select("block", "label", "x.*"), repeats, seed)
+    difference = found["a"] - found["b"] if len(found) == 2 else np.zeros(0)
+    each = rows.sparkSession.createDataFrame([(float(x),) for x in difference if x == x], "difference double")
+    return each.agg(F.count("*").alias("repeats"), F.avg("difference").alias("mean"), F.expr("percentile(difference, 0.025)").alias("low"), F.expr("percentile(difference, 0.975)").alias("high"), F.avg((F.col("difference") > 0).cast("double")).alias("better"))
 
 
 def episode_metrics(alerts: DataFrame, events: DataFrame, matches: DataFrame, category: str) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vigil.functions import scalars as S
 from vigil.operators.panel import assert_leakage_safe
 
 
@@ -56,21 +55,6 @@ def scored(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return model.transform(rows).withColumn("score", vector_to_array("probability")[1]).select(*rows.columns, "score")
 
 
-def platt(rows: DataFrame) -> DataFrame:
-    """One row (slope, intercept) of calibration on logits; the identity if one class is missing."""
-    known = rows.where("label is not null").withColumn("x", F.log(S.clip(F.col("score"), 1e-6, 1 - 1e-6) / (1 - S.clip(F.col("score"), 1e-6, 1 - 1e-6))))
-    slope, intercept = 1.0, 0.0
-    if known.select("label").distinct().count() == 2:
-        fitted = LogisticRegression(labelCol="label").fit(VectorAssembler(inputCols=["x"], outputCol="features").transform(known))
-        slope, intercept = float(fitted.coefficients[0]), float(fitted.intercept)
-    return rows.sparkSession.createDataFrame([(slope, intercept)], "slope double, intercept double")
-
-
-def calibrated(rows: DataFrame, slope: float, intercept: float) -> DataFrame:
-    p = S.clip(F.col("score"), 1e-6, 1 - 1e-6)
-    return rows.withColumn("score", S.logistic(slope * F.log(p / (1 - p)) + intercept))
-
-
 def routed(rows: DataFrame, warm: PipelineModel, cold: PipelineModel, cold_days: int) -> DataFrame:
     """Scores of the cold model for channels with fewer observed days, else of the warm one."""
     a = scored(warm, rows).withColumnRenamed("score", "warm")
@@ -79,12 +63,11 @@ def routed(rows: DataFrame, warm: PipelineModel, cold: PipelineModel, cold_days:
     return a.join(b, ["channel_id", "day"]).withColumns({"is_cold": is_cold, "score": F.when(is_cold, F.col("cold")).otherwise(F.col("warm"))})
 
 
-def score_day(rows: DataFrame, model: PipelineModel, day: Column, reasons: dict[str, Column]) -> DataFrame:
+def score_day(rows: DataFrame, score: Column, day: Column, reasons: dict[str, Column]) -> DataFrame:
     """Every channel of a day with its window: scored, or abstaining with the codes whose condition holds."""
     codes = F.array_compact(F.array(*(F.when(c, F.lit(code)) for code, c in reasons.items())))
-    out = scored(model, rows.withColumns({"reasons": codes, "day": day}))
     fine = F.size("reasons") == 0
-    return out.withColumns({"status": F.when(fine, "scored").otherwise("abstain"), "score": F.when(fine, F.col("score")), "window_start": F.date_add("day", 2), "window_end": F.date_add("day", 3)})
+    return rows.withColumns({"reasons": codes, "day": day}).withColumns({"status": F.when(fine, "scored").otherwise("abstain"), "score": F.when(fine, score), "window_start": F.date_add("day", 2), "window_end": F.date_add("day", 3)})
 
 
 #: What a preset leaves out of the features, by parts of their names.
@@ -104,24 +87,41 @@ def checked(columns: list[str], features: list[str]) -> list[str]:
     return features
 
 
-def gates(folds: DataFrame, by: list[str], least_positives: int, tolerance: float, least_known: float) -> DataFrame:
-    """Gates over all folds (by, fold, positives, low, metric, reduced, known) and what follows from them.
-
-    enough: positives in each fold; beats: the lower bound of the difference to the best simple baseline is above 0 in each; no_shortcut:
-    the reduced model keeps 1 - tolerance of the metric in each; known_share: outcomes are known for least_known of the rows in each."""
-    out = folds.groupBy(*by).agg(F.bool_and(F.col("positives") >= least_positives).alias("enough"), F.bool_and(F.coalesce("low", F.lit(-1.0)) > 0).alias("beats"), (F.min(F.col("reduced") / F.greatest("metric", F.lit(1e-12))) >= 1 - tolerance).alias("no_shortcut"), F.bool_and(F.col("known") >= least_known).alias("known_share"))
-    level = F.when(~F.col("enough"), "insufficient_events").when(F.col("beats"), "validated_proxy_model").otherwise("baseline_only")
-    selected = F.when(F.col("enough") & F.col("beats") & F.col("no_shortcut"), "full").when(F.col("enough") & F.col("beats"), "reduced").when(F.col("enough"), "baseline")
-    return out.withColumns({"evidence_level": level, "selected": selected})
-
-
-def top_factors(rows: DataFrame, model: PipelineModel, names: list[str], n: int = 3) -> DataFrame:
-    """The features that push a row's logit up most, at most n, for a model of numeric features."""
-    coefficients = [float(x) for x in model.stages[-1].coefficients]
-    x = vector_to_array("scaled")
-    parts = F.array(*(F.struct((x[i] * c).alias("push"), F.lit(name).alias("name")) for i, (name, c) in enumerate(zip(names, coefficients, strict=False))))
-    best = F.slice(F.sort_array(F.filter(parts, lambda p: p["push"] > 0), asc=False), 1, n)
-    return model.transform(rows).select("channel_id", "day", F.transform(best, lambda p: p["name"]).alias("factors"))
+def decide(metrics: DataFrame, lows: DataFrame, folds: DataFrame, types: DataFrame, by: list[str], baselines: list[str], models: dict[str, str], least_positives: int, tolerance: float, least_known: float, tie: float = 0.005) -> DataFrame:
+    """Gates over all folds and the model that follows from them, for each value of by.
+
+    metrics: by, fold, key, ap. lows: by, fold, key, low, the lower bound of the difference to the fold's best baseline. folds: by,
+    fold, positives, known. types: by, fold, key, type, ap, for types with support. models: which key is "full", "reduced" (without
+    what may be a shortcut), "uncatalogued" and "simple". A model beats the baselines if its bound is above 0 in each fold. The full model
+    gives way to the reduced one if that loses more than the tolerance in a fold and beats the baselines too, and either to the simple one if that beats
+    them and its mean is less than `tie` behind. stable: in each fold with two types or more, the selected model is better than the best baseline for two
+    thirds of them; null if no fold has so many. Too few positives in a fold end it: insufficient_events, nothing is selected."""
+    rank = F.coalesce(*(F.when(F.col("key") == k, -i) for i, k in enumerate(baselines)))
+    best = metrics.where(F.col("key").isin(*baselines)).groupBy(*by, "fold").agg(F.max_by("key", F.struct(F.coalesce("ap", F.lit(-1.0)), rank)).alias("best"))
+    full = metrics.where(F.col("key") == models["full"]).select(*by, "fold", F.col("ap").alias("full"))
+    rows = metrics.join(lows, [*by, "fold", "key"], "left").join(full, [*by, "fold"])
+    of = lambda k, c: F.when(F.col("key") == k, c)
+    beats = {n: F.bool_and(of(k, F.coalesce("low", F.lit(-1.0)) > 0)).alias(f"beats_{n}") for n, k in models.items()}
+    ratio = {n: (F.min(of(k, F.col("ap") / F.greatest("full", F.lit(1e-12)))) >= 1 - tolerance).alias(f"keeps_{n}") for n, k in models.items() if n in ("reduced", "uncatalogued")}
+    mean = {n: F.avg(of(k, F.col("ap"))).alias(f"mean_{n}") for n, k in models.items()}
+    simple_best = F.greatest(*(F.struct(F.avg(of(k, F.col("ap"))).alias("m"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(baselines)))["k"].alias("baseline")
+    out = rows.groupBy(*by).agg(*beats.values(), *ratio.values(), *mean.values(), simple_best)
+    counted = folds.groupBy(*by).agg(F.bool_and(F.col("positives") >= least_positives).alias("enough"), F.bool_and(F.col("known") >= least_known).alias("known_share"))
+    out = out.join(counted, by)
+    c = F.col
+    first = F.when(~c("keeps_reduced") & c("beats_reduced"), F.lit("reduced")).otherwise(F.lit("full"))
+    simple = c("beats_simple") & (c("mean_simple") >= F.when(first == "reduced", c("mean_reduced")).otherwise(c("mean_full")) - tie)
+    name = F.when(c("beats_full"), F.when(simple, "simple").otherwise(first)).when(c("beats_simple"), "simple")
+    chosen = F.coalesce(*(F.when(name == n, F.lit(k)) for n, k in models.items()), c("baseline"))
+    level = F.when(~c("enough"), "insufficient_events").when(c("beats_full") | c("beats_simple"), "validated_proxy_model").otherwise("baseline_only")
+    out = out.withColumns({"evidence_level": level, "selected": F.when(c("enough"), chosen)})
+    mine = types.join(out.select(*by, "selected"), by).where(c("key") == c("selected")).select(*by, "fold", "type", c("ap").alias("mine"))
+    base = types.join(best, [*by, "fold"]).where(c("key") == c("best")).select(*by, "fold", "type", c("ap").alias("base"))
+    common = mine.join(base, [*by, "fold", "type"]).groupBy(*by, "fold").agg(F.count("*").alias("n"), F.count_if(c("mine") > c("base")).alias("better")).where("n >= 2")
+    stable = common.groupBy(*by).agg(F.bool_and(3 * c("better") >= 2 * c("n")).alias("stable"))
+    gates = ["beats_full", "beats_reduced", "beats_simple", "keeps_reduced", "keeps_uncatalogued", "known_share"]
+    out = out.join(stable, by, "left").withColumns({g: F.when(c("enough"), c(g)) for g in gates})
+    return out.select(*by, "enough", *gates, F.when(level == "validated_proxy_model", c("stable")).alias("stable"), "evidence_level", "selected")
 
 
 def decision(metrics: DataFrame, least: float) -> DataFrame:

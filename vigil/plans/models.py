@@ -41,19 +41,6 @@ def selected_types(spark: SparkSession, d: str) -> DataFrame:
     return P.selected_types(rows_of(spark, d), 60).select("sensor_type", "channel_id", "day")
 
 
-@query()
-def logistic_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Train before the 15th, calibrate before the 20th, score the rest"""
-    rows = rows_of(spark, d).withColumns({c: F.col(c).cast("double") for c in ("n_events", "n_alarm")})
-    parts = M.temporal_split(rows, "2024-01-15", "2024-01-20", "2024-01-26")
-    train = M.sampled(parts.where("split = 'train' and label is not null"), 3)
-    model = M.logistic(M.checked(train.columns, ["n_events", "n_alarm"]), ["sensor_type"]).fit(train)
-    fitted = M.platt(M.scored(model, parts.where("split = 'calibration'"))).head()
-    out = M.calibrated(M.scored(model, parts.where("split in ('validation', 'stress')")), fitted.slope, fitted.intercept)
-    factors = M.top_factors(parts.where("split in ('validation', 'stress')"), model, ["n_events", "n_alarm"])
-    return out.join(factors, ["channel_id", "day"]).select("channel_id", "day", "label", F.round("score", 6).alias("score"), F.array_join("factors", "|").alias("factors"))
-
-
 @query()
 def boosted_scores(spark: SparkSession, d: str) -> DataFrame:
     """A boosted model for warm channels, a logistic one for cold ones"""

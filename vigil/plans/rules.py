@@ -14,7 +14,6 @@ from vigil.operators import forecasts as P
 from vigil.operators import objects as J
 from vigil.operators import robust as R
 from vigil.operators.states import day_range
-from vigil.plans import ml as M
 from vigil.plans.evaluation import CD, RK, SC, TR, channel_days, rounded, scores_of, triage_of
 from vigil.plans.operational import SCORES
 from vigil.plans.operational import scores_of as saved_scores
@@ -165,15 +164,6 @@ def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return rounded(A.paired_bootstrap(rows, F.col("day"), "score", "other", 20), "mean", "low", "high", "better")
 
 
-@query(f"{SC}, f AS (SELECT sensor_type, CASE WHEN day < DATE '2024-01-16' THEN 'a' ELSE 'b' END AS fold, count(*) FILTER (WHERE label = 1) AS positives, avg(label) - 0.2 AS low, avg(score) AS metric, avg(score) * (1 - 0.02 * (length(sensor_type) % 12)) AS reduced, count(label) / count(*) AS known FROM scores JOIN channels USING (channel_id) GROUP BY 1, 2), g AS (SELECT sensor_type, bool_and(positives >= 20) AS enough, bool_and(coalesce(low, -1) > 0) AS beats, min(reduced / metric) >= 0.9 AS no_shortcut, bool_and(known >= 0.5) AS known_share FROM f GROUP BY 1) SELECT *, CASE WHEN NOT enough THEN 'insufficient_events' WHEN beats THEN 'validated_proxy_model' ELSE 'baseline_only' END AS evidence_level, CASE WHEN NOT enough THEN NULL WHEN beats AND no_shortcut THEN 'full' WHEN beats THEN 'reduced' ELSE 'baseline' END AS selected FROM g")
-def decision_gates(spark: SparkSession, d: str) -> DataFrame:
-    """Gates over all folds, with a tolerance for what a model loses without its calendar"""
-    fold = F.when(F.col("day") < F.lit("2024-01-16").cast("date"), "a").otherwise("b")
-    rows = scores_of(spark, d).join(B.channels(spark, d).select("channel_id", "sensor_type"), "channel_id").withColumn("fold", fold)
-    folds = rows.groupBy("sensor_type", "fold").agg(F.count_if(F.col("label") == 1).alias("positives"), (F.avg("label") - 0.2).alias("low"), F.avg("score").alias("metric"), (F.avg("score") * (1 - 0.02 * (F.length(F.first("sensor_type")) % 12))).alias("reduced"), (F.count("label") / F.count("*")).alias("known"))
-    return M.gates(folds, ["sensor_type"], 20, 0.1, 0.5)
-
-
 BOARD = """, g0 AS (SELECT max(as_of_date) AS day FROM scores),
 g1 AS (SELECT id, CASE WHEN id % 11 > 0 THEN s.channel_id END AS channel_id, CASE WHEN id % 11 = 5 THEN 999 ELSE object_id END AS object_id, score, CASE WHEN id % 6 = 0 THEN 'abstain' ELSE 'experimental_shadow' END AS decision_status FROM scores s JOIN channels USING (channel_id) WHERE as_of_date = (SELECT day FROM g0)),
 gs AS (SELECT id, channel_id, object_id, score, 'gas' AS worker, decision_status = 'experimental_shadow' AS fit, true AS enabled FROM g1 QUALIFY row_number() OVER (PARTITION BY object_id, channel_id ORDER BY id DESC) = 1),
@@ -199,20 +189,3 @@ def two_source_board(spark: SparkSession, d: str) -> DataFrame:
     fit = F.when(r % 7 > 1, True).when(r % 7 == 1, False)
     scenario = requests.join(channels, "channel_id").crossJoin(F.broadcast(last)).where("created_at >= from").select(r.alias("id"), F.when(r % 13 > 0, F.col("channel_id")).alias("channel_id"), F.when(r % 4 == 0, F.col("object_id") + 1).otherwise(F.col("object_id")).alias("object_id"), F.when(r % 5 > 0, F.round((r % 100) / 100.0, 6)).alias("score"), F.when(r % 2 == 0, "fire").otherwise("flood").alias("worker"), fit.alias("eligible"))
     return P.board(gas, scenario, channels, ["fire"])
-
-
-@query(f"{CD}, t AS (SELECT a.channel_id, a.day, a.n_events, coalesce(a.n_alarm, 0) AS n_alarm, max(b.day) AS before FROM cd a LEFT JOIN cd b ON b.channel_id = a.channel_id AND b.day < a.day WHERE a.day = DATE '2024-01-25' GROUP BY ALL), ch AS (SELECT channel_id FROM channels), x AS (SELECT ch.channel_id, t.n_events, t.n_alarm, t.before FROM ch LEFT JOIN t USING (channel_id)), y AS (SELECT *, array_to_string(list_filter([CASE WHEN n_events IS NULL THEN 'NO_READING_AT_D' END, CASE WHEN n_events IS NOT NULL AND before IS NULL THEN 'NO_HISTORY' END, CASE WHEN n_alarm >= 2 THEN 'ABOVE_THRESHOLD_AT_D' END], lambda z: z IS NOT NULL), '|') AS reasons FROM x) SELECT channel_id, DATE '2024-01-25' AS day, CASE WHEN reasons = '' THEN 'scored' ELSE 'abstain' END AS status, reasons, CAST(DATE '2024-01-27' AS DATE) AS window_start, CAST(DATE '2024-01-28' AS DATE) AS window_end, reasons = '' AS has_score FROM y")
-def day_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Every channel of a day, scored by a model of safe features or abstaining with reasons"""
-    days = channel_days(spark, d).withColumns({c: F.col(c).cast("double") for c in ("n_events", "n_alarm")})
-    by = Window.partitionBy("channel_id").orderBy("day")
-    rows = days.withColumns({"n_events_previous": F.lag("n_events").over(by), "gap_days": F.date_diff("day", F.lag("day").over(by)).cast("double"), "before": F.lag("day").over(by)})
-    later = days.select("channel_id", F.date_sub("day", 2).alias("day"), (F.col("n_alarm") > 0).cast("int").alias("label"))
-    features = M.preset(["n_events", "n_alarm", "n_events_previous", "gap_days"], "all")
-    labelled = rows.join(later, ["channel_id", "day"]).where("day < date'2024-01-20'").withColumn("weight", F.lit(1.0))
-    model = M.logistic(M.checked(labelled.columns, features), []).fit(labelled)
-    at = B.channels(spark, d).select("channel_id").join(rows.where("day = date'2024-01-25'"), "channel_id", "left")
-    reasons = {"NO_READING_AT_D": F.col("n_events").isNull(), "NO_HISTORY": F.col("n_events").isNotNull() & F.col("before").isNull(), "ABOVE_THRESHOLD_AT_D": F.col("n_alarm") >= 2}
-    out = M.score_day(at, model, F.lit("2024-01-25").cast("date"), reasons)
-    fine = F.col("score").between(0, 1)
-    return out.select("channel_id", "day", "status", F.array_join("reasons", "|").alias("reasons"), "window_start", "window_end", F.coalesce(fine, F.lit(False)).alias("has_score"))
