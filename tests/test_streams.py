@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
+
 from vigil.streaming import stream as S
+from vigil.streaming.heartbeat import Heartbeats, last_heartbeats
 
 START = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 
@@ -55,3 +58,22 @@ def test_timers_close_cells_and_tell_of_silences(spark, tmp_path):
     got = out()
     assert (1, "silence", 24, None) in got and (1, "fault", 1, None) in got
     assert sum(r[1] == "lasting" and r[0] == 1 for r in got) == 1 and sum(r[1] == "crossing" for r in got) == 1
+
+
+def test_heartbeats_are_stored_and_tell_of_failures(spark, tmp_path):
+    schema, at = "event_id long, x int", str(tmp_path)
+    good = feed(spark, f"{at}/good", [(i, i) for i in range(5)], schema)
+
+    def fails(batch, number):
+        raise ValueError("no sink")
+
+    for run in range(2):
+        with Heartbeats(spark, f"{at}/beats"):
+            S.run_batches(good, lambda batch, number: batch.write.format("noop").mode("overwrite").save(), f"{at}/check-good", "append", "good")
+            if run == 0:
+                with pytest.raises(Exception, match="no sink"):
+                    S.run_batches(feed(spark, f"{at}/bad", [(1, 1)], schema), fails, f"{at}/check-bad", "append", "bad")
+        feed(spark, f"{at}/good", [(9, 9)], schema)
+    got = {r.source: r for r in last_heartbeats(spark.read.parquet(f"{at}/beats")).collect()}
+    assert (got["good"].rows, got["good"].healthy, got["good"].last_failure) == (6, True, None) and got["good"].last_success
+    assert not got["bad"].healthy and "no sink" in got["bad"].last_error and got["bad"].rows == 0

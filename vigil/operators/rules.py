@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQueryListener
 
 from vigil.functions import scalars as S
 from vigil.operators.panel import labelled
@@ -90,26 +89,3 @@ def without_next_day(panel: DataFrame, label: str, next_day: Column) -> DataFram
     """The label without rows whose next day already fails, and what became of each row."""
     gone = F.coalesce(next_day, F.lit(False)) & F.col(label).isNotNull()
     return panel.withColumns({"label_v2": F.when(~gone, F.col(label)), "excluded": gone})
-
-
-def progress_listener(sink: list[dict]) -> StreamingQueryListener:
-    """A listener that notes the progress, the last success and the last failure of each stream in sink (one small row a trigger)."""
-
-    class Listener(StreamingQueryListener):
-        def onQueryStarted(self, event) -> None:  # noqa: N802
-            sink.append({"id": str(event.id), "event": "started"})
-
-        def onQueryProgress(self, event) -> None:  # noqa: N802
-            p = event.progress
-            sink.append({"id": str(p.id), "event": "progress", "batch": p.batchId, "rows": p.numInputRows})
-
-        def onQueryTerminated(self, event) -> None:  # noqa: N802
-            sink.append({"id": str(event.id), "event": "failed" if event.exception else "ended"})
-
-    return Listener()
-
-
-def watch(spark: SparkSession, sink: list[dict]) -> StreamingQueryListener:
-    listener = progress_listener(sink)
-    spark.streams.addListener(listener)
-    return listener

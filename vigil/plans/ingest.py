@@ -11,6 +11,7 @@ from vigil.operators import bindings as B
 from vigil.operators.states import day_range
 from vigil.plans.ml import last_rows as rows_of
 from vigil.plans.registry import query
+from vigil.plans.streams import scratch
 from vigil.sources import files as R
 
 RAW = ", raw AS (SELECT CAST(event_id AS VARCHAR) AS event_id, CASE WHEN event_id % 97 = 5 THEN 'x' ELSE CAST(channel_id AS VARCHAR) END AS channel_id, strftime(event_time, '%Y-%m-%d') AS date_raw, CASE WHEN event_id % 89 = 7 THEN '3:4:5' ELSE strftime(event_time, '%H:%M:%S') END AS time_raw, CASE WHEN event_id % 83 = 9 THEN '?' WHEN alarm THEN ' T' ELSE 'false' END AS alarm_raw, CASE event_id % 5 WHEN 0 THEN value_state WHEN 1 THEN replace(CAST(event_id AS VARCHAR) || ',5', ' ', '') WHEN 2 THEN '' WHEN 3 THEN NULL ELSE ' 12.25 ' END AS value_raw FROM journal)"
@@ -40,10 +41,10 @@ def parse_errors(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{PARSED} SELECT (SELECT count(*) FROM raw) * 2 + 5 AS rows, 5 AS headers, count(error) * 2 AS bad, count(*) FILTER (WHERE error IS NULL) AS repeated, 0 AS other_year, count(*) FILTER (WHERE error IS NULL) AS staged, 0 AS unexplained FROM checked".replace("5 AS headers", "CAST(5 AS BIGINT) AS headers").replace("0 AS other_year", "CAST(0 AS BIGINT) AS other_year").replace("0 AS unexplained", "CAST(0 AS BIGINT) AS unexplained"))
 def row_balance(spark: SparkSession, d: str) -> DataFrame:
-    """The journal twice, with five repeated headers"""
+    """The journal twice, with five repeated headers, counted while it is staged"""
     raw = raw_of(spark, d)
     header = spark.range(5).select(*(F.lit(c).alias(c) for c in raw.columns))
-    return R.row_balance(raw.union(raw).union(header))
+    return R.stage_balanced(raw.union(raw).union(header), scratch(spark))
 
 
 @query(f"{PARSED} SELECT count(*) AS rows, count(*) FILTER (WHERE event_id % 3 <> 0) AS inserted, count(*) FILTER (WHERE event_id % 3 = 0) AS skipped FROM checked WHERE error IS NULL")

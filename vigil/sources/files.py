@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -41,18 +41,23 @@ def read_records(spark: SparkSession, path: str, fmt: str, columns: list[str], m
     return require(df, columns).select(*(F.col(c).cast("string").alias(c) for c in columns))
 
 
+def is_header() -> Column:
+    """Whether a row is the header again."""
+    return F.coalesce(F.col("event_id").isin("event_id", *JOURNAL_COLUMNS), F.lit(False))
+
+
 def without_repeated_headers(raw: DataFrame) -> DataFrame:
     """Rows that aren't the header again."""
-    return raw.where(~F.coalesce(F.col("event_id").isin("event_id", *JOURNAL_COLUMNS), F.lit(False)))
+    return raw.where(~is_header())
 
 
-def parse_events(raw: DataFrame) -> DataFrame:
-    """Typed events with row_hash and error (null for a good row; else the first rule broken)."""
+def parse_events(raw: DataFrame, *more: str) -> DataFrame:
+    """Typed events with row_hash and error (null for a good row; else the first rule broken), and more columns of raw as they are."""
     time = F.try_to_timestamp(F.concat_ws(" ", F.trim("date_raw"), F.trim("time_raw")), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
     out = raw.select(
         F.trim("event_id").try_cast("long").alias("event_id"), F.trim("channel_id").try_cast("long").alias("channel_id"), time.alias("event_time"), S.parse_alarm(F.col("alarm_raw")).alias("alarm"),
         S.parse_number(F.col("value_raw")).alias("value_numeric"), S.parse_state(F.col("value_raw")).alias("value_state"),
-        S.row_hash(*(F.col(c) for c in JOURNAL_COLUMNS.values())).alias("row_hash"),
+        S.row_hash(*(F.col(c) for c in JOURNAL_COLUMNS.values())).alias("row_hash"), *more,
     )
     error = F.when(F.col("event_id").isNull(), "event_id").when(F.col("channel_id").isNull(), "channel_id").when(F.col("event_time").isNull(), "event_time").when(F.col("alarm").isNull(), "alarm")
     return out.withColumn("error", error)
@@ -84,15 +89,24 @@ def catalogue(raw: DataFrame) -> DataFrame:
     return last.select("channel_id", "x.*", S.first_part(F.col("x.tag")).alias("site"), S.picket(F.col("x.name")).alias("picket"))
 
 
-def row_balance(raw: DataFrame, year: int | None = None) -> DataFrame:
-    """rows = headers + bad + repeated + other_year + staged; unexplained must be 0."""
-    parsed = parse_events(without_repeated_headers(raw))
-    good = parsed.where("error is null")
-    once = good.dropDuplicates(["row_hash"])
-    other = F.count_if(F.year("event_time") != year) if year else F.lit(0).cast("long")
-    counts = raw.agg(F.count("*").alias("rows")).crossJoin(parsed.agg(F.count("*").alias("body"), F.count("error").alias("bad"))).crossJoin(once.agg(F.count("*").alias("distinct_rows"), other.alias("other_year")))
-    out = counts.select("rows", (F.col("rows") - F.col("body")).alias("headers"), "bad", (F.col("body") - F.col("bad") - F.col("distinct_rows")).alias("repeated"), "other_year", (F.col("distinct_rows") - F.col("other_year")).alias("staged"))
-    return out.withColumn("unexplained", F.col("rows") - F.col("headers") - F.col("bad") - F.col("repeated") - F.col("other_year") - F.col("staged"))
+def stage_balanced(raw: DataFrame, path: str, year: int | None = None) -> DataFrame:
+    """Stages the good events of raw once each as Parquet by year (of one year only, if given), and returns the balance of that write:
+    rows = headers + bad + repeated + other_year + staged. unexplained: staged rows that the files don't hold (by their footers); must be 0.
+
+    The counts are metrics observed on the rows as they pass, before and behind the removal of repeated ones: one pass over raw, no other scan of it."""
+    seen, kept = Observation(), Observation()
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    header, bad = is_header(), F.col("error").isNotNull()
+    parsed = parse_events(raw.withColumn("header", header), "header").observe(seen, F.count("*").alias("rows"), count(F.col("header")).alias("headers"), count(~F.col("header") & bad).alias("bad"))
+    once = parsed.where(~F.col("header") & ~bad).drop("header", "error").dropDuplicates(["row_hash"]).withColumn("y", F.year("event_time"))
+    wanted = F.lit(True) if year is None else F.col("y") == year
+    once = once.observe(kept, F.count("*").alias("distinct_rows"), count(~wanted).alias("other_year"))
+    once.where(wanted).write.partitionBy("y").option("compression", "zstd").parquet(path)
+    m, k = seen.get, kept.get
+    row = (m["rows"], m["headers"], m["bad"], m["rows"] - m["headers"] - m["bad"] - k["distinct_rows"], k["other_year"], k["distinct_rows"] - k["other_year"])
+    out = raw.sparkSession.createDataFrame([row], "rows long, headers long, bad long, repeated long, other_year long, staged long")
+    staged = raw.sparkSession.read.parquet(path).count() if k["distinct_rows"] > k["other_year"] else 0
+    return out.withColumn("unexplained", F.col("staged") - F.lit(staged))
 
 
 def stage_by_year(events: DataFrame, path: str) -> None:
