@@ -101,11 +101,11 @@ def maintenance_state(spark: SparkSession, d: str) -> DataFrame:
     return maintenance_of(spark, d).select("object_id", "maintenance_context", "silence_length_days", "silence_ended_days_ago", "schedule_start")
 
 
-@query(f"{PLAN}, dy AS (SELECT channel_id, count(*) FILTER (WHERE value_state = 'purchase') AS readings, arg_max(value_numeric, (event_time, event_id)) FILTER (WHERE value_state = 'purchase') AS last_reading FROM journal WHERE event_time >= TIMESTAMP '2024-01-20' AND event_time < TIMESTAMP '2024-01-26' GROUP BY 1), rc AS (SELECT channel_id, object_id, readings, last_reading, maintenance_context FROM dy JOIN channels USING (channel_id) JOIN ms USING (object_id)) SELECT channel_id, CASE WHEN last_reading >= 100 THEN 'CURRENT_ALARM_PROTOCOL' WHEN readings = 0 THEN 'CHECK_TELEMETRY' WHEN channel_id % 10 = 3 THEN 'NO_GAS_FORECAST' WHEN maintenance_context = 'verified_schedule' THEN 'REVIEW_VERIFIED_PPR' WHEN maintenance_context = 'possible_recent_silence' THEN 'CHECK_MAINTENANCE_LOG' ELSE 'REVIEW_GAS_TREND' END AS code, CASE WHEN last_reading >= 100 THEN 'ABOVE_THRESHOLD_AT_D' WHEN readings = 0 THEN 'NO_GAS_READING_AT_D' WHEN channel_id % 10 = 3 THEN 'ABSTAIN' WHEN maintenance_context = 'verified_schedule' THEN 'GAS_PROXY|VERIFIED_SCHEDULE' WHEN maintenance_context = 'possible_recent_silence' THEN 'GAS_PROXY|POSSIBLE_RECENT_SILENCE' ELSE 'GAS_PROXY' END AS basis FROM rc")
+@query(f"{PLAN}, dy AS (SELECT channel_id, count(*) FILTER (WHERE value_state = 'purchase') AS readings, arg_max(value_numeric, (event_time, event_id)) FILTER (WHERE value_state = 'purchase') AS last_reading FROM journal WHERE event_time < TIMESTAMP '2024-01-26' GROUP BY 1), rc AS (SELECT channel_id, object_id, readings, last_reading, maintenance_context FROM dy JOIN channels USING (channel_id) JOIN ms USING (object_id)) SELECT channel_id, CASE WHEN last_reading >= 100 THEN 'CURRENT_ALARM_PROTOCOL' WHEN readings = 0 THEN 'CHECK_TELEMETRY' WHEN channel_id % 10 = 3 THEN 'NO_GAS_FORECAST' WHEN maintenance_context = 'verified_schedule' THEN 'REVIEW_VERIFIED_PPR' WHEN maintenance_context = 'possible_recent_silence' THEN 'CHECK_MAINTENANCE_LOG' ELSE 'REVIEW_GAS_TREND' END AS code, CASE WHEN last_reading >= 100 THEN 'ABOVE_THRESHOLD_AT_D' WHEN readings = 0 THEN 'NO_GAS_READING_AT_D' WHEN channel_id % 10 = 3 THEN 'ABSTAIN' WHEN maintenance_context = 'verified_schedule' THEN 'GAS_PROXY|VERIFIED_SCHEDULE' WHEN maintenance_context = 'possible_recent_silence' THEN 'GAS_PROXY|POSSIBLE_RECENT_SILENCE' ELSE 'GAS_PROXY' END AS basis FROM rc")
 def recommendations(spark: SparkSession, d: str) -> DataFrame:
-    """advice on each channel of the last days, by reasons and maintenance context; every tenth channel abstains"""
+    """advice on each channel by what is known at the 25th, by reasons and maintenance context; every tenth channel abstains"""
     reading = F.col("value_state") == "purchase"
-    days = B.journal(spark, d).where("event_time >= timestamp_ntz'2024-01-20' and event_time < timestamp_ntz'2024-01-26'").groupBy("channel_id").agg(F.count_if(reading).alias("readings"), F.max_by(F.when(reading, F.col("value_numeric")), F.when(reading, F.struct("event_time", "event_id"))).alias("last_reading"))
+    days = B.journal(spark, d).where("event_time < timestamp_ntz'2024-01-26'").groupBy("channel_id").agg(F.count_if(reading).alias("readings"), F.max_by(F.when(reading, F.col("value_numeric")), F.when(reading, F.struct("event_time", "event_id"))).alias("last_reading"))
     rows = days.join(B.channels(spark, d), "channel_id").join(maintenance_of(spark, d), "object_id")
     reasons = F.array_compact(F.array(F.when(F.col("readings") == 0, "NO_GAS_READING_AT_D"), F.when(F.col("last_reading") >= 100, "ABOVE_THRESHOLD_AT_D")))
     advice = P.recommendation(reasons, F.when(F.col("channel_id") % 10 == 3, "abstain").otherwise("experimental_shadow"), F.col("maintenance_context"))

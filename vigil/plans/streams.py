@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,16 +70,23 @@ def stream_enriched(spark: SparkSession, d: str) -> DataFrame:
     return appended(R.with_channels(R.not_from_future(events_of(spark, d)), B.channels(spark, d)).select("event_id", "channel_id", "object_id"))
 
 
-def stateful(spark: SparkSession) -> None:
-    """Stateful operators in pandas need this store of state."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+@contextmanager
+def stateful(spark: SparkSession) -> Iterator[None]:
+    """Stateful operators in pandas need this store of state; the session's own is set again behind them."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    held = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, held) if held else spark.conf.unset(key)
 
 
 def changes_of(spark: SparkSession, d: str) -> DataFrame:
     """Hours are cells; purchases of 100 or more cross; faults of 12 hours are sustained; two days without events are a silence."""
-    stateful(spark)
     classes = {"fault": LINK.fault, "ok": LINK.ok, "unknown": LINK.unknown}
-    return appended(R.channel_changes(events_of(spark, d), classes, "purchase", 100.0, 43200.0, 2, "h"))
+    with stateful(spark):
+        return appended(R.channel_changes(events_of(spark, d), classes, "purchase", 100.0, 43200.0, 2, "h"))
 
 
 #: Cells without each channel's newest, which a stream holds open.
@@ -106,9 +115,9 @@ def stream_crossings(spark: SparkSession, d: str) -> DataFrame:
 @query(", m AS (SELECT event_id % 1000 AS external_id, event_time AS seen, sha256(value_state) AS h FROM journal), f AS (SELECT *, first_value(h) OVER w AS first_hash, row_number() OVER w AS r FROM m WINDOW w AS (PARTITION BY external_id ORDER BY seen, h ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) SELECT external_id, CASE WHEN r = 1 THEN 'new' WHEN h = first_hash THEN 'retry' ELSE 'conflict' END AS verdict, count(*) AS n FROM f GROUP BY 1, 2")
 def stream_payload_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """The first payload of an id stays; the same again is a retry, another one a conflict"""
-    stateful(spark)
     messages = events_of(spark, d).select((F.col("event_id") % 1000).cast("string").alias("external_id"), F.col("event_time").alias("seen"), F.col("value_state").alias("payload"))
-    found = appended(R.payload_verdicts(messages))
+    with stateful(spark):
+        found = appended(R.payload_verdicts(messages))
     return found.groupBy(F.col("external_id").cast("long").alias("external_id"), "verdict").agg(F.count("*").alias("n"))
 
 
@@ -135,7 +144,6 @@ UNION ALL SELECT 'open_silence', channel_id, CAST(day + 1 AS TIMESTAMP), NULL, N
 def stream_late_and_lasting(spark: SparkSession, d: str) -> DataFrame:
     """Events in order of arrival, in three runs of one stream; every 17th comes three days late. Cells are closed by timers two
     hours after they end; late events are told of, as are silences that no reading has ended yet"""
-    stateful(spark)
     at = scratch(spark)
     lag = F.when(F.col("event_id") % 17 == 0, F.expr("interval 3 days")).otherwise(F.expr("interval 0 days"))
     arrived = B.table(spark, d, "events").withColumn("seen", (F.col("ts") + lag).cast("timestamp"))
@@ -145,7 +153,8 @@ def stream_late_and_lasting(spark: SparkSession, d: str) -> DataFrame:
         rows = stream.select("event_id", F.col("user_id").alias("channel_id"), F.col("ts").cast("timestamp").alias("event_time"), "seen", F.col("value").alias("value_numeric"), F.col("event_type").alias("value_state"))
         classes = {"fault": LINK.fault, "ok": LINK.ok, "unknown": LINK.unknown}
         changes = R.channel_changes(rows, classes, "purchase", 100.0, 43200.0, 2, "h", timedelta(hours=2))
-        R.run_to_end(changes, f"{at}/out", f"{at}/checkpoint")
+        with stateful(spark):
+            R.run_to_end(changes, f"{at}/out", f"{at}/checkpoint")
     found = spark.read.parquet(f"{at}/out")
     ended = found.where("kind = 'silence'").select("channel_id", "start")
     open_ = found.where("kind = 'lasting'").join(ended, ["channel_id", "start"], "left_anti").withColumn("kind", F.lit("open_silence"))
@@ -171,8 +180,8 @@ def stream_routed(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("kind").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.count_distinct("channel_id").alias("channels"))
 
 
-@query("SELECT value_state AS source, CAST(max(epoch(TIMESTAMP '2024-01-31') - floor(epoch(event_time))) AS BIGINT) AS lag_s, max(epoch(TIMESTAMP '2024-01-31') - floor(epoch(event_time))) <= 300 AS in_time FROM journal WHERE event_time >= TIMESTAMP '2024-01-30 23:00:00' OR value_state = 'error' GROUP BY 1")
+@query("SELECT value_state AS source, CAST(max(epoch(TIMESTAMP '2024-01-31') - floor(epoch(event_time))) AS BIGINT) AS lag_s, max(epoch(TIMESTAMP '2024-01-31') - floor(epoch(event_time))) <= 300 AS in_time FROM journal GROUP BY 1")
 def source_lags(spark: SparkSession, d: str) -> DataFrame:
     """The largest lag of each source at the end of January"""
-    rows = B.journal(spark, d).where("event_time >= timestamp_ntz'2024-01-30 23:00:00' or value_state = 'error'").withColumnRenamed("value_state", "source")
+    rows = B.journal(spark, d).withColumnRenamed("value_state", "source")
     return R.source_lag(rows, F.lit("2024-01-31 00:00:00").cast("timestamp"), "source")

@@ -33,7 +33,7 @@ class Heartbeats(StreamingQueryListener):
         self._note(str(event.runId), "idle")
 
     def onQueryTerminated(self, event) -> None:  # noqa: N802
-        self._note(str(event.runId), "failure" if event.exception else "ended", error=event.exception[:500] if event.exception else None)
+        self._note(str(event.runId), "failure" if event.exception else "ended", error=event.exception[:4000] if event.exception else None)
 
     def flush(self) -> None:
         """Waits for the notes of what has happened, and writes them."""
