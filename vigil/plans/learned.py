@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,6 +68,46 @@ def logistic_scores(spark: SparkSession, d: str) -> DataFrame:
     return out.select("channel_id", "day", "label", F.round(calibrated, 6).alias("score"), F.array_join(L.top_factors(design, beta), "|").alias("factors"))
 
 
+def fitted_pair(spark: SparkSession, d: str) -> tuple[DataFrame, PipelineModel, L.Design, np.ndarray]:
+    """Rows of the last days, a boosted model for warm channels, and a logistic one (design, coefficients) for cold ones."""
+    by = Window.partitionBy("channel_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows_of(spark, d).withColumns({c: F.col(c).cast("double") for c in TWO}).withColumn("observed_days", F.count("*").over(by))
+    parts = M.temporal_split(rows, "2024-01-15", "2024-01-20", "2024-01-26")
+    train = M.sampled(parts.where("split = 'train' and label is not null"), 3).persist()
+    warm = M.boosted(M.checked(train.columns, TWO)).fit(train)
+    design = L.Design.of(train, ["n_events"], "sensor_type")
+    beta = L.newton(train.select(F.lit("all").alias("g"), design.vector().alias("x"), F.col("label").alias("y"), F.col("weight").alias("w")), ["all"], len(design.names()))["all"]
+    train.unpersist()
+    return parts.where("split = 'stress'"), warm, design, beta
+
+
+@query()
+def boosted_scores(spark: SparkSession, d: str) -> DataFrame:
+    """A boosted model, scored by its table of nodes, for warm channels and a logistic one for cold ones"""
+    rows, warm, design, beta = fitted_pair(spark, d)
+    is_cold = F.col("observed_days") < 10
+    score = F.when(is_cold, L.score(design.vector(), beta)).otherwise(M.tree_score(M.tree_nodes(warm)))
+    return M.filled(warm, rows).select("channel_id", "day", is_cold.alias("is_cold"), F.round(score, 6).alias("score"))
+
+
+@query(f"{ROWS} SELECT count(*) AS rows, CAST(0 AS DOUBLE) AS largest, CAST(0 AS BIGINT) AS one_sided FROM rows WHERE day >= DATE '2024-01-26'")
+def tree_parity(spark: SparkSession, d: str) -> DataFrame:
+    """The largest difference of scores by the table of nodes and by the fitted model itself"""
+    rows, warm, _, _ = fitted_pair(spark, d)
+    by_table = M.filled(warm, rows).select("channel_id", "day", M.tree_score(M.tree_nodes(warm)).alias("score"))
+    return A.parity(by_table, M.scored(warm, rows), ["channel_id", "day"]).select("rows", F.round("largest", 9).alias("largest"), F.col("one_sided").cast("long").alias("one_sided"))
+
+
+@query(f"""{FITTED[: FITTED.index(", tr AS (")].replace(design_sql("d", "ts", TWO, "sensor_type"), design_sql("d", "ts", TWO[:1], "sensor_type"))}, tr AS (SELECT g, {vector_sql(TWO[:1], "sensor_type")} AS x, label AS y, w FROM ts JOIN dq q USING (g) JOIN ds s USING (g) JOIN dc c USING (g)), {L.newton_sql("fit", "tr", L.RIDGE)},
+ob AS (SELECT *, count(*) OVER (PARTITION BY channel_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS observed_days FROM rows)
+SELECT channel_id, day, observed_days < 10 AS is_cold, CASE WHEN observed_days < 10 THEN round(1 / (1 + exp(-list_dot_product({vector_sql(TWO[:1], "sensor_type")}, f.b))), 6) END AS score FROM ob, dq q, ds s, dc c, fit f WHERE day >= DATE '2024-01-26'""")
+def cold_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Which rows go to the cold model, and its scores of them"""
+    rows, _, design, beta = fitted_pair(spark, d)
+    is_cold = F.col("observed_days") < 10
+    return rows.select("channel_id", "day", is_cold.alias("is_cold"), F.when(is_cold, F.round(L.score(design.vector(), beta), 6)).alias("score"))
+
+
 SAFE = ["n_events", "n_alarm", "n_events_previous", "gap_days"]
 DAYS = CD + ", dd AS (SELECT *, lag(n_events) OVER v AS n_events_previous, day - lag(day) OVER v AS gap_days, lag(day) OVER v AS before FROM cd WINDOW v AS (PARTITION BY channel_id ORDER BY day))"
 

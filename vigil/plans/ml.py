@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -40,13 +40,6 @@ def sampled(rows: DataFrame, ratio: int, seed: str = "s") -> DataFrame:
     return rows.where("label = 1").withColumn("weight", F.lit(1.0)).unionByName(negatives.withColumn("weight", F.lit(counts.n / max(1, take))))
 
 
-def logistic(numeric: list[str], categorical: list[str]) -> Pipeline:
-    """Median imputation, signed logarithms by the caller, standardised numerics, one-hot categories."""
-    index = [StringIndexer(inputCol=c, outputCol=f"{c}_i", handleInvalid="keep") for c in categorical]
-    hot = [OneHotEncoder(inputCols=[f"{c}_i" for c in categorical], outputCols=[f"{c}_v" for c in categorical])] if categorical else []
-    return Pipeline(stages=[Imputer(strategy="median", inputCols=numeric, outputCols=[f"{c}_m" for c in numeric]), VectorAssembler(inputCols=[f"{c}_m" for c in numeric], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), *index, *hot, VectorAssembler(inputCols=["scaled", *(f"{c}_v" for c in categorical)], outputCol="features"), LogisticRegression(labelCol="label", weightCol="weight", maxIter=30, regParam=0.01)])
-
-
 def boosted(numeric: list[str]) -> Pipeline:
     return Pipeline(stages=[Imputer(strategy="median", inputCols=numeric, outputCols=[f"{c}_m" for c in numeric]), VectorAssembler(inputCols=[f"{c}_m" for c in numeric], outputCol="features"), GBTClassifier(labelCol="label", weightCol="weight", maxIter=20, maxDepth=4, seed=1)])
 
@@ -55,12 +48,49 @@ def scored(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return model.transform(rows).withColumn("score", vector_to_array("probability")[1]).select(*rows.columns, "score")
 
 
-def routed(rows: DataFrame, warm: PipelineModel, cold: PipelineModel, cold_days: int) -> DataFrame:
-    """Scores of the cold model for channels with fewer observed days, else of the warm one."""
-    a = scored(warm, rows).withColumnRenamed("score", "warm")
-    b = cold.transform(rows).select("channel_id", "day", vector_to_array("probability")[1].alias("cold"))
-    is_cold = F.col("observed_days") < cold_days
-    return a.join(b, ["channel_id", "day"]).withColumns({"is_cold": is_cold, "score": F.when(is_cold, F.col("cold")).otherwise(F.col("warm"))})
+def tree_nodes(model: PipelineModel) -> DataFrame:
+    """The fitted ensemble as a table: tree, node, feature, threshold, left, right (null at leaves), value, weight. A row goes left where its feature
+    is at most the threshold."""
+    fitted, out = model.stages[-1], []
+    names = model.stages[-2].getInputCols()
+
+    def walk(tree: int, weight: float, node, number: int) -> None:
+        if node.subtreeDepth() == 0:
+            out.append((tree, number, None, None, None, None, float(node.prediction()), weight))
+            return
+        split = node.split()
+        out.append((tree, number, names[split.featureIndex()], float(split.threshold()), 2 * number, 2 * number + 1, float(node.prediction()), weight))
+        walk(tree, weight, node.leftChild(), 2 * number)
+        walk(tree, weight, node.rightChild(), 2 * number + 1)
+
+    for i, (tree, weight) in enumerate(zip(fitted.trees, fitted.treeWeights, strict=True)):
+        walk(i, float(weight), tree._java_obj.rootNode(), 1)
+    return SparkSession.active().createDataFrame(out, "tree int, node int, feature string, threshold double, left int, right int, value double, weight double")
+
+
+def tree_score(nodes: DataFrame) -> Column:
+    """The probability of a row by a table of nodes, as one expression of its features: nested choices, without a model or a join.
+
+    The table has as many rows as the ensemble has nodes, however many rows were fitted."""
+    by: dict[int, dict[int, tuple]] = {}
+    for r in nodes.collect():
+        by.setdefault(r["tree"], {})[r["node"]] = r
+
+    def value(tree: dict[int, tuple], number: int) -> Column:
+        r = tree[number]
+        if r["feature"] is None:
+            return F.lit(r["value"])
+        return F.when(F.col(r["feature"]) <= r["threshold"], value(tree, r["left"])).otherwise(value(tree, r["right"]))
+
+    margin = F.lit(0.0)
+    for i in sorted(by):
+        margin = margin + F.lit(by[i][1]["weight"]) * value(by[i], 1)
+    return 1 / (1 + F.exp(-2 * margin))
+
+
+def filled(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """rows with the columns that the ensemble's nodes name: its inputs without nulls."""
+    return model.stages[0].transform(rows)
 
 
 def score_day(rows: DataFrame, score: Column, day: Column, reasons: dict[str, Column]) -> DataFrame:

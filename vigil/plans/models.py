@@ -41,17 +41,6 @@ def selected_types(spark: SparkSession, d: str) -> DataFrame:
     return P.selected_types(rows_of(spark, d), 60).select("sensor_type", "channel_id", "day")
 
 
-@query()
-def boosted_scores(spark: SparkSession, d: str) -> DataFrame:
-    """A boosted model for warm channels, a logistic one for cold ones"""
-    by = Window.partitionBy("channel_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows_of(spark, d).withColumns({c: F.col(c).cast("double") for c in ("n_events", "n_alarm")}).withColumn("observed_days", F.count("*").over(by))
-    parts = M.temporal_split(rows, "2024-01-15", "2024-01-20", "2024-01-26")
-    train = M.sampled(parts.where("split = 'train' and label is not null"), 3)
-    warm, cold = M.boosted(M.checked(train.columns, ["n_events", "n_alarm"])).fit(train), M.logistic(["n_events"], ["sensor_type"]).fit(train)
-    return M.routed(parts.where("split = 'stress'"), warm, cold, 10).select("channel_id", "day", "is_cold", F.round("score", 6).alias("score"))
-
-
 INC = CD + ", inc AS (SELECT DISTINCT object_id, day FROM cd WHERE n_alarm >= 3), od AS (SELECT DISTINCT object_id, day FROM cd)"
 
 
