@@ -19,6 +19,8 @@ from vigil.llm.common import LOWER, UPPER, staged
 DEPTH, LEAST = 4, 30
 #: Words of a shard, about (and one text more); hashes that a task sums at once, about.
 SHARD_WORDS, SUMMED = 300_000, 1_000_000
+#: Parts in which a language's phrases are ranked before they are ranked together.
+PARTS = 32
 #: Bits of the table of phrases that may be frequent: 2^27 bits, 16 MB, however many phrases there are.
 TABLE_BITS = 27
 #: Lowest bits of a hash, which hold a count of up to LEAST instead.
@@ -264,6 +266,9 @@ def collocations(docs: DataFrame, top: int = 2000, shard_words: int = SHARD_WORD
     cuts = cuts.join(counts.select("lang", F.col("phrase").alias("first"), F.col("f").alias("l")), ["lang", "first"]).join(counts.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r")), ["lang", "rest"])
     score = F.expr("(cast(2000000 as decimal(38,0)) * a) div (cast(l as decimal(38,0)) + r)")
     cut = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = cut.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    # A language's first ones are among the first of its parts, so no task takes more than PARTS times top of them.
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    ranked = cut.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score").withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top).drop("part")
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("n"), "score")
