@@ -82,8 +82,9 @@ def newton(rows: DataFrame, groups: list[str], size: int, masks: dict[str, np.nd
     each fit. A group without rows keeps zeros."""
     fits = {g if masks is None else f"{g}\t{name}": np.ones(size, bool) if masks is None else masks[name] for g in groups for name in (masks or {"": None})}
     betas = {g: np.zeros(size) for g in fits}
+    held_rows = rows.select("g", "x", "y", "w").persist()  # read once a step; what an executor loses is made again
     for _ in range(steps):
-        parts = rows.select("g", "x", "y", "w").mapInPandas(_moments(betas, size), "g string, parts array<double>").select("g", F.posexplode("parts").alias("at", "v"))
+        parts = held_rows.mapInPandas(_moments(betas, size), "g string, parts array<double>").select("g", F.posexplode("parts").alias("at", "v"))
         found: dict[str, np.ndarray] = {g: np.zeros(size * (size + 1) + 1) for g in fits}
         for r in parts.groupBy("g", "at").agg(F.sum("v").alias("v")).collect():  # size * (size + 1) + 1 numbers for each fit
             found[r["g"]][r["at"]] = r["v"]
@@ -96,6 +97,7 @@ def newton(rows: DataFrame, groups: list[str], size: int, masks: dict[str, np.nd
             left, right = m[:, :size] + np.diag(held), m[:, size] - held * betas[g]
             betas[g] = betas[g].copy()
             betas[g][use] += np.linalg.solve(left[np.ix_(use, use)], right[use])
+    held_rows.unpersist()
     return betas
 
 
