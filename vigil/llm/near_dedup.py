@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.llm.common import one_of_each_row, row_key, staged, unused
@@ -19,6 +20,8 @@ from vigil.llm.hashing import BLANK_SPLIT, mix, shingles, words_of
 PERMUTATIONS, PER_BAND = 120, 3
 #: Shingles and sets in a block of one candidate group; a pair of blocks is what one task confirms at once.
 BLOCK_SHINGLES, BLOCK_SETS = 400_000, 2048
+#: Sketches in a block of one bucket; a pair of blocks is what one task compares at once.
+BLOCK_SKETCHES = 1024
 
 _SEEDS = mix(np.arange(1, 2 * PERMUTATIONS + 1, dtype=np.uint64))
 _MULTIPLY = (_SEEDS[:PERMUTATIONS] | np.uint64(1)).astype(np.uint32)[:, None]
@@ -45,6 +48,29 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def sketch(signature: np.ndarray) -> np.ndarray:
+    """Four bits of each signature value, sixteen values to a long."""
+    bits = (mix(signature.astype(np.uint64).ravel()) & np.uint64(15)).reshape(-1, 16)
+    return np.bitwise_or.reduce(bits << np.arange(0, 64, 4, dtype=np.uint64), axis=1).view(np.int64)
+
+
+def agreement(a: Column, b: Column) -> Column:
+    """How many values of two sketches are equal."""
+    quarter = F.lit(0x1111111111111111)
+
+    def differ(x: Column, y: Column) -> Column:
+        z = x.bitwiseXOR(y)
+        return F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseOR(F.shiftrightunsigned(z, 3)).bitwiseAND(quarter))
+
+    return F.lit(2 * PERMUTATIONS) - F.aggregate(F.zip_with(a, b, differ), F.lit(0), lambda x, y: x + y)
+
+
+def expected(similarity: float, deviations: float = 0.0) -> int:
+    """Equal sketch values of two sets of that similarity, so many standard deviations off. Different values agree in one of 16."""
+    share, n = similarity + (1 - similarity) / 16, 2 * PERMUTATIONS
+    return math.floor(n * share + deviations * math.sqrt(n * share * (1 - share)))
+
+
 def _digest(hashes: np.ndarray) -> tuple[int, int]:
     """Two hashes of the whole set, 128 bits together: of its sum, and of the exclusive-or and the sum of its mixed members."""
     mixed, again = mix(hashes), mix(hashes ^ np.uint64(0x5851F42D4C957F2D))
@@ -56,12 +82,13 @@ def _digest(hashes: np.ndarray) -> tuple[int, int]:
 def _sign(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            n, digests, keys = np.zeros(len(pdf), np.int64), [(None, None)] * len(pdf), [None] * len(pdf)
+            n, digests, keys, sketches = np.zeros(len(pdf), np.int64), [(None, None)] * len(pdf), [None] * len(pdf), [None] * len(pdf)
             for i, words in words_of(pdf["text"].tolist(), BLANK_SPLIT):
                 if len(found := shingles(words, k)):
-                    n[i], digests[i], keys[i] = len(found), _digest(found), band_keys(minmax_signature(found))
+                    signature = minmax_signature(found)
+                    n[i], digests[i], keys[i], sketches[i] = len(found), _digest(found), band_keys(signature), sketch(signature)
             first, second = (pd.array([d[j] for d in digests], dtype="Int64") for j in (0, 1))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "row": pdf["row"], "n_shingles": n, "d1": first, "d2": second, "keys": keys})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "row": pdf["row"], "n_shingles": n, "d1": first, "d2": second, "keys": keys, "sketch": sketches})
 
     return run
 
@@ -119,22 +146,70 @@ def _confirm(k: int, percent: int):
     return run
 
 
+def _compare(tie: int):
+    """Ties of each left sketch to the right ones that agree with it: every component of a pair of blocks as a star, not as pairs."""
+
+    def values(rows: pd.DataFrame) -> np.ndarray:
+        packed = np.stack(rows["sketch"].to_numpy()).view(np.uint8)
+        return np.concatenate([packed & 15, packed >> 4], axis=1)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["is_left"]], pdf[~pdf["is_left"]]
+        if left.empty or right.empty:
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        own, others = values(left), values(right)
+        alike = np.stack([(others == x).sum(axis=1) >= tie for x in own])
+        left_ids, right_ids = left["node"].to_numpy(), right["node"].to_numpy()
+        left_free, right_free, links = np.ones(len(left), bool), np.ones(len(right), bool), []
+        for i in range(len(left)):
+            step = np.array([i]) if left_free[i] else np.empty(0, np.int64)
+            while len(step):
+                left_free[step] = False
+                met = np.flatnonzero(right_free & alike[step].any(axis=0))
+                right_free[met] = False
+                step = np.flatnonzero(left_free & alike[:, met].any(axis=1))
+                links += [(left_ids[i], x) for x in (*right_ids[met], *left_ids[step]) if x != left_ids[i]]
+        return pd.DataFrame({"a": [x for x, _ in links], "b": [x for _, x in links]}, dtype="int64")
+
+    return run
+
+
+def candidate_ties(classes: DataFrame, percent: int = 80) -> DataFrame:
+    """(a, b): ties of classes (node, keys, sketch) whose closure joins any two that share a bucket and may be linked.
+
+    Two classes are tied if their sketches agree as those of a link do, less six deviations. A bucket's classes are first compared with its smallest one, each pair once however many buckets
+    it shares; near copies are all tied by that, and the bucket is done. In the others the strays, which aren't tied,
+    are compared with each other and with the rest, in pairs of blocks of bounded size. So any two of a bucket are tied
+    to one class or are compared themselves."""
+    tie = expected(percent / 100, -6)
+    sketches = classes.select("node", "sketch")
+    banded = classes.select("node", F.explode("keys").alias("bucket"))
+    least = banded.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("bucket", "a")
+    meet = staged(banded.join(least, "bucket").where("a <> node"))
+    both = meet.select("a", "node").distinct().join(sketches, "node").join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("other")), "a")
+    pairs = staged(both.select("a", "node", agreement(F.col("sketch"), F.col("other")).alias("equal")))
+    left = staged(meet.join(pairs, ["a", "node"]).select("bucket", "node", (F.col("equal") < tie).alias("stray")))
+    blocks = left.groupBy("bucket").agg(F.count_if("stray").alias("strays"), F.count("*").alias("all")).where("strays > 0 and all > 1").select("bucket", *(F.ceil(F.col(c) / BLOCK_SKETCHES).cast("int").alias(c) for c in ("strays", "all")))
+    open_ = left.join(blocks, "bucket").withColumns({"low": F.pmod(F.xxhash64("node", F.lit(11)), "strays").cast("int"), "high": F.pmod(F.xxhash64("node", F.lit(13)), "all").cast("int")})
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = open_.where("stray").select("bucket", "low", every("all").alias("high"), "node", F.lit(True).alias("is_left")).union(open_.select("bucket", every("strays").alias("low"), "high", "node", F.lit(False).alias("is_left")))
+    compared = dealt.join(sketches, "node").groupBy("bucket", "low", "high").applyInPandas(_compare(tie), "a long, b long")
+    return pairs.where(F.col("equal") >= tie).select("a", F.col("node").alias("b")).union(compared).distinct()
+
+
 def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, row (its key), n_shingles, node (the class of its set, null without words) and component (of classes) for each row of docs.
 
     Equal sets are one class from the start (grouped by 128-bit digest, with partial aggregation), so copies meet
-    in no join. Classes that share a bucket of any band form candidate groups: each is tied to its bucket's
-    smallest class and these ties are closed by components; nothing is decided by them. Each group is then
-    confirmed on full sets from whole texts. A group beyond BLOCK_SHINGLES or BLOCK_SETS is dealt over blocks
+    in no join. Classes that share a bucket of any band and whose sketches agree (see `candidate_ties`) form candidate
+    groups; nothing is decided by them. Each group is then confirmed on full sets from whole texts. A group beyond BLOCK_SHINGLES or BLOCK_SETS is dealt over blocks
     by hash, and every pair of blocks is one task: its size is bounded and no pair is left out."""
     rows = docs.select("doc_id", row_key().alias("row"), "text")
-    signed = staged(rows.mapInPandas(_sign(k), "doc_id long, row long, n_shingles long, d1 long, d2 long, keys array<long>"))
-    classes = signed.where("d1 is not null").groupBy("d1", "d2").agg(F.min("row").alias("row"), F.min("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
+    signed = staged(rows.mapInPandas(_sign(k), "doc_id long, row long, n_shingles long, d1 long, d2 long, keys array<long>, sketch array<long>"))
+    classes = signed.where("d1 is not null").groupBy("d1", "d2").agg(F.min("row").alias("row"), F.min("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     # The number of a class is fixed once it is written.
     classes = staged(classes.withColumn("node", F.monotonically_increasing_id()))
-    banded = classes.select("node", F.explode("keys").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("bucket", "a")
-    tied = connected_components(banded.join(shared, "bucket").where("a <> node").select("a", F.col("node").alias("b")).distinct())
+    tied = connected_components(candidate_ties(classes, percent))
     members = classes.join(tied, "node").select("node", "row", "n_shingles", "component")
     sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
     # A set goes to its block's pair with every block, and with itself where there is one block only.
