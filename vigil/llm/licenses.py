@@ -132,7 +132,8 @@ def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text in pdf["text"]:
             counts.update(known.intersection(words(text)))
             counts[b""] += 1
-    yield pd.DataFrame({"word": [w.decode() for w in counts], "n": list(counts.values())})
+    if counts:  # an empty frame has no type of text, and a task without documents would fail by it
+        yield pd.DataFrame({"word": [w.decode() for w in counts], "n": list(counts.values())})
 
 
 def _scan(shared):
