@@ -101,18 +101,26 @@ def neighbours(crossed: DataFrame, before: str = "6 hours", after: str = "15 min
     """crossed (channel_id, object_id, t) with the number of other channels of its object that cross from `before`
     before to `after` after it, both ends included.
 
-    Times fall into buckets as wide as the window; a crossing lies in one, and looks into the two or three that its window
-    touches: only crossings of an object that are near in time meet, however long the history is."""
-    width = F.unix_micros(F.expr(f"timestamp'1970-01-01 00:00:00Z' + interval {before} + interval {after}"))
-    at = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / width).cast("long")
-    low, high = F.col("t") - F.expr(f"interval {before}"), F.col("t") + F.expr(f"interval {after}")
+    A crossing at u is seen from u - after to u + before. A channel's overlapping spans are one, so the channels that a time sees are the spans
+    that have begun by then less those that are over: running sums of begins and ends over an object's times. No two crossings meet,
+    so the work grows with them, however many an object has. Sums run inside an object's day, on top of those of its earlier days."""
     keys = [c for c in ("rep", "object_id") if c in crossed.columns]
-    other = crossed.select(*keys, F.col("channel_id").alias("other"), F.col("t").alias("u"), at(F.col("t")).alias("bucket"))
-    looking = crossed.select(*keys, "channel_id", "t").distinct().withColumn("bucket", F.explode(F.sequence(at(low), at(high))))
-    near = looking.join(other, [*keys, "bucket"]).where((F.col("other") != F.col("channel_id")) & F.col("u").between(low, high))
-    named = [*(k for k in keys if k == "rep"), "channel_id", "t"]
-    counts = near.groupBy(*named).agg(F.count_distinct("other").alias("neighbours"))
-    return crossed.join(counts, named, "left").fillna(0, ["neighbours"])
+    own = crossed.select(*keys, "channel_id", "t").where(F.col("object_id").isNotNull() & F.col("channel_id").isNotNull()).distinct()
+    by = Window.partitionBy(*keys, "channel_id").orderBy("t")
+    near = lambda a, b: F.coalesce(a + F.expr(f"interval {before}") + F.expr(f"interval {after}") >= b, F.lit(False))
+    points = own.select(*keys, F.array(
+        F.struct(F.col("t").alias("at"), F.lit(0).alias("step")),
+        F.struct((F.col("t") - F.expr(f"interval {after}")).alias("at"), (~near(F.lag("t").over(by), F.col("t"))).cast("int").alias("step")),
+        F.struct((F.col("t") + F.expr(f"interval {before}") + F.expr("interval 1 microsecond")).alias("at"), (-(~near(F.col("t"), F.lead("t").over(by))).cast("int")).alias("step")),
+    ).alias("points"))
+    steps = points.select(*keys, F.inline("points")).groupBy(*keys, "at").agg(F.sum("step").alias("step")).withColumn("day", F.to_date("at"))
+    earlier = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = steps.groupBy(*keys, "day").agg(F.sum("step").alias("step")).select(*keys, "day", F.coalesce(F.sum("step").over(earlier), F.lit(0)).alias("base"))
+    inside = Window.partitionBy(*keys, "day").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    # The crossing's own channel is always seen.
+    seen = steps.withColumn("sum", F.sum("step").over(inside)).join(days, [*keys, "day"]).select(*keys, F.col("at").alias("t"), (F.col("sum") + F.col("base") - 1).alias("neighbours"))
+    out = crossed.join(seen, [*keys, "t"], "left").withColumn("neighbours", F.when(F.col("channel_id").isNotNull(), F.col("neighbours")))
+    return out.select(*crossed.columns, F.coalesce("neighbours", F.lit(0).cast("long")).alias("neighbours"))
 
 
 def crossing_shapes(cell: DataFrame, threshold: float, low: float, peak_minutes: int, cap_minutes: int) -> DataFrame:
