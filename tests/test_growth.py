@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import random
 
+import pytest
+
+from vigil.operators import logistic as L
 from vigil.operators import objects as O
+from vigil.plans import ml as M
+from vigil.plans.learned import cold_scores
 from vigil.streaming import stream as S
 
 T0 = dt.datetime(2024, 1, 1)
@@ -47,3 +53,28 @@ def test_channel_states_take_rows_and_not_frames(spark, tmp_path):
     spark.createDataFrame([(1, 1, T0, 1.0, "num")], schema).write.parquet(f"{tmp_path}/in")
     found = S.channel_changes(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), {"fault": (), "ok": (), "unknown": ()}, "num", 1.0, 1.0, 2)
     assert "python_row" in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_newton_reads_equal_rows_once(spark, monkeypatch):
+    real = L._moments
+
+    def spy(betas, size):
+        run = real(betas, size)
+
+        def few(batches):
+            for pdf in batches:
+                assert len(pdf) <= 4
+                yield pdf
+
+        return lambda batches: run(few(batches))
+
+    monkeypatch.setattr(L, "_moments", spy)
+    rows = spark.range(2000).selectExpr("'a' AS g", "array(1.0D, CAST(id % 2 AS DOUBLE)) AS x", "CAST(id % 5 = id % 2 AS INT) AS y", "1.0D AS w").coalesce(1)
+    beta = L.newton(rows, ["a"], 2, ridge=1e-9)["a"]
+    share = [rows.where(f"x[1] = {k}").selectExpr("avg(y)").head()[0] for k in (0, 1)]
+    assert abs(1 / (1 + math.exp(-beta[0])) - share[0]) < 1e-6 and abs(1 / (1 + math.exp(-beta[0] - beta[1])) - share[1]) < 1e-6
+
+
+def test_cold_scores_fit_no_boosted_model(spark, monkeypatch):
+    monkeypatch.setattr(M, "boosted", lambda numeric: pytest.fail("a boosted model is fitted"))
+    assert cold_scores(spark, "/root/testdata/sf0.001").columns == ["channel_id", "day", "is_cold", "score"]

@@ -82,7 +82,8 @@ def newton(rows: DataFrame, groups: list[str], size: int, masks: dict[str, np.nd
     each fit. A group without rows keeps zeros."""
     fits = {g if masks is None else f"{g}\t{name}": np.ones(size, bool) if masks is None else masks[name] for g in groups for name in (masks or {"": None})}
     betas = {g: np.zeros(size) for g in fits}
-    held_rows = rows.select("g", "x", "y", "w").persist()  # read once a step; what an executor loses is made again
+    # Equal rows are one row of their summed weight. They are read once a step; what an executor loses is made again.
+    held_rows = rows.groupBy("g", "x", "y").agg(F.sum("w").alias("w")).persist()
     for _ in range(steps):
         parts = held_rows.mapInPandas(_moments(betas, size), "g string, parts array<double>").select("g", F.posexplode("parts").alias("at", "v"))
         found: dict[str, np.ndarray] = {g: np.zeros(size * (size + 1) + 1) for g in fits}

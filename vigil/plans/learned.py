@@ -68,17 +68,29 @@ def logistic_scores(spark: SparkSession, d: str) -> DataFrame:
     return out.select("channel_id", "day", "label", F.round(calibrated, 6).alias("score"), F.array_join(L.top_factors(design, beta), "|").alias("factors"))
 
 
-def fitted_pair(spark: SparkSession, d: str) -> tuple[DataFrame, PipelineModel, L.Design, np.ndarray]:
-    """Rows of the last days, a boosted model for warm channels, and a logistic one (design, coefficients) for cold ones."""
+def fitted_cold(train: DataFrame) -> tuple[L.Design, np.ndarray]:
+    """The logistic model for cold channels: design and coefficients."""
+    design = L.Design.of(train, ["n_events"], "sensor_type")
+    beta = L.newton(train.select(F.lit("all").alias("g"), design.vector().alias("x"), F.col("label").alias("y"), F.col("weight").alias("w")), ["all"], len(design.names()))["all"]
+    return design, beta
+
+
+def split_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of the last days, and the sample of earlier ones that models are fitted on."""
     by = Window.partitionBy("channel_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows_of(spark, d).withColumns({c: F.col(c).cast("double") for c in TWO}).withColumn("observed_days", F.count("*").over(by))
     parts = M.temporal_split(rows, "2024-01-15", "2024-01-20", "2024-01-26")
-    train = M.sampled(parts.where("split = 'train' and label is not null"), 3).persist()
+    return parts.where("split = 'stress'"), M.sampled(parts.where("split = 'train' and label is not null"), 3)
+
+
+def fitted_pair(spark: SparkSession, d: str) -> tuple[DataFrame, PipelineModel, L.Design, np.ndarray]:
+    """Rows of the last days, a boosted model for warm channels, and a logistic one (design, coefficients) for cold ones."""
+    rows, train = split_rows(spark, d)
+    train = train.persist()
     warm = M.boosted(M.checked(train.columns, TWO)).fit(train)
-    design = L.Design.of(train, ["n_events"], "sensor_type")
-    beta = L.newton(train.select(F.lit("all").alias("g"), design.vector().alias("x"), F.col("label").alias("y"), F.col("weight").alias("w")), ["all"], len(design.names()))["all"]
+    design, beta = fitted_cold(train)
     train.unpersist()
-    return parts.where("split = 'stress'"), warm, design, beta
+    return rows, warm, design, beta
 
 
 @query()
@@ -103,7 +115,10 @@ ob AS (SELECT *, count(*) OVER (PARTITION BY channel_id ORDER BY day ROWS BETWEE
 SELECT channel_id, day, observed_days < 10 AS is_cold, CASE WHEN observed_days < 10 THEN round(1 / (1 + exp(-list_dot_product({vector_sql(TWO[:1], "sensor_type")}, f.b))), 6) END AS score FROM ob, dq q, ds s, dc c, fit f WHERE day >= DATE '2024-01-26'""")
 def cold_scores(spark: SparkSession, d: str) -> DataFrame:
     """Which rows go to the cold model, and its scores of them"""
-    rows, _, design, beta = fitted_pair(spark, d)
+    rows, train = split_rows(spark, d)
+    train = train.persist()
+    design, beta = fitted_cold(train)
+    train.unpersist()
     is_cold = F.col("observed_days") < 10
     return rows.select("channel_id", "day", is_cold.alias("is_cold"), F.when(is_cold, F.round(L.score(design.vector(), beta), 6)).alias("score"))
 
