@@ -199,9 +199,10 @@ def precision_sql(rows: str, by: str) -> str:
 @query(f"{ABLATED}, ap AS ({precision_sql('al', 'fold, key')}), tp AS ({precision_sql('al', 'fold, key, sensor_type')}) SELECT fold, key, CAST(NULL AS VARCHAR) AS sensor_type, CAST(positives AS DOUBLE) AS positives, round(ap, 6) AS ap FROM ap UNION ALL SELECT fold, key, sensor_type, CAST(positives AS DOUBLE), round(ap, 6) FROM tp")
 def ablations(spark: SparkSession, d: str) -> DataFrame:
     """Average precision of five feature presets and two rules in each fold, over all and by sensor type"""
-    rows = ablation_scores(spark, d)
-    whole = A.average_precision(rows, "fold", "key").withColumn("sensor_type", F.lit(None).cast("string"))
-    each = A.average_precision(rows, "fold", "key", "sensor_type")
+    # Equal scores are counted once, for both tables.
+    rows = ablation_scores(spark, d).where("label is not null").groupBy("fold", "key", "sensor_type", "label", "score").agg(F.count("*").cast("double").alias("rows")).persist()
+    whole = A.average_precision(rows, "fold", "key", weight="rows").withColumn("sensor_type", F.lit(None).cast("string"))
+    each = A.average_precision(rows, "fold", "key", "sensor_type", weight="rows")
     return whole.unionByName(each).select("fold", "key", "sensor_type", F.col("positives").cast("double").alias("positives"), F.round("ap", 6).alias("ap"))
 
 
