@@ -7,11 +7,13 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from vigil.operators import logistic as L
 from vigil.operators import objects as O
 from vigil.plans import ml as M
 from vigil.plans.learned import cold_scores
+from vigil.sources import files as R
 from vigil.streaming import stream as S
 
 T0 = dt.datetime(2024, 1, 1)
@@ -78,3 +80,31 @@ def test_newton_reads_equal_rows_once(spark, monkeypatch):
 def test_cold_scores_fit_no_boosted_model(spark, monkeypatch):
     monkeypatch.setattr(M, "boosted", lambda numeric: pytest.fail("a boosted model is fitted"))
     assert cold_scores(spark, "/root/testdata/sf0.001").columns == ["channel_id", "day", "is_cold", "score"]
+
+
+def test_an_export_sorts_a_year_in_pieces_and_writes_one_file_in_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "PIECE", 100, raising=False)
+    rng, held, real = random.Random(7), [], getattr(R, "checkpointed", None)
+
+    def spy(rows):
+        held.append([r.n for r in rows.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()])
+        return real(rows)
+
+    monkeypatch.setattr(R, "checkpointed", spy, raising=False)
+    times = [T0 + dt.timedelta(days=366 * (i % 3 == 0), minutes=rng.randrange(600)) for i in range(3000)]
+    rows = [(i, i % 7, t, None if i % 5 == 0 else i % 2 == 0) for i, t in enumerate(times)] + [(3000, None, None, True)]
+    rng.shuffle(rows)
+    out = tmp_path / "out"
+    R.export_journal(spark.createDataFrame(rows, "event_id long, channel_id long, event_time timestamp_ntz, alarm boolean"), str(out))
+    for part, year in (("2024", 2024), ("2025", 2025), ("__HIVE_DEFAULT_PARTITION__", None)):
+        (name,) = (out / f"y={part}").glob("*.csv")
+        header, *lines = name.read_text().splitlines()
+        want = sorted((t, i) for i, _, t, _ in rows if (t and t.year) == year) if year else [(None, 3000)]
+        assert header == "event_id,channel_id,event_time,alarm" and [int(x.split(",")[0]) for x in lines] == [i for _, i in want]
+    assert (out / "_SUCCESS").exists()
+    # No task sorts a year: about PIECE rows in each.
+    assert [sum(n) for n in sorted(held, key=sum)] == [1, 1000, 2000] and max(map(max, held)) < 400
+    with pytest.raises(Exception, match="exist"):
+        R.export_journal(spark.createDataFrame(rows[:1], "event_id long, channel_id long, event_time timestamp_ntz, alarm boolean"), str(out))
+    R.export_journal(spark.createDataFrame([], "event_id long, event_time timestamp_ntz"), str(tmp_path / "none"))
+    assert [p.name for p in (tmp_path / "none").iterdir() if not p.name.startswith(".")] == ["_SUCCESS"]

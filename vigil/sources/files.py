@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +13,8 @@ from vigil.functions import scalars as S
 
 #: Columns of a raw journal file in order (fixed names of the format), and what they are called here.
 JOURNAL_COLUMNS = {"ид_события": "event_id", "ид_канала_данных": "channel_id", "дата": "date_raw", "время": "time_raw", "тревожное": "alarm_raw", "значение_датчика": "value_raw"}
+#: Rows of a journal that one task sorts for its export.
+PIECE = 1_000_000
 
 
 def strings(columns: list[str]) -> T.StructType:
@@ -114,13 +118,37 @@ def stage_by_year(events: DataFrame, path: str) -> None:
     events.dropDuplicates(["row_hash"]).withColumn("y", F.year("event_time")).write.partitionBy("y").option("compression", "zstd").parquet(path)
 
 
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """rows with their partitions and order in the folder that driver and executors share."""
+    spark, sc = rows.sparkSession, rows.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        base = spark.conf.get("spark.checkpoint.dir", None) or (tempfile.mkdtemp() if sc.master.startswith("local") else None)
+        if not base:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(base)
+    return rows.checkpoint()
+
+
 def export_journal(events: DataFrame, path: str, parts: int = 1) -> None:
     """CSV with one file for each calendar year, ordered by time and id; with more parts, that many files a year, in order by name.
 
-    One ordered file is one task, as is asked for; a year too large for that takes parts."""
+    For one file, a year is sorted in ranges of about PIECE rows, a task each, and checkpointed; the task that writes the file
+    takes the ranges one after the other and sorts nothing. The marker of success comes with the last year."""
+    order = ["event_time", "event_id"]
     rows = events.withColumn("y", F.year("event_time"))
-    dealt = rows.repartition("y") if parts == 1 else rows.repartitionByRange(parts * max(1, rows.select("y").distinct().count()), "y", "event_time", "event_id")
-    dealt.sortWithinPartitions("y", "event_time", "event_id").write.partitionBy("y").option("header", True).csv(path)
+    out = lambda df: df.write.option("header", True)
+    if parts > 1:
+        dealt = rows.repartitionByRange(parts * max(1, rows.select("y").distinct().count()), "y", *order)
+        out(dealt.sortWithinPartitions("y", *order)).partitionBy("y").csv(path)
+        return
+    # The folder is made first: one that is there raises, and a journal without rows has one too.
+    out(rows.limit(0)).partitionBy("y").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").csv(path)
+    for y, n in rows.groupBy("y").count().collect():
+        ranges = rows.where(F.col("y").eqNullSafe(F.lit(y))).drop("y").repartitionByRange(-(-n // PIECE), *order)
+        sorted_ranges = checkpointed(ranges.sortWithinPartitions(*order))
+        # coalesce without a shuffle reads the partitions in their order.
+        out(sorted_ranges.coalesce(1)).csv(f"{path}/y={'__HIVE_DEFAULT_PARTITION__' if y is None else y}")
+    out(rows.limit(0)).partitionBy("y").mode("append").csv(path)
 
 
 def export_catalogue(channels: DataFrame, path: str, key: str = "channel_id") -> None:
