@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,8 +15,8 @@ from vigil.functions import scalars as S
 
 #: Columns of a raw journal file in order (fixed names of the format), and what they are called here.
 JOURNAL_COLUMNS = {"ид_события": "event_id", "ид_канала_данных": "channel_id", "дата": "date_raw", "время": "time_raw", "тревожное": "alarm_raw", "значение_датчика": "value_raw"}
-#: Rows of a journal that one task sorts for its export.
-PIECE = 1_000_000
+#: Rows of a journal that one task sorts for its export, and years that are written at once.
+PIECE, YEARS = 1_000_000, 8
 
 
 def strings(columns: list[str]) -> T.StructType:
@@ -133,7 +135,7 @@ def export_journal(events: DataFrame, path: str, parts: int = 1) -> None:
     """CSV with one file for each calendar year, ordered by time and id; with more parts, that many files a year, in order by name.
 
     For one file, a year is sorted in ranges of about PIECE rows, a task each, and checkpointed; the task that writes the file
-    takes the ranges one after the other and sorts nothing. The marker of success comes with the last year."""
+    takes the ranges one after the other and sorts nothing. Years are written side by side. The marker of success comes with the last year."""
     order = ["event_time", "event_id"]
     rows = events.withColumn("y", F.year("event_time"))
     out = lambda df: df.write.option("header", True)
@@ -143,11 +145,15 @@ def export_journal(events: DataFrame, path: str, parts: int = 1) -> None:
         return
     # The folder is made first: one that is there raises, and a journal without rows has one too.
     out(rows.limit(0)).partitionBy("y").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").csv(path)
-    for y, n in rows.groupBy("y").count().collect():
+
+    def write(y: int | None, n: int) -> None:
         ranges = rows.where(F.col("y").eqNullSafe(F.lit(y))).drop("y").repartitionByRange(-(-n // PIECE), *order)
         sorted_ranges = checkpointed(ranges.sortWithinPartitions(*order))
         # coalesce without a shuffle reads the partitions in their order.
         out(sorted_ranges.coalesce(1)).csv(f"{path}/y={'__HIVE_DEFAULT_PARTITION__' if y is None else y}")
+
+    with ThreadPool(YEARS) as pool:
+        pool.starmap(inheritable_thread_target(rows.sparkSession)(write), [tuple(r) for r in rows.groupBy("y").count().collect()], 1)
     out(rows.limit(0)).partitionBy("y").mode("append").csv(path)
 
 
